@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, secret_scan, simhash
+from . import exact_dedup, packing, secret_scan, simhash, sstable
 from .common import table
 
 
+def op2_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.digests(sstable.write(table(spark, sf_dir, "documents")))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.findings(table(spark, sf_dir, "documents"))
 
@@ -21,6 +29,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_sstable": op2_sstable,
+    "op5_packing": op5_packing,
     "op6_secret_scan": op6_secret_scan,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_simhash": op10_simhash,
