@@ -3,15 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, secret_scan, simhash, sstable
-from .common import table
+from . import exact_dedup, language, packing, quality, secret_scan, simhash, sstable, toxicity
+from .common import crc_of_id, table
+
+
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs, crc_of_id() % 4 != 2)
+    out = language.identify(docs, model)
+    return out.select("doc_id", (crc_of_id() % 4 == 2).alias("held_out"), "lang_pred", "score")
 
 
 def op2_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.digests(sstable.write(table(spark, sf_dir, "documents")))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -24,15 +36,25 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), crc_of_id() % 5 != 0)
+    out = toxicity.predict(docs, model)
+    return out.select("doc_id", (crc_of_id() % 5 == 0).alias("held_out"), "score", "predicted")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_language": op1_language,
     "op2_sstable": op2_sstable,
+    "op3_quality": op3_quality,
     "op5_packing": op5_packing,
     "op6_secret_scan": op6_secret_scan,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
 }
 
