@@ -1,8 +1,10 @@
 """Store lifecycle, change detection, index runs."""
 
+import sys
 import uuid
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from blocksearch.operators import changes, embed
@@ -12,6 +14,8 @@ from blocksearch.plans.engine import Engine
 from blocksearch.schema import Settings
 from blocksearch.sources import blocks as src
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers can't import this file
+
 
 @pytest.fixture
 def store(spark, tmp_path):
