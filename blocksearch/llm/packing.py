@@ -39,8 +39,9 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
         enc, end = encoder(path), end_id.to_bytes(4, "little")
         for batch in batches:
             rows = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist()), strict=True):
-                ids += end
+            every, begin = enc.encode(batch.column(1))
+            for i, doc_id in enumerate(batch.column(0).to_pylist()):
+                ids = every[begin[i] : begin[i + 1]].tobytes() + end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), part)[: len(names)])
@@ -163,7 +164,7 @@ def _dealt(pieces: DataFrame, group, n: int, capacity: int, level: int) -> DataF
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` (and ``ids``) of all pieces."""
     configure(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     return rows.mapInArrow(_pieces(tokenizer or model_path(), capacity, end_id, with_ids), kind)
 

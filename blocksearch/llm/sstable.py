@@ -210,7 +210,7 @@ def _shards(folder: str, path: str, end_id: int):
         writer = out = None
         task, enc = TaskContext.get(), None
         uri = f"{folder}/shard-{task.partitionId():06d}.sst"
-        end, last, repeat = struct.pack("<I", end_id), object(), 0
+        end, last, repeat = np.array([end_id], "<u4"), object(), 0
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -220,10 +220,11 @@ def _shards(folder: str, path: str, end_id: int):
                 enc = encoder(path)
                 out = where.open_output_stream(f"{final}.{task.taskAttemptId()}")
                 writer = Writer(out, 2 if max(enc.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4)
-            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist()), strict=True):
+            ids, begin = enc.encode(batch.column(1))
+            for i, doc_id in enumerate(batch.column(0).to_pylist()):
                 repeat = repeat + 1 if doc_id == last else 0
                 last = doc_id
-                writer.add(key_of(doc_id, repeat), np.frombuffer(ids + end, "<u4"))
+                writer.add(key_of(doc_id, repeat), np.concatenate((ids[begin[i] : begin[i + 1]], end)))
         if writer is not None:
             writer.close()
             out.close()
@@ -243,7 +244,7 @@ def write(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", token
     an empty table gives no shard; other columns are not looked at."""
     configure(docs.sparkSession)
     folder = folder or scratch(docs.sparkSession, "sstable")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
     dealt = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     return materialise(dealt.mapInArrow(_shards(folder, tokenizer or model_path(), end_id), "shard int, path string, n_docs long, n_tokens long"), "manifest")
