@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language, packing, quality, secret_scan, simhash, sstable, toxicity
+from . import exact_dedup, language, licenses, packing, quality, secret_scan, simhash, sstable, toxicity
 from .common import crc_of_id, table
 
 
@@ -24,6 +24,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op1_language": op1_language,
     "op2_sstable": op2_sstable,
     "op3_quality": op3_quality,
+    "op4_licenses": op4_licenses,
     "op5_packing": op5_packing,
     "op6_secret_scan": op6_secret_scan,
     "op8_exact_dedup": op8_exact_dedup,
