@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language, licenses, packing, quality, secret_scan, simhash, sstable, toxicity
+from . import exact_dedup, language, licenses, packing, pieces, quality, secret_scan, simhash, sstable, toxicity
 from .common import crc_of_id, table
 
 
@@ -36,6 +36,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.findings(table(spark, sf_dir, "documents"))
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(pieces.encode(table(spark, sf_dir, "documents")))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ QUERIES = {
     "op4_licenses": op4_licenses,
     "op5_packing": op5_packing,
     "op6_secret_scan": op6_secret_scan,
+    "op7_pieces": op7_pieces,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
