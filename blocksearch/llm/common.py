@@ -57,10 +57,3 @@ def crc_of_id(column: str = "doc_id"):
     """crc32 of the identifier as text, the base of the held-out splits."""
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
-
-def nulls_equal(left: DataFrame, right: DataFrame, names: list[str]):
-    """A join condition on ``names`` under which null equals null."""
-    condition = F.lit(True)
-    for name in names:
-        condition = condition & left[name].eqNullSafe(right[name])
-    return condition

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import configure, materialise, nulls_equal
+from .common import configure, materialise
 
 #: The characters of [\x20\x09-\x0D].
 WHITE = b" \t\n\x0b\x0c\r"
@@ -240,10 +240,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Rows that agree in identifier and original text are told apart by their
     other columns (the smallest stays), so that one row of a group is left."""
     entry = entries(docs, id_col, text_col, raw=True)
-    won = entry.select("ref", F.col("best_id").alias("_id"), F.col("best_raw").alias("_raw")).join(
-        owners(entry).where("ref = keep_ref").select("ref"), "ref", "left_semi"
-    )
-    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("_raw"))
-    kept = rows.join(won, nulls_equal(rows, won, ["_id", "_raw"]), "left_semi")
-    first = Window.partitionBy("_id", "_raw").orderBy(F.to_json("_row", {"ignoreNullFields": "false"}))
-    return kept.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("_row.*")
+    won = entry.select("ref", F.concat_ws(":", F.coalesce(F.col("best_id").cast("string"), F.lit("-")), "best_raw").alias("_key"))
+    won = won.join(owners(entry).where("ref = keep_ref").select("ref"), "ref", "left_semi").select("_key")
+    raw = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
+    rows = docs.select(F.struct("*").alias("_row"), F.concat_ws(":", F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("-")), raw).alias("_key"))
+    rest = [F.col(f"_row.`{c}`") for c in docs.columns if c not in (id_col, text_col)]
+    # One key for the window and the join: the texts are shuffled once, and of
+    # the repeats of a row a task sends one.
+    first = Window.partitionBy("_key").orderBy(F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}) if rest else F.lit(0))
+    single = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    return single.join(won, "_key", "left_semi").select("_row.*")
