@@ -16,7 +16,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -136,29 +135,35 @@ def local_search(sizes: list[int], bins: list[list[int]], capacity: int, sweeps:
 
 
 def _pack_group(capacity: int, level: int):
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["length", "doc_id", "piece", "start", "ids_crc32"], ascending=[False, True, True, True, True], kind="stable").reset_index(drop=True)
-        sizes = df["length"].tolist()
-        full = int((df["length"] == capacity).sum())  # they come first
+    order = [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")]
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.select(_NAMES).sort_by(order)
+        sizes = rows.column("length").to_pylist()
+        full = sum(x == capacity for x in sizes)  # they come first
         bins = [[i] for i in range(full)] + [[full + i for i in b] for b in local_search(sizes[full:], best_fit(sizes[full:], capacity), capacity)]
-        number, offset, filled = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+        number, offset, filled = (np.zeros(len(sizes), np.int64) for _ in range(3))
         for n, members in enumerate(bins):
             at = 0
             for i in members:
                 number[i], offset[i] = n, at
                 at += sizes[i]
             filled[members] = at
-        return df.assign(sequence_id=(np.int64(level) << 60) + (df["group"].to_numpy(np.int64) << 24) + number, offset=offset, filled=filled)
+        number += (level << 60) + (rows.column("group")[0].as_py() << 24)
+        for name, values in (("sequence_id", number), ("offset", offset), ("filled", filled)):
+            rows = rows.append_column(name, pa.array(values))
+        return rows
 
     return run
 
 
 _OUT = "doc_id long, piece int, start long, length long, ids_crc32 long, group long, sequence_id long, offset long, filled long"
+_NAMES = ["doc_id", "piece", "start", "length", "ids_crc32", "group"]
 
 
 def _dealt(pieces: DataFrame, group, n: int, capacity: int, level: int) -> DataFrame:
-    dealt = pieces.withColumn("group", group).repartitionByRange(n, "group")
-    return dealt.groupBy("group").applyInPandas(_pack_group(capacity, level), _OUT)
+    dealt = pieces.withColumn("group", group.cast("long")).repartitionByRange(n, "group")
+    return dealt.groupBy("group").applyInArrow(_pack_group(capacity, level), _OUT)
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
