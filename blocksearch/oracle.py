@@ -120,5 +120,8 @@ ORACLE_SQL = {
     "style_lookup": f"""WITH {_STYLES}, r AS (SELECT conv_id, turn, CASE turn WHEN 0 THEN 'sharp' WHEN 1 THEN 'cosmic' WHEN 2 THEN 'sparks' ELSE 'warm' END AS key FROM conversations)
         SELECT conv_id, turn, key, name FROM r JOIN styles USING (key)""",
     "progress_batches": f"""WITH {_VEC}, n AS (SELECT count(*) AS n FROM vec)
-        SELECT block_uuid, vec_id // 15 AS batch, floor(least((vec_id // 15 + 1) * 15, n) / n * 100 + 0.5)::BIGINT AS percent FROM vec, n""",
+        SELECT block_uuid, vec_id // 15 AS batch, floor(least((vec_id // 15 + 1) * 15, n) / n * 100 + 0.5)::BIGINT AS percent, vec_id // 15 // 34 AS flush FROM vec, n""",
+    "compact_rows": f"WITH {_VEC} SELECT block_uuid, page_name, block_content, round(sqrt(list_sum(list_transform({_ROUND4}, lambda x: x * x))), 6) AS norm, 1::BIGINT AS last_updated_ms FROM vec",
+    "record_keys": """SELECT conv_id, turn, coalesce(nullif(CASE WHEN turn % 3 = 0 THEN role WHEN turn % 3 = 1 THEN '' END, ''), CASE WHEN turn % 2 = 0 THEN 'b' END, conv_id::VARCHAR) AS key,
+        '01234567' AS short FROM conversations""",
 }

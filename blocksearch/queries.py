@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.prompts import response_prompt, style_key, styles
+from .functions.rows import compact, record_key, restore, short_key
 from .functions.text import preprocess, utf16_length
 from .functions.vectors import norm, round4
 from .operators import blocks as B
@@ -319,7 +320,18 @@ def style_lookup(spark, sf_dir):
 
 def progress_batches(spark, sf_dir):
     v = vectors(spark, sf_dir).select("block_uuid", "ord")
-    return index.progress(v, "ord", v.count()).select("block_uuid", "batch", "percent")
+    return index.progress(v, "ord", v.count()).select("block_uuid", "batch", "percent", "flush")
+
+
+def compact_rows(spark, sf_dir):
+    """To the compact form and back."""
+    rows = restore(compact(vectors(spark, sf_dir).withColumn("last_updated_ms", F.lit(1).cast("long"))))
+    return rows.select("block_uuid", "page_name", "block_content", F.round(norm(F.col("vector")), DIGITS).alias("norm"), "last_updated_ms")
+
+
+def record_keys(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, F.col("role")).when(F.col("turn") % 3 == 1, "").alias("u"), F.when(F.col("turn") % 2 == 0, "b").alias("block_uuid"))
+    return rows.select("conv_id", "turn", record_key("u", "block_uuid", "conv_id").alias("key"), short_key(F.lit("0123456789")).alias("short"))
 
 
 def styled_response(spark, sf_dir):
@@ -354,6 +366,6 @@ QUERIES = {
         search_topk, search_threshold_default, search_all_above, search_rounded_index, topk_per_query, vector_round4, vector_norms, blocks_scan, preprocess_text, text_lengths, filter_worth, filter_reasons,
         blocks_dedup, dedup_last_wins, change_status, change_counts, total_changes, to_index_union, survivors, apply_changes, shard_assign, store_scan, shard_index, append_layout, delete_by_key,
         delete_touched_shards, update_by_key, store_stats, store_integrity, hash_embedding, semantic_search, embed_blocks, index_build, tree_flatten, tree_order, page_blocks, result_refs, result_nested, selection_concat,
-        summary_context, style_lookup, progress_batches, styled_response, engine_search, streaming_refresh,
+        summary_context, style_lookup, progress_batches, compact_rows, record_keys, styled_response, engine_search, streaming_refresh,
     )
 } | {f"{s}_blocks": _of_status(s) for s in ("new", "modified", "deleted", "unchanged")}

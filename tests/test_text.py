@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from blocksearch.functions.rows import kilobytes, megabytes
 from blocksearch.functions.text import fault, preprocess, utf16_length
 from blocksearch.operators.blocks import first_wins, indexable, last_wins, numbered
 
@@ -46,6 +47,10 @@ def test_utf16(spark):
     assert spark.sql("select '😀x' as t").select(utf16_length(F.col("t")).alias("n")).first()["n"] == 3
 
 
+def test_sizes(spark):
+    assert spark.range(1).select(megabytes(F.lit(1572864)).alias("m"), kilobytes(F.lit(1536)).alias("k")).first() == ("1.50", "1.50KB")
+
+
 def test_first_of_repeated_text_is_kept(spark):
     rows = [("b", "p2", "the same text", 1, [0]), ("a", "p1", "the  same text", 0, [1, 2]), ("c", "p1", "the same text ", 0, [1, 10]), ("d", "p1", None, 0, [0])]
     blocks = spark.createDataFrame(rows, "uuid string, page_name string, content string, page_ord long, path array<long>")
