@@ -36,7 +36,9 @@ BOILERPLATE = (
 class Limits:
     """What a line may have, and how much of its text a document may lose.
 
-    A line of ``long_line`` words or more needs a terminal mark. Separators
+    A line of ``long_line`` words or more needs a terminal mark, if most such
+    lines of the document have one; a text that does without is left alone.
+    Separators
     (``|``) to words, words with a run of symbols, and words all in capitals
     may have these shares; a line of few words is exempt from the last."""
 
@@ -51,10 +53,11 @@ class Limits:
     repeated_percent: int = 30
 
 
-def line_fault(line: str, limits: Limits = Limits(), odd: bool = True, phrases: bool = True) -> str | None:
+def line_fault(line: str, limits: Limits = Limits(), odd: bool = True, phrases: bool = True, marks: bool = True) -> str | None:
     """The first rule that a line with a word fails: ``punctuation``,
     ``navigation`` or ``boilerplate``; None if it fails none. ``odd`` and
-    ``phrases`` tell whether the text has symbols or boilerplate at all."""
+    ``phrases`` tell whether the text has symbols or boilerplate at all,
+    ``marks`` whether it uses terminal marks."""
     words = line.split()
     n = len(words)
     if odd:
@@ -65,7 +68,7 @@ def line_fault(line: str, limits: Limits = Limits(), odd: bool = True, phrases:
     if n >= limits.capital_words and sum(map(str.isupper, words)) > limits.capitals * n:
         return "punctuation"
     if n >= limits.long_line:
-        if not any(m in line for m in _MARKS):
+        if marks and not _marked(line):
             return "punctuation"
         if sum(a == b for a, b in zip(words, words[1:], strict=False)) > limits.repeats * n:
             return "boilerplate"
@@ -74,6 +77,10 @@ def line_fault(line: str, limits: Limits = Limits(), odd: bool = True, phrases:
     return None
 
 
+def _marked(line: str) -> bool:
+    return any(m in line for m in _MARKS)
+
+
 def clean(text: str | None, limits: Limits = Limits()) -> tuple[str, float]:
     """The text without failing lines, and the share of its characters other
     than white space that went."""
@@ -81,10 +88,13 @@ def clean(text: str | None, limits: Limits = Limits()) -> tuple[str, float]:
     low = text.lower()
     odd, phrases = any(c in text for c in _SYMBOLS), any(p in low for p in BOILERPLATE)
     kept, lost, total = [], 0, 0
-    for line in text.split("\n"):
+    lines = text.split("\n")
+    long = [_marked(x) for x in lines if len(x) > 2 * limits.long_line and x.count(" ") >= limits.long_line - 1]
+    marks = 2 * sum(long) >= len(long)
+    for line in lines:
         size = len(line) - line.count(" ")
         total += size
-        if line.strip(_WHITE) and line_fault(line, limits, odd, phrases):
+        if line.strip(_WHITE) and line_fault(line, limits, odd, phrases, marks):
             lost += size
         else:
             kept.append(line)
