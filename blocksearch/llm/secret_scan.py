@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import configure, scratch
@@ -58,38 +58,26 @@ EXTRA = (
 RULES = BASE + EXTRA
 
 _SPANS = "array<struct<kind:string,version:int,start:int,stop:int>>"
+_HITS = "array<struct<rank:int,pos:int,gap:int,hit:int,val:int>>"
 LEDGER = f"blob string, rules array<string>, spans {_SPANS}"
 
 
-def _found(text: Column, lowered: Column, rule: Rule) -> Column:
-    """The spans of one rule, in code points. What stands between matches comes
-    from split, the matches from regexp_extract_all; a fold adds up lengths."""
-    none = F.array().cast(_SPANS)
+def _hits(text: Column, lowered: Column, rule: Rule, rank: int) -> Column:
+    """The matches of one rule: their numbers, and the lengths, in code points,
+    of what stands before, of the match, and of the group that counts."""
     pattern = F.lit(rule.pattern)
-    parts = F.zip_with(F.split(text, rule.pattern, -1), F.regexp_extract_all(text, pattern, 0), lambda g, h: F.struct(F.length(g).alias("g"), F.length(h).alias("h")))
-    if rule.group:
-        parts = F.zip_with(parts, F.regexp_extract_all(text, pattern, rule.group), lambda p, v: F.struct(p["g"].alias("g"), p["h"].alias("h"), F.length(v).alias("v")))
-    else:
-        parts = F.transform(parts, lambda p: F.struct(p["g"].alias("g"), p["h"].alias("h"), p["h"].alias("v")))
-    spans = F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda a, p: F.struct(
-            (a["at"] + p["g"] + F.coalesce(p["h"], F.lit(0))).alias("at"),
-            F.when(
-                F.coalesce(p["v"] >= rule.least, F.lit(False)),
-                F.concat(a["out"], F.array(F.struct(F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version"), (a["at"] + p["g"]).alias("start"), (a["at"] + p["g"] + p["h"]).alias("stop")))),
-            ).otherwise(a["out"]).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
+    sizes = lambda a: F.transform(a, lambda x: F.length(x))
+    hits = sizes(F.regexp_extract_all(text, pattern, 0))
+    vals = sizes(F.regexp_extract_all(text, pattern, rule.group)) if rule.group else hits
+    zipped = F.arrays_zip(sizes(F.split(text, rule.pattern, -1)).alias("gap"), hits.alias("hit"), vals.alias("val"))
+    found = F.transform(zipped, lambda x, i: F.struct(F.lit(rank).alias("rank"), i.alias("pos"), x["gap"].alias("gap"), x["hit"].alias("hit"), x["val"].alias("val")))
     if rule.probe:
         may = text.rlike(rule.probe)
     else:
         may = F.lit(False)
         for hint in rule.hints:
             may = may | lowered.contains(hint)
-    return F.when(may, spans).otherwise(none)
+    return F.when(may, found).otherwise(F.array().cast(_HITS))
 
 
 def blob_of(text: str) -> Column:
@@ -120,8 +108,17 @@ class BlobLedger:
         every = F.array(*[F.lit(r.key) for r in rules])
         todo = blobs.join(done, "blob", "left").select("blob", "text", F.array_except(every, F.coalesce("done", F.array().cast("array<string>"))).alias("rules")).where("size(rules) > 0")
         todo = todo.withColumn("lowered", F.lower("text"))
-        spans = F.concat(*[F.when(F.array_contains("rules", r.key), _found(F.col("text"), F.col("lowered"), r)).otherwise(F.array().cast(_SPANS)) for r in rules])
-        todo.select("blob", "rules", spans.alias("spans")).write.mode("append").parquet(self.root)
+        hits = F.concat(*[F.when(F.array_contains("rules", r.key), _hits(F.col("text"), F.col("lowered"), r, i)).otherwise(F.array().cast(_HITS)) for i, r in enumerate(rules)])
+        # A match starts where the lengths before it add up to; a running sum
+        # for each blob and rule, in the partition that holds the blob.
+        each = todo.select("blob", "rules", F.explode_outer(hits).alias("h")).select("blob", "rules", "h.*")
+        so_far = Window.partitionBy("blob", "rank").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+        stop = F.sum(F.col("gap") + F.col("hit")).over(so_far).cast("int")
+        least = F.array(*[F.lit(r.least) for r in rules])
+        span = F.struct(*[F.array(*[F.lit(getattr(r, n)) for r in rules])[F.col("rank")].alias(n) for n in ("kind", "version")], (F.col("stop") - F.col("hit")).alias("start"), "stop")
+        kept = F.when(F.col("hit").isNotNull() & (F.col("val") >= least[F.col("rank")]), span)
+        done_now = each.withColumn("stop", stop).groupBy("blob").agg(F.first("rules").alias("rules"), F.collect_list(kept).alias("spans"))
+        done_now.select("blob", "rules", F.col("spans").cast(_SPANS).alias("spans")).write.mode("append").parquet(self.root)
 
     def spans(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         """``blob, spans`` of the blobs in which ``rules``, at their versions,
