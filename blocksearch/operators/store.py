@@ -72,7 +72,10 @@ class VectorStore:
             segment += 1
         place = f"{self.root}/segments/{segment}"
         rows.select(*_DATA, F.col("shard_id").alias("_s")).repartition("_s").write.partitionBy("_s").parquet(place)
-        counts = self.spark.read.parquet(place).groupBy("shard_id").count().collect() if self._fs(place)[0].listStatus(self._fs(place)[1]) and any("_s=" in s.getPath().getName() for s in self._fs(place)[0].listStatus(self._fs(place)[1])) else []
+        fs, path = self._fs(place)
+        if not any(status.isDirectory() for status in fs.listStatus(path)):  # no row, so no shard
+            return []
+        counts = self.spark.read.schema(VECTORS).parquet(place).groupBy("shard_id").count().collect()
         return [(segment, r["shard_id"], r["count"]) for r in counts]
 
     def _read(self, rows: list[Row]) -> DataFrame:

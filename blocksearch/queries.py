@@ -7,7 +7,6 @@ lacks some of what they have, and differs in others."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +20,7 @@ from .operators import blocks as B
 from .operators import changes as C
 from .operators import embed as E
 from .operators import search as S
+from .operators.checkpoint import shared_dir
 from .operators.store import VectorStore
 from .plans import index
 from .plans.engine import Engine
@@ -36,12 +36,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _shared(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where none is set."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="blocksearch-")
-    spark.sparkContext.setCheckpointDir(found)
-    return f"{found.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new path in the folder all executors share."""
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
 
 
 def raw_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,7 +198,6 @@ def _ids(spark, sf_dir):
 
 
 def shard_assign(spark, sf_dir):
-    _shared(spark)
     placed = B.numbered(vectors(spark, sf_dir).drop("ord").withColumn("key", F.col("block_uuid").cast("long")), "key", name="ord")
     return B.chunked(placed, SHARD).select("block_uuid", "ord", F.col("chunk").cast("long").alias("shard_id"))
 
@@ -285,7 +280,6 @@ def tree_flatten(spark, sf_dir):
 
 
 def tree_order(spark, sf_dir):
-    _shared(spark)
     flat = src.flatten(src.conversation_tree(table(spark, sf_dir, "conversations")))
     return B.numbered(flat, "page_ord", "path", name="ord").select("uuid", "ord")
 

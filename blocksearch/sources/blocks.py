@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.checkpoint import fixed
 from ..schema import BLOCKS, TREE
 
 
@@ -69,11 +70,11 @@ def flatten_levels(tree: DataFrame) -> DataFrame:
     """The same, level by level, without a limit of rows: each level is one
     join whose result is checkpointed, and the loop ends at an empty level."""
     tree = tree.select("uuid", "parent_uuid", "page_name", "content", "page_ord", "sibling_ord")
-    level = tree.where("parent_uuid IS NULL").select("uuid", "page_name", "content", "page_ord", F.array("sibling_ord").alias("path")).checkpoint()
+    level = fixed(tree.where("parent_uuid IS NULL").select("uuid", "page_name", "content", "page_ord", F.array("sibling_ord").alias("path")))
     out = level
     while not level.isEmpty():
         up = level.select(F.col("uuid").alias("parent_uuid"), "page_ord", F.col("path").alias("above"))
-        level = tree.join(up, ["parent_uuid", "page_ord"]).select("uuid", "page_name", "content", "page_ord", F.concat("above", F.array("sibling_ord")).alias("path")).checkpoint()
+        level = fixed(tree.join(up, ["parent_uuid", "page_ord"]).select("uuid", "page_name", "content", "page_ord", F.concat("above", F.array("sibling_ord")).alias("path")))
         out = out.unionByName(level)
     return out
 
