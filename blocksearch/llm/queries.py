@@ -86,7 +86,38 @@ def _secrets_sql() -> str:
         FROM t LEFT JOIN spans USING (doc_id) GROUP BY t.doc_id"""
 
 
+def _quality_sql() -> str:
+    """The counts, and the verdict line by line."""
+    at = quality.Limits()
+    phrases = " OR ".join(f"contains(lower(line), '{p}')" for p in quality.BOILERPLATE)
+    mark = " OR ".join(f"contains(line, '{c}')" for c in quality._MARKS)
+    word = r"[^\x20\x09-\x0D]+"
+    return rf"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{word}') AS w FROM documents),
+             runs AS (SELECT doc_id, unnest(range(1, len(w) - 6)) AS i, w FROM t),
+             again AS (SELECT doc_id, i FROM runs QUALIFY count(*) OVER (PARTITION BY doc_id, w[i:i + 7]) > 1),
+             covered AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS j FROM again) GROUP BY 1),
+             lines AS (SELECT doc_id, line, regexp_extract_all(line, '{word}') AS v, length(line) - (length(line) - length(replace(line, ' ', ''))) AS size,
+                              length(line) > {2 * at.long_line} AND length(line) - length(replace(line, ' ', '')) >= {at.long_line - 1} AS long, ({mark}) AS marked
+                       FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t)),
+             style AS (SELECT doc_id, 2 * count(*) FILTER (long AND marked) >= count(*) FILTER (long) AS marks,
+                              count(*) FILTER (len(v) > 0) - count(DISTINCT line) FILTER (len(v) > 0) AS dup, sum(size) AS total FROM lines GROUP BY 1),
+             judged AS (SELECT l.*, len(v) > 0 AND (
+                              (length(line) - length(replace(line, '|', '')) > {at.separators} * len(v) AND length(line) - length(replace(line, '|', '')) > 1)
+                           OR len(regexp_extract_all(line, '[#*$%&<>]{{2,}}')) > {at.symbol_words} * len(v)
+                           OR (len(v) >= {at.capital_words} AND len(list_filter(v, lambda x: regexp_matches(x, '\p{{Lu}}') AND NOT regexp_matches(x, '\p{{Ll}}'))) > {at.capitals} * len(v))
+                           OR (len(v) >= {at.long_line} AND ((marks AND NOT marked) OR len(list_filter(range(1, len(v)), lambda i: v[i] = v[i + 1])) > {at.repeats} * len(v)))
+                           OR {phrases}) AS fails FROM lines l JOIN style USING (doc_id)),
+             lost AS (SELECT doc_id, coalesce(sum(size) FILTER (fails), 0) AS lost FROM judged GROUP BY 1),
+             counted AS (SELECT t.doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+                                length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, dup AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
+                                total, lost FROM t JOIN style USING (doc_id) JOIN lost USING (doc_id) LEFT JOIN covered USING (doc_id))
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {at.least_words} OR 100 * n_repeat_words > {at.repeated_percent} * n_words AS base_failed,
+               NOT (n_words < {at.least_words} OR 100 * n_repeat_words > {at.repeated_percent} * n_words) AND lost <= {at.lost} * total AS kept FROM counted"""
+
+
 ORACLE_SQL = {
+    "op3_quality": _quality_sql(),
     "op6_secret_scan": _secrets_sql(),
     "op8_exact_dedup": r"""
         WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS chars,
