@@ -15,7 +15,8 @@ present symbols, leftmost first. Characters without a piece become byte pieces.
 
 Texts are put together from units in the tasks that read them: for each input
 split its distinct units and their ids are written to the shared folder, and a
-task loads those of the split it reads.
+task loads those of the split it reads. Both passes split texts at spaces and
+make words distinct in Arrow, so that Python sees a distinct word once a batch.
 """
 
 from __future__ import annotations
@@ -25,10 +26,12 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import configure, materialise, scratch
@@ -38,11 +41,17 @@ MODEL = "piece_bpe_32k.model"
 #: Longer units, seldom met, are not folded but sent to the library; a fold
 #: keeps the borders of its symbols in the bits of a long.
 FOLDED = 60
-#: Distinct units that a task keeps before it hands them on.
-HELD = 200_000
+#: Units of a task of the fold, whose edges are in memory together.
+FOLD_TASK = 10_000
+#: Texts that are split together, to keep a worker small.
+TOGETHER = 250
+_NO_ID = (1 << 28) - 1
 #: Letters as far as the cut goes; superior digits and fractions are none.
 _LETTER = r"[^\W\d_▁²³¹¼-¾]"
 _UNIT = re.compile(rf"\n|▁+(?:(?!{_LETTER})[^▁\n])*{_LETTER}*|(?:(?!{_LETTER})[^▁\n])+{_LETTER}*|{_LETTER}+")
+#: A word of these letters, with marks of these after it, is two units at most.
+_PLAIN = f"^{MARK}[A-Za-zÀ-ÖØ-öø-ÿ]+$"
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _ACROSS = re.compile(rf"{_LETTER}(?!{_LETTER})[^▁]|[^▁]▁|.\n|\n.", re.S)
 
 
@@ -108,39 +117,45 @@ def fold(units: DataFrame, pieces: Pieces) -> DataFrame:
     ranks = {}
     for _, _, score in ranked:
         ranks.setdefault(score, len(ranks))
-    table = F.broadcast(spark.createDataFrame([(p, i, s, ranks[s]) for p, i, s in pieces.rows], "piece string, id int, score double, rank long"))
+    table = spark.createDataFrame([(p, i, s, ranks[s]) for p, i, s in pieces.rows], "known string, id int, score double, rank long")
+    table = F.broadcast(table.withColumn("h", F.xxhash64("known")))
     n = F.char_length("unit")
     at = units.select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
     spans = at.select("unit", "start", F.explode(F.sequence(F.col("start") + 1, F.least(F.col("start") + pieces.longest, n))).alias("stop"))
-    edges = spans.withColumn("piece", F.substring(F.col("unit"), F.col("start") + 1, F.col("stop") - F.col("start"))).join(table, "piece", "left").where(F.col("id").isNotNull() | (F.col("stop") == F.col("start") + 1))
+    spans = spans.withColumn("piece", F.substring(F.col("unit"), F.col("start") + 1, F.col("stop") - F.col("start"))).withColumn("h", F.xxhash64("piece"))
+    # Joined on a hash, as a long is found faster than a string; the rest of the
+    # condition, not written as an equality, compares the strings.
+    same = (spans["h"] == table["h"]) & (F.col("piece") >= F.col("known")) & (F.col("piece") <= F.col("known"))
+    edges = spans.join(table, same, "left").where(F.col("id").isNotNull() | (F.col("stop") == F.col("start") + 1))
     if pieces.unigram:
         edge = F.struct("stop", "start", "id", F.coalesce("score", F.lit(float(min(s for *_, s in pieces.rows) - 10))).alias("score"))
         grouped = edges.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges")).withColumn("cuts", _viterbi())
     else:
-        # An edge in one long whose order is the order of merges: rank, start, stop, id.
-        edge = F.expr("shiftleft(coalesce(rank, 2097151L), 40) + shiftleft(cast(start as bigint), 34) + shiftleft(cast(stop as bigint), 28) + coalesce(id, 268435455)")
-        grouped = edges.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("packed"))
-        grouped = grouped.withColumn("edges", F.expr("transform(packed, e -> named_struct('start', cast(shiftright(e, 34) & 63 as int), 'stop', cast(shiftright(e, 28) & 63 as int), 'id', nullif(cast(e & 268435455 as int), 268435455)))"))
-        multi = "transform(filter(edges, e -> e.stop > e.start + 1), e -> named_struct('ends', shiftleft(1L, e.start) | shiftleft(1L, e.stop), 'inner', shiftleft(1L, e.stop) - shiftleft(2L, e.start)))"
+        # An edge in one long whose order is the order of merges: rank, start,
+        # stop, id. A character without a piece has the greatest rank and id.
+        edge = F.expr(f"shiftleft(coalesce(rank, 2097151L), 40) + shiftleft(cast(start as bigint), 34) + shiftleft(cast(stop as bigint), 28) + coalesce(id, {_NO_ID})")
+        grouped = edges.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+        multi = """transform(filter(edges, e -> (shiftright(e, 28) & 63) > (shiftright(e, 34) & 63) + 1), e -> named_struct(
+            'ends', shiftleft(1L, cast(shiftright(e, 34) & 63 as int)) | shiftleft(1L, cast(shiftright(e, 28) & 63 as int)),
+            'inner', shiftleft(1L, cast(shiftright(e, 28) & 63 as int)) - shiftleft(2L, cast(shiftright(e, 34) & 63 as int))))"""
         grouped = grouped.withColumn("multi", F.expr(multi)).withColumn("n", n).withColumn("cuts", _merged())
-    cut = grouped.withColumn("by", F.expr("map_from_entries(transform(filter(edges, e -> e.id is not null), e -> struct(e.start * 64 + e.stop, array(e.id))))"))
-
-    def ids_of(i):
-        start, stop = F.get("cuts", i - 1), F.get("cuts", i)
-        char = F.hex(F.encode(F.substring(F.col("unit"), start + 1, stop - start), "UTF-8"))
-        bytes_ = F.transform(F.sequence(F.lit(0), F.floor(F.length(char) / 2).cast("int") - 1), lambda k: F.conv(F.substring(char, k * 2 + 1, F.lit(2)), 16, 10).cast("int") + pieces.byte_base)
-        return F.coalesce(F.element_at("by", start * 64 + stop), bytes_)
-
-    return cut.select("unit", F.flatten(F.transform(F.sequence(F.lit(1), F.size("cuts") - 1), ids_of)).alias("ids"))
+        by = f"map_from_arrays(transform(edges, e -> cast(shiftright(e, 28) & 4095 as int)), transform(edges, e -> cast(e & {_NO_ID} as int)))"
+    if pieces.unigram:
+        by = f"map_from_arrays(transform(edges, e -> e.start * 64 + e.stop), transform(edges, e -> coalesce(e.id, {_NO_ID})))"
+    found = grouped.withColumn("by", F.expr(by)).withColumn("ids", F.expr("transform(sequence(1, size(cuts) - 1), i -> element_at(by, get(cuts, i - 1) * 64 + get(cuts, i)))"))
+    # Seldom: characters without a piece become the pieces of their bytes.
+    hexed = "hex(encode(substring(unit, get(cuts, i) + 1, get(cuts, i + 1) - get(cuts, i)), 'UTF-8'))"
+    spelt = f"flatten(transform(ids, (id, i) -> if(id < {_NO_ID}, array(id), transform(sequence(0, length({hexed}) div 2 - 1), k -> cast(conv(substring({hexed}, cast(k as int) * 2 + 1, 2), 16, 10) as int) + {pieces.byte_base}))))"
+    return found.select("unit", F.expr(f"if(array_contains(ids, {_NO_ID}), {spelt}, ids)").alias("ids"))
 
 
 def _merged():
-    """The borders left after all merges; a round for each symbol less one, the
-    borders in the bits of a long. An edge can be merged if both its ends are
+    """The borders left after all merges, in the bits of a long; there are no more
+    merges than symbols less one, nor than edges. An edge can be merged if both its ends are
     borders and one is inside. (The outer fold binds the bits, so that they are
     made once.)"""
     can = "(m & e.ends) = e.ends and (m & e.inner) <> 0 and ((m & e.inner) & ((m & e.inner) - 1)) = 0"
-    bits = f"""aggregate(if(size(multi) > 0, sequence(2, n), cast(array() as array<int>)), shiftleft(1L, n + 1) - 1,
+    bits = f"""aggregate(if(size(multi) > 0, sequence(1, least(n - 1, size(multi))), cast(array() as array<int>)), shiftleft(1L, n + 1) - 1,
         (m, i) -> m & ~coalesce(get(filter(multi, e -> {can}), 0).inner, 0L))"""
     return F.expr(f"aggregate(array({bits}), cast(array() as array<int>), (none, m) -> filter(sequence(0, n), i -> shiftright(m, i) & 1 = 1))")
 
@@ -160,26 +175,47 @@ def _viterbi():
     return F.aggregate(F.array(F.aggregate("edges", none, step)), F.array().cast("array<int>"), lambda _, best: back(best))
 
 
-def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(part, text) rows to the distinct (part, unit) of a task."""
-    held: dict[int, set[str]] = {}
-    size = 0
+def _sliced(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Small runs of rows of one part, with the part."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TOGETHER):
+            rows = batch.slice(at, TOGETHER)
+            for part in pc.unique(rows.column(column)).to_pylist():
+                yield part, rows.filter(pc.equal(rows.column(column), part))
+
+
+def _words(texts: pa.Array) -> tuple[pa.ListArray, pa.Array]:
+    """Texts split at spaces, each word with the mark before it, and which texts
+    aren't split: those with runs of spaces or marks of their own, whose one
+    word is the whole text. Null and empty texts have no word."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    odd = pc.or_(pc.match_substring_regex(texts, f"^ |  | $|{MARK}"), pc.equal(texts, ""))
+    marked = pc.if_else(odd, texts, pc.binary_join_element_wise(MARK, pc.replace_substring(texts, " ", f" {MARK}"), ""))
+    return pc.split_pattern(pc.if_else(odd, "", marked), " "), odd
+
+
+def _parts(distinct: pa.Array) -> tuple[pa.Array, np.ndarray, pa.Array, list[list[str]], np.ndarray]:
+    """Distinct words as units. A plain word is a stem of letters and a tail
+    of marks: the stems, which words are plain, the tails (empty if none). Of
+    the others, their units; and the places of these words."""
+    bare = pc.utf8_rtrim(distinct, characters=_MARKS)
+    plain = pc.match_substring_regex(bare, _PLAIN).to_numpy(zero_copy_only=False)
+    mask = pa.array(plain)
+    tails = pc.replace_substring_regex(distinct.filter(mask), _PLAIN[:-1], "")
+    rest = np.flatnonzero(~plain)
+    return bare.filter(mask), plain, tails, [_UNIT.findall(w) for w in distinct.take(pa.array(rest)).to_pylist()], rest
 
-    def out() -> Iterator[pa.RecordBatch]:
-        for part, units in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([part] * len(units), pa.int64()), pa.array(list(units), pa.string())], names=["part", "unit"])
-        held.clear()
 
-    for batch in batches:
-        for part, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            mine = held.setdefault(part, set())
-            size -= len(mine)
-            mine.update(units_of(text))
-            size += len(mine)
-        if size > HELD:
-            yield from out()
-            size = 0
-    yield from out()
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, text) rows to the distinct (part, unit) of each batch."""
+    for part, rows in _sliced(batches, 0):
+        texts = rows.column(1)
+        words, odd = _words(texts)
+        stems, _, tails, others, _ = _parts(pc.unique(words.flatten()))
+        rest = {u for units in others for u in units}.union(*map(units_of, texts.filter(odd).to_pylist()))
+        units = pc.unique(pa.concat_arrays([stems, pc.unique(tails), pa.array(list(rest), pa.string())]))
+        units = units.filter(pc.not_equal(units, ""))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(units), part, np.int32)), units], names=["part", "unit"])
 
 
 def _library_ids(path: str):
@@ -191,31 +227,58 @@ def _library_ids(path: str):
     return run
 
 
-def _assemble(root: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class _Dictionary:
+    """The units of a part and their ids, as Arrow arrays."""
+
+    def __init__(self, root: str, part: int):
         import pyarrow.parquet as pq
         from pyarrow import fs
 
         where, place = fs.FileSystem.from_uri(root)
-        part, known = None, {}
-
-        def read(wanted: int) -> dict[str, bytes]:
-            known = {}
-            for info in where.get_file_info(fs.FileSelector(f"{place}/at={wanted}", allow_not_found=True)):
-                if info.base_name.endswith(".parquet"):
-                    with where.open_input_file(info.path) as f:
-                        got = pq.ParquetFile(f).read(["unit", "ids"])
-                    for unit, ids in zip(got.column("unit").to_pylist(), got.column("ids").combine_chunks(), strict=True):
-                        known[unit] = np.asarray(ids.values, "<u4").tobytes()
-            return known
+        tables = []
+        for info in where.get_file_info(fs.FileSelector(f"{place}/at={part}", allow_not_found=True)):
+            if info.base_name.endswith(".parquet"):
+                with where.open_input_file(info.path) as f:
+                    tables.append(pq.ParquetFile(f).read(["unit", "ids"]))
+        got = pa.concat_tables(tables) if tables else pa.table({"unit": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))})
+        self.units = got.column("unit").combine_chunks()
+        ids = got.column("ids").combine_chunks()
+        self.ends = 4 * np.concatenate(([0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False)))).astype(np.int64)
+        self.data = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+
+    def ids(self, units: pa.Array) -> list[bytes]:
+        at = pc.index_in(units, value_set=self.units).to_numpy(zero_copy_only=False)
+        data = self.data
+        return [data[a:b] for a, b in zip(self.ends[at].tolist(), self.ends[at + 1].tolist(), strict=True)]
 
-        for batch in batches:
-            out = []
-            for wanted, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if wanted != part:
-                    part, known = wanted, read(wanted)
-                out.append(b"".join(map(known.__getitem__, units_of(text))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "ids"])
+
+def _assemble(root: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = known = None
+        for wanted, own in _sliced(batches, 1):
+            if wanted != part:
+                part, known = wanted, _Dictionary(root, wanted)
+            words, odd = _words(own.column(2))
+            split = words.flatten().dictionary_encode()
+            stems, plain, tails, others, rest = _parts(split.dictionary)
+            tails = tails.dictionary_encode()
+            strange = [units_of(t) for t in own.column(2).filter(odd).to_pylist()]
+            loose = [u for units in (*others, *strange) for u in units]
+            marks = tails.dictionary.filter(pc.not_equal(tails.dictionary, ""))
+            found = known.ids(pa.concat_arrays([stems, marks, pa.array(loose, pa.string())]))
+            of_mark = {"": b""} | dict(zip(marks.to_pylist(), found[len(stems) :], strict=False))
+            by_tail = [of_mark[t] for t in tails.dictionary.to_pylist()]
+            free = iter(found[len(stems) + len(marks) :])
+            each: list[bytes] = [b""] * len(split.dictionary)
+            for i, ids, tail in zip(np.flatnonzero(plain).tolist(), found, tails.indices.to_pylist(), strict=False):
+                each[i] = ids + by_tail[tail]
+            for i, units in zip(rest.tolist(), others, strict=True):
+                each[i] = b"".join(islice(free, len(units)))
+            place, ends = split.indices.to_pylist(), words.offsets.to_pylist()
+            out = [b"".join(map(each.__getitem__, place[a - ends[0] : b - ends[0]])) for a, b in zip(ends, ends[1:], strict=False)]
+            for i, units in zip(np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist(), strange, strict=True):
+                out[i] = b"".join(islice(free, len(units)))
+            yield pa.RecordBatch.from_arrays([own.column(0), pa.array(out, pa.binary())], names=["doc_id", "ids"])
 
     return run
 
@@ -228,15 +291,16 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     configure(spark)
     path = model or model_path()
     pieces = load(path)
-    part = F.xxhash64(F.input_file_name(), F.input_file_block_start())
+    part = F.hash(F.input_file_name(), F.input_file_block_start())  # parts that clash share a dictionary
     rows = docs.select(F.col(id_col).alias("doc_id"), part.alias("part"), F.col(text_col).alias("text"))
     if not docs.inputFiles():  # not a scan of files: write it, to have splits with names
         rows = materialise(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "texts").select("doc_id", part.alias("part"), "text")
-    pairs = rows.select("part", "text").mapInArrow(_distinct, "part long, unit string")
-    dealt = pairs.groupBy("unit").agg(F.collect_set("part").alias("parts"))
-    short = dealt.where(F.char_length("unit") <= FOLDED)
-    long = dealt.where(F.char_length("unit") > FOLDED)
-    done = short.join(fold(short.select("unit"), pieces), "unit").select("unit", "parts", "ids")
+    pairs = rows.select("part", "text").mapInArrow(_distinct, "part int, unit string")
+    units = materialise(pairs.groupBy("unit").agg(F.collect_set("part").alias("parts")), "parts")
+    short = units.where(F.char_length("unit") <= FOLDED)
+    long = units.where(F.char_length("unit") > FOLDED)
+    tasks = -(-units.count() // FOLD_TASK) or 1
+    done = short.join(fold(short.select("unit").repartition(tasks, "unit"), pieces), "unit").select("unit", "parts", "ids")
     rest = long.select("unit").mapInArrow(_library_ids(path), "unit string, ids array<int>").join(long, "unit").select("unit", "parts", "ids")
     root = scratch(spark, "units")
     each = done.unionByName(rest).select(F.explode("parts").alias("at"), "unit", "ids")
@@ -245,7 +309,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     before = spark.conf.get(name)
     spark.conf.set(name, str(1 << 20))
     try:
-        each.repartition("at").write.partitionBy("at").parquet(root)
+        each.repartition("at").write.partitionBy("at").option("compression", "zstd").parquet(root)
     finally:
         spark.conf.set(name, before)
     return rows.mapInArrow(_assemble(root), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary")
