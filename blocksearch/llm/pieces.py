@@ -43,8 +43,10 @@ MODEL = "piece_bpe_32k.model"
 FOLDED = 60
 #: Units of a task of the fold, whose edges are in memory together.
 FOLD_TASK = 10_000
+#: Units that a task of the first pass holds.
+HELD = 1_000_000
 #: Texts that are split together, to keep a worker small.
-TOGETHER = 250
+TOGETHER = 500
 _NO_ID = (1 << 28) - 1
 #: Letters as far as the cut goes; superior digits and fractions are none.
 _LETTER = r"[^\W\d_▁²³¹¼-¾]"
@@ -207,15 +209,33 @@ def _parts(distinct: pa.Array) -> tuple[pa.Array, np.ndarray, pa.Array, list[lis
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(part, text) rows to the distinct (part, unit) of each batch."""
+    """(part, text) rows to the distinct (part, unit) of a task; it may send
+    some again once it has held ``HELD`` of them."""
+    held: dict[int, list[pa.Array]] = {}
+
+    def settled(part: int) -> pa.Array:
+        held[part] = [pc.unique(pa.concat_arrays(held[part]))]
+        return held[part][0]
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for part in list(held):
+            units = settled(part)
+            for at in range(0, len(units), 20_000):
+                run = units[at : at + 20_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(run), part, np.int32)), run], names=["part", "unit"])
+        held.clear()
+
     for part, rows in _sliced(batches, 0):
         texts = rows.column(1)
         words, odd = _words(texts)
         stems, _, tails, others, _ = _parts(pc.unique(words.flatten()))
         rest = {u for units in others for u in units}.union(*map(units_of, texts.filter(odd).to_pylist()))
         units = pc.unique(pa.concat_arrays([stems, pc.unique(tails), pa.array(list(rest), pa.string())]))
-        units = units.filter(pc.not_equal(units, ""))
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(units), part, np.int32)), units], names=["part", "unit"])
+        mine = held.setdefault(part, [])
+        mine.append(units.filter(pc.not_equal(units, "")))
+        if sum(map(len, mine)) > HELD and len(settled(part)) > HELD // 2:
+            yield from out()
+    yield from out()
 
 
 def _library_ids(path: str):
@@ -252,6 +272,10 @@ class _Dictionary:
         return [data[a:b] for a, b in zip(self.ends[at].tolist(), self.ends[at + 1].tolist(), strict=True)]
 
 
+def _ints(values: pa.Array) -> list[int]:
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 def _assemble(root: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = known = None
@@ -270,11 +294,11 @@ def _assemble(root: str):
             by_tail = [of_mark[t] for t in tails.dictionary.to_pylist()]
             free = iter(found[len(stems) + len(marks) :])
             each: list[bytes] = [b""] * len(split.dictionary)
-            for i, ids, tail in zip(np.flatnonzero(plain).tolist(), found, tails.indices.to_pylist(), strict=False):
+            for i, ids, tail in zip(np.flatnonzero(plain).tolist(), found, _ints(tails.indices), strict=False):
                 each[i] = ids + by_tail[tail]
             for i, units in zip(rest.tolist(), others, strict=True):
                 each[i] = b"".join(islice(free, len(units)))
-            place, ends = split.indices.to_pylist(), words.offsets.to_pylist()
+            place, ends = _ints(split.indices), _ints(words.offsets)
             out = [b"".join(map(each.__getitem__, place[a - ends[0] : b - ends[0]])) for a, b in zip(ends, ends[1:], strict=False)]
             for i, units in zip(np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist(), strange, strict=True):
                 out[i] = b"".join(islice(free, len(units)))
@@ -296,25 +320,30 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     if not docs.inputFiles():  # not a scan of files: write it, to have splits with names
         rows = materialise(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "texts").select("doc_id", part.alias("part"), "text")
     pairs = rows.select("part", "text").mapInArrow(_distinct, "part int, unit string")
-    units = materialise(pairs.groupBy("unit").agg(F.collect_set("part").alias("parts")), "parts")
-    short = units.where(F.char_length("unit") <= FOLDED)
-    long = units.where(F.char_length("unit") > FOLDED)
-    tasks = -(-units.count() // FOLD_TASK) or 1
-    done = short.join(fold(short.select("unit").repartition(tasks, "unit"), pieces), "unit").select("unit", "parts", "ids")
-    rest = long.select("unit").mapInArrow(_library_ids(path), "unit string, ids array<int>").join(long, "unit").select("unit", "parts", "ids")
-    root = scratch(spark, "units")
-    each = done.unionByName(rest).select(F.explode("parts").alias("at"), "unit", "ids")
-    # Edges are longs; a task's units fit in memory, so that nothing is sorted.
+    # A task holds its groups in a hash map, so that nothing is sorted; they are
+    # dealt first, as a map task has no unit twice.
     name = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
     before = spark.conf.get(name)
-    spark.conf.set(name, str(1 << 20))
+    spark.conf.set(name, str(FOLD_TASK * 20))
     try:
-        each.repartition("at").write.partitionBy("at").option("compression", "zstd").parquet(root)
+        _write_units(pairs, pieces, path, root := scratch(spark, "units"))
     finally:
         spark.conf.set(name, before)
     return rows.mapInArrow(_assemble(root), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary")
 
 
+def _write_units(pairs: DataFrame, pieces: Pieces, path: str, root: str) -> None:
+    """The units of each part with their ids, in a folder for each part."""
+    units = materialise(pairs.repartition("unit").groupBy("unit").agg(F.collect_set("part").alias("parts")), "parts")
+    short = units.where(F.char_length("unit") <= FOLDED)
+    long = units.where(F.char_length("unit") > FOLDED)
+    tasks = -(-units.count() // FOLD_TASK) or 1
+    done = short.join(fold(short.select("unit").repartition(tasks, "unit"), pieces), "unit").select("unit", "parts", "ids")
+    rest = long.select("unit").mapInArrow(_library_ids(path), "unit string, ids array<int>").join(long, "unit").select("unit", "parts", "ids")
+    each = done.unionByName(rest).select(F.explode("parts").alias("at"), "unit", "ids")
+    each.repartition("at").write.partitionBy("at").option("compression", "zstd").parquet(root)
+
+
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     """``doc_id, text`` from ``doc_id, ids``; bytes that aren't UTF-8 become
     replacement characters."""
