@@ -334,13 +334,13 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
 def _write_units(pairs: DataFrame, pieces: Pieces, path: str, root: str) -> None:
     """The units of each part with their ids, in a folder for each part."""
-    units = materialise(pairs.repartition("unit").groupBy("unit").agg(F.collect_set("part").alias("parts")), "parts")
+    units = materialise(pairs.repartition("unit").groupBy("unit").agg(F.collect_list("part").alias("parts")), "parts")
     short = units.where(F.char_length("unit") <= FOLDED)
     long = units.where(F.char_length("unit") > FOLDED)
     tasks = -(-units.count() // FOLD_TASK) or 1
     done = short.join(fold(short.select("unit").repartition(tasks, "unit"), pieces), "unit").select("unit", "parts", "ids")
     rest = long.select("unit").mapInArrow(_library_ids(path), "unit string, ids array<int>").join(long, "unit").select("unit", "parts", "ids")
-    each = done.unionByName(rest).select(F.explode("parts").alias("at"), "unit", "ids")
+    each = done.unionByName(rest).select(F.explode(F.array_distinct("parts")).alias("at"), "unit", "ids")
     each.repartition("at").write.partitionBy("at").option("compression", "zstd").parquet(root)
 
 
