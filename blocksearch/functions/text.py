@@ -18,11 +18,12 @@ def js_trim(c: Column) -> Column:
 
 def preprocess(c: Column) -> Column:
     """White space collapsed, then links, tags, bold and italic marks taken
-    off, in this order; the order decides where double spaces stay."""
-    c = js_trim(F.regexp_replace(c, f"[{JSWS}]+", " "))
+    off, in this order; the order decides where double spaces stay. After the
+    first step a space is the only white space there is."""
+    c = F.trim(F.regexp_replace(c, f"[{JSWS}]+", " "))
     for pattern, by in ((r"\[\[([^\]]+)\]\]", "$1"), (r"#[A-Za-z0-9_]+", ""), (r"\*\*([^*]+)\*\*", "$1"), (r"\*([^*]+)\*", "$1")):
         c = F.regexp_replace(c, pattern, by)
-    return js_trim(c)
+    return F.trim(c)
 
 
 def utf16_length(c: Column) -> Column:
@@ -30,7 +31,7 @@ def utf16_length(c: Column) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    return c.isNull() | (js_trim(c) == "")
+    return c.isNull() | ~c.rlike(f"[^{JSWS}]")
 
 
 def fault(content: Column, processed: Column, least: int = 10, most: int = 2000) -> Column:
@@ -46,10 +47,6 @@ def fault(content: Column, processed: Column, least: int = 10, most: int = 2000)
     )
 
 
-def worth_indexing(content: Column, processed: Column, least: int = 10, most: int = 2000) -> Column:
-    return fault(content, processed, least, most) == "keep"
-
-
 def reference(uuid: Column) -> Column:
     return F.concat(F.lit("(("), uuid, F.lit("))"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fault, preprocess, worth_indexing
+from ..functions.text import fault, preprocess
 from ..schema import Settings
 from .checkpoint import fixed
 
@@ -13,12 +13,13 @@ from .checkpoint import fixed
 SCAN = ("page_ord", "path")
 
 
-def cleaned(blocks: DataFrame) -> DataFrame:
-    return blocks.withColumn("processed", preprocess(F.col("content")))
-
-
 def with_fault(blocks: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    return cleaned(blocks).withColumn("fault", fault(F.col("content"), F.col("processed"), settings.least_length, settings.most_length))
+    """``blocks`` with ``processed`` and ``fault``, the first rule failed.
+
+    Both come out of one generated row, so that a filter on them isn't pushed
+    below and the text is cleaned once, not once for every rule."""
+    both = F.transform(F.array(preprocess(F.col("content"))), lambda p: F.struct(p.alias("processed"), fault(F.col("content"), p, settings.least_length, settings.most_length).alias("fault")))
+    return blocks.select("*", F.inline(both))
 
 
 def first_wins(rows: DataFrame, key: str | list[str], *order: str | Column) -> DataFrame:
@@ -35,7 +36,7 @@ def last_wins(rows: DataFrame, key: str | list[str], *order: str) -> DataFrame:
 
 def indexable(blocks: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Blocks worth indexing, each cleaned text once, at its first place."""
-    good = cleaned(blocks).where(worth_indexing(F.col("content"), F.col("processed"), settings.least_length, settings.most_length))
+    good = with_fault(blocks, settings).where("fault = 'keep'").drop("fault")
     return first_wins(good, "processed", *SCAN)
 
 

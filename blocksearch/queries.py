@@ -41,7 +41,7 @@ def _shared(spark: SparkSession) -> str:
 
 
 def raw_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return src.lines(table(spark, sf_dir, "documents"))
+    return src.lines(src.spread(table(spark, sf_dir, "documents"), "doc_id"))
 
 
 def marked(blocks: DataFrame) -> DataFrame:

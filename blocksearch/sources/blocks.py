@@ -18,6 +18,13 @@ def read_tree(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TREE).parquet(path)
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` over all cores where the scan has fewer splits than there are,
+    as with one small file; a scan that fills the cluster isn't shuffled."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def lines(docs: DataFrame) -> DataFrame:
     """Documents as pages whose blocks are their lines."""
     each = docs.select("doc_id", "source", F.posexplode(F.split("text", "\n", -1)).alias("line", "content"))
