@@ -30,6 +30,6 @@ def test_each_stage_decides_as_its_operator(spark):
 
 
 def test_registered(spark):
-    assert entry.queries()["pipeline"] is pipe.run
+    assert entry.queries()["pipeline"].__wrapped__ is pipe.run
     assert {f"op{n}" for n in range(1, 11)} <= {q.split("_")[0] for q in entry.queries()}
     assert pipe.run(spark, SF).count() > 0
