@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blocksearch.llm import exact_dedup, packing, secret_scan, simhash, toxicity
+from blocksearch.llm import exact_dedup, near_dedup, packing, secret_scan, toxicity
 from blocksearch.llm.common import crc_of_id, materialise, table
 
 
@@ -23,7 +23,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    """On five-word shingles at a similarity of 0.8 or more, not as op10 is."""
+    return near_dedup.keep_one(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
