@@ -118,6 +118,28 @@ def test_a_wrapped_license_is_one_block():
     assert only[0] == "MIT" and only[4] == only[5] == 0
 
 
+HEADER = "This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1}General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+THIRD = "\n{0}. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+REST = " This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1}General Public License for more details."
+ADVERTS = "\n3. All advertising materials mentioning features or use of this software must display an acknowledgement of the copyright notice."
+
+
+@pytest.mark.parametrize(
+    "text,names",
+    [
+        ((HEADER + REST).format("program", ""), ["GPL-3.0"]), ((HEADER + REST).format("program", "Lesser "), ["LGPL-3.0"]),
+        ((HEADER + REST).format("library", "Lesser "), ["LGPL-3.0"]), ((HEADER + REST).format("program", "Affero "), ["AGPL-3.0"]),
+        (BSD, ["BSD-2-Clause"]), (BSD + THIRD.format(3), ["BSD-3-Clause"]), (BSD + ADVERTS + THIRD.format(4), []),
+        (MIT + "\nLicensed under the Apache License, Version 2.0.", ["MIT", "Apache-2.0"]),
+    ],
+)
+def test_a_license_is_not_taken_for_its_relative(text, names):
+    assert [f[0] for f in licenses.scan(text)] == names
+
+
 def test_licenses_of_all_documents(spark):
     notices = {t: n for n, t in licenses.TEMPLATES if len(t) < 80}
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
