@@ -10,8 +10,7 @@ Where the tokenizer lower-cases and parts letters from punctuation, a word of
 Latin letters, with marks after it, is the ids of its lower-cased letters, the
 stem, and those of the marks. Whether it does so is tried out, not assumed. Each Python worker keeps the ids of the stems it has
 met, up to a fixed number, and sends the library only others, many in a text.
-``encode_special_tokens`` is on, so a special token's name in a text is
-ordinary text.
+A special token's name in a text is that token, as the library has it.
 """
 
 from __future__ import annotations
@@ -50,7 +49,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.kept, self.stems, self.others = kept, {}, {}
         self.ends = None
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from blocksearch.llm import packing, sstable
 from blocksearch.llm.tokens import Encoder, model_path
@@ -44,6 +45,14 @@ def test_encoder_on_any_text(enc, texts):
     assert [ids[begin[i] : begin[i + 1]].tolist() for i in range(len(texts))] == [plain(enc, t) for t in texts]
 
 
+def test_special_tokens_as_the_unaltered_library(enc):
+    texts = [*TEXTS, "see <|endoftext|> here", "a<|endoftext|>b<|startoftext|>.", "<|EndOfText|> <|endoftext|>,", "x <|endoftext|"]
+    library = Tokenizer.from_file(model_path())
+    ids, begin = enc.encode(pa.array(texts))
+    for i, text in enumerate(texts):
+        assert ids[begin[i] : begin[i + 1]].tolist() == library.encode(text or "", add_special_tokens=False).ids, text
+
+
 ROWS = [(i * 3 - 9, t) for i, t in enumerate(TEXTS)] + [(None, "a b"), (6, "again"), (6, "again"), (6, "other"), (-(2**63), "x"), (2**63 - 1, "y")]
 
 
