@@ -275,12 +275,12 @@ def index_build(spark, sf_dir):
 
 # -- trees, results, responses ------------------------------------------------
 def tree_flatten(spark, sf_dir):
-    flat = src.flatten(src.conversation_tree(table(spark, sf_dir, "conversations")))
+    flat = src.flatten_levels(src.conversation_tree(table(spark, sf_dir, "conversations")))
     return flat.select("uuid", "page_name", F.size("path").cast("long").alias("depth"), F.concat_ws("/", F.transform("path", lambda x: x.cast("string"))).alias("path"))
 
 
 def tree_order(spark, sf_dir):
-    flat = src.flatten(src.conversation_tree(table(spark, sf_dir, "conversations")))
+    flat = src.flatten_levels(src.conversation_tree(table(spark, sf_dir, "conversations")))
     return B.numbered(flat, "page_ord", "path", name="ord").select("uuid", "ord")
 
 

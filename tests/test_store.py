@@ -11,6 +11,7 @@ from blocksearch.operators import changes, embed
 from blocksearch.operators.store import VectorStore
 from blocksearch.plans import index
 from blocksearch.plans.engine import Engine
+from blocksearch.queries import QUERIES
 from blocksearch.schema import Settings
 from blocksearch.sources import blocks as src
 
@@ -145,3 +146,9 @@ def test_flatten_forms_agree(spark):
     forms = [src.flatten(tree), src.flatten_levels(tree), src.flatten_json(nested)]
     for got in forms:
         assert [r.uuid for r in got.orderBy("page_ord", "path").collect()] == ["a", "b", "d", "c", "e"]
+
+
+def test_trees_of_more_rows_than_a_recursive_query_takes(spark, tmp_path):
+    n = 1_000_001
+    spark.range(n).selectExpr("id AS conv_id", "0L AS turn", "'user' AS role", "'x' AS text").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert QUERIES["tree_flatten"](spark, str(tmp_path)).count() == QUERIES["tree_order"](spark, str(tmp_path)).count() == n
