@@ -3,6 +3,7 @@ shared folder, and tables that cut lineage."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -49,6 +50,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def trim() -> None:
+    """Give memory that is free in this worker back to the system; workers live
+    on from task to task and would keep it."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if give_back := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give_back(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,17 +1,25 @@
-"""SentencePiece encoding by a relational lattice.
+"""SentencePiece encoding and decoding by a relational lattice.
 
 A text becomes units that no piece reaches across: white-space marks and what
 stands before letters, then the letters. Distinct units make the lattice: their
 substrings, up to the longest piece, are exploded and equi-joined to the piece
-table (a few tens of thousands of rows, by the model); edges are grouped by
-unit, and a higher-order aggregate folds them into ids. Units are dealt by hash
-once, and explode, join and grouping stay in that partition.
+table; edges are grouped by unit, and a higher-order aggregate folds them into
+ids. Units are dealt by hash once, and explode, join and grouping stay in that
+partition.
 
 The fold follows the model. A unigram model is folded by Viterbi: the best sum
 of scores up to each character. A BPE model is not a shortest path, and Viterbi
 over its scores gives other ids than the library; its edges are folded in merge
-order instead: again and again the best-scored edge that covers exactly two
-present symbols, leftmost first. Characters without a piece become byte pieces.
+order instead. That order is known before any text is seen. A piece that is
+ever made is made by the merges that make it alone, so it has one split into
+halves; it is merged when both halves are there and, if its own rank is better
+than what made them, at once. So each piece has a place in the order (see
+``_merge_order``), and one pass over a unit's edges in that order, accepting an
+edge if its halves are what is there, leaves the symbols that the library
+leaves. Characters without a piece become byte pieces.
+
+A short unit's borders are the bits of a long. A longer unit's edges come sorted
+to a task that keeps its borders in an array: the same edges in the same order.
 
 Texts are put together from units in the tasks that read them: for each input
 split its distinct units and their ids are written to the shared folder, and a
@@ -23,10 +31,10 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import islice
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,17 +42,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import configure, materialise, scratch
+from .common import configure, materialise, scratch, trim
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
-#: Longer units, seldom met, are not folded but sent to the library; a fold
-#: keeps the borders of its symbols in the bits of a long.
-FOLDED = 60
+#: Units up to this length keep the borders of their symbols in a long.
+BITS = 60
+#: Characters of a longer unit that are exploded together.
+CHUNK = 256
+#: Pieces of a model up to which their table is broadcast, and splits whose
+#: numbers stand together in a unit's row.
+SMALL, PARTS = 1 << 18, 1 << 12
 #: Units of a task of the fold, whose edges are in memory together.
 FOLD_TASK = 10_000
 #: Units that a task of the first pass holds.
-HELD = 1_000_000
+HELD = 400_000
 #: Texts that are split together, to keep a worker small.
 TOGETHER = 500
 _NO_ID = (1 << 28) - 1
@@ -66,12 +78,53 @@ def model_path(name: str = MODEL) -> str:
 @dataclass(frozen=True)
 class Pieces:
     """The table of a model file: (piece, id, score) of normal pieces, the id
-    of byte 0, the longest piece, and whether it is a unigram model."""
+    of byte 0, the longest piece, whether it is a unigram model and, if not,
+    the merges: (length of the left half, rank, offset, sub) by piece."""
 
     rows: tuple[tuple[str, int, float], ...]
     byte_base: int
     longest: int
     unigram: bool
+    merges: dict[str, tuple[int, int, int, int]]
+
+
+def _halves(piece: str, ranks: dict[str, int]) -> int:
+    """Where the last merge joins when ``piece`` alone is merged; 0 if it isn't
+    left whole."""
+    cuts = list(range(len(piece) + 1))
+    while len(cuts) > 2:
+        can = [(ranks[p], i) for i in range(len(cuts) - 2) if (p := piece[cuts[i] : cuts[i + 2]]) in ranks]
+        if not can:
+            return 0
+        last = cuts.pop(min(can)[1] + 1)
+    return last
+
+
+def _merge_order(rows: tuple[tuple[str, int, float], ...]) -> dict[str, tuple[int, int, int, int]]:
+    """For each piece that merges can make: the length of its left half and its
+    place in the order, as ``rank``, ``offset`` and ``sub``.
+
+    A merge happens inside those that let it happen: it waits for both halves,
+    and comes at once if its rank is better than that of the later one. So its
+    place is a list of (rank, start): what remains of the later half's list of
+    ranks no better than its own, then its own. Lists in order, the shorter
+    first, are the order of merges. The first rank and, once the piece is
+    somewhere, the first start (by ``offset``) are compared as numbers; the
+    rest, relative to that start, is the same wherever the piece is, and
+    ``sub`` numbers it."""
+    scores = {s: i for i, s in enumerate(sorted({s for *_, s in rows}, reverse=True))}
+    ranks = {p: scores[s] for p, _, s in rows if len(p) > 1}
+    places: dict[str, list[tuple[int, int]]] = {}
+    cut: dict[str, int] = {}
+    for piece in sorted(ranks, key=len):
+        mid = _halves(piece, ranks)
+        if mid:
+            left, right = places.get(piece[:mid], []), [(r, at + mid) for r, at in places.get(piece[mid:], [])]
+            cut[piece] = mid
+            places[piece] = [x for x in max(left, right) if x[0] >= ranks[piece]] + [(ranks[piece], 0)]
+    rest = {p: tuple((r, at - x[0][1]) for r, at in x[1:]) for p, x in places.items()}
+    subs = {x: i for i, x in enumerate(sorted(set(rest.values())))}
+    return {p: (cut[p], places[p][0][0], places[p][0][1], subs[rest[p]]) for p in places}
 
 
 @lru_cache(maxsize=2)
@@ -90,20 +143,8 @@ def load(path: str) -> Pieces:
     base = next(i for i, p in enumerate(model.pieces) if p.type == 6)
     if [p.piece for p in list(model.pieces)[base : base + 256]] != [f"<0x{b:02X}>" for b in range(256)]:
         raise ValueError("the model has no run of byte pieces")
-    return Pieces(rows, base, max(len(p) for p, *_ in rows), model.trainer_spec.model_type == 1)
-
-
-@lru_cache(maxsize=2)
-def library(path: str):
-    """The library's processor without the white space put before a text."""
-    import sentencepiece
-    from sentencepiece import sentencepiece_model_pb2 as pb
-
-    model = pb.ModelProto()
-    with open(path, "rb") as f:
-        model.ParseFromString(f.read())
-    model.normalizer_spec.add_dummy_prefix = False
-    return sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+    unigram = model.trainer_spec.model_type == 1
+    return Pieces(rows, base, max(len(p) for p, *_ in rows), unigram, {} if unigram else _merge_order(rows))
 
 
 def units_of(text: str | None) -> list[str]:
@@ -111,55 +152,133 @@ def units_of(text: str | None) -> list[str]:
     return _UNIT.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
+def _table(spark, pieces: Pieces) -> DataFrame:
+    """The pieces, with their hash and their places in the order of merges; a
+    single character comes before all merges."""
+    single, never = (0, -1, 0, 0), None
+    rows = []
+    for piece, i, score in pieces.rows:
+        place = single if pieces.unigram or len(piece) == 1 else pieces.merges.get(piece, never)
+        if place:
+            rows.append((piece, i, score, place[0], place[1] + 1 << 44, place[2], place[3]))
+    table = spark.createDataFrame(rows, "known string, id int, score double, mid int, rank long, offset int, sub long").withColumn("h", F.xxhash64("known"))
+    return F.broadcast(table) if len(rows) <= SMALL else table
+
+
+def _edges(spans: DataFrame, table: DataFrame) -> DataFrame:
+    """``spans`` with the pieces they are; single characters without one stay.
+
+    Joined on a hash, as a long is found faster than a string; the rest of the
+    condition, not written as an equality, compares the strings."""
+    spans = spans.withColumn("h", F.xxhash64("piece"))
+    same = (spans["h"] == table["h"]) & (F.col("piece") >= F.col("known")) & (F.col("piece") <= F.col("known"))
+    return spans.join(table, same, "left").where(F.col("id").isNotNull() | (F.col("stop") == F.col("start") + 1))
+
+
 def fold(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """``unit, ids array<int>`` of distinct units of at most ``FOLDED``
+    """``unit, ids array<int>`` of distinct units of at most ``BITS``
     characters. Nothing is dealt anew if ``units`` is dealt by unit."""
-    spark = units.sparkSession
-    ranked = sorted(pieces.rows, key=lambda r: (-r[2], r[1]))
-    ranks = {}
-    for _, _, score in ranked:
-        ranks.setdefault(score, len(ranks))
-    table = spark.createDataFrame([(p, i, s, ranks[s]) for p, i, s in pieces.rows], "known string, id int, score double, rank long")
-    table = F.broadcast(table.withColumn("h", F.xxhash64("known")))
     n = F.char_length("unit")
     at = units.select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
     spans = at.select("unit", "start", F.explode(F.sequence(F.col("start") + 1, F.least(F.col("start") + pieces.longest, n))).alias("stop"))
-    spans = spans.withColumn("piece", F.substring(F.col("unit"), F.col("start") + 1, F.col("stop") - F.col("start"))).withColumn("h", F.xxhash64("piece"))
-    # Joined on a hash, as a long is found faster than a string; the rest of the
-    # condition, not written as an equality, compares the strings.
-    same = (spans["h"] == table["h"]) & (F.col("piece") >= F.col("known")) & (F.col("piece") <= F.col("known"))
-    edges = spans.join(table, same, "left").where(F.col("id").isNotNull() | (F.col("stop") == F.col("start") + 1))
+    edges = _edges(spans.withColumn("piece", F.substring(F.col("unit"), F.col("start") + 1, F.col("stop") - F.col("start"))), _table(units.sparkSession, pieces))
     if pieces.unigram:
         edge = F.struct("stop", "start", "id", F.coalesce("score", F.lit(float(min(s for *_, s in pieces.rows) - 10))).alias("score"))
         grouped = edges.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges")).withColumn("cuts", _viterbi())
+        by = f"map_from_arrays(transform(edges, e -> e.start * 64 + e.stop), transform(edges, e -> shiftleft(cast(e.start as bigint), 34) + coalesce(e.id, {_NO_ID})))"
+        found = grouped.withColumn("by", F.expr(by)).withColumn("vals", F.expr("transform(sequence(1, size(cuts) - 1), i -> element_at(by, get(cuts, i - 1) * 64 + get(cuts, i)))"))
     else:
-        # An edge in one long whose order is the order of merges: rank, start,
-        # stop, id. A character without a piece has the greatest rank and id.
-        edge = F.expr(f"shiftleft(coalesce(rank, 2097151L), 40) + shiftleft(cast(start as bigint), 34) + shiftleft(cast(stop as bigint), 28) + coalesce(id, {_NO_ID})")
-        grouped = edges.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-        multi = """transform(filter(edges, e -> (shiftright(e, 28) & 63) > (shiftright(e, 34) & 63) + 1), e -> named_struct(
-            'ends', shiftleft(1L, cast(shiftright(e, 34) & 63 as int)) | shiftleft(1L, cast(shiftright(e, 28) & 63 as int)),
-            'inner', shiftleft(1L, cast(shiftright(e, 28) & 63 as int)) - shiftleft(2L, cast(shiftright(e, 34) & 63 as int))))"""
-        grouped = grouped.withColumn("multi", F.expr(multi)).withColumn("n", n).withColumn("cuts", _merged())
-        by = f"map_from_arrays(transform(edges, e -> cast(shiftright(e, 28) & 4095 as int)), transform(edges, e -> cast(e & {_NO_ID} as int)))"
-    if pieces.unigram:
-        by = f"map_from_arrays(transform(edges, e -> e.start * 64 + e.stop), transform(edges, e -> coalesce(e.id, {_NO_ID})))"
-    found = grouped.withColumn("by", F.expr(by)).withColumn("ids", F.expr("transform(sequence(1, size(cuts) - 1), i -> element_at(by, get(cuts, i - 1) * 64 + get(cuts, i)))"))
+        # Lists of longs, as they are cheaper than structs. A merge is its place
+        # (rank, start of what made it, sub), then start, middle and length, of
+        # six bits each; a symbol is start, length and id.
+        at = "cast(start as bigint)"
+        merge = f"if(mid > 0, shiftright(rank, 2) + shiftleft({at} + offset, 36) + shiftleft(sub, 18) + shiftleft({at}, 12) + shiftleft(mid, 6) + (stop - start), null)"
+        symbol = f"shiftleft({at}, 34) + shiftleft(cast(stop - start as bigint), 28) + coalesce(id, {_NO_ID})"
+        grouped = edges.groupBy("unit").agg(F.sort_array(F.collect_list(F.expr(merge))).alias("merges"), F.collect_list(F.expr(symbol)).alias("symbols"))
+        found = grouped.withColumn("vals", _merged())
     # Seldom: characters without a piece become the pieces of their bytes.
-    hexed = "hex(encode(substring(unit, get(cuts, i) + 1, get(cuts, i + 1) - get(cuts, i)), 'UTF-8'))"
-    spelt = f"flatten(transform(ids, (id, i) -> if(id < {_NO_ID}, array(id), transform(sequence(0, length({hexed}) div 2 - 1), k -> cast(conv(substring({hexed}, cast(k as int) * 2 + 1, 2), 16, 10) as int) + {pieces.byte_base}))))"
-    return found.select("unit", F.expr(f"if(array_contains(ids, {_NO_ID}), {spelt}, ids)").alias("ids"))
+    hexed = "hex(encode(substring(unit, cast(shiftright(v, 34) as int) + 1, 1), 'UTF-8'))"
+    spelt = f"flatten(transform(vals, v -> if((v & {_NO_ID}) < {_NO_ID}, array(cast(v & {_NO_ID} as int)), transform(sequence(0, length({hexed}) div 2 - 1), k -> cast(conv(substring({hexed}, cast(k as int) * 2 + 1, 2), 16, 10) as int) + {pieces.byte_base}))))"
+    return found.select("unit", F.expr(f"if(exists(vals, v -> (v & {_NO_ID}) = {_NO_ID}), {spelt}, transform(vals, v -> cast(v & {_NO_ID} as int)))").alias("ids"))
 
 
 def _merged():
-    """The borders left after all merges, in the bits of a long; there are no more
-    merges than symbols less one, nor than edges. An edge can be merged if both its ends are
-    borders and one is inside. (The outer fold binds the bits, so that they are
-    made once.)"""
-    can = "(m & e.ends) = e.ends and (m & e.inner) <> 0 and ((m & e.inner) & ((m & e.inner) - 1)) = 0"
-    bits = f"""aggregate(if(size(multi) > 0, sequence(1, least(n - 1, size(multi))), cast(array() as array<int>)), shiftleft(1L, n + 1) - 1,
-        (m, i) -> m & ~coalesce(get(filter(multi, e -> {can}), 0).inner, 0L))"""
-    return F.expr(f"aggregate(array({bits}), cast(array() as array<int>), (none, m) -> filter(sequence(0, n), i -> shiftright(m, i) & 1 = 1))")
+    """The symbols left after all merges, by start. Their borders are the bits of
+    a long, folded over the merges in their order: one is done if both halves
+    are there, that is its ends and its middle and no other border. (The outer
+    fold binds the bits, so that they are made once.)"""
+    at, span = "shiftright(m, cast(shiftright(e, {0}) & 63 as int))", "(shiftleft(2L, cast({0} & 63 as int)) - 1)"
+    ready = f"({at.format(12)} & {span.format('e')}) = (1L | shiftleft(1L, cast(shiftright(e, 6) & 63 as int)) | shiftleft(1L, cast(e & 63 as int)))"
+    bits = f"aggregate(merges, shiftleft(1L, char_length(unit) + 1) - 1, (m, e) -> if({ready}, m ^ shiftleft(1L, cast((shiftright(e, 12) & 63) + (shiftright(e, 6) & 63) as int)), m))"
+    there = f"({at.format(34)} & {span.format('shiftright(e, 28)')}) = (1L | shiftleft(1L, cast(shiftright(e, 28) & 63 as int)))"
+    return F.expr(f"aggregate(array({bits}), cast(array() as array<bigint>), (none, m) -> sort_array(filter(symbols, e -> {there})))")
+
+
+def fold_long(units: DataFrame, pieces: Pieces) -> DataFrame:
+    """The same for units of any length.
+
+    A unit is cut into chunks that overlap by a piece, and each chunk exploded;
+    a unit's edges, sorted, come to one task, which holds a few bytes for each
+    of its characters."""
+    kept = materialise(units.select("unit", F.monotonically_increasing_id().alias("key")), "long-units")
+    cut = F.transform(F.sequence(F.lit(0), F.char_length("unit") - 1, F.lit(CHUNK)), lambda i: F.struct(i.alias("at"), F.substring(F.col("unit"), i + 1, F.lit(CHUNK + pieces.longest - 1)).alias("text")))
+    chunks = kept.select("key", F.inline(cut))
+    n = F.char_length("text")
+    at = chunks.select("key", "at", "text", F.explode(F.sequence(F.lit(0), F.least(n, F.lit(CHUNK)) - 1)).alias("i"))
+    each = at.select("key", "at", "text", "i", F.explode(F.sequence(F.col("i") + 1, F.least(F.col("i") + pieces.longest, n))).alias("j"))
+    spans = each.select("key", (F.col("at") + F.col("i")).alias("start"), (F.col("at") + F.col("j")).alias("stop"), F.substring(F.col("text"), F.col("i") + 1, F.col("j") - F.col("i")).alias("piece"))
+    edges = _edges(spans, _table(units.sparkSession, pieces))
+    place = "shiftleft(cast(stop as bigint), 32) + start" if pieces.unigram else "coalesce(rank, 0L) + shiftleft(cast(start + coalesce(offset, 0) as bigint), 18) + coalesce(sub, 0L)"
+    least = float(min(s for *_, s in pieces.rows) - 10)
+    edges = edges.select("key", F.expr(place).alias("place"), "start", "stop", F.coalesce("mid", F.lit(0)).alias("mid"), F.coalesce("id", -1 - F.ascii("piece")).alias("id"), F.coalesce("score", F.lit(least)).alias("score"))
+    found = edges.repartition("key").sortWithinPartitions("key", "place").mapInArrow(_long(pieces.unigram, pieces.byte_base), "key long, ids array<int>")
+    return found.join(kept, "key").select("unit", "ids")
+
+
+def _long(unigram: bool, byte_base: int):
+    """Edges sorted by unit and place to ids. A negative id is a character
+    without a piece: its code point, less one, below zero."""
+
+    def spelt(found: list[int]) -> list[int]:
+        if min(found) >= 0:
+            return found
+        return [y for x in found for y in ((x,) if x >= 0 else (byte_base + b for b in chr(-1 - x).encode("utf-8", "surrogatepass")))]
+
+    def merged(edges: Iterator[tuple[int, int, int, int, float]]) -> list[int]:
+        ids: list[int] = []
+        border = bytearray()
+        for start, stop, mid, piece, _ in edges:
+            if not mid:  # the characters, which come first, in their order
+                ids.append(piece)
+                continue
+            if not border:
+                border = bytearray(b"\1") * (len(ids) + 1)
+            if border[start] and border[stop] and border[start + mid] and border.count(1, start + 1, stop) == 1:
+                border[start + mid] = 0
+                ids[start] = piece
+        return [x for x, b in zip(ids, border, strict=False) if b] if border else ids
+
+    def best(edges: Iterator[tuple[int, int, int, int, float]]) -> list[int]:
+        paths: list[tuple[float, int, int]] = [(0.0, -1, 0)]
+        for start, stop, _, piece, score in edges:
+            total = paths[start][0] + score
+            if stop == len(paths):
+                paths.append((total, start, piece))
+            elif total > paths[stop][0]:
+                paths[stop] = total, start, piece
+        out, at = [], len(paths) - 1
+        while at:
+            out.append(paths[at][2])
+            at = paths[at][1]
+        return out[::-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5, 6)), strict=True))
+        for key, edges in groupby(rows, key=lambda row: row[0]):
+            found = (best if unigram else merged)(row[1:] for row in edges)
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([spelt(found)], pa.list_(pa.int32()))], names=["key", "ids"])
+
+    return run
 
 
 def _viterbi():
@@ -236,15 +355,7 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if sum(map(len, mine)) > HELD and len(settled(part)) > HELD // 2:
             yield from out()
     yield from out()
-
-
-def _library_ids(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = library(path).encode(batch.column(0).to_pylist(), num_threads=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["unit", "ids"])
-
-    return run
+    trim()
 
 
 class _Dictionary:
@@ -261,26 +372,33 @@ class _Dictionary:
                 with where.open_input_file(info.path) as f:
                     tables.append(pq.ParquetFile(f).read(["unit", "ids"]))
         got = pa.concat_tables(tables) if tables else pa.table({"unit": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))})
+        del tables
         self.units = got.column("unit").combine_chunks()
         ids = got.column("ids").combine_chunks()
+        del got
         self.ends = 4 * np.concatenate(([0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False)))).astype(np.int64)
-        self.data = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+        self.data = memoryview(ids.flatten().to_numpy(zero_copy_only=False).astype("<u4", copy=False)).cast("B")
 
     def ids(self, units: pa.Array) -> list[bytes]:
         at = pc.index_in(units, value_set=self.units).to_numpy(zero_copy_only=False)
         data = self.data
-        return [data[a:b] for a, b in zip(self.ends[at].tolist(), self.ends[at + 1].tolist(), strict=True)]
+        return [bytes(data[a:b]) for a, b in zip(self.ends[at].tolist(), self.ends[at + 1].tolist(), strict=True)]
 
 
 def _ints(values: pa.Array) -> list[int]:
     return values.to_numpy(zero_copy_only=False).tolist()
 
 
-def _assemble(root: str):
+def _assemble(root: str, made: Callable[[pa.Array, list[bytes]], pa.RecordBatch]):
+    """The texts' ids from the dictionaries under ``root``, and what is made of
+    identifiers and ids."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = known = None
         for wanted, own in _sliced(batches, 1):
             if wanted != part:
+                known = None  # goes before the next comes
+                trim()
                 part, known = wanted, _Dictionary(root, wanted)
             words, odd = _words(own.column(2))
             split = words.flatten().dictionary_encode()
@@ -302,19 +420,22 @@ def _assemble(root: str):
             out = [b"".join(map(each.__getitem__, place[a - ends[0] : b - ends[0]])) for a, b in zip(ends, ends[1:], strict=False)]
             for i, units in zip(np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist(), strange, strict=True):
                 out[i] = b"".join(islice(free, len(units)))
-            yield pa.RecordBatch.from_arrays([own.column(0), pa.array(out, pa.binary())], names=["doc_id", "ids"])
+            yield made(own.column(0), out)
+        known = None
+        trim()
 
     return run
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
-    """``doc_id, ids``: ids as little-endian unsigned 32-bit integers, equal to
-    the library's. Null and empty texts have none; repeated rows stay; an empty
-    table gives no rows; other columns are not looked at."""
+def _whole(doc_id: pa.Array, ids: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([doc_id, pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+
+
+def _encoded(docs: DataFrame, id_col: str, text_col: str, model: str | None, made: Callable[[pa.Array, list[bytes]], pa.RecordBatch], kind: str) -> DataFrame:
+    """``doc_id`` and the columns ``kind`` that ``made`` makes of ids."""
     spark = docs.sparkSession
     configure(spark)
-    path = model or model_path()
-    pieces = load(path)
+    pieces = load(model or model_path())
     part = F.hash(F.input_file_name(), F.input_file_block_start())  # parts that clash share a dictionary
     rows = docs.select(F.col(id_col).alias("doc_id"), part.alias("part"), F.col(text_col).alias("text"))
     if not docs.inputFiles():  # not a scan of files: write it, to have splits with names
@@ -326,44 +447,81 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     before = spark.conf.get(name)
     spark.conf.set(name, str(FOLD_TASK * 20))
     try:
-        _write_units(pairs, pieces, path, root := scratch(spark, "units"))
+        _write_units(pairs, pieces, root := scratch(spark, "units"), -(-rows.rdd.getNumPartitions() // PARTS))
     finally:
         spark.conf.set(name, before)
-    return rows.mapInArrow(_assemble(root), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary")
-
-
-def _write_units(pairs: DataFrame, pieces: Pieces, path: str, root: str) -> None:
-    """The units of each part with their ids, in a folder for each part."""
-    units = materialise(pairs.repartition("unit").groupBy("unit").agg(F.collect_list("part").alias("parts")), "parts")
-    short = units.where(F.char_length("unit") <= FOLDED)
-    long = units.where(F.char_length("unit") > FOLDED)
-    tasks = -(-units.count() // FOLD_TASK) or 1
-    done = short.join(fold(short.select("unit").repartition(tasks, "unit"), pieces), "unit").select("unit", "parts", "ids")
-    rest = long.select("unit").mapInArrow(_library_ids(path), "unit string, ids array<int>").join(long, "unit").select("unit", "parts", "ids")
-    each = done.unionByName(rest).select(F.explode(F.array_distinct("parts")).alias("at"), "unit", "ids")
+    return rows.mapInArrow(_assemble(root, made), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {kind}")
+
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
+    """``doc_id, ids``: ids as little-endian unsigned 32-bit integers, equal to
+    the library's. Null and empty texts have none; repeated rows stay; an empty
+    table gives no rows; other columns are not looked at."""
+    return _encoded(docs, id_col, text_col, model, _whole, "ids binary")
+
+
+def _write_units(pairs: DataFrame, pieces: Pieces, root: str, runs: int) -> None:
+    """The units of each part with their ids, in a folder for each part. The
+    parts of a frequent unit stand in ``runs`` rows and not in one."""
+    pairs = pairs.withColumn("run", F.pmod("part", F.lit(runs)))
+    units = materialise(pairs.repartition("unit", "run").groupBy("unit", "run").agg(F.collect_list("part").alias("parts")), "parts").select("unit", "parts")
+    short = F.char_length("unit") <= BITS
+    n, n_long = units.agg(F.count("*"), F.count_if(~short)).first()
+    tasks = -(-n // FOLD_TASK) or 1
+    once = units.where(short).select("unit").repartition(tasks, "unit")
+    done = fold(once.distinct() if runs > 1 else once, pieces)
+    if n_long:
+        done = done.unionByName(fold_long(units.where(~short).select("unit").distinct(), pieces))
+    each = units.join(done, "unit").select(F.explode(F.array_distinct("parts")).alias("at"), "unit", "ids")
     each.repartition("at").write.partitionBy("at").option("compression", "zstd").parquet(root)
 
 
-def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
-    """``doc_id, text`` from ``doc_id, ids``; bytes that aren't UTF-8 become
-    replacement characters."""
-    pieces = load(model or model_path())
+def _spelling(pieces: Pieces) -> pa.Array:
+    """The bytes of each id; control pieces have none."""
     table = {i: p.replace(MARK, " ").encode() for p, i, _ in pieces.rows} | {pieces.byte_base + b: bytes([b]) for b in range(256)}
+    return pa.array([table.get(i, b"") for i in range(max(table) + 1)], pa.binary())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [b"".join(map(table.__getitem__, np.frombuffer(x, "<u4").tolist())).decode(errors="replace")[1:] for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
+def _spelt(spelling: pa.Array, ids: list[bytes]) -> Iterator[bytes]:
+    """The bytes of texts from their ids, less the white space put before each;
+    some texts at a time, whose bytes stay within Arrow's offsets."""
+    held, size = [], 0
+    for i, x in enumerate(ids):
+        held.append(x)
+        size += len(x)
+        if size >= 4 << 20 or i == len(ids) - 1:
+            taken = spelling.take(pa.array(np.frombuffer(b"".join(held), "<u4").view(np.int32)))
+            _, offsets, data = taken.buffers()
+            ends = np.frombuffer(offsets, np.int32, len(taken) + 1)[np.concatenate(([0], np.cumsum([len(h) // 4 for h in held])))].tolist()
+            whole = data.to_pybytes() if data else b""
+            yield from (whole[a + 1 : b] if b > a else b"" for a, b in zip(ends, ends[1:], strict=False))
+            held, size = [], 0
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """``doc_id, n_pieces, ids_crc32`` from ``doc_id, ids``."""
+def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
+    """``doc_id, text`` from ``doc_id, ids``. Bytes that aren't UTF-8 become
+    replacement characters; a mark in the text comes back as a space; no ids
+    give an empty text, null ids a null one. Repeated rows stay; an empty table
+    gives no rows; other columns are not looked at."""
+    spelling = _spelling(load(model or model_path()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64())], names=["doc_id", "n_pieces", "ids_crc32"])
+            out = _spelt(spelling, [x or b"" for x in ids])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if x is None else t.decode(errors="replace") for x, t in zip(ids, out, strict=True)], pa.string())], names=["doc_id", "text"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
+
+
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
+    """``doc_id, n_pieces, ids_crc32, text_crc32``: the ids of each text, and the
+    UTF-8 bytes that they are decoded to, in the tasks that encode them. Nulls,
+    repeats and empty tables are as in ``encode``."""
+    spelling = _spelling(load(model or model_path()))
+
+    def made(doc_id: pa.Array, ids: list[bytes]) -> pa.RecordBatch:
+        columns = [len(x) // 4 for x in ids], map(zlib.crc32, ids), map(zlib.crc32, _spelt(spelling, ids))
+        return pa.RecordBatch.from_arrays([doc_id, *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", "n_pieces", "ids_crc32", "text_crc32"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, n_pieces long, ids_crc32 long")
+    return _encoded(docs, id_col, text_col, model, made, "n_pieces long, ids_crc32 long, text_crc32 long")
