@@ -3,9 +3,10 @@
 Every version of a text is addressed by the SHA-256 of its bytes. The ledger, a
 Parquet table in the shared folder, has a row for each blob and commit: the
 rules, with their versions, that have been run on it, and what they found. A
-scan takes the distinct blobs of its input, looks up which (blob, rule version)
-pairs are missing, runs those alone and appends them. Findings are then joined
-back to all paths that hold the blob.
+scan looks up which (blob, rule version) pairs of its input are missing, by
+their hashes alone, then takes the texts of those, once each, runs what is
+missing and appends it. Findings are then joined back to all paths that hold the
+blob.
 
 Copies are combined in the map tasks before texts are shuffled, and a hot blob
 meets its findings in a join that Spark can split.
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import configure, scratch
+from .common import configure, materialise, scratch
 
 
 @dataclass(frozen=True)
@@ -47,16 +48,21 @@ BASE = (
     Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 20, ("akia",)),
     Rule("hex", 1, r"[0-9a-f]{24,}", 0, 24, probe="[0-9a-f]{24}"),
 )
-#: Further kinds, by the published shapes of such tokens.
+#: Further kinds, by the published shapes of such tokens. What may begin anywhere
+#: in a run is bounded, as a run would otherwise be gone through from each of its
+#: places: the scheme of a URL and the header of a token.
 EXTRA = (
     Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, ("-----begin ",)),
-    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1, ("eyj",)),
+    Rule("jwt", 2, r"eyJ[A-Za-z0-9_-]{8,1000}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1, ("eyj",)),
     Rule("github", 1, r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1, ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     Rule("slack", 1, r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1, ("xox",)),
-    Rule("url", 1, r"[a-z][a-z0-9+.-]*://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/@]+@", 0, 1, ("://",)),
+    Rule("url", 2, r"[a-z][a-z0-9+.-]{0,31}://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/@]+@", 0, 1, ("://",)),
 )
 RULES = BASE + EXTRA
 
+#: Unseen blobs up to which their hashes are broadcast, of some 200 bytes each.
+FEW = 100_000
+
 _SPANS = "array<struct<kind:string,version:int,start:int,stop:int>>"
 _HITS = "array<struct<rank:int,pos:int,gap:int,hit:int,val:int>>"
 LEDGER = f"blob string, rules array<string>, spans {_SPANS}"
@@ -86,7 +92,10 @@ def blob_of(text: str) -> Column:
 
 
 class BlobLedger:
-    """The ledger at ``root``, by default a new one in the shared folder."""
+    """The ledger at ``root``, by default a new one in the shared folder.
+
+    Null text counts as empty; an empty table adds nothing; texts of any length
+    are scanned whole, in time linear in their length."""
 
     def __init__(self, spark: SparkSession, root: str | None = None):
         configure(spark)
@@ -103,10 +112,18 @@ class BlobLedger:
     def scan(self, docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> None:
         """Run what is missing of ``rules`` on the distinct texts of ``docs``
         and append it. Running it again on the same texts adds no entry."""
-        blobs = docs.select(blob_of(text_col).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
-        done = self.table().select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("done"))
         every = F.array(*[F.lit(r.key) for r in rules])
-        todo = blobs.join(done, "blob", "left").select("blob", "text", F.array_except(every, F.coalesce("done", F.array().cast("array<string>"))).alias("rules")).where("size(rules) > 0")
+        texts = docs.select(blob_of(text_col).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        if self.table().isEmpty():
+            todo = texts.groupBy("blob").agg(F.first("text").alias("text")).withColumn("rules", every)
+        else:
+            done = self.table().select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("done"))
+            blobs = docs.select(blob_of(text_col).alias("blob")).distinct().join(done, "blob", "left")
+            lacking = blobs.select("blob", F.array_except(every, F.coalesce("done", F.array().cast("array<string>"))).alias("rules")).where("size(rules) > 0")
+            lacking = materialise(lacking, "unseen-blobs")
+            if lacking.count() <= FEW:  # the texts that are known are then not moved
+                lacking = F.broadcast(lacking)
+            todo = texts.join(lacking, "blob").groupBy("blob").agg(F.first("text").alias("text"), F.first("rules").alias("rules"))
         todo = todo.withColumn("lowered", F.lower("text"))
         hits = F.concat(*[F.when(F.array_contains("rules", r.key), _hits(F.col("text"), F.col("lowered"), r, i)).otherwise(F.array().cast(_HITS)) for i, r in enumerate(rules)])
         # A match starts where the lengths before it add up to; a running sum
@@ -158,23 +175,30 @@ def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ru
 MASK = "[SECRET]"
 
 
+def _between(spans: DataFrame) -> DataFrame:
+    """``blob, gaps, last``: what stands before each run of overlapping spans,
+    and where the last run ends."""
+    each = spans.select("blob", F.explode("spans").alias("s")).select("blob", "s.start", "s.stop")
+    before = Window.partitionBy("blob").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
+    since = F.coalesce(F.max("stop").over(before), F.lit(0))
+    gap = F.when(F.col("start") >= F.col("since"), F.struct(F.col("since").alias("at"), F.col("start").alias("to")))
+    return each.withColumn("since", since).groupBy("blob").agg(F.sort_array(F.collect_list(gap)).alias("gaps"), F.max("stop").alias("last"))
+
+
 def redact(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, ledger: BlobLedger | None = None, count_col: str = "n_chars") -> DataFrame:
     """``docs`` with each run of overlapping spans replaced by ``MASK``; no row
     goes. Where there is a ``count_col``, it follows a changed text. A text
-    without findings, null too, stays as it is."""
+    without findings, null and empty ones too, stays as it is, as do repeated
+    rows, null identifiers and all other columns; an empty table stays empty."""
     ledger = ledger or BlobLedger(docs.sparkSession)
     ledger.scan(docs, text_col, rules)
-    rows = docs.select(F.struct("*").alias("_row"), blob_of(text_col).alias("blob")).join(ledger.spans(rules), "blob", "left")
+    rows = docs.select(F.struct("*").alias("_row"), blob_of(text_col).alias("blob")).join(_between(ledger.spans(rules)), "blob", "left")
     text = F.col(f"_row.{text_col}")
-    folded = F.aggregate(
-        "spans",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.struct(
-            F.greatest(a["at"], s["stop"]).alias("at"),
-            F.when(s["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.substr(text, a["at"] + 1, s["start"] - a["at"]), F.lit(MASK))).alias("out"),
-        ),
-        lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1)),
-    )
-    rows = rows.withColumn("_text", F.when(F.col("spans").isNull(), text).otherwise(folded))
-    columns = [F.col("_text").alias(c) if c == text_col else F.when(F.col("spans").isNull(), F.col(f"_row.{c}")).otherwise(F.char_length("_text")).cast(docs.schema[c].dataType).alias(c) if c == count_col else F.col(f"_row.`{c}`") for c in docs.columns]
+    cut = lambda part: F.array_join(F.transform("gaps", part), MASK)
+    by_place = cut(lambda g: F.substr(text, g["at"] + 1, g["to"] - g["at"]))
+    # A place is found by counting from the start of the text; where there are
+    # many, the characters are listed once.
+    listed = F.transform(F.array(F.split(text, "")), lambda chars: cut(lambda g: F.array_join(F.slice(chars, g["at"] + 1, g["to"] - g["at"]), "")))
+    rows = rows.withColumn("_text", F.when(F.col("gaps").isNull(), text).otherwise(F.concat(F.when(F.size("gaps") <= 32, by_place).otherwise(F.get(listed, F.lit(0))), F.lit(MASK), F.substr(text, F.col("last") + 1))))
+    columns = [F.col("_text").alias(c) if c == text_col else F.when(F.col("gaps").isNull(), F.col(f"_row.`{c}`")).otherwise(F.char_length("_text")).cast(docs.schema[c].dataType).alias(c) if c == count_col else F.col(f"_row.`{c}`") for c in docs.columns]
     return rows.select(*columns)
