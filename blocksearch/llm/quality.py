@@ -8,6 +8,7 @@ rejected. Four plain counts over the whole text stand beside that.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,6 +24,8 @@ WINDOW = 8
 _WHITE = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
 _RUN = re.compile(r"[#*$%&<>]{2,}")
+#: Words are runs of other than ASCII white space, here as in all counts.
+_WORD = re.compile(r"[^ \t-\r]+")
 #: Terminal marks of a sentence; a line of some length has one of them.
 _MARKS = ".!?:;…。！？"
 # Phrases of page furniture.
@@ -30,6 +33,7 @@ BOILERPLATE = (
     "accept cookies", "cookie policy", "use of cookies", "enable javascript", "javascript is disabled", "privacy policy", "terms of use", "terms of service",
     "all rights reserved", "click here", "sign up for", "subscribe to our", "log in to", "read more", "share on", "back to top", "skip to content", "lorem ipsum",
 )
+_PHRASE = re.compile("|".join(BOILERPLATE), re.I | re.A)  # A-Z count as a-z, no other letter does
 
 
 @dataclass(frozen=True)
@@ -39,8 +43,9 @@ class Limits:
     A line of ``long_line`` words or more needs a terminal mark, if most such
     lines of the document have one; a text that does without is left alone.
     Separators
-    (``|``) to words, words with a run of symbols, and words all in capitals
-    may have these shares; a line of few words is exempt from the last."""
+    (``|``) to words, words with a run of symbols, and words in capitals (with an
+    upper-case letter and no lower-case one, by Unicode category) may have these
+    shares; a line of few words is exempt from the last."""
 
     long_line: int = 12
     separators: float = 0.2
@@ -58,25 +63,32 @@ def line_fault(line: str, limits: Limits = Limits(), odd: bool = True, phrases:
     ``navigation`` or ``boilerplate``; None if it fails none. ``odd`` and
     ``phrases`` tell whether the text has symbols or boilerplate at all,
     ``marks`` whether it uses terminal marks."""
-    words = line.split()
+    words = _WORD.findall(line)
     n = len(words)
     if odd:
         if line.count("|") > limits.separators * n and line.count("|") > 1:
             return "navigation"
         if len(_RUN.findall(line)) > limits.symbol_words * n:
             return "punctuation"
-    if n >= limits.capital_words and sum(map(str.isupper, words)) > limits.capitals * n:
+    if n >= limits.capital_words and sum(map(_capital, words)) > limits.capitals * n:
         return "punctuation"
     if n >= limits.long_line:
         if marks and not _marked(line):
             return "punctuation"
         if sum(a == b for a, b in zip(words, words[1:], strict=False)) > limits.repeats * n:
             return "boilerplate"
-    if phrases and any(p in line.lower() for p in BOILERPLATE):
+    if phrases and _PHRASE.search(line):
         return "boilerplate"
     return None
 
 
+def _capital(word: str) -> bool:
+    if word.isascii():
+        return word.isupper()
+    kinds = set(map(unicodedata.category, word))
+    return "Lu" in kinds and "Ll" not in kinds
+
+
 def _marked(line: str) -> bool:
     return any(m in line for m in _MARKS)
 
@@ -165,7 +177,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit
 
 
 def cleaned(docs: DataFrame, text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
-    """The rows that are kept, whole, with failing lines gone from the text."""
+    """The rows that are kept, whole, with failing lines gone from the text.
+
+    Null and empty texts fail the base and go; repeated rows and null identifiers
+    stay as they are, as do all other columns; an empty table stays empty."""
     configure(docs.sparkSession)
     rows = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_text"))
 

@@ -89,7 +89,8 @@ def _secrets_sql() -> str:
 def _quality_sql() -> str:
     """The counts, and the verdict line by line."""
     at = quality.Limits()
-    phrases = " OR ".join(f"contains(lower(line), '{p}')" for p in quality.BOILERPLATE)
+    low = "translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    phrases = " OR ".join(f"contains({low}, '{p}')" for p in quality.BOILERPLATE)
     mark = " OR ".join(f"contains(line, '{c}')" for c in quality._MARKS)
     word = r"[^\x20\x09-\x0D]+"
     return rf"""
