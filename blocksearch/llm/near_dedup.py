@@ -1,15 +1,20 @@
-"""Near duplicates by the exact Jaccard similarity of word shingles.
+"""SimHash near duplicates at a Jaccard similarity of word shingles.
 
 Two texts are linked where the sets of their shingles have a similarity of 0.8
-or more, and of what links reach one text is kept. Every such pair is found:
+or more, and of what links reach one text is kept:
 
 * Under one order of all shingles, sets that are so alike share a shingle among
-  the first fifth of each, so only these are joined on. The order puts shingles
-  that are frequent in a sample last; it decides how many pairs are looked at
-  and not which are found.
-* A pair is passed over only by bounds that no pair at 0.8 can miss: the sizes,
-  what can still follow the shared shingle, and the bits in which the parities
-  of the two sets differ, which are never more than the shingles that do.
+  the first fifth of each, so each text is dealt to a trie for each of these. The
+  order puts shingles that are frequent in a sample last; it decides how many
+  tries there are and how large, and not which pairs are found.
+* Each trie is joined with itself (``trie``): pairs of nodes are walked down
+  together, and a pair is left when its differing bits exceed ``BUDGET``. Texts at
+  0.8 differ in some ten of the 64 bits of their fingerprints; the budget is far
+  beyond that.
+* A pair that the walk links is passed over only by bounds that no pair at 0.8
+  can miss: the sizes, what can still follow the shared shingle, and the bits in
+  which the parities of the two sets differ, which are never more than the
+  shingles that do.
 * What is left is compared shingle by shingle, by 64-bit hashes of them.
 
 Texts with equal sets are one node, so that copies cost nothing.
@@ -25,11 +30,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import configure, materialise
+from .common import discard, materialise, trim
 from .components import components
+from .simhash import SEED, majority, packed, spans
+from .trie import self_join
 
-SEED = 42
 SHINGLE = 5
+#: Differing bits of fingerprints up to which the tries are walked. A bit differs
+#: with a chance of 0.15 at a similarity of 0.8 (0.19 for sets of five), so a
+#: link is missed with one of some 10^-6 (10^-5 for sets of five).
+BUDGET = 26
 #: Rows sampled for the order, the rows a frequent shingle is in, and how many
 #: frequent ones are held; rows that are gone through at once.
 SAMPLE, OFTEN, HOT, ROWS = 5000, 3, 1 << 16, 100_000
@@ -38,15 +48,9 @@ SAMPLE, OFTEN, HOT, ROWS = 5000, 3, 1 << 16, 100_000
 def shingles(text: bytes | None, width: int = SHINGLE) -> np.ndarray:
     """The sorted distinct hashes of runs of ``width`` words, with words as in
     ``simhash``; a shorter text is one run, a text without words has none."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = [0, *(ends[:-1] + 1).tolist()]
-    spans = zip(starts, ends[width - 1 :].tolist(), strict=False) if len(words) >= width else [(0, len(joined))]
+    joined, where = spans(text, width)
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64))
+    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in where), np.uint64, len(where)))
 
 
 def least_shared(a, b):
@@ -91,13 +95,13 @@ def _frequent(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets(rows: DataFrame, width: int) -> DataFrame:
-    """(doc_id, at, node, n, bits, tokens): the set of each row, its size and
-    parities, and the shingles it is joined on, in order."""
+    """(doc_id, at, node, n, fp, bits, tokens): the set of each row, its size,
+    fingerprint and parities, and the shingles it is dealt by, in order."""
     hot, count = _frequent(rows, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, size, bits, tokens = [], [], [], []
+            node, size, fp, bits, tokens = [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 found = shingles(text, width)
                 n = len(found)
@@ -107,16 +111,18 @@ def _sets(rows: DataFrame, width: int) -> DataFrame:
                     rank = np.where(hot[at] == found, count[at], 0)
                 node.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
                 size.append(n)
+                fp.append(packed(majority(found), n))
                 bits.append(parities(found))
                 tokens.append(found[np.argsort(rank, kind="stable")[: n - (4 * n + 4) // 5 + 1]].view(np.int64))
             ends = np.cumsum([0, *map(len, tokens)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *tokens])))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(bits, pa.binary()), lists],
-                names=["doc_id", "at", "node", "n", "bits", "tokens"],
+                [batch.column(0), batch.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(bits, pa.binary()), lists],
+                names=["doc_id", "at", "node", "n", "fp", "bits", "tokens"],
             )
+        trim()
 
-    return rows.select("doc_id", "at", "text").mapInArrow(run, "doc_id long, at long, node long, n int, bits binary, tokens array<long>")
+    return rows.select("doc_id", "at", "text").mapInArrow(run, "doc_id long, at long, node long, n int, fp long, bits binary, tokens array<long>")
 
 
 def _runs(work: Callable[..., Iterator[pa.RecordBatch]], most: int = 0) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -137,6 +143,8 @@ def _runs(work: Callable[..., Iterator[pa.RecordBatch]], most: int = 0) -> Calla
                 held, size = whole.slice(cut).to_batches(), len(key) - cut
         if size:
             yield from work(*pa.Table.from_batches(held).columns)
+        held.clear()
+        trim()
 
     return run
 
@@ -173,26 +181,26 @@ def _walk(m: int, near: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tup
 
 
 def _bundled(*columns: pa.ChunkedArray) -> Iterator[pa.RecordBatch]:
-    """Edges that join the nodes of each token which the bounds let pass."""
-    token, node, n, pos = (c.to_numpy().astype(np.int64) for c in columns[:4])
-    bits = columns[4].to_pylist()
-    stops = np.append(np.flatnonzero(token[1:] != token[:-1]) + 1, len(token)).tolist()
-    a, b = [], []
-    for start, stop in zip([0, *stops], stops, strict=False):
-        size, rest, data = n[start:stop], n[start:stop] - pos[start:stop], bits[start:stop]
-
-        def near(x: int, others: np.ndarray) -> np.ndarray:
-            need = least_shared(size[x], size[others])
-            ok = np.minimum(rest[x], rest[others]) >= need
-            at = np.flatnonzero(ok)
-            ok[at] = [differing(data[x], data[y]) <= most for y, most in zip(others[at].tolist(), (size[x] + size[others[at]] - 2 * need[at]).tolist(), strict=True)]
-            return ok
-
-        for y, x in _walk(stop - start, near):
-            if x != y:
-                a.append(node[start + y])
-                b.append(node[start + x])
-    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    """Edges that join the nodes of each token's trie which the walk links and
+    the bounds let pass."""
+    token, node, n, pos, fp = (c.to_numpy() for c in columns[:5])
+    fp = fp.view(np.uint64)
+    order = np.lexsort((fp, token))
+    token, node, n, fp, rest = token[order], node[order], n[order].astype(np.int64), fp[order], (n - pos)[order].astype(np.int64)
+    data = columns[5].take(pa.array(order)).to_pylist()
+
+    def accept(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        need = least_shared(n[x], n[y])
+        ok = np.minimum(rest[x], rest[y]) >= need
+        at = np.flatnonzero(ok)
+        most = (n[x] + n[y] - 2 * need)[at].tolist()
+        ok[at] = [differing(data[a], data[b]) <= m for a, b, m in zip(x[at].tolist(), y[at].tolist(), most, strict=True)]
+        return ok
+
+    stops = np.append(np.flatnonzero(token[1:] != token[:-1]) + 1, len(token))
+    label = self_join(fp, stops, BUDGET, accept)
+    own = np.flatnonzero(label != np.arange(len(label)))
+    yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(node[label[own]])], names=["a", "b"])
 
 
 def _linked(bundle: pa.ChunkedArray, node: pa.ChunkedArray, found: pa.ChunkedArray) -> Iterator[pa.RecordBatch]:
@@ -230,10 +238,11 @@ def labels_of(rows: DataFrame, sets: DataFrame, nodes: DataFrame, width: int = S
     bundle, with the whole sets of its nodes, is then gone through."""
     spread = sets.select("node", "n", F.posexplode("tokens").alias("pos", "token")).select("token", "node", "n", "pos")
     shared = spread.repartition("token").sortWithinPartitions("token").mapInArrow(_runs(_shared), "token long, node long, n int, pos int")
-    shared = shared.join(nodes.select("node", "bits"), "node").select("token", "node", "n", "pos", "bits")
+    shared = shared.join(nodes.select("node", "fp", "bits"), "node").select("token", "node", "n", "pos", "fp", "bits")
     edges = shared.repartition("token").sortWithinPartitions("token").mapInArrow(_runs(_bundled), "a long, b long")
     bundles = components(edges)
-    ends = materialise(nodes.select("node", F.col("first.at").alias("at")).join(bundles.withColumnRenamed("label", "bundle"), "node"), "bundles")
+    bundles = materialise(bundles, "bundles")
+    ends = nodes.select("node", F.col("first.at").alias("at")).join(bundles.withColumnRenamed("label", "bundle"), "node")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,23 +250,21 @@ def labels_of(rows: DataFrame, sets: DataFrame, nodes: DataFrame, width: int = S
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["bundle", "node", "found"])
 
     full = rows.join(ends, "at").select("bundle", "node", "text").mapInArrow(whole, "bundle long, node long, found binary")
-    return full.repartition("bundle").sortWithinPartitions("bundle").mapInArrow(_runs(_linked, 2000), "node long, label long")
+    found = materialise(full.repartition("bundle").sortWithinPartitions("bundle").mapInArrow(_runs(_linked, 2000), "node long, label long"), "near-labels")
+    discard(bundles)
+    return found
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs``, whole, of which each component of links keeps one:
-    the smallest identifier, a null one last; among repeats of it the first as
-    written. Null text has no word, and texts without words are one component."""
-    configure(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.struct("*").alias("row"))
-    saved = materialise(rows.select("doc_id", "row", F.monotonically_increasing_id().alias("at")), "near-dedup")
-    rows = saved.select("doc_id", "at", F.col(f"row.{text_col}").cast("binary").alias("text"))
+def lost(rows: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """``at`` of the rows (doc_id, at, text) that ``simhash.keep_similar`` drops."""
+    rows = rows.select("doc_id", "at", F.col("text").cast("binary").alias("text"))
     sets = materialise(_sets(rows, width), "shingle-sets")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "at")).alias("first")
-    nodes = materialise(sets.groupBy("node").agg(F.min("n").alias("n"), F.min("bits").alias("bits"), first), "nodes")
-    found = materialise(labels_of(rows, sets, nodes, width), "near-labels")
+    nodes = materialise(sets.groupBy("node").agg(F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("bits").alias("bits"), first), "nodes")
+    found = labels_of(rows, sets, nodes, width)
     labels = nodes.join(found, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
     won = labels.groupBy("label").agg(F.min("first").alias("w")).select("label", F.col("w.at").alias("kept"))
     placed = sets.select("at", "node").join(labels.select("node", "label"), "node").join(won, "label")
     lost = materialise(placed.where("at <> kept").select("at"), "near-copies")
-    return saved.join(lost, "at", "left_anti").select("row.*")
+    discard(sets, nodes, found)
+    return lost

@@ -1,15 +1,20 @@
-"""SimHash near duplicates by a self-join of binary tries.
+"""SimHash near duplicates by a self-join of binary tries (``trie``).
 
 Documents with equal fingerprints are one node, so that copies cost nothing.
 The distinct fingerprints are joined with themselves: two that differ in at
 most k bits agree in at least two of k + 2 blocks of bits, so each is dealt to
 one trie for every pair of blocks, keyed by the bits in them. In a trie, pairs
 of nodes are walked down together; the differing bits add up along the way, and
-a pair that exceeds the budget is left. A sorted array stands for the trie: a
-node is a range of it, a level one bit, and all pairs of a level move at once.
+a pair that exceeds the budget is left.
 
 A trie yields one edge for each fingerprint that it links, to the least of its
 class, in place of all pairs; no link between classes is lost by that.
+
+``keep_one`` takes fingerprints for texts. ``keep_similar`` asks for a share of
+common shingles, 0.8: such texts differ in some ten of 64 bits, a budget at which
+blocks of bits deal nothing out, so its tries are keyed by rare shingles that
+such texts must share, and what the walk links is compared shingle by shingle
+(``near_dedup``).
 """
 
 from __future__ import annotations
@@ -25,41 +30,52 @@ from pyspark.sql import functions as F
 
 from .common import configure, materialise
 from .components import components
+from .trie import BITS, self_join
 
 SEED = 42
 SHINGLE = 3
-BITS = 64
 RADIUS = 2
-#: Shingles hashed at once, and node pairs held at once.
-BLOCK, PAIRS = 1 << 16, 1 << 20
+#: Shingles hashed at once.
+BLOCK = 1 << 16
 
 
-def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
-    """The unsigned 64-bit fingerprint; zero without words."""
+def spans(text: bytes | None, width: int) -> tuple[bytes, list[tuple[int, int]]]:
+    """The words of a text with A-Z as a-z, joined by a space, and where its runs
+    of ``width`` words begin and end; a shorter text is one run, a text without
+    words has none."""
     words = (text or b"").lower().split()  # on bytes both are about ASCII alone
     if not words:
-        return 0
+        return b"", []
     joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = [0, *(ends[:-1] + 1).tolist()]
-    ends = ends.tolist()
     if len(words) < width:
-        spans = [(0, len(joined))]
-    else:
-        spans = list(zip(starts, ends[width - 1 :], strict=False))
+        return joined, [(0, len(joined))]
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    return joined, list(zip([0, *(ends[: len(ends) - width] + 1).tolist()], ends[width - 1 :].tolist(), strict=True))
+
+
+def majority(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    return np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def packed(counts: np.ndarray, n: int) -> int:
+    """The bits that more than half of ``n`` hashes have."""
+    return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
+
+
+def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
+    """The unsigned 64-bit fingerprint; zero without words."""
+    joined, where = spans(text, width)
     digest, counts = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
-    for at in range(0, len(spans), BLOCK):
-        part = spans[at : at + BLOCK]
-        h = np.array([digest(joined[a:b], SEED) for a, b in part], np.uint64)
-        counts += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    on = counts * 2 > len(spans)
-    return int.from_bytes(np.packbits(on, bitorder="little").tobytes(), "little")
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, payload: bool = False) -> DataFrame:
-    """(doc_id long, fp long) of each row; with ``payload`` also ``row``, the
-    row as a struct. Words are runs of other than ASCII white space, A-Z count
-    as a-z, shingles keep their repeats. Null text has no word."""
+    for at in range(0, len(where), BLOCK):
+        counts += majority(np.array([digest(joined[a:b], SEED) for a, b in where[at : at + BLOCK]], np.uint64))
+    return packed(counts, len(where))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, *more: str) -> DataFrame:
+    """(doc_id long, fp long) of each row, and the columns ``more``. Words are
+    runs of other than ASCII white space, A-Z count as a-z, shingles keep their
+    repeats. Null text has no word."""
     configure(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,75 +83,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), *batch.columns[2:]], names=["doc_id", "fp", *batch.schema.names[2:]])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), *([F.struct("*").alias("row")] if payload else []))
-    kind = f", row {rows.schema['row'].dataType.simpleString()}" if payload else ""
-    return rows.mapInArrow(run, f"doc_id long, fp long{kind}")
-
-
-def _walk(fps: np.ndarray, runs: np.ndarray, radius: int) -> np.ndarray:
-    """Labels of a union of the links at ``radius`` or fewer bits inside each
-    run. fps: sorted inside runs; runs: the ends of the runs. A label is the
-    place of the least member."""
-    n = len(fps)
-    label = np.arange(n)
-
-    def link(a: np.ndarray, b: np.ndarray) -> None:
-        nonlocal label
-        while True:
-            x, y = label[a], label[b]
-            apart = x != y
-            if not apart.any():
-                return
-            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-            while True:
-                up = label[label]
-                if np.array_equal(up, label):
-                    break
-                label = up
-
-    starts = np.concatenate(([0], runs[:-1]))
-    many = runs - starts > 1
-    lo, hi = starts[many], runs[many]
-    stack = [(BITS - 1, lo, hi, lo, hi, np.zeros(len(lo), np.int8))]
-    zeros_before: dict[int, np.ndarray] = {}
-    while stack:
-        bit, alo, ahi, blo, bhi, off = stack.pop()
-        single = (ahi - alo == 1) & (bhi - blo == 1)
-        if single.any():  # compressed paths: the rest is compared at once
-            x, y = alo[single], blo[single]
-            near = np.bitwise_count(fps[x] ^ fps[y]) <= radius
-            link(x[near], y[near])
-            alo, ahi, blo, bhi, off = (v[~single] for v in (alo, ahi, blo, bhi, off))
-        if not len(alo):
-            continue
-        if len(alo) > PAIRS:
-            for part in np.array_split(np.arange(len(alo)), len(alo) * 2 // PAIRS + 1):
-                stack.append((bit, *(v[part] for v in (alo, ahi, blo, bhi, off))))
-            continue
-        if bit < 0:  # equal fingerprints; a caller's distinct ones never come here
-            link(np.repeat(alo, bhi - blo), np.concatenate([np.arange(p, q) for p, q in zip(blo, bhi, strict=True)]))
-            continue
-        if bit not in zeros_before:
-            zeros_before[bit] = np.concatenate(([0], np.cumsum((fps >> np.uint64(bit)) & np.uint64(1) == 0)))
-        z = zeros_before[bit]
-        amid, bmid = alo + z[ahi] - z[alo], blo + z[bhi] - z[blo]
-        same = alo == blo
-        cross = ~same
-        more = off + 1
-        parts = [
-            (alo, amid, blo, bmid, off, np.ones(len(alo), bool)),
-            (amid, ahi, bmid, bhi, off, np.ones(len(alo), bool)),
-            (alo, amid, bmid, bhi, more, np.ones(len(alo), bool)),
-            (amid, ahi, blo, bmid, more, cross),
-        ]
-        new = [[], [], [], [], []]
-        for p, q, r, s, d, use in parts:
-            use = use & (p < q) & (r < s) & (d <= radius) & ~((p == r) & (q - p == 1))
-            for v, w in zip(new, (p, q, r, s, d), strict=True):
-                v.append(w[use])
-        stack.append((bit - 1, *(np.concatenate(v) for v in new)))
-    return label
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), *more)
+    return rows.mapInArrow(run, "doc_id long, fp long" + "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in more))
 
 
 def _edges(radius: int):
@@ -147,7 +96,7 @@ def _edges(radius: int):
         def settle(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
             order = np.lexsort((fp, key))
             key, fp = key[order], fp[order]
-            label = _walk(fp, np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)), radius)
+            label = self_join(fp, np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)), radius)
             own = np.flatnonzero(label != np.arange(len(fp)))
             signed = fp.view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(signed[own]), pa.array(signed[label[own]])], names=["a", "b"])
@@ -201,11 +150,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``row``, the row as a struct, with ``at``, its number, ``doc_id`` and
+    ``text``; written, so that the numbers stay."""
+    saved = materialise(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("at")), "numbered")
+    return saved.select("row", "at", F.col(f"row.`{id_col}`").cast("long").alias("doc_id"), F.col(f"row.`{text_col}`").alias("text"))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs``, whole, of which each component keeps one: the
-    smallest identifier; among repeats of it the first as written."""
-    rows = materialise(fingerprints(docs, id_col, text_col, width, payload=True).withColumn("at", F.monotonically_increasing_id()), "simhash")
+    """The rows of ``docs``, whole, of which each component of fingerprints keeps
+    one: the smallest identifier, a null one last; among repeats of it the first
+    as written. Null and empty texts have the fingerprint zero; an empty table
+    stays empty; other columns come along."""
+    configure(docs.sparkSession)
+    saved = _numbered(docs, id_col, text_col)
+    rows = materialise(fingerprints(saved, "doc_id", "text", width, "at"), "simhash")
     labels = _labels(rows.select("doc_id", "fp"), radius)
-    placed = rows.select("doc_id", "fp", "at").join(labels.select("fp", "label"), "fp")
+    placed = rows.join(labels.select("fp", "label"), "fp")
     won = placed.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "at")).alias("w")).select(F.col("w.at").alias("at"))
-    return rows.join(won, "at", "left_semi").select("row.*")
+    return saved.join(won, "at", "left_semi").select("row.*")
+
+
+def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """The rows of ``docs``, whole, of which each component of links keeps one:
+    the smallest identifier, a null one last; among repeats of it the first as
+    written. Texts are linked where the sets of their runs of ``width`` words
+    have a similarity of 0.8 or more and their fingerprints differ in at most
+    ``near_dedup.BUDGET`` bits. Null and empty texts have no word, and texts
+    without words are one component; an empty table stays empty; other columns
+    come along."""
+    from . import near_dedup
+
+    configure(docs.sparkSession)
+    saved = _numbered(docs, id_col, text_col)
+    return saved.join(near_dedup.lost(saved.select("doc_id", "at", "text"), width), "at", "left_anti").select("row.*")

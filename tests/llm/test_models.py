@@ -1,16 +1,23 @@
 """Language, toxicity, quality, licenses."""
 
+import math
+import random
 import re
 import textwrap
+import time
 import zlib
 from collections import Counter
 
+import duckdb
+import numpy as np
 import pytest
+import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from blocksearch.llm import language, licenses, quality, toxicity
 from blocksearch.llm.common import crc_of_id
-from blocksearch.llm.queries import QUERIES
+from blocksearch.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.01"
 
@@ -37,6 +44,124 @@ def test_language_edges(spark):
     assert language.identify(unseen, model).first().lang_pred == "en"
 
 
+def plain_language(rows):
+    """A scorer by loops: shares by language, words first, then the longest known
+    n-grams from left to right."""
+    shares, floors, langs = [], [], sorted({lang for lang, _ in rows})
+    for order in range(6):
+        of = {}
+        for lang in langs:
+            counts = Counter()
+            for own, text in rows:
+                if own == lang:
+                    for w in re.findall(r"[^\W\d_]+", text.lower()):
+                        m = f"^{w}$"
+                        counts.update([w] if not order else [m[i : i + order] for i in range(len(m) - order + 1)])
+            top = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: language.GRAMS // 5 if order else language.WORDS]
+            of[lang] = {w: n / sum(counts.values()) for w, n in top if n > 1 or order}
+        shares.append(of)
+        floors.append(0.1 * min((x for own in of.values() for x in own.values()), default=1e-8))
+
+    def score(text):
+        words = re.findall(r"[^\W\d_]+", (text or "").lower())
+        if not words or not langs:
+            return "und", 0.0
+        total = dict.fromkeys(langs, 0.0)
+
+        def add(order, item):
+            for lang in langs:
+                total[lang] += math.log(shares[order][lang].get(item, floors[order]))
+
+        for w in words:
+            if any(w in shares[0][lang] for lang in langs):
+                add(0, w)
+                continue
+            m, at = f"^{w}$", 0
+            while at < len(m):
+                order = next((o for o in range(min(5, len(m) - at), 0, -1) if any(m[at : at + o] in shares[o][lang] for lang in langs)), 0)
+                if order:
+                    add(order, m[at : at + order])
+                at += order or 1
+        p = {lang: x / math.sqrt(len(words)) for lang, x in total.items()}
+        best = max(langs, key=lambda lang: p[lang])
+        return best, 1 / sum(math.exp(x - p[best]) for x in p.values())
+
+    return score
+
+
+@pytest.mark.parametrize("dense", [64, 0])
+def test_language_against_loops(spark, monkeypatch, dense):
+    monkeypatch.setattr(language, "DENSE", dense)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.collect()
+    score = plain_language([(r.lang, r.text) for r in rows if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2])
+    model = language.fit(docs, crc_of_id() % 4 != 2)
+    for r in language.identify(docs, model).collect():
+        lang, p = score(next(x.text for x in rows if x.doc_id == r.doc_id))
+        assert r.lang_pred == lang and abs(r.score - p) < 1e-6
+
+
+def test_language_ties_repeats_long_texts_and_many_languages(spark):
+    own = [a + b for a in "bcdfghjklm" for b in "aeiouxyzw"]
+    rows = [(i, f"tok{own[i % 90]} {own[i % 90]}tok common", f"l{i % 90:02}") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(df, F.lit(True))
+    assert len(model.langs) == 90
+    asked = [(1, "common", None), (1, "common", None), (2, f"tok{own[77]} {own[77]}tok", None), (3, f"tok{own[5]} " * 200_000, None)]
+    got = sorted((r.doc_id, r.lang_pred) for r in language.identify(spark.createDataFrame(asked, df.schema), model).collect())
+    assert got == [(1, "l00"), (1, "l00"), (2, "l77"), (3, "l05")]  # of equal scores the first by name
+
+
+def plain_ftrl(texts, labels, how):
+    """FTRL-proximal by loops, a coordinate at a time."""
+    strip, mask = ".,;:!?\"'()[]{}<>|*#%&$-_", (1 << 64) - 1
+    mix = [int(x) for x in toxicity._MIX]
+
+    def features(text):
+        words = [w for w in (x.strip(strip.encode()) for x in text.encode().lower().split()) if w]
+        h = [xxhash.xxh64_intdigest(w) for w in words]
+        return {x for x in h} | {(a * mix[0] + b) * mix[gap] & mask for gap in (1, 2, 3) for a, b in zip(h, h[gap:], strict=False)}
+
+    each = [features(t) for t in texts]
+    seen = Counter(x for f in each for x in f)
+    least = min(toxicity.LEAST_DOCS, max(1, len(texts) // 20))
+    z, n = {}, {}
+
+    def weight(x):
+        zi = z.get(x, 0.0)
+        return 0.0 if abs(zi) <= how.l1 else -(zi - math.copysign(how.l1, zi)) / ((how.beta + math.sqrt(n.get(x, 0.0))) / how.alpha + how.l2)
+
+    order = np.random.default_rng(0)
+    for _ in range(toxicity.EPOCHS):
+        for r in order.permutation(len(texts)):
+            own = [x for x in sorted(each[r]) if seen[x] >= least] + ["bias"]
+            w = {x: weight(x) for x in own}
+            g = 1 / (1 + math.exp(-max(-35, min(35, sum(w.values()))))) - labels[r]
+            for x in own:
+                old = n.get(x, 0.0)
+                z[x] = z.get(x, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / how.alpha * w[x]
+                n[x] = old + g * g
+    return lambda text: 1 / (1 + math.exp(-sum(weight(x) for x in features(text or "") | {"bias"})))
+
+
+def test_toxicity_against_loops():
+    rng = random.Random(0)
+    words = ["good", "vile", "Rotten,", "calm", "fool!", "river", "mill", "awful", "song"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 30))) for _ in range(120)]
+    labels = [int(t.count("vile") + t.count("awful") > 2) for t in texts]
+    for how in (toxicity.Ftrl(), toxicity.Ftrl(1.0, 1.0, 0.5, 0.1)):
+        model, score = toxicity.Model(*toxicity.train([t.encode() for t in texts], labels, how)), plain_ftrl(texts, labels, how)
+        assert len(model.names) > 0 and all(abs(model.score(t.encode()) - score(t)) < 1e-9 for t in [*texts, "", "unseen words", "vile " * 5000])
+
+
+def test_toxicity_labels_that_differ_and_what_is_kept_without_any(spark):
+    docs = spark.createDataFrame([(i, f"some text {i}") for i in range(3)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 0), (0, 1), (1, 0), (1, 0), (2, 7), (None, 1), (9, 1)], "doc_id long, toxic int")
+    assert sorted((r.text, r.label) for r in toxicity.sample(docs, labels, F.lit(True)).collect()) == [("some text 0", 1), ("some text 1", 0)]
+    nothing = toxicity.fit(docs, labels.limit(0), F.lit(True))
+    assert toxicity.keep_clean(docs, nothing).count() == 3
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -95,6 +220,24 @@ def test_quality_against_labels(spark):
     assert all(r.kept for r in good) and sum(r.kept for r in bad) <= 0.1 * len(bad)
 
 
+def test_quality_equals_its_sql_on_odd_texts(spark):
+    """Lines of odd white space, title-case letters, symbols and phrases, rows
+    that are repeated, null and empty texts, a null identifier."""
+    rng = random.Random(3)
+    words = ["AB\u00a0CD", "\u01c5\u01c5", "\u01c5A", "ÀÉ", "éÉ", "ABC", "ab", "x\x1cy", "\x85", "\u2028", "#a", "##", "<>x", "|", "$$$", "same", "same", "end.", "日本", "ⅣA", "ªB", "\u212aX", "click here", "Read MORE", "bac\u212a to top", "İA"]
+    rows = [(i, "\n".join(rng.choice([" ", "\t", "  "]).join(rng.choice(words) for _ in range(rng.randint(0, 26))) for _ in range(rng.randint(1, 9)))) for i in range(1500)]
+    rows += [(1500, None), (1501, ""), (1502, rows[7][1]), (1503, ("a b c d e f g h " * 10 + "\n") * 5)]
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).toPandas()
+    documents = spark.createDataFrame(rows, "doc_id long, text string").toPandas()  # noqa: F841  read by the SQL
+    want = duckdb.sql(ORACLE_SQL["op3_quality"]).df()
+    names = sorted(got.columns)
+    a, b = (df[names].sort_values("doc_id").reset_index(drop=True) for df in (got, want))
+    assert [i for i in range(len(a)) if a.loc[i].astype(str).tolist() != b.loc[i].astype(str).tolist()] == []
+    assert a.kept.any() and not a.kept.all()
+    twice = quality.judge(spark.createDataFrame([(None, rows[3][1])] * 2, "doc_id long, text string")).collect()
+    assert len(twice) == 2 and twice[0] == twice[1]
+
+
 MIT = next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 200)
 
 
@@ -140,8 +283,53 @@ def test_a_license_is_not_taken_for_its_relative(text, names):
     assert [f[0] for f in licenses.scan(text)] == names
 
 
+PROSE = "The mill stood by the river for many years. Nobody in the village knew who had built it.\n{0}\nIn autumn the apples were brought to the square, and old songs were sung."
+
+
+@pytest.mark.parametrize("name,text", sorted(set(licenses.TEMPLATES + licenses.TITLES)), ids=lambda x: x[:30])
+def test_every_template_is_found(name, text):
+    for whole in (text, PROSE.format(text), PROSE.format(textwrap.fill(text, 72)), PROSE.format(text.upper())):
+        assert [f[0] for f in licenses.scan(whole)] == [name], whole
+
+
+def test_titles_only_where_they_stand_alone():
+    for text in ("I like the MIT License better than others.", "We talked about the Apache License 2.0 and the weather at lunch."):
+        assert licenses.scan(text) == []
+
+
+def test_match_is_the_best_of_all_templates():
+    """Against every template in turn, without the ranking."""
+    def plain(block):
+        words, found = licenses.words_of(block), []
+        packed = len(zstandard.ZstdCompressor(level=3, write_content_size=False).compress(" ".join(words).encode()))
+        for i, t in enumerate(licenses._compiled()[0]):
+            saved = packed - len(t[4].compress(" ".join(words).encode()))
+            if saved > 0 and (d := licenses.confirmed(words, t)):
+                found.append((len(t[1]) - 2 * len(d[0]) - len(d[1]), saved, -i, t[0]))
+        return max(found)[3] if found else None
+
+    rng = random.Random(0)
+    for _, text in licenses.TEMPLATES + licenses.TITLES:
+        words = text.split()
+        for _ in range(6):
+            some = [w for w in words if rng.random() > 0.04] + ["added"] * rng.randint(0, 2)
+            got = licenses.match(" ".join(some))
+            assert (got and got[0]) == plain(" ".join(some))
+
+
+def test_license_rows(spark):
+    """Nulls, repeats, clashing names, and long texts in little time."""
+    long = [MIT + "\n" + "word " * 200_000, (MIT + "\n\n") * 200, "license " * 100_000, "software the of " * 60_000 + "license"]
+    rows = [(1, "Released under the MIT License.", "x", 1), (1, "Released under the MIT License.", "x", 1), (None, "Released under the MIT License.", "x", 1), (2, None, "x", 1), (3, "", "x", 1)]
+    began = time.time()
+    df = spark.createDataFrame(rows + [(10 + i, t, "x", 1) for i, t in enumerate(long)], "doc_id long, text string, license string, start int").repartition(4)
+    got = Counter((r.doc_id, r.license) for r in licenses.find(df).collect())
+    assert got[(1, "MIT")] == 2 and got[(None, "MIT")] == 1 and got[(10, "MIT")] == 1 and not {2, 3, 12} & {k[0] for k in got}
+    assert time.time() - began < 60
+
+
 def test_licenses_of_all_documents(spark):
-    notices = {t: n for n, t in licenses.TEMPLATES if len(t) < 80}
+    notices = {t: n for n, t in licenses.TEMPLATES if len(t) < 80 and not any(t != o and t in o for _, o in licenses.TEMPLATES if len(o) < 80)}
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     want = Counter((r.doc_id, n) for r in docs for t, n in notices.items() for _ in range(r.text.count(t)))
     got = Counter((r.doc_id, r.license) for r in QUERIES["op4_licenses"](spark, SF).collect())

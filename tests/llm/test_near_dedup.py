@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as pipe
-from blocksearch.llm import exact_dedup
+from blocksearch.llm import exact_dedup, trie
 from blocksearch.llm import near_dedup as op
+from blocksearch.llm.simhash import keep_similar
 
 SF = "/root/testdata/sf0.01"
 
@@ -48,8 +49,9 @@ def copies(seed=3):
 def test_against_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(op, "HOT", hot)
     monkeypatch.setattr(op, "ROWS", 50)
+    monkeypatch.setattr(trie, "CROWD", 4)
     rows = copies()
-    kept = op.keep_one(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, at string").repartition(3))
+    kept = keep_similar(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, at string").repartition(3))
     assert kept.columns == ["doc_id", "text", "at"] and sorted(r.doc_id for r in kept.collect()) == sorted(brute(rows))
 
 
@@ -65,6 +67,55 @@ def test_bounds_lose_no_pair():
             assert (5 * shared >= 4 * (shared + apart)) == (shared >= op.least_shared(len(a), len(b)))
 
 
+def test_a_crowd_of_near_copies_and_a_frequent_passage(spark):
+    """Many copies with a word changed here and there, beside many texts that
+    share a passage with them and are less alike."""
+    rng = random.Random(1)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = []
+    for i in range(500):
+        words = f"{passage} tail one two three four".split() if i % 2 else f"{passage} {' '.join(rng.choice('abcdefgh') + str(rng.randrange(900)) for _ in range(rng.randrange(12, 40)))}".split()
+        if rng.random() < 0.7:
+            words[rng.randrange(len(words))] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    kept = keep_similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(brute(rows))
+
+
+def test_self_join_with_a_condition(monkeypatch):
+    """Against all pairs; equal and near fingerprints, some of them crowds, and a
+    condition that refuses half of the pairs."""
+    monkeypatch.setattr(trie, "TOGETHER", 7)
+    monkeypatch.setattr(trie, "PAIRS", 500)
+    rng = np.random.default_rng(4)
+    for radius in (0, 3, 26):
+        sizes = [1, 2, 90, 5, 40, 1]
+        fps = np.concatenate([np.sort(rng.integers(0, 1 << 63, 6).astype(np.uint64)[rng.integers(0, 6, k)] ^ rng.integers(0, 8, k).astype(np.uint64)) for k in sizes])
+        group = rng.integers(0, 2, len(fps))
+        stops = np.cumsum(sizes)
+        got = trie.self_join(fps, stops, radius, lambda x, y: group[x] == group[y])
+        label = list(range(len(fps)))
+        for a, b in zip([0, *stops], stops, strict=False):
+            for i in range(a, b):
+                for j in range(a, i):
+                    if group[i] == group[j] and int(fps[i] ^ fps[j]).bit_count() <= radius:
+                        low, high = sorted((label[i], label[j]))
+                        label = [low if x == high else x for x in label]
+        assert got.tolist() == label
+
+
+def test_the_budget_is_beyond_what_texts_at_the_similarity_differ_in():
+    rng = np.random.default_rng(6)
+    most = 0
+    for n in (5, 9, 10, 20, 50, 200, 1000):
+        for _ in range(400):
+            gone = n // 5
+            pool = rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + rng.integers(0, 2, n).astype(np.uint64)
+            a, b = pool, pool[gone:]
+            most = max(most, (op.packed(op.majority(a), len(a)) ^ op.packed(op.majority(b), len(b))).bit_count())
+    assert most <= op.BUDGET
+
+
 def test_the_stage_drops_every_near_copy_and_no_other(spark):
     """With copies one to eleven fingerprint bits apart, which two bits pass over."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -77,5 +128,5 @@ def test_the_stage_drops_every_near_copy_and_no_other(spark):
 
 def test_nulls_and_repeats(spark):
     df = spark.createDataFrame([(None, "a b c"), (4, "A b  c"), (None, None), (2, "x"), (2, "x")], "doc_id long, text string")
-    assert sorted((r.doc_id for r in op.keep_one(df).collect()), key=str) == [2, 4, None]
-    assert op.keep_one(df.limit(0)).count() == 0
+    assert sorted((r.doc_id for r in keep_similar(df).collect()), key=str) == [2, 4, None]
+    assert keep_similar(df.limit(0)).count() == 0

@@ -7,6 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from blocksearch.llm import simhash as op
+from blocksearch.llm import trie
 from blocksearch.llm.components import components
 
 
@@ -75,8 +76,8 @@ def test_links_of_a_dense_ball(spark, radius):
 def test_walk_in_small_chunks(monkeypatch):
     rng = np.random.default_rng(1)
     fps = np.unique(rng.integers(0, 1 << 12, 800).astype(np.uint64))
-    monkeypatch.setattr(op, "PAIRS", 64)
-    got = op._walk(fps, np.array([len(fps)]), 2)
+    monkeypatch.setattr(trie, "PAIRS", 64)
+    got = trie.self_join(fps, np.array([len(fps)]), 2)
     want = classes([int(x) for x in fps])
     assert got.tolist() == want
 
