@@ -13,7 +13,7 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs, crc_of_id() % 4 != 2)
     out = language.identify(docs, model)
-    return out.select("doc_id", (crc_of_id() % 4 == 2).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(crc_of_id() % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op2_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), crc_of_id() % 5 != 0)
     out = toxicity.predict(docs, model)
-    return out.select("doc_id", (crc_of_id() % 5 == 0).alias("held_out"), "score", "predicted")
+    return out.select("doc_id", F.coalesce(crc_of_id() % 5 == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

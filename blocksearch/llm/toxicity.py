@@ -4,7 +4,8 @@ Features of a text are the hashes of its words, of pairs of neighbours and of
 pairs with one or two words between (skip-grams), each counted once. Training
 takes a bounded sample of labelled rows in one task: every coordinate has its
 own rate, and the L1 term leaves most weights at exactly zero, so that the
-model is a short sorted array that goes to every task with the code.
+model is a short sorted array that goes to every task with the code. All nonzero
+weights are kept.
 """
 
 from __future__ import annotations
@@ -18,13 +19,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import configure
+from .common import configure, trim
 
-#: Labelled rows of each class that training sees at most, and weights kept at
-#: most (the heaviest). They bound the training task and the broadcast model.
-SAMPLE, WEIGHTS = 3000, 200_000
-#: A feature has to be in so many sampled texts.
+#: Labelled rows of each class that training sees at most. They bound the training
+#: task and the model.
+SAMPLE = 3000
+#: A feature has to be in so many sampled texts (in fewer of a small sample).
 LEAST_DOCS = 4
+#: Counters by which features in fewer texts are found out, before any is sorted.
+SLOTS = 1 << 23
 EPOCHS = 10
 _STRIP = b".,;:!?\"'()[]{}<>|*#%&$-_"
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -55,10 +58,19 @@ def features(text: bytes | None) -> np.ndarray:
 
 
 def train(texts: list[bytes | None], labels: list[int], how: Ftrl = Ftrl()) -> tuple[np.ndarray, np.ndarray, float]:
-    """Sorted feature hashes with nonzero weight, the weights, and the bias."""
+    """Sorted feature hashes with nonzero weight, the weights, and the bias.
+    Without texts there is no feature, and the bias is 0."""
+    if not texts:
+        return np.zeros(0, np.uint64), np.zeros(0), 0.0
     each = [features(t) for t in texts]
-    names, counts = np.unique(np.concatenate([*each, np.zeros(0, np.uint64)]), return_counts=True)
-    names = names[counts >= min(LEAST_DOCS, max(1, len(texts) // 20))]
+    least = min(LEAST_DOCS, max(1, len(texts) // 20))
+    slots = np.zeros(SLOTS, np.uint32)
+    for f in each:  # a slot counts its features' texts, or more where some share it
+        np.add.at(slots, (f % np.uint64(SLOTS)).astype(np.int64), 1)
+    each = [f[slots[(f % np.uint64(SLOTS)).astype(np.int64)] >= least] for f in each]
+    del slots
+    names, counts = np.unique(np.concatenate(each), return_counts=True)
+    names = names[counts >= least]
     rows = []
     for f in each:
         at = np.searchsorted(names, f)
@@ -84,8 +96,6 @@ def train(texts: list[bytes | None], labels: list[int], how: Ftrl = Ftrl()) -> t
     w = weights(np.arange(len(names) + 1))
     bias = float(w[-1])
     keep = np.flatnonzero(w[:-1])
-    if len(keep) > WEIGHTS:
-        keep = np.sort(keep[np.argsort(-np.abs(w[keep]))[:WEIGHTS]])
     return names[keep], w[keep], bias
 
 
@@ -104,7 +114,7 @@ class Model:
         f = features(text)
         f = f[self.map[(f >> np.uint64(42)).astype(np.int64)]]
         total = self.bias
-        if len(f):
+        if len(f) and len(self.names):
             at = np.searchsorted(self.names, f)
             at[at == len(self.names)] = 0
             total += float(self.weights[at[self.names[at] == f]].sum())
@@ -114,7 +124,9 @@ class Model:
 def sample(docs: DataFrame, labels: DataFrame, use: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", size: int = SAMPLE) -> DataFrame:
     """``text, label`` of at most ``size`` labelled rows of each class, chosen by
     the hash of the identifier among the rows of ``labels`` where ``use`` holds.
-    A repeated identifier counts once."""
+    A repeated identifier counts once: as 1 if any of its labels is 1, and with
+    the least of its texts. Labels other than 0 and 1 and null identifiers are
+    passed over; a null text has no feature."""
     usable = labels.where(use & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     chosen = None
     for value in (0, 1):
@@ -126,7 +138,8 @@ def sample(docs: DataFrame, labels: DataFrame, use: Column, label_col: str = "to
 
 
 def fit(docs: DataFrame, labels: DataFrame, use: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", size: int = SAMPLE, how: Ftrl = Ftrl()) -> Model:
-    """Train on a bounded sample, in one task; only the weights come back."""
+    """Train on a bounded sample, in one task; only the weights come back.
+    Without labelled rows nothing is learned."""
     configure(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,11 +149,13 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, label_col: str = "toxic
             ys += batch.column(1).to_pylist()
         names, weights, bias = train(texts, ys, how)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(names.view(np.int64), 0)), pa.array(np.append(weights, bias)), pa.array([False] * len(names) + [True])], names=["name", "weight", "bias"])
+        del texts, names, weights
+        trim()
 
     chosen = sample(docs, labels, use, label_col, id_col, text_col, size)
     one = chosen.select(F.col("text").cast("binary"), "label").repartition(1).sortWithinPartitions("label", "text")
     got = one.mapInArrow(run, "name long, weight double, bias boolean").toPandas()
-    bias = float(got.loc[got["bias"], "weight"].sum())
+    bias = float(got.loc[got["bias"], "weight"].sum()) if len(got) else 0.0
     got = got[~got["bias"]]
     return Model(got["name"].to_numpy(np.int64).view(np.uint64), got["weight"].to_numpy(float), bias)
 
@@ -162,13 +177,19 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, score, predicted`` of each row.
 
-    Null and empty texts get the score of the bias alone; repeated rows stay; an
-    empty table gives no rows. Without labelled rows the model is its bias, 0,
-    and every score 0.5."""
+    Null and empty texts get the score of the bias alone; repeated rows and null
+    identifiers stay; an empty table gives no rows; other columns are not looked
+    at. A score of just 0.5 counts as 1, so where nothing was learned each text
+    has it and is predicted 1."""
     out = scored(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model)
     return out.select("_row.doc_id", F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, whole, that are not predicted toxic."""
+    """The rows of ``docs``, whole, that are not predicted toxic. Null and empty
+    texts go or stay by the bias alone; repeated rows go or stay together; null
+    identifiers and all other columns stay as they are; an empty table stays
+    empty. A model that has learned nothing rejects nothing."""
+    if not len(model.names) and not model.bias:
+        return docs
     return scored(docs, model, text_col).where(F.col("_score") < 0.5).select("_row.*")
