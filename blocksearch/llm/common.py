@@ -24,10 +24,14 @@ def configure(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Where it is unset, as in tests on one machine, a new local folder is made
-    and set as the checkpoint folder of the session."""
+    Where it is unset and all tasks run on this machine, as in tests, a new
+    local folder is made and set as the checkpoint folder of the session; on a
+    cluster that is an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="blocksearch-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -47,7 +51,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*made: DataFrame) -> None:
+    """Remove what ``materialise`` wrote, once all that was to be read from it has
+    been written in turn."""
+    for df in made:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def trim() -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -40,8 +40,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     mark = seen(edges)
     while mark[0]:
-        edges = materialise(_star(_star(edges, True), False), "edges")
+        before, edges = edges, materialise(_star(_star(edges, True), False), "edges")
         new = seen(edges)
+        discard(before)
         if new == mark:
             break
         mark = new
