@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The keys of the styles.
 STYLES = (
     ("warm", "Warm", "Understanding and support", "Answer with kindness; let the reader feel heard."),
     ("sharp", "Sharp", "Straight to the core", "Name the core of the matter directly."),
@@ -13,6 +14,8 @@ STYLES = (
     ("cosmic", "Cosmic", "The wide view", "Place it in a wider scale of time and meaning."),
 )
 DEFAULT_STYLE = "warm"
+# The labels by which a settings string names a style.
+LABELS = (("温暖回应", "warm"), ("一针见血", "sharp"), ("激发思考", "thoughtProvoking"), ("灵感火花", "sparks"), ("宇宙视角", "cosmic"))
 
 
 def styles(spark: SparkSession) -> DataFrame:
@@ -21,10 +24,13 @@ def styles(spark: SparkSession) -> DataFrame:
 
 
 def style_key(setting: Column) -> Column:
-    """A settings string to a style: the first whose key it has in it."""
+    """A settings string to a style: the first whose label it has in it, else the
+    first whose key."""
     out = F.lit(DEFAULT_STYLE)
     for key, *_ in reversed(STYLES):
         out = F.when(F.lower(setting).contains(key.lower()), key).otherwise(out)
+    for label, key in reversed(LABELS):
+        out = F.when(setting.contains(label), key).otherwise(out)
     return out
 
 

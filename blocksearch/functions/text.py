@@ -21,6 +21,7 @@ def preprocess(c: Column) -> Column:
     off, in this order; the order decides where double spaces stay. After the
     first step a space is the only white space there is."""
     c = F.trim(F.regexp_replace(c, f"[{JSWS}]+", " "))
+    # The patterns of links, tags, bold and italic.
     for pattern, by in ((r"\[\[([^\]]+)\]\]", "$1"), (r"#[A-Za-z0-9_]+", ""), (r"\*\*([^*]+)\*\*", "$1"), (r"\*([^*]+)\*", "$1")):
         c = F.regexp_replace(c, pattern, by)
     return F.trim(c)

@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a local folder only where it is unset, as in
-    tests on one machine."""
+    """``spark.checkpoint.dir``; a local folder only where it is unset and all
+    tasks run on this machine. On a cluster it has to be set."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="blocksearch-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")

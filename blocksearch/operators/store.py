@@ -1,21 +1,35 @@
 """A mutable vector store on Parquet.
 
-Rows live in segments, one folder a shard: ``<root>/segments/<n>/_s=<shard>``.
+Rows live in segments, one folder a shard: ``<root>/segments/g=<n>/_s=<shard>``.
 A manifest, one row for each (segment, shard) that is live with its number of
-rows, says what the store holds; every mutation writes new segments and then a
-new manifest under the next version, so that a reader sees all of a mutation or
-nothing. A delete or update rewrites only the shards that hold its keys; an
-append adds a segment to the last shard and those after it. A shard that loses
-all its rows stays in the manifest, empty; none is renumbered.
+rows, says what the store holds. A mutation, even one that removes rows and adds
+others, writes new segments, then a manifest in a folder of its own, and last the
+name of that folder under the next version's number. That last step is a rename
+that fails if the number is taken: a reader sees all of a mutation or nothing,
+and of two writers that began from one version the second gets ``Conflict`` and
+has changed nothing.
+
+A delete or update rewrites only the shards that hold its keys; an append adds a
+segment to the last shard and those after it. A shard that loses all its rows
+stays in the manifest, empty; none is renumbered.
+
+Scans read the folders of live segments, their shards as partition columns, and
+keep what the manifest names; the files of single shards are never asked for one
+by one. A shard that is gone is passed over with a warning; what would write its
+loss down, a rewrite, raises ``Incomplete``.
 """
 
 from __future__ import annotations
 
 import time
+import uuid
+import warnings
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
 from ..functions.vectors import round4
@@ -24,6 +38,16 @@ from .blocks import chunked, last_wins, numbered
 
 _MANIFEST = "segment int, shard_id int, n long, timestamp_ms long, format int"
 _DATA = VECTORS.names
+_FILES = T.StructType([*VECTORS.fields, T.StructField("g", T.IntegerType()), T.StructField("_s", T.IntegerType())])
+Entry = tuple[int, int, int]
+
+
+class Conflict(RuntimeError):
+    """Another writer has committed the version that this one would have."""
+
+
+class Incomplete(RuntimeError):
+    """Files of rows that a mutation would rewrite are missing or unreadable."""
 
 
 class VectorStore:
@@ -38,55 +62,116 @@ class VectorStore:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _exists(self, path: str) -> bool:
+    def _names(self, path: str) -> list[str]:
+        """What stands in a folder; nothing if there is none."""
         fs, p = self._fs(path)
-        return fs.exists(p)
+        return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
 
     def _version(self) -> int:
-        """The highest manifest that was written whole; 0 if none."""
-        fs, p = self._fs(f"{self.root}/manifests")
-        if not fs.exists(p):
-            return 0
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        return max([int(n) for n in names if n.isdigit() and self._exists(f"{self.root}/manifests/{n}/_SUCCESS")], default=0)
-
-    def _rows(self) -> list[Row]:
-        version = self._version()
-        return self.spark.read.schema(_MANIFEST).parquet(f"{self.root}/manifests/{version}").collect() if version else []
-
-    def _commit(self, rows: list[tuple[int, int, int]]) -> None:
-        now = self.clock()
+        """The highest version committed; 0 if none."""
+        return max([int(n) for n in self._names(f"{self.root}/versions") if n.isdigit()], default=0)
+
+    def _manifest(self, version: int) -> str:
+        fs, p = self._fs(f"{self.root}/versions/{version}")
+        stream = fs.open(p)
+        try:
+            name = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return f"{self.root}/manifests/{name}"
+
+    def _rows(self, version: int | None = None) -> list[Row]:
+        """The manifest: a few numbers for each shard and segment."""
+        version = self._version() if version is None else version
+        return self.spark.read.schema(_MANIFEST).parquet(self._manifest(version)).collect() if version else []
+
+    def _commit(self, rows: list[Entry], base: int) -> None:
+        """Make ``rows`` the version after ``base``."""
+        now, name = self.clock(), uuid.uuid4().hex
         frame = self.spark.createDataFrame([(s, shard, n, now, 1) for s, shard, n in rows], _MANIFEST)
-        frame.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifests/{self._version() + 1}")
+        frame.coalesce(1).write.parquet(f"{self.root}/manifests/{name}")
+        fs, versions = self._fs(f"{self.root}/versions")
+        fs.mkdirs(versions)
+        _, draft = self._fs(f"{self.root}/versions/.{name}")
+        out = fs.create(draft, False)
+        out.write(bytearray(name.encode()))
+        out.close()
+        jvm = self.spark._jvm
+        _, place = self._fs(f"{self.root}/versions/{base + 1}")
+        kind = jvm.org.apache.hadoop.fs.Options.Rename
+        how = self.spark.sparkContext._gateway.new_array(kind, 1)
+        how[0] = kind.NONE  # an error if the name is taken
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri(), self.spark._jsc.hadoopConfiguration()).rename(draft, place, how)
+        except Exception as e:
+            fs.delete(draft, False)
+            if fs.exists(place):
+                raise Conflict(f"version {base + 1} of {self.root} is another writer's") from e
+            raise
+        self._forget()
+
+    def _forget(self) -> None:
         if self._cache is not None:
             self._cache.unpersist()
             self._cache = None
 
     def _path(self, segment: int, shard: int) -> str:
-        return f"{self.root}/segments/{segment}/_s={shard}"
+        return f"{self.root}/segments/g={segment}/_s={shard}"
 
-    def _write(self, rows: DataFrame) -> list[tuple[int, int, int]]:
+    def _write(self, rows: DataFrame) -> list[Entry]:
         """A new segment of ``rows``; its (segment, shard, rows)."""
-        segment = max([r.segment for r in self._rows()], default=0) + 1
-        while self._exists(f"{self.root}/segments/{segment}"):  # left by a mutation that failed
-            segment += 1
-        place = f"{self.root}/segments/{segment}"
-        rows.select(*_DATA, F.col("shard_id").alias("_s")).repartition("_s").write.partitionBy("_s").parquet(place)
-        fs, path = self._fs(place)
-        if not any(status.isDirectory() for status in fs.listStatus(path)):  # no row, so no shard
+        fs, place = None, None
+        while place is None:  # a folder that is made here belongs to this writer
+            taken = [int(n[2:]) for n in self._names(f"{self.root}/segments") if n.startswith("g=")]
+            segment = max(taken, default=0) + 1
+            fs, p = self._fs(f"{self.root}/segments/g={segment}/.claim")
+            try:
+                fs.create(p, False).close()
+                place = f"{self.root}/segments/g={segment}"
+            except Exception:
+                if not fs.exists(p):
+                    raise
+        rows.select(*_DATA, F.col("shard_id").alias("_s")).repartition("_s").write.mode("append").partitionBy("_s").parquet(place)
+        if not any(n.startswith("_s=") for n in self._names(place)):  # no row, so no shard
             return []
         counts = self.spark.read.schema(VECTORS).parquet(place).groupBy("shard_id").count().collect()
         return [(segment, r["shard_id"], r["count"]) for r in counts]
 
-    def _read(self, rows: list[Row]) -> DataFrame:
-        """The rows of these manifest entries. A shard whose folder is missing
-        is passed over, as is a file that can't be read."""
-        paths = [p for p in (self._path(r.segment, r.shard_id) for r in rows if r.n) if self._exists(p)]
-        if not paths:
+    def _there(self, rows: list[Row]) -> dict[int, set[str]]:
+        """The shard folders of the segments of these entries; a listing each."""
+        return {s: {n for n in self._names(f"{self.root}/segments/g={s}") if n.startswith("_s=")} for s in {r.segment for r in rows if r.n}}
+
+    def _lost(self, rows: list[Row], there: dict[int, set[str]] | None = None) -> list[int]:
+        """The shards of these entries that have no folder."""
+        there = self._there(rows) if there is None else there
+        return sorted({r.shard_id for r in rows if r.n and f"_s={r.shard_id}" not in there[r.segment]})
+
+    def _read(self, rows: list[Row], whole: bool = False) -> DataFrame:
+        """The rows of these manifest entries. A shard whose folder is missing is
+        passed over with a warning, and a file that can't be read with one in
+        Spark's log; if they must be ``whole``, that is an error."""
+        there = self._there(rows)
+        lost = self._lost(rows, there)
+        if lost and whole:
+            raise Incomplete(f"shards {lost} of {self.root} are missing")
+        if lost:
+            warnings.warn(f"shards {lost} of {self.root} are missing and passed over", stacklevel=3)
+        places = [f"{self.root}/segments/g={s}" for s in sorted(there) if there[s]]
+        if not places:
             return self.spark.createDataFrame([], VECTORS)
-        return self.spark.read.schema(VECTORS).option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").parquet(*paths)
+        live = [(r.segment, r.shard_id) for r in rows if r.n]
+        skip = "false" if whole else "true"
+        read = self.spark.read.schema(_FILES).option("basePath", f"{self.root}/segments").option("ignoreCorruptFiles", skip).option("ignoreMissingFiles", skip).parquet(*places)
+        if sum(map(len, there.values())) == len(live):  # nothing there is dead
+            return read.select(*_DATA)
+        named = self.spark.createDataFrame(live, "g int, _s int")
+        return read.join(named, ["g", "_s"], "left_semi").select(*_DATA)
 
     # -- scans ---------------------------------------------------------------
+    def exists(self) -> bool:
+        """Whether the store has been written to at all."""
+        return bool(self._names(self.root))
+
     def has_data(self) -> bool:
         return bool(self._rows())
 
@@ -127,25 +212,28 @@ class VectorStore:
     def overwrite(self, rows: DataFrame) -> int:
         """Replace all. Empty input changes nothing; the old version stays
         readable until the new one is whole."""
-        if rows.isEmpty():
-            return 0
+        base = self._version()
         new = self._write(self._prepared(rows, 0, 0, 0))
-        self._commit(new)
+        if new:
+            self._commit(new, base)
         return sum(n for *_, n in new)
 
     def append(self, rows: DataFrame) -> int:
         """Add rows after the last; keys that are stored already are replaced."""
-        if rows.isEmpty():
-            return 0
-        self.delete(rows.select("block_uuid"))
-        old = self._rows()
-        if not old:
-            return self.overwrite(rows)
-        last = max(r.shard_id for r in old)
-        fill = sum(r.n for r in old if r.shard_id == last)
-        start = (self.scan().agg(F.max("ord")).first()[0] or 0) + 1
-        new = self._write(self._prepared(rows, last, fill, start))
-        self._commit([(r.segment, r.shard_id, r.n) for r in old] + new)
+        return self.replace(rows, rows.select("block_uuid"))
+
+    def replace(self, rows: DataFrame, gone: DataFrame) -> int:
+        """Remove the keys ``gone`` and those of ``rows``, and add ``rows`` after
+        the last, in one commit. Returns the rows added."""
+        base = self._version()
+        old = [(r.segment, r.shard_id, r.n) for r in self._rows(base)]
+        kept = self._without(base, gone.select("block_uuid").unionByName(rows.select("block_uuid")))[0] if old else []
+        last = max([shard for _, shard, _ in kept], default=0)
+        fill = sum(n for _, shard, n in kept if shard == last)
+        start = (self._read(self._rows(base)).agg(F.max("ord")).first()[0] if old else None) or 0
+        new = self._write(self._prepared(rows, last, fill, start + bool(old)))
+        if new or kept != old:
+            self._commit(kept + new, base)
         return sum(n for *_, n in new)
 
     def save(self, rows: DataFrame, incremental: bool) -> int:
@@ -156,72 +244,101 @@ class VectorStore:
         """The shards that hold any of ``ids(block_uuid)``."""
         return self.scan().select("block_uuid", "shard_id").join(ids.select("block_uuid"), "block_uuid", "left_semi").select("shard_id").distinct()
 
-    def _rewrite(self, shards: set[int], change: Callable[[DataFrame], DataFrame]) -> None:
-        old = self._rows()
+    def _hit(self, rows: list[Row], ids: DataFrame) -> dict[int, int]:
+        """How many rows of each shard have these keys."""
+        found = self._read(rows).select("block_uuid", "shard_id").join(ids.select("block_uuid"), "block_uuid", "left_semi").groupBy("shard_id").count().collect()
+        return {r["shard_id"]: r["count"] for r in found}
+
+    def _rewritten(self, old: list[Row], shards: set[int], change: Callable[[DataFrame], DataFrame]) -> list[Entry]:
+        """The manifest after ``change`` of these shards, not committed yet."""
         part = [r for r in old if r.shard_id in shards]
-        new = self._write(change(self._read(part)))
-        have = {shard for _, shard, _ in new}
-        empty = [(max(r.segment for r in part if r.shard_id == s), s, 0) for s in sorted(shards - have)]
-        self._commit([(r.segment, r.shard_id, r.n) for r in old if r.shard_id not in shards] + new + empty)
+        try:
+            whole = self._read(part, whole=True)
+            have = whole.count()
+        except PySparkException as e:
+            raise Incomplete(f"shards {sorted(shards)} of {self.root} can't be read") from e
+        if have != sum(r.n for r in part):
+            raise Incomplete(f"shards {sorted(shards)} of {self.root} have {have} of {sum(r.n for r in part)} rows")
+        new = self._write(change(whole))
+        full = {shard for _, shard, _ in new}
+        empty = [(max(r.segment for r in part if r.shard_id == s), s, 0) for s in sorted(shards - full)]
+        return [(r.segment, r.shard_id, r.n) for r in old if r.shard_id not in shards] + new + empty
+
+    def _without(self, base: int, ids: DataFrame) -> tuple[list[Entry], int]:
+        """The manifest without these keys, not committed yet, and the rows
+        that it lacks."""
+        old, ids = self._rows(base), ids.distinct()
+        hit = self._hit(old, ids)
+        if not hit:
+            return [(r.segment, r.shard_id, r.n) for r in old], 0
+        return self._rewritten(old, set(hit), lambda rows: rows.join(ids, "block_uuid", "left_anti")), sum(hit.values())
 
     def delete(self, ids: DataFrame) -> int:
         """Remove keys; unknown ones are passed over. Returns the rows removed."""
-        ids = ids.select("block_uuid").distinct()
-        hit = self.scan().select("block_uuid", "shard_id").join(ids, "block_uuid", "left_semi").groupBy("shard_id").count().collect()
-        if hit:
-            self._rewrite({r["shard_id"] for r in hit}, lambda rows: rows.join(ids, "block_uuid", "left_anti"))
-        return sum(r["count"] for r in hit)
+        base = self._version()
+        kept, gone = self._without(base, ids.select("block_uuid"))
+        if gone:
+            self._commit(kept, base)
+        return gone
 
     def update(self, rows: DataFrame, order: str | None = None) -> int:
         """Replace whole rows by key, in place; of repeated keys the last by
-        ``order`` counts; unknown keys are passed over. Returns the rows replaced."""
-        rows = last_wins(rows, "block_uuid", order or "block_content")
+        ``order`` counts (``ord``, if the rows have it, else ``block_content``);
+        unknown keys are passed over. Returns the rows replaced."""
+        base = self._version()
+        old = self._rows(base)
+        rows = last_wins(rows, "block_uuid", order or ("ord" if "ord" in rows.columns else "block_content"))
         stamp = F.col("last_updated_ms") if "last_updated_ms" in rows.columns else F.lit(self.clock())
         new = rows.select("block_uuid", F.struct("page_name", "block_content", round4(F.col("vector")).alias("vector"), stamp.alias("last_updated_ms")).alias("_new"))
-        hit = self.scan().select("block_uuid", "shard_id").join(new.select("block_uuid"), "block_uuid", "left_semi").groupBy("shard_id").count().collect()
+        hit = self._hit(old, new)
         if hit:
             names = ["page_name", "block_content", "vector", "last_updated_ms"]
 
-            def change(old: DataFrame) -> DataFrame:
-                met = old.join(new, "block_uuid", "left")
+            def change(rows: DataFrame) -> DataFrame:
+                met = rows.join(new, "block_uuid", "left")
                 return met.select("block_uuid", *[F.when(F.col("_new").isNotNull(), F.col(f"_new.{n}")).otherwise(F.col(n)).alias(n) for n in names], "ord", "shard_id")
 
-            self._rewrite({r["shard_id"] for r in hit}, change)
-        return sum(r["count"] for r in hit)
+            self._commit(self._rewritten(old, set(hit), change), base)
+        return sum(hit.values())
 
     def clear(self) -> None:
         """Remove all files; clearing an empty store is no error."""
-        if self._cache is not None:
-            self._cache.unpersist()
-            self._cache = None
+        self._forget()
         fs, p = self._fs(self.root)
         if fs.exists(p):
             fs.delete(p, True)
 
     def vacuum(self) -> None:
-        """Remove what the newest manifest doesn't name."""
-        version, live = self._version(), {r.segment for r in self._rows()}
-        for folder, keep in (("manifests", {str(version)}), ("segments", {str(s) for s in live})):
-            fs, p = self._fs(f"{self.root}/{folder}")
-            for status in fs.listStatus(p) if fs.exists(p) else []:
-                if status.getPath().getName() not in keep:
-                    fs.delete(status.getPath(), True)
+        """Remove what the newest version doesn't name. For a time when nobody
+        reads an older version or writes a newer one."""
+        version = self._version()
+        if not version:
+            return
+        live = {f"g={r.segment}" for r in self._rows(version)}
+        for folder, keep in (("versions", {str(version)}), ("manifests", {self._manifest(version).rpartition("/")[2]}), ("segments", live)):
+            for name in set(self._names(f"{self.root}/{folder}")) - keep:
+                fs, p = self._fs(f"{self.root}/{folder}/{name}")
+                fs.delete(p, True)
 
     # -- reports -------------------------------------------------------------
     def bytes(self) -> int:
-        """Bytes of the files that hold live rows."""
-        total = 0
-        for r in self._rows():
-            fs, p = self._fs(self._path(r.segment, r.shard_id))
-            total += fs.getContentSummary(p).getLength() if fs.exists(p) else 0
-        return total
+        """Bytes of the files that hold live rows, as scans list them."""
+        rows = [r for r in self._rows() if r.n]
+        if not rows or len(self._lost(rows)) == len({r.shard_id for r in rows}):
+            return 0
+        live = {(r.segment, r.shard_id) for r in rows}
+        places = [f"{self.root}/segments/g={s}" for s in sorted({r.segment for r in rows})]
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(places).select("path", "length")
+        at = files.select(F.regexp_extract("path", r"/g=(\d+)/_s=", 1).cast("int").alias("g"), F.regexp_extract("path", r"/_s=(\d+)/", 1).cast("int").alias("_s"), "length")
+        named = self.spark.createDataFrame(sorted(live), "g int, _s int")
+        return at.join(named, ["g", "_s"], "left_semi").agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
 
     def stats(self) -> DataFrame:
         """One row: rows and dimension in the data, the dimension set, shards,
-        logical bytes of text, and the backend."""
+        logical bytes of text, bytes of files, and the backend."""
         shards = len({r.shard_id for r in self._rows()})
         return self.scan().agg(
-            F.count("*").alias("record_count"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("dim"), F.lit(self.settings.dim).alias("configured_dim"),
+            F.lit(self.bytes()).cast("long").alias("file_bytes"), F.count("*").alias("record_count"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("dim"), F.lit(self.settings.dim).alias("configured_dim"),
             F.lit(shards).alias("total_chunks"), F.coalesce(F.sum(F.octet_length("block_content")), F.lit(0)).cast("long").alias("text_bytes"), F.lit("parquet").alias("backend"),
         )
 
@@ -232,7 +349,9 @@ class VectorStore:
         if not rows:
             return self.spark.createDataFrame([(False, False, 0, 0, False, ["no manifest"], 0, 0)], names)
         shards = sorted({r.shard_id for r in rows})
-        lost = sorted({r.shard_id for r in rows if r.n and not self._exists(self._path(r.segment, r.shard_id))})
-        count, said = self.scan().count(), sum(r.n for r in rows)
+        lost = self._lost(rows)
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            count, said = self.scan().count(), sum(r.n for r in rows)
         issues = [f"missing shards: {', '.join(map(str, lost))}"] if lost else [f"{count} rows of {said}"] if count != said else []
         return self.spark.createDataFrame([(True, not lost, count, self.bytes(), not issues, issues, len(shards) - len(lost), len(shards))], names)

@@ -7,6 +7,8 @@ import urllib.request
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from ..schema import Settings
+
 Generator = Callable[[str], str]
 
 
@@ -43,6 +45,15 @@ class HttpGenerator:
         return text
 
 
+def generator_of(settings: Settings, url: str = "", model: str = "", key: str = "") -> Generator:
+    """The generator that goes with the settings' provider, with their
+    temperature, length and timeout; the cloud service alone has a timeout."""
+    if settings.provider == "hashing":
+        return extractive
+    local = settings.provider == "local"
+    return generator(settings.provider, url=url, model=model, key="" if local else key, temperature=settings.temperature, max_tokens=settings.max_tokens, timeout_s=None if local else settings.timeout_s)
+
+
 def generator(kind: str, **how) -> Generator:
     """By name; an unknown one is an error."""
     if kind == "extractive":

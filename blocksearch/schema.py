@@ -25,7 +25,9 @@ VECTORS = T.StructType([
 @dataclass(frozen=True)
 class Settings:
     """Defaults of the engine. ``provider`` names the embedder; the dimension
-    follows from it unless given."""
+    follows from it unless given. ``batch`` texts are embedded at once; ``batch``
+    and ``flush`` number the progress of a run; ``summary`` says whether a search
+    writes one."""
 
     provider: str = "hashing"
     dimension: int | None = None
@@ -41,7 +43,7 @@ class Settings:
     temperature: float = 0.1
     max_tokens: int = 4000
     style: str = "warm"
-    response_page: str = "AI responses"
+    response_page: str = "AIResponse"  # fixed value
     summary: bool = False
     dimensions: dict[str, int] = field(default_factory=lambda: {"local": 768, "cloud": 1024, "hashing": 256})
 
@@ -50,8 +52,12 @@ class Settings:
         return self.dimension or self.dimensions[self.provider]
 
 
+# The settings string of the local service, and what it is known by.
+LOCAL_SETTING, LOCAL_NAME = "Ollama本地模型 / Ollama Local Model", "Ollama"
+
+
 def provider_of(name: str | None) -> str:
-    """A settings string to a provider: ``local`` if it names the local
-    service, ``hashing`` if asked for, else ``cloud``."""
-    low = (name or "").lower()
-    return "local" if "local" in low else "hashing" if "hash" in low else "cloud"
+    """A settings string to a provider: ``local`` if it names the local service,
+    as it does where none is set, ``hashing`` if asked for, else ``cloud``."""
+    name = name or LOCAL_SETTING
+    return "local" if LOCAL_NAME in name or "local" in name.lower() else "hashing" if "hash" in name.lower() else "cloud"

@@ -7,13 +7,14 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from blocksearch.operators import changes, embed
-from blocksearch.operators.store import VectorStore
+from blocksearch.operators import changes, checkpoint, embed
+from blocksearch.operators.store import Conflict, Incomplete, VectorStore
 from blocksearch.plans import index
 from blocksearch.plans.engine import Engine
 from blocksearch.queries import QUERIES
 from blocksearch.schema import Settings
 from blocksearch.sources import blocks as src
+from blocksearch.streaming.refresh import refresh_stream
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers can't import this file
 
@@ -78,6 +79,72 @@ def test_statuses(spark):
     assert {r.block_uuid for r in changes.survivors(stored, got).collect()} == {"a"}
 
 
+def test_a_commit_is_all_or_nothing(spark, store, monkeypatch):
+    """A writer that dies before its last step leaves the version before it."""
+    store.overwrite(_rows(spark, 0, 25))
+    before = {r.block_uuid: r.page_name for r in store.scan().collect()}
+    commit = store._commit
+
+    def dies(rows, base):
+        raise KeyboardInterrupt
+
+    for work in (lambda: store.append(_rows(spark, 3, 30).withColumn("page_name", F.lit("new"))), lambda: store.replace(_rows(spark, 50, 52), _rows(spark, 0, 9)), lambda: store.delete(_rows(spark, 0, 9)), lambda: store.update(_rows(spark, 1, 2).withColumn("page_name", F.lit("new")))):
+        monkeypatch.setattr(store, "_commit", dies)
+        with pytest.raises(KeyboardInterrupt):
+            work()
+        monkeypatch.setattr(store, "_commit", commit)
+        assert {r.block_uuid: r.page_name for r in store.scan().collect()} == before
+    versions = []
+    monkeypatch.setattr(store, "_commit", lambda rows, base: (versions.append(base), commit(rows, base)))
+    assert store.replace(_rows(spark, 50, 52), _rows(spark, 0, 9)) == 2 and len(versions) == 1  # one commit takes out and puts in
+    assert store.scan().count() == 18
+
+
+def test_of_two_writers_one_wins(spark, store):
+    store.overwrite(_rows(spark, 0, 25))
+    other = VectorStore(spark, store.root, store.settings, lambda: 8)
+    base = store._version()
+    one, two = store._write(store._prepared(_rows(spark, 90, 92), 3, 0, 90)), other._write(other._prepared(_rows(spark, 95, 99), 3, 0, 95))
+    assert {s for s, *_ in one} != {s for s, *_ in two}
+    old = [(r.segment, r.shard_id, r.n) for r in store._rows()]
+    other._commit(old + two, base)
+    with pytest.raises(Conflict):
+        store._commit(old + one, base)
+    assert store.scan().count() == 29 and {r.ord for r in store.scan().where("ord >= 90").collect()} == {95, 96, 97, 98}
+    assert store.append(_rows(spark, 90, 92)) == 2 and store.scan().count() == 31
+    store.vacuum()
+    assert store.scan().count() == 31 and store._version() == base + 2
+
+
+def test_lost_files_are_told_and_not_written_down(spark, store):
+    store.overwrite(_rows(spark, 0, 25))
+    store.append(_rows(spark, 25, 28))  # to the shard that has five rows
+    row = next(r for r in store._rows() if r.shard_id == 2 and r.n == 3)
+    fs, path = store._fs(store._path(row.segment, 2))
+    for status in fs.listStatus(path):
+        if status.getPath().getName().endswith(".parquet"):
+            fs.delete(status.getPath(), False)
+    assert store.scan().count() == 25
+    with pytest.raises(Incomplete):
+        store.update(_rows(spark, 20, 21))
+    fs.delete(path, True)
+    with pytest.warns(UserWarning, match="missing"):
+        assert store.scan().count() == 25
+    with pytest.raises(Incomplete):
+        store.delete(_rows(spark, 20, 21))
+    assert store.update(_rows(spark, 0, 5)) == 5  # its shard is whole
+    assert not store.integrity().first()["can_load"]
+
+
+def test_reports(spark, store):
+    assert store.bytes() == 0 and not store.exists()
+    store.overwrite(_rows(spark, 0, 25))
+    stats = store.stats().first()
+    assert stats["record_count"] == 25 and stats["file_bytes"] == store.bytes() > 0 and store.exists()
+    store.delete(_rows(spark, 0, 25))
+    assert store.stats().first()["record_count"] == 0
+
+
 class Failing(embed.HashingEmbedder):
     def __call__(self, text):
         if "fail" in text:
@@ -133,11 +200,73 @@ def test_engine(spark, tmp_path):
     assert written[0].content == f"{found.count()} related notes" and written[1].content == "((a))" and written[-1].content == "```markdown\nshort\n```"
     chosen = spark.createDataFrame([(2, "second"), (1, "first"), (3, " ")], "ord int, content string")
     assert engine.selection(chosen) == "first\n\nsecond"
-    tree = spark.createDataFrame([("AI responses", 4, "x")], "page_name string, sibling_ord long, content string")
+    tree = spark.createDataFrame([("AIResponse", 4, "x")], "page_name string, sibling_ord long, content string")
     assert engine.respond(chosen, tree, "sharp").first()["sibling_ord"] == 5
     with pytest.raises(ValueError):
         engine.respond(chosen.limit(0), tree)
-    assert engine.status() == {"ready": True, "has_data": True, "cached": True}
+    assert engine.status() == {"ready": True, "storage": True, "has_data": True, "cached": True}
+
+
+def test_a_response_and_its_reference(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}/engine")
+    chosen = spark.createDataFrame([("u1", "p", 3, "first"), ("u2", "p", 7, "second"), ("u3", "p", 9, " ")], "uuid string, page_name string, ord long, content string")
+    tree = spark.createDataFrame([("AIResponse", "r", None, 4, "x"), ("AIResponse", "s", "r", 9, "y"), ("p", "u1", None, 3, "first")], "page_name string, uuid string, parent_uuid string, sibling_ord long, content string")
+    made, refer = engine.respond(chosen, tree, "给我一针见血", name=lambda: "new").collect()
+    assert tuple(made) == ("AIResponse", 5, "second", "new", "r", False)
+    assert tuple(refer) == ("p", 8, "((new))", None, "u2", False)
+    (first,) = engine.respond(chosen.limit(0), tree.where("page_name = 'p'"), fallback="only this").collect()  # nothing selected, no page yet
+    assert first.new_page and first.after is None and first.sibling_ord == 0 and first.content == "only this"
+
+
+def test_a_summary_where_the_settings_ask_for_one(spark, tmp_path):
+    blocks = _blocks(spark, [("a", "green apples and pears")])
+    for summary in (False, True):
+        engine = Engine.open(spark, f"file://{tmp_path}/{summary}", settings=Settings(dimension=64, summary=summary))
+        engine.build_index(blocks)
+        written = engine.report("green apples and pears", "q").orderBy("ord").collect()
+        assert len(written) == 2 + summary and ("```" in written[-1].content) == summary
+    engine.store.delete(spark.createDataFrame([("a",)], "block_uuid string"))
+    engine.stats()
+
+
+def test_a_stream_stores_a_text_once_however_it_is_cut(spark, tmp_path):
+    """Two files with a line in common, a file a trigger; then a block that is
+    changed into another's text, and one that isn't worth indexing any more."""
+    schema = "doc_id long, source string, text string"
+
+    def put(name, *rows):
+        spark.createDataFrame(list(rows), schema).coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+
+    def run(triggers):
+        store = VectorStore(spark, f"file://{tmp_path}/store{triggers}", Settings(dimension=16), lambda: 7)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", triggers).parquet(f"{tmp_path}/in/*")
+        refresh_stream(src.lines(stream), store, embed.HashingEmbedder(16), f"file://{tmp_path}/at{triggers}").awaitTermination()
+        return store
+
+    put("1", (1, "s", "the common line\nonly in the first"))
+    put("2", (2, "s", "the common line\nonly in the second"))
+    one, many = run(100), run(1)
+    assert sorted(r.block_content for r in one.scan().collect()) == sorted(r.block_content for r in many.scan().collect()) == ["only in the first", "only in the second", "the common line"]
+    put("3", (2, "s", "short\nonly in the first"))
+    again = run(1)
+    assert sorted(r.block_content for r in again.scan().collect()) == ["only in the first", "the common line"]
+
+
+def test_a_folder_that_all_share_is_asked_for(spark):
+    class Cluster:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+            @staticmethod
+            def getConf():
+                return {}
+
+            @staticmethod
+            def getCheckpointDir():
+                return None
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        checkpoint.shared_dir(Cluster)
 
 
 def test_flatten_forms_agree(spark):
