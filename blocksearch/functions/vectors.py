@@ -12,8 +12,14 @@ def round_half_up(c: Column) -> Column:
 
 
 def round4(vector: Column) -> Column:
-    """Every element at four decimals, halves of the multiplied value up."""
-    return F.transform(vector, lambda x: (round_half_up(x.cast("double") * 10000) / F.lit(10000.0)).cast("double"))
+    """Every element at four decimals, halves of the multiplied value up. What
+    has no decimals stays as it is: numbers from 2^52 on, infinities, NaN."""
+
+    def one(x: Column) -> Column:
+        scaled = x.cast("double") * 10000
+        return F.when(F.abs(scaled) >= 2.0**52, scaled / F.lit(10000.0)).otherwise((round_half_up(scaled) / F.lit(10000.0)).cast("double"))
+
+    return F.transform(vector, one)
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
 
-#: Query vectors that go to the tasks at once: at 1024 dimensions, 32 MB.
-QUERY_BLOCK = 4096
+#: Query vectors that go to the tasks with the code, 32 MB at 1024 dimensions,
+#: and rows of the store that meet a block of so many queries in one task.
+QUERY_BLOCK, STORE_BLOCK = 4096, 16_384
+_FOUND = "query_id long, block_uuid string, ord long, score double"
 
 
 def _settled(score: Column, digits: int | None) -> Column:
@@ -38,52 +40,79 @@ def above(store: DataFrame, query: Sequence[float], threshold: float = 0.5, vect
     return store.withColumn("score", _settled(cosine(F.col(vector), q), digits)).drop(vector).where(F.col("score") > threshold)
 
 
-def _block_scores(ids: np.ndarray, matrix: np.ndarray, k: int, threshold: float, digits: int | None):
-    norms = np.linalg.norm(matrix, axis=1)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            if not len(df):
-                continue
-            vectors = np.stack(df["vector"].to_numpy()).astype(float)
-            if vectors.shape[1] != matrix.shape[1]:
-                raise ValueError("vectors differ in dimension")
-            own = np.linalg.norm(vectors, axis=1)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                scores = (matrix @ vectors.T) / np.outer(norms, own)
-            scores[norms == 0] = 0
-            scores[:, own == 0] = 0
-            if digits is not None:
-                scores = np.round(scores, digits)
-            scores[~(scores > threshold)] = -np.inf
-            rows = []
-            keys, order = df["block_uuid"].to_numpy(), df["ord"].to_numpy()
-            by_order = np.lexsort((keys, order))
-            for i, line in enumerate(scores):
-                hit = by_order[np.argsort(-line[by_order], kind="stable")[:k]]
-                rows += [(ids[i], keys[j], order[j], line[j]) for j in hit if line[j] > -np.inf]
-            yield pd.DataFrame(rows, columns=["query_id", "block_uuid", "ord", "score"])
-
-    return run
+def _matrix(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Vectors of one dimension as rows; a null element is NaN."""
+    flat, n = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors, len(vectors)
+    values = flat.flatten().to_numpy(zero_copy_only=False).astype(float)
+    if n and (len(values) % n or not (np.diff(flat.offsets.to_numpy()) == len(values) // n).all()):
+        raise ValueError("vectors differ in dimension")
+    return values.reshape(n, -1)
+
+
+def _best(ids: np.ndarray, queries: np.ndarray, keys: pa.Array, order: np.ndarray, vectors: np.ndarray, k: int, threshold: float, digits: int | None) -> Iterator[pa.RecordBatch]:
+    """The best ``k`` of these rows for each query, some queries at a time."""
+    if vectors.shape[1] != queries.shape[1]:
+        raise ValueError("vectors differ in dimension")
+    by_order = np.lexsort((np.array(keys.to_pylist(), object), order))
+    keys, order, vectors = keys.take(pa.array(by_order)), order[by_order], vectors[by_order]
+    own, norms = np.linalg.norm(vectors, axis=1), np.linalg.norm(queries, axis=1)
+    step = max(1, (1 << 22) // max(1, len(vectors)))
+    for at in range(0, len(queries), step):
+        with np.errstate(invalid="ignore", divide="ignore"):
+            scores = (queries[at : at + step] @ vectors.T) / np.outer(norms[at : at + step], own)
+        scores[norms[at : at + step] == 0] = 0
+        scores[:, own == 0] = 0
+        if digits is not None:
+            scores = np.round(scores, digits)
+        query, place = np.nonzero(scores > threshold)  # by query, then in order; NaN never passes
+        value = scores[query, place]
+        rank = np.lexsort((place, -value, query))
+        query, place, value = query[rank], place[rank], value[rank]
+        first = np.searchsorted(query, query)
+        top = np.arange(len(query)) - first < k
+        query, place, value = query[top], place[top], value[top]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[at + query]), keys.take(pa.array(place)), pa.array(order[place]), pa.array(value)], names=["query_id", "block_uuid", "ord", "score"])
 
 
 def top_k_each(store: DataFrame, queries: DataFrame, k: int = 50, threshold: float = 0.5, digits: int | None = None) -> DataFrame:
     """``query_id, block_uuid, score, rank`` of the best ``k`` for each query.
 
-    store: ``block_uuid, ord, vector``; queries: ``query_id, vector``. Queries
-    go to the tasks in blocks of a fixed size; a task keeps k rows a query of
-    each batch, so what is shuffled is no longer in proportion to the store."""
-    rows = store.select("block_uuid", "ord", F.col("vector").cast("array<double>").alias("vector"))
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    found = None
-    for b in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).orderBy("query_id").toPandas()
-        if len(part):
-            one = rows.mapInPandas(_block_scores(part["query_id"].to_numpy(), np.stack(part["vector"].to_numpy()).astype(float), k, threshold, digits), "query_id long, block_uuid string, ord long, score double")
-            found = one if found is None else found.unionByName(one)
-    if found is None:
+    store: ``block_uuid, ord, vector``; queries: ``query_id, vector``. Up to
+    ``QUERY_BLOCK`` queries go to the tasks that scan the store. More are a
+    table of blocks: blocks of queries and of the store meet by their numbers,
+    in tasks that hold one of each. Either way k rows a query and block are
+    shuffled. Null vectors have no score, on either side; NaN never passes;
+    vectors that differ in dimension are an error."""
+    rows = store.select("block_uuid", F.col("ord").cast("long").alias("ord"), F.col("vector").cast("array<double>").alias("vector")).where("vector is not null")
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector")).where("vector is not null")
+    n = asked.count()
+    if not n:
         return store.sparkSession.createDataFrame([], "query_id long, block_uuid string, score double, rank int")
+    if n <= QUERY_BLOCK:
+        few = asked.orderBy("query_id").toArrow()
+        ids, matrix = few.column("query_id").to_numpy(), _matrix(few.column("vector"))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    yield from _best(ids, matrix, batch.column(0), batch.column(1).to_numpy(), _matrix(batch.column(2)), k, threshold, digits)
+
+        found = rows.mapInArrow(scan, _FOUND)
+    else:
+        q, s = -(-n // QUERY_BLOCK), max(1, -(-rows.count() // STORE_BLOCK))
+        left = rows.withColumns({"s": F.pmod(F.xxhash64("block_uuid", "ord"), F.lit(s)), "q": F.explode(F.sequence(F.lit(0), F.lit(q - 1)).cast("array<long>"))})
+        right = asked.withColumns({"q": F.pmod(F.xxhash64("query_id"), F.lit(q)), "s": F.explode(F.sequence(F.lit(0), F.lit(s - 1)).cast("array<long>"))})
+
+        def meet(own: pa.Table, wanted: pa.Table) -> pa.Table:
+            parts = []
+            if own.num_rows and wanted.num_rows:
+                own, wanted = own.combine_chunks(), wanted.combine_chunks()
+                keys = pa.array(own.column("block_uuid").to_pylist(), pa.string())
+                parts = list(_best(wanted.column("query_id").to_numpy(), _matrix(wanted.column("vector")), keys, own.column("ord").to_numpy(), _matrix(own.column("vector")), k, threshold, digits))
+            schema = pa.schema([("query_id", pa.int64()), ("block_uuid", pa.string()), ("ord", pa.int64()), ("score", pa.float64())])
+            return pa.Table.from_batches(parts, schema) if parts else schema.empty_table()
+
+        found = left.groupBy("q", "s").cogroup(right.groupBy("q", "s")).applyInArrow(meet, _FOUND)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "ord", "block_uuid")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "block_uuid", "score", "rank")
 

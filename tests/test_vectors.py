@@ -30,6 +30,27 @@ def test_round4(spark):
     assert got == [0.0, 0.0001, 0.1235]
 
 
+def test_round4_of_what_has_no_decimals(spark):
+    got = spark.createDataFrame([([math.nan, math.inf, -math.inf, 1e300, -3e15, None, 12345678.12345],)], "v array<double>").select(round4(F.col("v")).alias("v")).first()["v"]
+    assert math.isnan(got[0]) and got[1:] == [math.inf, -math.inf, 1e300, -3e15, None, 12345678.1235]
+
+
+def test_nulls_and_blocks_of_many_queries(spark, monkeypatch):
+    """Null and NaN vectors on either side, and the tables of blocks that are
+    used beyond a number of queries, give what one block of queries gives."""
+    vectors = [[math.sin(i * j + 1) for j in range(1, 9)] for i in range(90)] + [None, [math.nan] * 8, [0.0] * 8, [None, 1.0, 0, 0, 0, 0, 0, 0]]
+    store = _store(spark, [v and [x if x is None else float(x) for x in v] for v in vectors]).repartition(3)
+    queries = store.where("ord < 40 or ord >= 90").select(F.col("ord").alias("query_id"), "vector")
+    get = lambda: sorted(tuple(r) for r in search.top_k_each(store, queries, 4, 0.1, 6).collect())
+    few = get()
+    assert {q for q, *_ in few} == set(range(40))
+    monkeypatch.setattr(search, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(search, "STORE_BLOCK", 20)
+    assert get() == few
+    with pytest.raises(Exception, match="differ in dimension"):
+        search.top_k_each(store, spark.createDataFrame([(1, [1.0])], "query_id long, vector array<double>")).collect()
+
+
 def _store(spark, vectors):
     return spark.createDataFrame([(f"b{i}", i, v) for i, v in enumerate(vectors)], "block_uuid string, ord long, vector array<double>")
 
