@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .functions.prompts import STYLES
 from .functions.text import JSWS
 
 # DuckDB's regular expressions take the same class; NBSP and the like by code.
@@ -54,7 +55,7 @@ def _top(query: int, k: int, threshold: float, store: str = "v") -> str:
 
 
 _ROUND4 = "list_transform(v, lambda x: floor(x * 10000 + 0.5) / 10000)"
-_GONE = "((vec_id % 7 = 3 AND vec_id < 330) OR vec_id BETWEEN 100 AND 199)"
+_GONE = "(vec_id // 100 % 3 = 1 OR (vec_id % 7 = 3 AND vec_id // 100 % 3 = 0))"
 _SHARDED = f"{_VEC}, s AS (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM vec), sharded AS (SELECT *, k // 100 AS shard_id FROM s)"
 _TOKENS = f"""{_DEDUP}, tok AS (SELECT uuid, unnest(string_split(lower(processed), ' ')) AS token FROM blocks),
     emb AS (SELECT uuid, ('0x' || substr(md5(token), 1, 8))::BIGINT % 256 AS bucket, count(*)::DOUBLE AS weight FROM tok WHERE token <> '' GROUP BY ALL)"""
@@ -63,6 +64,7 @@ _TREE = """tree AS (SELECT conv_id AS page_ord, 'conv/' || conv_id AS page_name,
     walk AS (SELECT uuid, page_name, page_ord, [sibling_ord] AS path FROM tree WHERE parent_uuid IS NULL
         UNION ALL SELECT t.uuid, t.page_name, t.page_ord, list_append(w.path, t.sibling_ord) FROM walk w JOIN tree t ON t.parent_uuid = w.uuid AND t.page_ord = w.page_ord)"""
 _STYLES = "styles(key, name) AS (VALUES ('warm', 'Warm'), ('sharp', 'Sharp'), ('thoughtProvoking', 'Questions'), ('sparks', 'Sparks'), ('cosmic', 'Cosmic'))"
+_PROMPTS = "styles(key, prompt) AS (VALUES " + ", ".join(f"('{key}', '{prompt}')" for key, _, _, prompt in STYLES) + ")"
 # The index run sees raw lines, of which the old ones are altered before cleaning.
 _BUILT = f"""{_LINES}, now AS (SELECT * FROM lines WHERE doc_id % 10 <> 2), {_processed("now")},
     good AS (SELECT * FROM cleaned WHERE {_FAULT} = 'keep')"""
@@ -94,7 +96,7 @@ ORACLE_SQL = {
     "shard_assign": f"WITH {_SHARDED} SELECT block_uuid, k AS ord, shard_id FROM sharded",
     "store_scan": f"WITH {_SHARDED} SELECT block_uuid, page_name, block_content, k AS ord, shard_id FROM sharded",
     "shard_index": f"WITH {_SHARDED} SELECT shard_id, string_agg(block_uuid, ',' ORDER BY block_uuid) AS uuids, count(*) AS record_count FROM sharded GROUP BY 1",
-    "append_layout": f"WITH {_SHARDED} SELECT shard_id, count(*) AS n FROM sharded WHERE vec_id < 445 GROUP BY 1",
+    "append_layout": f"WITH {_SHARDED} SELECT shard_id, count(*) AS n FROM sharded GROUP BY 1",
     "delete_by_key": f"WITH {_SHARDED} SELECT block_uuid, shard_id FROM sharded WHERE NOT {_GONE}",
     "delete_touched_shards": f"WITH {_SHARDED} SELECT DISTINCT shard_id FROM sharded WHERE {_GONE}",
     "update_by_key": f"""WITH {_VEC} SELECT block_uuid, CASE WHEN vec_id % 5 = 0 THEN 'updated' ELSE page_name END AS page_name,
@@ -104,9 +106,11 @@ ORACLE_SQL = {
         count(DISTINCT shard_id) - 1 AS actual_chunks, count(DISTINCT shard_id) AS expected_chunks FROM sharded""",
     "hash_embedding": f"WITH {_TOKENS} SELECT uuid, bucket, weight FROM emb",
     "embed_blocks": f"WITH {_TOKENS} SELECT uuid, bucket, weight FROM emb",
-    "semantic_search": f"""WITH {_TOKENS}, n AS (SELECT uuid, sqrt(sum(weight * weight)) AS n FROM emb GROUP BY 1), q AS (SELECT * FROM emb WHERE uuid IN ('0-1', '1-1', '2-0')),
-        d AS (SELECT q.uuid AS query_uuid, emb.uuid, sum(emb.weight * q.weight) AS d FROM emb JOIN q USING (bucket) GROUP BY 1, 2)
-        SELECT query_uuid, d.uuid, round(d / (a.n * b.n), 6) AS score FROM d JOIN n a ON a.uuid = d.uuid JOIN n b ON b.uuid = query_uuid WHERE round(d / (a.n * b.n), 6) > 0.5""",
+    "semantic_search": f"""WITH {_TOKENS}, n AS (SELECT uuid, sqrt(sum(weight * weight)) AS n FROM emb GROUP BY 1), placed AS (SELECT uuid, doc_id, doc_id * 1000000 + line AS ord FROM blocks),
+        q AS (SELECT emb.uuid, ord AS query_id, bucket, weight AS qw FROM emb JOIN placed USING (uuid) WHERE doc_id % 50 = 0),
+        d AS (SELECT query_id, q.uuid AS own, emb.uuid, sum(weight * qw) AS d FROM emb JOIN q USING (bucket) GROUP BY ALL),
+        s AS (SELECT query_id, d.uuid AS block_uuid, ord, round(d / (a.n * b.n), 6) AS score FROM d JOIN n a ON a.uuid = d.uuid JOIN n b ON b.uuid = own JOIN placed ON placed.uuid = d.uuid)
+        SELECT query_id, block_uuid, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord, block_uuid) AS rank FROM s WHERE score > 0.5 QUALIFY rank <= 10""",
     "index_build": f"""WITH {_BUILT} SELECT uuid AS block_uuid, processed AS block_content FROM good
         QUALIFY row_number() OVER (PARTITION BY processed ORDER BY doc_id, line) = 1""",
     "tree_flatten": f"WITH RECURSIVE {_TREE} SELECT uuid, page_name, len(path) AS depth, array_to_string(path, '/') AS path FROM walk",
@@ -123,5 +127,34 @@ ORACLE_SQL = {
         SELECT block_uuid, vec_id // 15 AS batch, floor(least((vec_id // 15 + 1) * 15, n) / n * 100 + 0.5)::BIGINT AS percent, vec_id // 15 // 34 AS flush FROM vec, n""",
     "compact_rows": f"WITH {_VEC} SELECT block_uuid, page_name, block_content, round(sqrt(list_sum(list_transform({_ROUND4}, lambda x: x * x))), 6) AS norm, 1::BIGINT AS last_updated_ms FROM vec",
     "record_keys": """SELECT conv_id, turn, coalesce(nullif(CASE WHEN turn % 3 = 0 THEN role WHEN turn % 3 = 1 THEN '' END, ''), CASE WHEN turn % 2 = 0 THEN 'b' END, conv_id::VARCHAR) AS key,
-        '01234567' AS short FROM conversations""",
+        substr(text, 1, 8) AS short FROM conversations""",
+    "round4_special": f"""WITH {_VEC}, e AS (SELECT block_uuid, vec_id, generate_subscripts(v, 1) - 1 AS i, unnest(v) * 1e17::DOUBLE AS x FROM vec)
+        SELECT block_uuid, i, vec_id % 4 = 0 AS is_nan, vec_id % 4 = 1 AS is_inf, vec_id % 4 = 2 AS is_minus_inf,
+            CASE WHEN vec_id % 4 < 3 THEN 0.0 WHEN abs(x * 10000) >= 4503599627370496 THEN x * 10000 / 10000 ELSE floor(x * 10000 + 0.5) / 10000 END AS x FROM e WHERE i < 8""",
+    "styled_response": f"""WITH {_PROMPTS}, p AS (SELECT conv_id, turn, 'Write 50 to 150 words of plain text in the language of the note.' || chr(10) || 'Manner: ' || prompt || chr(10) || 'Note:' || chr(10) || text AS prompt
+            FROM conversations JOIN styles ON key = ['warm', 'sharp', 'thoughtProvoking', 'sparks', 'cosmic'][turn % 5 + 1])
+        SELECT conv_id, turn, prompt, list_filter(list_transform(string_split(prompt, chr(10)), lambda x: trim(x)), lambda x: x <> '')[-1] AS answer FROM p""",
+    "search_prompts": """WITH t AS (SELECT *, chr(10) || 'Mind the dates: today is day ' || turn AS note,
+            'List the search keywords of this question, one a line.' || chr(10) || 'Question: ' || text AS k,
+            'Summarise these notes in the writer''s own voice, then answer the question in its language.' || chr(10) || 'Question: ' || role || chr(10) || 'Notes:' || chr(10) || text AS s FROM conversations)
+        SELECT conv_id, turn, k AS keywords, k || note AS dated_keywords, 'From 0 to 10, how well does the note answer the question? Give the number alone.' || chr(10) || 'Question: ' || role || chr(10) || 'Note: ' || text AS relevance,
+            s AS summary, s || note AS dated_summary FROM t""",
+    "summary_texts": f"""WITH t AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '' WHEN 1 THEN ' ' || chr(10) || text || chr(9) ELSE text END AS text FROM conversations)
+        SELECT conv_id, turn, CASE WHEN {_trim('text')} <> '' THEN '```markdown' || chr(10) || {_trim('text')} || chr(10) || '```' END AS fenced, CASE WHEN text = '' THEN '' ELSE chr(10) || text || chr(10) END AS padded FROM t""",
+    "size_texts": """SELECT doc_id, printf('%.2fKB', floor(strlen(text) * 100 / 1024.0 + 0.5) / 100) AS kb, printf('%.2f', floor(strlen(text)::BIGINT * 10000 / 1048576.0 + 0.5) / 100) AS mb FROM documents""",
+    "retry_delays": "SELECT a AS attempts, i, least(2.0 ** (i - 1), 5.0)::DOUBLE AS seconds FROM range(1, 7) x(a), range(1, 6) y(i) WHERE i < a",
+    "store_lifecycle": """WITH n AS (SELECT count(*) FILTER (vec_id % 2 = 0) AS even, count(*) FILTER (vec_id % 3 = 0) AS third, count(*) FILTER (vec_id % 2 = 0 OR vec_id % 3 = 0) AS stored,
+            count(*) FILTER (vec_id % 9 = 0) AS ninth, count(*) FILTER (vec_id % 4 = 0 AND vec_id % 9 <> 0) AS fourth FROM embeddings)
+        SELECT unnest(['empty', 'cached', 'rebuilt', 'saved on top', 'has data', 'preloaded', 'kept', 'scanned', 'deleted', 'deleted again', 'updated', 'left', 'valid', 'cleared', 'scanned after']) AS step,
+            unnest([0, 0, even, third, 1, stored, stored, stored, ninth, 0, fourth, stored - ninth, 1, 0, 0]) AS n FROM n""",
+    "summary_sink": f"""WITH {_top(0, 10, 0.25)} SELECT 'query' AS parent, 0::BIGINT AS ord, count(*) || ' related notes' AS content FROM top UNION ALL SELECT 'query', rank, '((' || block_uuid || '))' FROM top
+        UNION ALL SELECT 'query', 2147483648, '```markdown' || chr(10) || 'all of it' || chr(10) || '```'""",
+    "response_sink": f"""WITH t AS (SELECT * FROM conversations WHERE conv_id = 1 AND trim(text) <> ''), last AS (SELECT max(turn) AS turn, arg_max(text, turn) AS text FROM t)
+        SELECT 'AIResponse' AS page_name, 0::BIGINT AS sibling_ord, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[-1] AS content, 'r1' AS uuid, NULL::VARCHAR AS after, true AS new_page FROM last
+        UNION ALL SELECT 'conv/1', turn + 1, '((r1))', NULL, '1-' || turn, false FROM last""",
+    "engine_search": f"""WITH {_TOKENS}, q AS (SELECT ('0x' || substr(md5(token), 1, 8))::BIGINT % 256 AS bucket, count(*)::DOUBLE AS qw FROM (SELECT unnest(string_split(lower(content), ' ')) AS token FROM lines WHERE uuid = '0-1') WHERE token <> '' GROUP BY 1),
+        n AS (SELECT uuid, sqrt(sum(weight * weight)) AS n FROM emb GROUP BY 1), d AS (SELECT uuid, sum(weight * qw) AS d FROM emb JOIN q USING (bucket) GROUP BY 1),
+        s AS (SELECT uuid, round(d / (n * (SELECT sqrt(sum(qw * qw)) FROM q)), 6) AS score FROM d JOIN n USING (uuid))
+        SELECT uuid AS block_uuid, score, row_number() OVER (ORDER BY score DESC, doc_id, line) AS rank FROM s JOIN blocks USING (uuid) WHERE score > 0.5 QUALIFY rank <= 50""",
+    "streaming_refresh": f"WITH {_DEDUP} SELECT uuid AS block_uuid, processed AS block_content FROM blocks",
 }

@@ -12,15 +12,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.prompts import response_prompt, style_key, styles
-from .functions.rows import compact, record_key, restore, short_key
-from .functions.text import preprocess, utf16_length
+from .functions.prompts import keyword_prompt, relevance_prompt, response_prompt, style_key, styles, summary_prompt
+from .functions.rows import compact, kilobytes, megabytes, record_key, restore, short_key
+from .functions.text import fenced, padded, preprocess, utf16_length
 from .functions.vectors import norm, round4
 from .operators import blocks as B
 from .operators import changes as C
 from .operators import embed as E
 from .operators import search as S
-from .operators.checkpoint import shared_dir
+from .operators.checkpoint import fixed, shared_dir
 from .operators.store import VectorStore
 from .plans import index
 from .plans.engine import Engine
@@ -119,6 +119,15 @@ def vector_round4(spark, sf_dir):
     return vectors(spark, sf_dir).select("block_uuid", F.posexplode(round4(F.col("vector"))).alias("i", "x")).select("block_uuid", F.col("i").cast("long").alias("i"), "x")
 
 
+def round4_special(spark, sf_dir):
+    """Rounding of what has no decimals: NaN, the infinities, huge numbers."""
+    x = F.posexplode("vector").alias("i", "x")
+    kinds = F.when(F.col("ord") % 4 == 0, F.lit(float("nan"))).when(F.col("ord") % 4 == 1, F.lit(float("inf"))).when(F.col("ord") % 4 == 2, F.lit(float("-inf"))).otherwise(F.col("x") * 1e17)
+    rows = vectors(spark, sf_dir).select("block_uuid", "ord", x).where("i < 8").select("block_uuid", F.col("i").cast("long").alias("i"), F.get(round4(F.array(kinds)), F.lit(0)).alias("y"))
+    endless = F.abs("y") == float("inf")
+    return rows.select("block_uuid", "i", F.isnan("y").alias("is_nan"), (endless & (F.col("y") > 0)).alias("is_inf"), (endless & (F.col("y") < 0)).alias("is_minus_inf"), F.when(F.isnan("y") | endless, 0.0).otherwise(F.col("y")).alias("x"))
+
+
 def vector_norms(spark, sf_dir):
     return vectors(spark, sf_dir).select("block_uuid", F.round(norm(F.col("vector")), DIGITS).alias("norm"))
 
@@ -194,7 +203,9 @@ def _store(spark, sf_dir, rows=None) -> VectorStore:
 
 
 def _ids(spark, sf_dir):
-    return vectors(spark, sf_dir).where((F.col("ord") % 7 == 3) & (F.col("ord") < 330) | F.col("ord").between(100, 199)).select("block_uuid")
+    """Of every three shards all rows of one, some of another, none of the third."""
+    shard = F.floor(F.col("ord") / SHARD) % 3
+    return vectors(spark, sf_dir).where((shard == 1) | (F.col("ord") % 7 == 3) & (shard == 0)).select("block_uuid")
 
 
 def shard_assign(spark, sf_dir):
@@ -211,8 +222,11 @@ def shard_index(spark, sf_dir):
 
 
 def append_layout(spark, sf_dir):
-    store = _store(spark, sf_dir, vectors(spark, sf_dir).where("ord < 250"))
-    store.append(vectors(spark, sf_dir).where("ord between 250 and 444"))
+    """The lower half of the table is stored and the upper half appended."""
+    rows = vectors(spark, sf_dir)
+    half = rows.count() // 2
+    store = _store(spark, sf_dir, rows.where(F.col("ord") < half))
+    store.append(rows.where(F.col("ord") >= half))
     return store.scan().groupBy(F.col("shard_id").cast("long").alias("shard_id")).agg(F.count("*").alias("n"))
 
 
@@ -252,9 +266,13 @@ def hash_embedding(spark, sf_dir):
 
 
 def semantic_search(spark, sf_dir):
-    rows = E.sparse(deduped(spark, sf_dir), DIM)
-    queries = rows.where(F.col("uuid").isin("0-1", "1-1", "2-0"))
-    return E.sparse_search(rows, queries)
+    """The blocks of all documents whose number 50 divides, against all blocks:
+    the ten best of each. The embedded rows are made once."""
+    made = E.embed(deduped(spark, sf_dir), E.HashingEmbedder(DIM))
+    number = F.col("page_ord") * 1_000_000 + F.element_at("path", 1)
+    rows = fixed(made.select(F.col("uuid").alias("block_uuid"), number.alias("ord"), "vector", "page_ord"))
+    queries = rows.where("page_ord % 50 = 0").select(F.col("ord").alias("query_id"), "vector")
+    return S.top_k_each(rows, queries, 10, 0.5, DIGITS).select("query_id", "block_uuid", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def embed_blocks(spark, sf_dir):
@@ -314,7 +332,7 @@ def style_lookup(spark, sf_dir):
 
 def progress_batches(spark, sf_dir):
     v = vectors(spark, sf_dir).select("block_uuid", "ord")
-    return index.progress(v, "ord", v.count()).select("block_uuid", "batch", "percent", "flush")
+    return index.progress(v, "ord", v.count(), Settings().batch, Settings().flush).select("block_uuid", "batch", "percent", "flush")
 
 
 def compact_rows(spark, sf_dir):
@@ -324,28 +342,93 @@ def compact_rows(spark, sf_dir):
 
 
 def record_keys(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, F.col("role")).when(F.col("turn") % 3 == 1, "").alias("u"), F.when(F.col("turn") % 2 == 0, "b").alias("block_uuid"))
-    return rows.select("conv_id", "turn", record_key("u", "block_uuid", "conv_id").alias("key"), short_key(F.lit("0123456789")).alias("short"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, F.col("role")).when(F.col("turn") % 3 == 1, "").alias("u"), F.when(F.col("turn") % 2 == 0, "b").alias("block_uuid"), F.col("text").alias("full"))
+    return rows.select("conv_id", "turn", record_key("u", "block_uuid", "conv_id").alias("key"), short_key(F.col("full")).alias("short"))
 
 
 def styled_response(spark, sf_dir):
-    """Rows only: the prompt of each conversation's first turn, answered by the
-    extractive generator's rule."""
-    first = table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", "text", F.lit("warm").alias("key"))
-    return first.join(F.broadcast(styles(spark)), "key").select("conv_id", response_prompt(F.col("text"), F.col("prompt")).alias("prompt"))
+    """Every turn's prompt, in the style of its number, and what the extractive
+    generator says to it: the last line with text."""
+    kinds = F.array(*[F.lit(k) for k in ("warm", "sharp", "thoughtProvoking", "sparks", "cosmic")])
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.get(kinds, (F.col("turn") % 5).cast("int")).alias("key"))
+    asked = turns.join(F.broadcast(styles(spark)), "key").select("conv_id", "turn", response_prompt(F.col("text"), F.col("prompt")).alias("prompt"))
+    said = F.filter(F.transform(F.split("prompt", "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return asked.select("conv_id", "turn", "prompt", F.element_at(said, -1).alias("answer"))
+
+
+def search_prompts(spark, sf_dir):
+    """The prompts of a search, with and without a note on dates."""
+    text, note = F.col("text"), F.concat(F.lit("today is day "), F.col("turn").cast("string"))
+    return table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", keyword_prompt(text).alias("keywords"), keyword_prompt(text, note).alias("dated_keywords"), relevance_prompt(F.col("role"), text).alias("relevance"),
+        summary_prompt(F.col("role"), text).alias("summary"), summary_prompt(F.col("role"), text, note).alias("dated_summary"),
+    )
+
+
+def summary_texts(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").withColumn("text", F.when(F.col("turn") % 3 == 0, "").when(F.col("turn") % 3 == 1, F.concat(F.lit(" \n"), "text", F.lit("\t"))).otherwise(F.col("text")))
+    return rows.select("conv_id", "turn", fenced(F.col("text")).alias("fenced"), padded(F.col("text")).alias("padded"))
+
+
+def size_texts(spark, sf_dir):
+    size = F.octet_length("text")
+    return table(spark, sf_dir, "documents").select("doc_id", kilobytes(size).alias("kb"), megabytes(size * 100).alias("mb"))
+
+
+def retry_delays(spark, sf_dir):
+    """What a call that always fails waits for, by the attempts it has."""
+
+    def failing(text):
+        raise OSError(text)
+
+    rows = []
+    for attempts in range(1, 7):
+        waits: list[float] = []
+        try:
+            E.retried(failing, "", attempts, waits.append)
+        except OSError:
+            rows += [(attempts, i, wait) for i, wait in enumerate(waits, 1)]
+    return spark.createDataFrame(rows, "attempts long, i long, seconds double")
+
+
+def store_lifecycle(spark, sf_dir):
+    """What each step of a store's life reports."""
+    rows = vectors(spark, sf_dir)
+    store = VectorStore(spark, _shared(spark), Settings(shard_rows=SHARD, dimension=64), lambda: 1)
+    steps = [("empty", int(store.has_data())), ("cached", int(store.cached() is not None))]
+    steps += [("rebuilt", store.save(rows.where("ord % 2 = 0"), False)), ("saved on top", store.save(rows.where("ord % 3 = 0"), True)), ("has data", int(store.has_data()))]
+    steps += [("preloaded", store.preload()), ("kept", store.cached().count()), ("scanned", store.scan().count())]
+    steps += [("deleted", store.delete(rows.where("ord % 9 = 0").select("block_uuid"))), ("deleted again", store.delete(rows.where("ord % 9 = 0").select("block_uuid")))]
+    steps += [("updated", store.update(rows.where("ord % 4 = 0"))), ("left", store.load().count()), ("valid", int(store.integrity().first()["is_valid"]))]
+    store.clear()
+    store.clear()
+    steps += [("cleared", int(store.has_data())), ("scanned after", store.scan().count())]
+    return spark.createDataFrame([(step, int(n)) for step, n in steps], "step string, n long")
+
+
+def summary_sink(spark, sf_dir):
+    found = S.top_k(vectors(spark, sf_dir), _query_vector(spark, sf_dir), 10, THRESHOLD, digits=DIGITS)
+    return Engine(spark, _shared(spark)).result_blocks(found, "query", " all of it \n")
+
+
+def response_sink(spark, sf_dir):
+    """The block and the reference that a response to a conversation writes."""
+    tree = src.conversation_tree(table(spark, sf_dir, "conversations"))
+    chosen = src.page(tree, "conv/1").withColumn("ord", F.col("sibling_ord"))
+    return Engine(spark, _shared(spark)).respond(chosen, tree, "sharp", name=lambda: "r1")
 
 
 def engine_search(spark, sf_dir):
-    """Rows only: open, build, refresh and search by text."""
+    """Open, build, refresh and search by text."""
     engine = Engine.open(spark, _shared(spark), settings=Settings(dimension=DIM))
     raw = raw_blocks(spark, sf_dir)
     engine.build_index(raw)
     query = raw.where("uuid = '0-1'").first()["content"]
-    return engine.search(query, raw).select("block_uuid", "score", "rank")
+    return engine.search(query, raw, digits=DIGITS).select("block_uuid", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def streaming_refresh(spark, sf_dir):
-    """Rows only: an index kept by a stream of the documents' files."""
+    """An index kept by a stream of the documents' files."""
     root = _shared(spark)
     docs = table(spark, sf_dir, "documents")
     store = VectorStore(spark, f"{root}/store", Settings(dimension=DIM), lambda: 1)
@@ -360,6 +443,7 @@ QUERIES = {
         search_topk, search_threshold_default, search_all_above, search_rounded_index, topk_per_query, vector_round4, vector_norms, blocks_scan, preprocess_text, text_lengths, filter_worth, filter_reasons,
         blocks_dedup, dedup_last_wins, change_status, change_counts, total_changes, to_index_union, survivors, apply_changes, shard_assign, store_scan, shard_index, append_layout, delete_by_key,
         delete_touched_shards, update_by_key, store_stats, store_integrity, hash_embedding, semantic_search, embed_blocks, index_build, tree_flatten, tree_order, page_blocks, result_refs, result_nested, selection_concat,
-        summary_context, style_lookup, progress_batches, compact_rows, record_keys, styled_response, engine_search, streaming_refresh,
+        summary_context, style_lookup, progress_batches, compact_rows, record_keys, styled_response, engine_search, streaming_refresh, round4_special, search_prompts, summary_texts, size_texts,
+        retry_delays, store_lifecycle, summary_sink, response_sink,
     )
 } | {f"{s}_blocks": _of_status(s) for s in ("new", "modified", "deleted", "unchanged")}
