@@ -19,15 +19,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import configure
+from .common import configure, discard, materialise
 
-#: Training reads at most ``SAMPLE`` rows of each of the ``LANGUAGES`` most
-#: frequent languages; of each language ``WORDS`` words and ``GRAMS`` n-grams
-#: are kept. They bound the training tasks and the model that goes to all tasks.
-SAMPLE, LANGUAGES, WORDS, GRAMS = 1000, 64, 20_000, 20_000
+#: Training reads at most ``SAMPLE`` rows of each language, whichever languages
+#: there are; of what they hold the ``WORDS`` most frequent words and ``GRAMS``
+#: n-grams are learned. They bound the training tasks and the model.
+SAMPLE, WORDS, GRAMS = 1000, 20_000, 20_000
 ORDER = 5
-#: Unseen words whose scores a worker keeps.
-KEPT = 200_000
+#: Scores of unseen words that a worker keeps, one for each word and language.
+KEPT = 800_000
+#: Up to so many languages an item has a score for each, else for those alone
+#: that have it; and up to so many their sampling limits are broadcast.
+DENSE, FEW = 64, 10_000
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -55,38 +58,75 @@ def _counted(df: pd.DataFrame) -> pd.DataFrame:
 
 
 class Model:
-    """Log frequencies of words and n-grams; an item has one for each language."""
-
-    def __init__(self, langs: list[str], tables: list[dict[str, np.ndarray]]):
-        self.langs, self.tables, self.kept = langs, tables, {}
+    """Log frequencies of words (order 0) and n-grams by language. ``tables`` has
+    the items of each order and their scores: a matrix with a column for each
+    language or, if there are many, for each item the places of the languages
+    that have it and what they have over the order's floor."""
+
+    def __init__(self, langs: list[str], tables: list[tuple[list[str], object]], floors: list[float]):
+        self.langs, self.tables, self.floors = langs, tables, floors
+        self.dense = isinstance(tables[0][1], np.ndarray)
+        self.places = [{item: i for i, item in enumerate(items)} for items, _ in tables]
+        self.scores = [scores for _, scores in tables]
+        self.size = len(tables[0][0])  # of the words' matrix, which grows by unseen ones
+        self.most = self.size + KEPT // max(1, len(langs))
 
     def __reduce__(self):
-        return Model, (self.langs, self.tables)
-
-    def _unseen(self, word: str) -> np.ndarray:
-        score = self.kept.get(word)
-        if score is None:
-            marked, at = f"^{word}$", 0
-            score = np.zeros(len(self.langs))
-            while at < len(marked):
-                for order in range(min(ORDER, len(marked) - at), 0, -1):
-                    found = self.tables[order].get(marked[at : at + order])
-                    if found is not None:
-                        score = score + found
-                        break
-                at += order
-            if len(self.kept) < KEPT:
-                self.kept[word] = score
+        return Model, (self.langs, self.tables, self.floors)
+
+    def _score(self, order: int, at: int) -> np.ndarray:
+        found = self.scores[order][at]
+        if self.dense:
+            return found
+        out = np.full(len(self.langs), self.floors[order])
+        out[found[0]] += found[1]
+        return out
+
+    def _read(self, word: str) -> np.ndarray:
+        """The score of an unseen word by the longest known n-grams."""
+        marked, at = f"^{word}$", 0
+        score = np.zeros(len(self.langs))
+        while at < len(marked):
+            for order in range(min(ORDER, len(marked) - at), 0, -1):
+                found = self.places[order].get(marked[at : at + order])
+                if found is not None:
+                    score += self._score(order, found)
+                    break
+            at += order
         return score
 
+    def _total(self, counts: Counter) -> np.ndarray:
+        """The sum over words. Their scores are rows of a matrix, to which those
+        of unseen words are added up to a fixed number."""
+        rows = list(map(self.places[0].get, counts))
+        times = np.fromiter(counts.values(), float, len(counts))
+        total = np.zeros(len(self.langs))
+        for i, word in enumerate(counts):
+            if rows[i] is None:
+                score = self._read(word)
+                if self.size < self.most:
+                    if self.size == len(self.scores[0]):
+                        self.scores[0] = np.concatenate((self.scores[0], np.zeros((min(self.size + 1000, self.most - self.size), len(self.langs)))))
+                    self.scores[0][self.size] = score
+                    self.places[0][word] = rows[i] = self.size
+                    self.size += 1
+                else:
+                    total += times[i] * score
+                    rows[i], times[i] = 0, 0.0
+        return total + times @ self.scores[0][rows] if len(self.scores[0]) else total
+
     def predict(self, text: str | None) -> tuple[str, float]:
         words = words_of(text)
         if not self.langs or not any(w.isalpha() for w in words):
             return UNKNOWN, 0.0
-        total, known = np.zeros(len(self.langs)), self.tables[0]
-        for word, n in Counter(words).items():
-            found = known.get(word)
-            total += n * (self._unseen(word) if found is None else found)
+        counts = Counter(words)
+        if self.dense:
+            total = self._total(counts)
+        else:
+            total = np.zeros(len(self.langs))
+            for word, n in counts.items():
+                at = self.places[0].get(word)
+                total += n * (self._read(word) if at is None else self._score(0, at))
         total = total / np.sqrt(len(words))
         p = np.exp(total - total.max())
         best = int(p.argmax())
@@ -94,40 +134,53 @@ class Model:
 
 
 def fit(docs: DataFrame, use: Column, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", size: int = SAMPLE) -> Model:
-    """Learn from rows where ``use`` holds and the language isn't null.
+    """Learn from rows where ``use`` holds and language and text aren't null, one
+    scan to count the languages and one to sample them.
 
     Of a language, the rows with the least hashes of identifier and text are
-    taken, ``size`` of them at most. Each language is counted in a task."""
-    configure(docs.sparkSession)
+    taken, ``size`` of them at most. Each language is counted in a task. Nothing
+    to learn from gives a model that knows no language."""
+    spark = docs.sparkSession
+    configure(spark)
     known = docs.where(use & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = known.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    chosen = None
-    for lang, n in counts:
-        part = known.where(F.col(lang_col) == lang).select(F.lit(lang).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h"))
-        # The least hashes, with room to spare; the exact number is cut after that.
-        part = part.where(F.col("h") <= int(-(2**63) + min(1.0, 1.5 * size / n + 20 / n) * (2**64 - 1)) if n > size else F.lit(True))
-        chosen = part if chosen is None else chosen.unionByName(part)
-    if chosen is None:
-        return Model([], [{} for _ in range(ORDER + 1)])
+    known = known.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h"))
+    # The least hashes, with room to spare; the exact number is cut after that.
+    share = F.least(F.lit(1.0), (F.lit(1.5 * size + 20)) / F.col("n"))
+    counted = limits = materialise(known.groupBy("lang").agg(F.count("*").alias("n")).select(F.col("lang").alias("name"), (share * 2.0**64 - 2.0**63).alias("most")), "languages")
+    if limits.count() <= FEW:
+        limits = F.broadcast(limits)
+    chosen = known.join(limits, (F.col("lang") == F.col("name")) & (F.col("h").cast("double") <= F.col("most"))).select("lang", "text", "h")
     got = chosen.groupBy("lang").applyInPandas(lambda df: _counted(df.sort_values(["h", "text"]).head(size)), "lang string, level int, item string, share double").toPandas()
+    discard(counted)
+    return _model(got)
+
+
+def _model(got: pd.DataFrame) -> Model:
+    """From (lang, level, item, share); a level's floor is a tenth of its least share."""
     langs = sorted(got["lang"].unique())
     place = {x: i for i, x in enumerate(langs)}
-    tables: list[dict[str, np.ndarray]] = []
+    tables: list[tuple[list[str], object]] = []
+    floors: list[float] = []
     for order in range(ORDER + 1):
-        level = got[got["level"] == order]
-        floor = 0.1 * level["share"].min() if len(level) else 1e-9
-        table: dict[str, np.ndarray] = {}
-        for lang, item, share in zip(level["lang"], level["item"], level["share"], strict=True):
-            table.setdefault(item, np.full(len(langs), np.log(floor)))[place[lang]] = np.log(share)
-        tables.append(table)
-    return Model(langs, tables)
+        level = got[got["level"] == order].sort_values(["item", "lang"])
+        floor = float(np.log(0.1 * level["share"].min() if len(level) else 1e-9))
+        items, first = np.unique(level["item"].to_numpy(object), return_index=True) if len(level) else ([], [])
+        column, over = level["lang"].map(place).to_numpy(int), np.log(level["share"].to_numpy()) - floor
+        if len(langs) <= DENSE:
+            scores: object = np.full((len(items), len(langs)), floor)
+            scores[np.repeat(np.arange(len(items)), np.diff([*first, len(level)])), column] += over
+        else:
+            scores = [(column[a:b], over[a:b]) for a, b in zip(first, [*first[1:], len(level)], strict=True)]
+        tables.append((list(map(str, items)), scores))
+        floors.append(floor)
+    return Model(langs, tables, floors)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, lang_pred, score`` of each row. ``und`` at score 0 where the
-    text is null or has no letter, or nothing was learned; ties go to the first
-    language by name. Repeated rows stay; an empty table gives no rows; other
-    columns are not looked at."""
+    """``doc_id, lang_pred, score`` of each row, over its whole text. ``und`` at
+    score 0 where the text is null or has no letter, or nothing was learned; ties
+    go to the first language by name. Repeated rows and null identifiers stay; an
+    empty table gives no rows; other columns are not looked at."""
     configure(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
