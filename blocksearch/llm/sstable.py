@@ -4,8 +4,10 @@ A shard holds documents in ascending key order. Its file is, one after the
 other: data blocks, the Bloom filter, the block index, the footer.
 
 * Key: a byte 1 and the identifier, big-endian with its sign bit turned (a byte
-  0 alone for null), then the number of the repeat, so that byte order is the
-  order of identifiers.
+  0 alone for null), so that byte order is the order of identifiers; then, for
+  rows that repeat an identifier, a hash of the text and the number of the repeat
+  of both. Rows that agree in both are in one task, so a key is unique over all
+  shards.
 * Block: about ``BLOCK`` bytes of entries, compressed with zstandard. An entry
   is, as varints, the bytes shared with the key before it in the block, the
   bytes of key that follow and the bytes of ids, then both; ids are unsigned
@@ -15,7 +17,8 @@ other: data blocks, the Bloom filter, the block index, the footer.
 * Footer: places and lengths of filter and index, counts, id width, a magic.
 
 Shards are written in the tasks to a name of the attempt and then moved, so a
-task that runs again leaves the same file.
+task that runs again leaves the same file. A task begins a new shard when one has
+``SHARD`` bytes, however many rows it has.
 """
 
 from __future__ import annotations
@@ -37,15 +40,26 @@ from .common import configure, materialise, scratch
 from .tokens import encoder, model_path
 
 BLOCK = 1 << 16
+#: Bytes of a shard's blocks after which the next begins, and the shards that a
+#: task's numbers have room for.
+SHARD, ROOM = 256 << 20, 1 << 20
 BITS_A_KEY, HASHES = 10, 7
 MAGIC = b"BSSTBL01"
 _FOOTER = struct.Struct("<QQQQQQB8s")
 END_ID = 1
 
 
-def key_of(doc_id: int | None, repeat: int = 0) -> bytes:
-    whole = b"\0" if doc_id is None else b"\1" + struct.pack(">Q", (doc_id + (1 << 63)) & ((1 << 64) - 1))
-    return whole + struct.pack(">I", repeat)
+#: Bytes of a key after the identifier.
+TAIL = 12
+
+
+def prefix_of(doc_id: int | None) -> bytes:
+    """The part of a key that says the identifier."""
+    return b"\0" if doc_id is None else b"\1" + struct.pack(">Q", (doc_id + (1 << 63)) & ((1 << 64) - 1))
+
+
+def key_of(doc_id: int | None, h: int = 0, repeat: int = 0) -> bytes:
+    return prefix_of(doc_id) + struct.pack(">QI", (h + (1 << 63)) & ((1 << 64) - 1), repeat)
 
 
 def id_of(key: bytes) -> int | None:
@@ -99,7 +113,7 @@ class Writer:
 
     def __init__(self, out, width: int):
         self.out, self.width, self.at = out, width, 0
-        self.block, self.size, self.last, self.index, self.keys, self.tokens = [], 0, b"", [], [], 0
+        self.block, self.size, self.first, self.last, self.index, self.names, self.count, self.tokens = [], 0, b"", b"", [], [], 0, 0
         self.pack = zstandard.ZstdCompressor(level=1)
 
     def _put(self, data: bytes) -> tuple[int, int]:
@@ -108,7 +122,7 @@ class Writer:
         return self.at - len(data), len(data)
 
     def add(self, key: bytes, ids: np.ndarray) -> None:
-        if self.keys and key <= self.keys[-1]:
+        if self.count and key <= self.last:
             raise ValueError("keys must ascend")
         shared = 0
         if self.block:
@@ -117,8 +131,12 @@ class Writer:
         value = ids.astype(f"<u{self.width}").tobytes()
         self.block += [_varint(shared), _varint(len(key) - shared), _varint(len(value)), key[shared:], value]
         self.size += len(value) + 16
+        if not self.count:
+            self.first = key
+        if not self.names or self.names[-1] != key[:-TAIL]:
+            self.names.append(key[:-TAIL])
         self.last = key
-        self.keys.append(key)
+        self.count += 1
         self.tokens += len(ids)
         if self.size >= BLOCK:
             self._cut()
@@ -131,9 +149,9 @@ class Writer:
 
     def close(self) -> None:
         self._cut()
-        bloom = self._put(Bloom.of([k[:-4] for k in self.keys]).bits.tobytes())
+        bloom = self._put(Bloom.of(self.names).bits.tobytes())
         index = self._put(b"".join(_varint(len(k)) + k + _varint(p) + _varint(n) for k, p, n in self.index))
-        self._put(_FOOTER.pack(*bloom, *index, len(self.keys), self.tokens, self.width, MAGIC))
+        self._put(_FOOTER.pack(*bloom, *index, self.count, self.tokens, self.width, MAGIC))
 
 
 class Reader:
@@ -175,12 +193,12 @@ class Reader:
 
     def get(self, doc_id: int | None) -> list[np.ndarray]:
         """The ids of all entries of an identifier, in order; none: empty."""
-        whole = key_of(doc_id)[:-4]
+        whole = prefix_of(doc_id)
         out: list[np.ndarray] = []
         if self.bloom.may_hold(whole):
             for i in range(bisect_left(self.last, whole), len(self.blocks)):
                 for key, ids in self.block(i):
-                    if key[:-4] == whole:
+                    if key[:-TAIL] == whole:
                         out.append(ids)
                     elif key > whole:
                         return out
@@ -201,43 +219,65 @@ def open_shard(uri: str):
         yield Reader(f)
 
 
-def _shards(folder: str, path: str, end_id: int):
-    schema = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
+_MANIFEST = "shard long, path string, n_docs long, n_tokens long, first_key binary, last_key binary"
+
+
+def _shards(folder: str, path: str, end_id: int, size: int):
+    schema = pa.schema([("shard", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("first_key", pa.binary()), ("last_key", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        writer = out = None
         task, enc = TaskContext.get(), None
-        uri = f"{folder}/shard-{task.partitionId():06d}.sst"
-        end, last, repeat = np.array([end_id], "<u4"), object(), 0
+        number, writer, out = 0, None, None
+        end, last, repeat = np.array([end_id], "<u4"), None, 0
+
+        def name() -> str:
+            return f"{folder}/shard-{task.partitionId():06d}-{number:06d}.sst"
+
+        def begin() -> None:
+            nonlocal writer, out
+            if number == ROOM:
+                raise ValueError("a task has more shards than their numbers have room for")
+            where, final = filesystem(name())
+            where.create_dir(final.rpartition("/")[0], recursive=True)
+            out = where.open_output_stream(f"{final}.{task.taskAttemptId()}")
+            writer = Writer(out, 2 if max(enc.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4)
+
+        def done() -> pa.RecordBatch:
+            nonlocal writer, number
+            writer.close()
+            out.close()
+            where, final = filesystem(name())
+            where.move(f"{final}.{task.taskAttemptId()}", final)
+            row = (task.partitionId() * ROOM + number, name(), writer.count, writer.tokens, writer.first, writer.last)
+            writer, number = None, number + 1
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            if writer is None:
-                where, final = filesystem(uri)
-                where.create_dir(final.rpartition("/")[0], recursive=True)
-                enc = encoder(path)
-                out = where.open_output_stream(f"{final}.{task.taskAttemptId()}")
-                writer = Writer(out, 2 if max(enc.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4)
-            ids, begin = enc.encode(batch.column(1))
-            for i, doc_id in enumerate(batch.column(0).to_pylist()):
-                repeat = repeat + 1 if doc_id == last else 0
-                last = doc_id
-                writer.add(key_of(doc_id, repeat), np.concatenate((ids[begin[i] : begin[i + 1]], end)))
+            enc = enc or encoder(path)
+            ids, begins = enc.encode(batch.column(2))
+            for i, who in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                repeat = repeat + 1 if who == last else 0
+                last = who
+                if writer is None:
+                    begin()
+                writer.add(key_of(*who, repeat), np.concatenate((ids[begins[i] : begins[i + 1]], end)))
+                if writer.at >= size:
+                    yield done()
         if writer is not None:
-            writer.close()
-            out.close()
-            where.move(f"{final}.{task.taskAttemptId()}", final)
-            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((task.partitionId(), uri, len(writer.keys), writer.tokens), schema, strict=True)], schema=schema)
+            yield done()
 
     return run
 
 
-def write(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, folder: str | None = None) -> DataFrame:
+def write(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, folder: str | None = None, shard_bytes: int = SHARD) -> DataFrame:
     """Encode and write all rows as shards under ``folder`` (by default a new
     one in the shared folder). Returns the manifest ``shard, path, n_docs,
-    n_tokens``, itself written there; shards ascend with their number.
+    n_tokens, first_key, last_key``, itself written there; shards ascend with
+    their number.
 
     Null text counts as empty and gives the end id alone; null identifiers come
     first; rows that repeat an identifier are kept, by the hash of their text;
@@ -246,8 +286,8 @@ def write(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", token
     folder = folder or scratch(docs.sparkSession, "sstable")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
-    dealt = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
-    return materialise(dealt.mapInArrow(_shards(folder, tokenizer or model_path(), end_id), "shard int, path string, n_docs long, n_tokens long"), "manifest")
+    dealt = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "h", "text")
+    return materialise(dealt.mapInArrow(_shards(folder, tokenizer or model_path(), end_id, shard_bytes), _MANIFEST), "manifest")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,6 +322,25 @@ def _placed(manifest: DataFrame) -> DataFrame:
     return starts.repartitionByRange(max(1, manifest.count()), "shard").select("path", "start")
 
 
+def lookup(manifest: DataFrame, doc_ids: list[int | None]) -> DataFrame:
+    """``doc_id, ids`` of the entries of these identifiers, given as a list; one
+    that isn't there has no row. The manifest's keys tell the shards that can
+    hold each; in those the Bloom filter and the block index are asked."""
+    spark = manifest.sparkSession
+    asked = [(d, bytearray(prefix_of(d)), bytearray(prefix_of(d) + b"\xff" * TAIL)) for d in dict.fromkeys(doc_ids)]
+    wanted = F.broadcast(spark.createDataFrame(asked, "doc_id long, low binary, high binary"))  # as long as the caller's list
+    shards = manifest.join(wanted, (F.col("first_key") <= F.col("high")) & (F.col("last_key") >= F.col("low"))).select("path", "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri, doc_id in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with open_shard(uri) as reader:
+                    found = [x.tobytes() for x in reader.get(doc_id)]
+                yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(found), pa.int64()), pa.array(found, pa.binary())], names=["doc_id", "ids"])
+
+    return shards.mapInArrow(run, "doc_id long, ids binary")
+
+
 def read(manifest: DataFrame) -> DataFrame:
     """``doc_id, start, ids`` of all documents; ids little-endian 32-bit."""
     return _placed(manifest).mapInArrow(_read, "doc_id long, start long, ids binary")

@@ -88,6 +88,27 @@ def test_shards(spark, docs, enc):
     assert empty.count() == 0 and sstable.digests(empty).count() == 0
 
 
+def test_small_shards_and_lookup(spark, docs, enc):
+    """A new shard after every block, repeats that span shards, and lookups."""
+    many = spark.createDataFrame([(6, f"text {i % 40} " * 30, 1, "x") for i in range(120)], docs.schema)
+    manifest = sstable.write(docs.union(many).repartition(6), shard_bytes=1)
+    whole = sstable.write(docs.union(many))
+    rows = manifest.orderBy("shard").collect()
+    assert len(rows) >= len(whole.collect()) and all(a.last_key < b.first_key for a, b in zip(rows, rows[1:], strict=False))
+    keys = []
+    for shard in rows:
+        with sstable.open_shard(shard.path) as reader:
+            own = [k for k, _ in reader.scan()]
+            assert (own[0], own[-1], len(own)) == (bytes(shard.first_key), bytes(shard.last_key), shard.n_docs)
+            keys += own
+    assert len(set(keys)) == len(keys) == len(ROWS) + 120 and keys == sorted(keys)
+    order = lambda m: [(r.doc_id, r.start, r.ids_crc32) for r in sorted(sstable.digests(m).collect(), key=lambda r: r.start)]
+    assert order(manifest) == order(whole)
+    found = sstable.lookup(manifest, [6, None, 1_000_003, -(2**63), 6]).collect()
+    want = [(d, plain(enc, t) + [1]) for d, t in ROWS if d in (6, None, -(2**63))] + [(6, plain(enc, f"text {i % 40} " * 30) + [1]) for i in range(120)]
+    assert sorted((str(r.doc_id), np.frombuffer(r.ids, "<u4").tolist()) for r in found) == sorted((str(d), ids) for d, ids in want)
+
+
 def test_one_shard_with_many_blocks(tmp_path):
     rng = np.random.default_rng(0)
     values = {i * 2: rng.integers(0, 49_000, rng.integers(1, 4000)) for i in range(300)}
@@ -101,7 +122,7 @@ def test_one_shard_with_many_blocks(tmp_path):
     with sstable.open_shard(f"file://{tmp_path}/s") as reader:
         assert len(reader.blocks) > 5 and all(reader.get(i)[0].tolist() == v.tolist() for i, v in values.items())
         assert all(reader.get(i) == [] for i in range(1, 600, 2))
-        assert sum(reader.bloom.may_hold(sstable.key_of(i)[:-4]) for i in range(1, 20_001, 2)) < 300
+        assert sum(reader.bloom.may_hold(sstable.prefix_of(i)) for i in range(1, 20_001, 2)) < 300
 
 
 def check_packed(rows, want):
