@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import configure, materialise
+from .common import configure, discard, materialise
 from .tokens import encoder, model_path
 
 CAPACITY = 2048
@@ -73,12 +73,13 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(sizes: list[int], bins: list[list[int]], capacity: int, sweeps: int = 8) -> list[list[int]]:
+def local_search(sizes: list[int], bins: list[list[int]], capacity: int) -> list[list[int]]:
     """Empty bins by moves and exchanges that raise the sum of squared fills.
 
     A sweep lets every underfull bin, emptiest first, give as long as that
-    helps; after a sweep that changes nothing, or ``sweeps`` of them, the search
-    ends. It ends at once at the fewest bins that the total allows."""
+    helps; after a sweep that changes nothing the search ends, as it must, since
+    every step raises the sum. It ends at once at the fewest bins that the total
+    allows."""
     size = np.asarray(sizes, np.int64)
     place = np.empty(len(size), np.int64)
     for b, members in enumerate(bins):
@@ -117,7 +118,8 @@ def local_search(sizes: list[int], bins: list[list[int]], capacity: int, sweeps:
                 return True
         return False
 
-    for _ in range(sweeps):
+    changed = True
+    while changed:
         changed = False
         open_ = np.flatnonzero((fill > 0) & (fill < capacity))
         for giver in open_[np.argsort(fill[open_], kind="stable")].tolist():
@@ -126,8 +128,6 @@ def local_search(sizes: list[int], bins: list[list[int]], capacity: int, sweeps:
                 break
             while 0 < fill[giver] < capacity and step(giver):
                 changed = True
-        if not changed:
-            break
     out: list[list[int]] = [[] for _ in bins]
     for i, b in enumerate(place.tolist()):
         out[b].append(i)
@@ -185,6 +185,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     n = max(1, -(-cut.count() // group))
     salt = F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id())
     first = materialise(_dealt(cut, F.pmod(salt, F.lit(n)), n, capacity, 0), "packed")
+    discard(cut)
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     if n == 1:
         return first.select(*names)
