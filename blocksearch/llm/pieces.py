@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import configure, materialise, scratch, trim
+from .common import configure, discard, materialise, scratch, trim
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
@@ -464,7 +464,8 @@ def _write_units(pairs: DataFrame, pieces: Pieces, root: str, runs: int) -> None
     """The units of each part with their ids, in a folder for each part. The
     parts of a frequent unit stand in ``runs`` rows and not in one."""
     pairs = pairs.withColumn("run", F.pmod("part", F.lit(runs)))
-    units = materialise(pairs.repartition("unit", "run").groupBy("unit", "run").agg(F.collect_list("part").alias("parts")), "parts").select("unit", "parts")
+    parts = materialise(pairs.repartition("unit", "run").groupBy("unit", "run").agg(F.collect_list("part").alias("parts")), "parts")
+    units = parts.select("unit", "parts")
     short = F.char_length("unit") <= BITS
     n, n_long = units.agg(F.count("*"), F.count_if(~short)).first()
     tasks = -(-n // FOLD_TASK) or 1
@@ -474,6 +475,7 @@ def _write_units(pairs: DataFrame, pieces: Pieces, root: str, runs: int) -> None
         done = done.unionByName(fold_long(units.where(~short).select("unit").distinct(), pieces))
     each = units.join(done, "unit").select(F.explode(F.array_distinct("parts")).alias("at"), "unit", "ids")
     each.repartition("at").write.partitionBy("at").option("compression", "zstd").parquet(root)
+    discard(parts)
 
 
 def _spelling(pieces: Pieces) -> pa.Array:

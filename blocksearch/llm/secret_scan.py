@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import configure, materialise, scratch
+from .common import configure, discard, materialise, scratch
 
 
 @dataclass(frozen=True)
@@ -114,15 +114,16 @@ class BlobLedger:
         and append it. Running it again on the same texts adds no entry."""
         every = F.array(*[F.lit(r.key) for r in rules])
         texts = docs.select(blob_of(text_col).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        unseen = None
         if self.table().isEmpty():
             todo = texts.groupBy("blob").agg(F.first("text").alias("text")).withColumn("rules", every)
         else:
             done = self.table().select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("done"))
             blobs = docs.select(blob_of(text_col).alias("blob")).distinct().join(done, "blob", "left")
             lacking = blobs.select("blob", F.array_except(every, F.coalesce("done", F.array().cast("array<string>"))).alias("rules")).where("size(rules) > 0")
-            lacking = materialise(lacking, "unseen-blobs")
-            if lacking.count() <= FEW:  # the texts that are known are then not moved
-                lacking = F.broadcast(lacking)
+            unseen = lacking = materialise(lacking, "unseen-blobs")
+            if unseen.count() <= FEW:  # the texts that are known are then not moved
+                lacking = F.broadcast(unseen)
             todo = texts.join(lacking, "blob").groupBy("blob").agg(F.first("text").alias("text"), F.first("rules").alias("rules"))
         todo = todo.withColumn("lowered", F.lower("text"))
         hits = F.concat(*[F.when(F.array_contains("rules", r.key), _hits(F.col("text"), F.col("lowered"), r, i)).otherwise(F.array().cast(_HITS)) for i, r in enumerate(rules)])
@@ -136,6 +137,8 @@ class BlobLedger:
         kept = F.when(F.col("hit").isNotNull() & (F.col("val") >= least[F.col("rank")]), span)
         done_now = each.withColumn("stop", stop).groupBy("blob").agg(F.first("rules").alias("rules"), F.collect_list(kept).alias("spans"))
         done_now.select("blob", "rules", F.col("spans").cast(_SPANS).alias("spans")).write.mode("append").parquet(self.root)
+        if unseen is not None:
+            discard(unseen)
 
     def spans(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         """``blob, spans`` of the blobs in which ``rules``, at their versions,
