@@ -5,13 +5,14 @@ characters are gone. Every map task inserts the full byte strings of its rows
 into a compressed radix trie whose keys start with length and content hash, so
 that copies inside a task meet there before anything is shuffled: however hot a
 group, a task sends one entry for it. Entries are dealt by length and hash;
-the receiving tasks insert them into a trie again, one (length, hash) subtree
-after the other. A terminal node holds the owner of its text: the row with the
+the receiving tasks insert the full strings of their partitions into a trie
+again. A terminal node holds the owner of its text: the row with the
 most code points in the original text, then the smallest identifier.
 
 Memory is bounded: a map task whose trie passes ``TRIE_BYTES`` spills whole
-subtrees as entries, and a receiving task holds one subtree, as its rows are
-sorted. A full comparison of bytes decides; the hash only deals the rows out.
+subtrees as entries. A receiving task's rows are sorted, so that what stands
+before the present length and hash is complete; past ``TRIE_BYTES`` these
+subtrees leave. A full comparison of bytes decides; the hash only deals the rows out.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import configure, materialise
+from .common import configure, discard, materialise
 
 #: The characters of [\x20\x09-\x0D].
 WHITE = b" \t\n\x0b\x0c\r"
@@ -170,8 +171,9 @@ def _combine(trie_bytes: int, hash_bytes: int):
 
 
 def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries sorted by (length, hash) to the owner of each entry's text. One
-    (length, hash) subtree is held at a time; it leaves when the next begins."""
+    """Entries sorted by (length, hash) to the owner of each entry's text. The
+    trie holds all of them up to ``TRIE_BYTES``, and more only of one (length,
+    hash)."""
     trie, current = RadixTrie(), None
     schema = pa.schema([("ref", pa.int64()), ("keep_ref", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
     out: list[tuple] = []
@@ -184,9 +186,10 @@ def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for ref, length, hashed, body, chars, best_id, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if (length, hashed) != current:
-                leave()
+                if trie.bytes > TRIE_BYTES:
+                    leave()
                 current = (length, hashed)
-            node = trie.find_or_add(b"\0" + body)
+            node = trie.find_or_add(length.to_bytes(8, "big") + hashed + body)
             if (v := node.value) is None:
                 node.value = [chars, best_id, ref, n, [ref]]
             else:
@@ -241,7 +244,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     other columns (the smallest stays), so that one row of a group is left."""
     entry = entries(docs, id_col, text_col, raw=True)
     won = entry.select("ref", F.concat_ws(":", F.coalesce(F.col("best_id").cast("string"), F.lit("-")), "best_raw").alias("_key"))
-    won = won.join(owners(entry).where("ref = keep_ref").select("ref"), "ref", "left_semi").select("_key")
+    won = materialise(won.join(owners(entry).where("ref = keep_ref").select("ref"), "ref", "left_semi").select("_key"), "kept")
+    discard(entry)
     raw = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
     rows = docs.select(F.struct("*").alias("_row"), F.concat_ws(":", F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("-")), raw).alias("_key"))
     rest = [F.col(f"_row.`{c}`") for c in docs.columns if c not in (id_col, text_col)]
