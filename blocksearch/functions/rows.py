@@ -24,6 +24,18 @@ def restore(rows: DataFrame) -> DataFrame:
     return rows.select(*[F.col(s).alias(c) for c, s in _SHORT.items()])
 
 
+def encoded(rows: DataFrame) -> DataFrame:
+    """Stored rows as JSON texts of the compact form, for exchange."""
+    short = compact(rows)
+    return short.select(F.to_json(F.struct(*short.columns), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def decoded(texts: DataFrame) -> DataFrame:
+    """The rows of such texts; a text that is none gives nulls."""
+    kind = "u string, p string, c string, v array<double>, t long"
+    return restore(texts.select(F.from_json("json", kind).alias("r")).select("r.*"))
+
+
 def megabytes(size: Column) -> Column:
     """Bytes as megabytes with two decimals, as text."""
     return F.format_string("%.2f", size / F.lit(1024.0 * 1024.0))

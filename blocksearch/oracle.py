@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from .functions.prompts import STYLES
+from .functions.prompts import LABELS, STYLES
 from .functions.text import JSWS
+from .schema import LOCAL_SETTING
 
 # DuckDB's regular expressions take the same class; NBSP and the like by code.
 WS = JSWS
@@ -147,6 +148,17 @@ ORACLE_SQL = {
             count(*) FILTER (vec_id % 9 = 0) AS ninth, count(*) FILTER (vec_id % 4 = 0 AND vec_id % 9 <> 0) AS fourth FROM embeddings)
         SELECT unnest(['empty', 'cached', 'rebuilt', 'saved on top', 'has data', 'preloaded', 'kept', 'scanned', 'deleted', 'deleted again', 'updated', 'left', 'valid', 'cleared', 'scanned after']) AS step,
             unnest([0, 0, even, third, 1, stored, stored, stored, ninth, 0, fourth, stored - ninth, 1, 0, 0]) AS n FROM n""",
+    "json_rows": f"WITH {_VEC} SELECT block_uuid, page_name, block_content, round(sqrt(list_sum(list_transform({_ROUND4}, lambda x: x * x))), 6) AS norm, 1::BIGINT AS last_updated_ms FROM vec",
+    "service_answers": "SELECT conv_id, turn, text AS local, text AS cloud, true AS wrong, conv_id / 2 + turn AS local_sum, conv_id / 2 + turn AS cloud_sum, true AS wrong_vector FROM conversations",
+    "settings_choice": f"""SELECT setting, CASE WHEN setting IN ('', '{LOCAL_SETTING}') THEN 'local' WHEN setting = 'hashing' THEN 'hashing' ELSE 'cloud' END AS provider,
+        CASE WHEN setting IN ('', '{LOCAL_SETTING}') THEN 768 WHEN setting = 'hashing' THEN 256 ELSE 1024 END::BIGINT AS dimension, style
+        FROM (VALUES ('', 'warm'), ('{LOCAL_SETTING}', 'warm'), ('another cloud service', 'warm'), ('hashing', 'warm'), {", ".join(f"('{label} / style', '{key}')" for label, key in LABELS)}) AS t(setting, style)""",
+    "store_clock": f"WITH {_VEC} SELECT block_uuid, 1::BIGINT AS last_updated_ms FROM vec",
+    "selections": """SELECT 'selected' AS "case", (SELECT string_agg(text, chr(10) || chr(10) ORDER BY turn) FROM conversations WHERE conv_id = 1 AND trim(text) <> '') AS content
+        UNION ALL VALUES ('blank', ' not cleaned '), ('nothing', NULL)""",
+    "engine_states": """WITH s(step, ready, storage, has_data, cached) AS (VALUES ('made', false, false, false, false), ('opened', true, false, false, false), ('stored', true, true, true, false), ('opened again', true, true, true, true), ('cleared', true, false, false, false))
+        SELECT step, unnest(['ready', 'storage', 'has_data', 'cached']) AS name, unnest([ready, storage, has_data, cached]) AS value FROM s
+        UNION ALL VALUES ('opened again', 'blank query finds', false), ('opened again', 'summary without results', false)""",
     "summary_sink": f"""WITH {_top(0, 10, 0.25)} SELECT 'query' AS parent, 0::BIGINT AS ord, count(*) || ' related notes' AS content FROM top UNION ALL SELECT 'query', rank, '((' || block_uuid || '))' FROM top
         UNION ALL SELECT 'query', 2147483648, '```markdown' || chr(10) || 'all of it' || chr(10) || '```'""",
     "response_sink": f"""WITH t AS (SELECT * FROM conversations WHERE conv_id = 1 AND trim(text) <> ''), last AS (SELECT max(turn) AS turn, arg_max(text, turn) AS text FROM t)

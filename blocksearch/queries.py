@@ -12,8 +12,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.prompts import keyword_prompt, relevance_prompt, response_prompt, style_key, styles, summary_prompt
-from .functions.rows import compact, kilobytes, megabytes, record_key, restore, short_key
+from .functions import answers
+from .functions.prompts import LABELS, keyword_prompt, relevance_prompt, response_prompt, style_key, styles, summary_prompt
+from .functions.rows import compact, decoded, encoded, kilobytes, megabytes, record_key, restore, short_key
 from .functions.text import fenced, padded, preprocess, utf16_length
 from .functions.vectors import norm, round4
 from .operators import blocks as B
@@ -24,7 +25,7 @@ from .operators.checkpoint import fixed, shared_dir
 from .operators.store import VectorStore
 from .plans import index
 from .plans.engine import Engine
-from .schema import Settings
+from .schema import LOCAL_SETTING, Settings, provider_of
 from .sources import blocks as src
 from .streaming.refresh import refresh_stream
 
@@ -418,6 +419,66 @@ def response_sink(spark, sf_dir):
     return Engine(spark, _shared(spark)).respond(chosen, tree, "sharp", name=lambda: "r1")
 
 
+def json_rows(spark, sf_dir):
+    """To JSON and back."""
+    rows = decoded(encoded(vectors(spark, sf_dir).withColumn("last_updated_ms", F.lit(1).cast("long"))))
+    return rows.select("block_uuid", "page_name", "block_content", F.round(norm(F.col("vector")), DIGITS).alias("norm"), "last_updated_ms")
+
+
+def service_answers(spark, sf_dir):
+    """What is read from the answers of services, right and wrong ones."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    local, cloud = F.to_json(F.struct(F.col("text").alias("response"))), F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("message"))).alias("choices")))
+    vector = F.array(F.col("conv_id") / 2, F.col("turn").cast("double"))
+    one, many = F.to_json(F.struct(vector.alias("embedding"))), F.to_json(F.struct(F.array(F.struct(vector.alias("embedding"))).alias("data")))
+    return turns.select(
+        "conv_id", "turn", answers.text(local, False).alias("local"), answers.text(cloud, True).alias("cloud"), answers.text(local, True).isNull().alias("wrong"),
+        F.aggregate(answers.embedding(one, False), F.lit(0.0), lambda a, x: a + x).alias("local_sum"), F.aggregate(answers.embedding(many, True), F.lit(0.0), lambda a, x: a + x).alias("cloud_sum"),
+        answers.embedding(many, False).isNull().alias("wrong_vector"),
+    )
+
+
+def settings_choice(spark, sf_dir):
+    """The provider and dimension, and the style, that settings strings name."""
+    names = ["", LOCAL_SETTING, "another cloud service", "hashing", *[f"{label} / style" for label, _ in LABELS]]
+    rows = [(x, provider_of(x), Settings(provider=provider_of(x)).dim) for x in names]
+    return spark.createDataFrame(rows, "setting string, provider string, dimension long").withColumn("style", style_key(F.col("setting")))
+
+
+def store_clock(spark, sf_dir):
+    return _store(spark, sf_dir).scan().select("block_uuid", "last_updated_ms")
+
+
+def selections(spark, sf_dir):
+    """The selected contents of a conversation, and what stands in for them."""
+    engine = Engine(spark, _shared(spark))
+    blocks = src.page(src.conversation_tree(table(spark, sf_dir, "conversations")), "conv/1").withColumn("ord", F.col("sibling_ord"))
+    blank = blocks.withColumn("content", F.lit(" \u3000"))
+    return spark.createDataFrame([("selected", engine.selection(blocks, "x")), ("blank", engine.selection(blank, " not cleaned ")), ("nothing", engine.selection(blocks.limit(0)))], "case string, content string")
+
+
+def engine_states(spark, sf_dir):
+    """What an engine says of itself from its opening to its clearing."""
+    settings, rows = Settings(dimension=64), vectors(spark, sf_dir)
+    root = _shared(spark)
+
+    def said(step: str, engine: Engine) -> list[tuple[str, str, bool]]:
+        return [(step, name, value) for name, value in engine.status().items()]
+
+    closed = Engine(spark, root, settings=settings)
+    out = said("made", closed)
+    engine = Engine.open(spark, root, settings=settings)
+    out += said("opened", engine)
+    engine.store.overwrite(rows)
+    out += said("stored", engine)
+    again = Engine.open(spark, root, settings=settings)
+    out += said("opened again", again)
+    out += [("opened again", "blank query finds", again.search(" \n").count() > 0), ("opened again", "summary without results", bool(again.ask("zzz").summary()))]
+    again.clear()
+    out += said("cleared", again)
+    return spark.createDataFrame(out, "step string, name string, value boolean")
+
+
 def engine_search(spark, sf_dir):
     """Open, build, refresh and search by text."""
     engine = Engine.open(spark, _shared(spark), settings=Settings(dimension=DIM))
@@ -444,6 +505,6 @@ QUERIES = {
         blocks_dedup, dedup_last_wins, change_status, change_counts, total_changes, to_index_union, survivors, apply_changes, shard_assign, store_scan, shard_index, append_layout, delete_by_key,
         delete_touched_shards, update_by_key, store_stats, store_integrity, hash_embedding, semantic_search, embed_blocks, index_build, tree_flatten, tree_order, page_blocks, result_refs, result_nested, selection_concat,
         summary_context, style_lookup, progress_batches, compact_rows, record_keys, styled_response, engine_search, streaming_refresh, round4_special, search_prompts, summary_texts, size_texts,
-        retry_delays, store_lifecycle, summary_sink, response_sink,
+        retry_delays, store_lifecycle, summary_sink, response_sink, json_rows, service_answers, settings_choice, store_clock, selections, engine_states,
     )
 } | {f"{s}_blocks": _of_status(s) for s in ("new", "modified", "deleted", "unchanged")}
