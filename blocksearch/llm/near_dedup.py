@@ -43,6 +43,8 @@ BUDGET = 26
 #: Rows sampled for the order, the rows a frequent shingle is in, and how many
 #: frequent ones are held; rows that are gone through at once.
 SAMPLE, OFTEN, HOT, ROWS = 5000, 3, 1 << 16, 100_000
+#: Nodes that a task compares in one bundle; larger ones are dealt in blocks.
+CROWD = 512
 
 
 def shingles(text: bytes | None, width: int = SHINGLE) -> np.ndarray:
@@ -229,29 +231,108 @@ def _linked(bundle: pa.ChunkedArray, node: pa.ChunkedArray, found: pa.ChunkedArr
     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(labels, pa.int64())], names=["node", "label"])
 
 
+def _shared_by(found: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Which of the other sets are at 0.8 with one."""
+    shared = np.array([len(np.intersect1d(found, x, assume_unique=True)) for x in others], np.int64)
+    return shared >= least_shared(len(found), np.fromiter(map(len, others), np.int64, len(others)))
+
+
+def _sets_of(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
+
+
+def _with_hub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bundle, node, found, hub, hub_found) to (bundle, node, hub, linked)."""
+    for batch in batches:
+        linked = [bool(_shared_by(a, [b])[0]) for a, b in zip(_sets_of(batch.column(2)), _sets_of(batch.column(4)), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(linked, pa.bool_())], names=["bundle", "node", "hub", "linked"])
+
+
+def _block_links(some: pa.Table, rest: pa.Table) -> pa.Table:
+    """Edges of a block of nodes and a block of those that no hub has, by which
+    what is linked is joined: no more than the nodes of both."""
+    a, b = [], []
+    if some.num_rows and rest.num_rows:
+        nodes, sets = some.column("node").to_pylist(), _sets_of(some.column("found"))
+        least: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := least.setdefault(x, x)) != x:
+                least[x] = x = least[up] if up in least else up
+            return x
+
+        for node, found in zip(rest.column("node").to_pylist(), _sets_of(rest.column("found")), strict=True):
+            other = [i for i, x in enumerate(nodes) if root(x) != root(node)]
+            for i in np.flatnonzero(_shared_by(found, [sets[i] for i in other])).tolist():
+                x, y = root(nodes[other[i]]), root(node)
+                least[max(x, y)] = min(x, y)
+        for x in least:
+            if root(x) != x:
+                a.append(x)
+                b.append(root(x))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _crowded(full: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(node, label) of bundles that are too large for a task.
+
+    Every node is compared with the bundle's hub, its least node; in a crowd of
+    copies that joins nearly all. Those that the hub hasn't are compared with
+    all nodes, block by block, each pair of blocks in a task of its own. Nothing
+    is left out: two nodes that the hub has are in one class already."""
+    blocks = sizes.select("bundle", F.col("hub"), F.ceil(F.col("n") / CROWD).cast("int").alias("blocks"))
+    whole = materialise(full.join(blocks, "bundle").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "crowds")
+    hubs = whole.where("node = hub").select("bundle", F.col("found").alias("hub_found"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    starred = whole.join(hubs, ["bundle", "block"]).select("bundle", "node", "found", "hub", "hub_found")
+    star = materialise(starred.mapInArrow(_with_hub, "bundle long, node long, hub long, linked boolean"), "stars")
+    alone = star.where("not linked").select("bundle", "node")
+    many = alone.groupBy("bundle").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("parts"))
+    rest = whole.join(alone, ["bundle", "node"]).join(many, "bundle")
+    rest = rest.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    some = whole.join(many, "bundle").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    key = ["bundle", "part", "block"]
+    names = [*key, "node", "found"]
+    rest = rest.select(*names).toDF(*names)  # its columns are then its own
+    met = some.select(*names).groupBy(*key).cogroup(rest.groupBy(*key)).applyInArrow(_block_links, "a long, b long")
+    edges = star.where("linked").select(F.col("node").alias("a"), F.col("hub").alias("b")).unionByName(met)
+    labels = materialise(components(edges), "crowd-labels")
+    discard(whole, star)
+    return labels
+
+
 def labels_of(rows: DataFrame, sets: DataFrame, nodes: DataFrame, width: int = SHINGLE) -> DataFrame:
     """(node, label) of the components of ``nodes`` at a similarity of 0.8 or
     more; nodes that nothing is linked to may be absent.
 
     Nodes that the bounds let pass are bundled first, by as many edges as keep
     them together and not by all pairs. Every link is inside a bundle, and each
-    bundle, with the whole sets of its nodes, is then gone through."""
+    bundle, with the whole sets of its nodes, is then gone through: in a task, or
+    if it is large in many."""
     spread = sets.select("node", "n", F.posexplode("tokens").alias("pos", "token")).select("token", "node", "n", "pos")
     shared = spread.repartition("token").sortWithinPartitions("token").mapInArrow(_runs(_shared), "token long, node long, n int, pos int")
     shared = shared.join(nodes.select("node", "fp", "bits"), "node").select("token", "node", "n", "pos", "fp", "bits")
     edges = shared.repartition("token").sortWithinPartitions("token").mapInArrow(_runs(_bundled), "a long, b long")
-    bundles = components(edges)
-    bundles = materialise(bundles, "bundles")
+    bundles = materialise(components(edges), "bundles")
     ends = nodes.select("node", F.col("first.at").alias("at")).join(bundles.withColumnRenamed("label", "bundle"), "node")
+    sizes = bundles.groupBy(F.col("label").alias("bundle")).agg(F.count("*").alias("n"), F.min("node").alias("hub")).where(F.col("n") > CROWD)
+    sizes = materialise(sizes, "crowd-sizes")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(t, width).tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["bundle", "node", "found"])
 
-    full = rows.join(ends, "at").select("bundle", "node", "text").mapInArrow(whole, "bundle long, node long, found binary")
-    found = materialise(full.repartition("bundle").sortWithinPartitions("bundle").mapInArrow(_runs(_linked, 2000), "node long, label long"), "near-labels")
-    discard(bundles)
+    def full(own: DataFrame) -> DataFrame:
+        return rows.join(own, "at").select("bundle", "node", "text").mapInArrow(whole, "bundle long, node long, found binary")
+
+    few = full(ends.join(sizes, "bundle", "left_anti"))
+    found = few.repartition("bundle").sortWithinPartitions("bundle").mapInArrow(_runs(_linked, 2000), "node long, label long")
+    crowds = None
+    if not sizes.isEmpty():
+        crowds = _crowded(full(ends.join(sizes, "bundle", "left_semi")), sizes)
+        found = found.unionByName(crowds)
+    found = materialise(found, "near-labels")
+    discard(bundles, sizes, *([crowds] if crowds is not None else []))
     return found
 
 

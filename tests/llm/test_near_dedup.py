@@ -82,6 +82,25 @@ def test_a_crowd_of_near_copies_and_a_frequent_passage(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(brute(rows))
 
 
+@pytest.mark.parametrize("crowd", [2, 16])
+def test_large_bundles_in_blocks(spark, monkeypatch, crowd):
+    """The bundles of both tables above, cut into blocks of few nodes; also chains
+    in which few are linked to the hub, and bundles without any link."""
+    monkeypatch.setattr(op, "CROWD", crowd)
+    monkeypatch.setattr(op, "differing", lambda a, b: 0)  # the bounds let much pass
+    rng = random.Random(9)
+    rows = copies(5)
+    chain = [f"c{i}" for i in range(40)]
+    for i in range(30):
+        chain = chain.copy()
+        chain[rng.randrange(40)] = f"d{i}"
+        rows.append((1000 + i, " ".join(chain)))
+    passage = [f"p{i}" for i in range(30)]
+    rows += [(2000 + i, " ".join(passage + [f"q{i}x{j}" for j in range(12)])) for i in range(40)]
+    kept = keep_similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(brute(rows))
+
+
 def test_self_join_with_a_condition(monkeypatch):
     """Against all pairs; equal and near fingerprints, some of them crowds, and a
     condition that refuses half of the pairs."""
