@@ -7,7 +7,8 @@ or more, and of what links reach one text is kept:
   the first fifth of each, so each text is dealt to a trie for each of these. The
   order puts shingles that are frequent in a sample last; it decides how many
   tries there are and how large, and not which pairs are found.
-* Each trie is joined with itself (``trie``): pairs of nodes are walked down
+* A trie that many texts are dealt to is dealt again in blocks, and each trie is
+  joined with itself (``trie``): pairs of nodes are walked down
   together, and a pair is left when its differing bits exceed ``BUDGET``. Texts at
   0.8 differ in some ten of the 64 bits of their fingerprints; the budget is far
   beyond that.
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import discard, materialise, trim
 from .components import components
 from .simhash import SEED, majority, packed, spans
-from .trie import self_join
+from .trie import dealt, self_join
 
 SHINGLE = 5
 #: Differing bits of fingerprints up to which the tries are walked. A bit differs
@@ -309,7 +310,7 @@ def labels_of(rows: DataFrame, sets: DataFrame, nodes: DataFrame, width: int = S
     bundle, with the whole sets of its nodes, is then gone through: in a task, or
     if it is large in many."""
     spread = sets.select("node", "n", F.posexplode("tokens").alias("pos", "token")).select("token", "node", "n", "pos")
-    shared = spread.repartition("token").sortWithinPartitions("token").mapInArrow(_runs(_shared), "token long, node long, n int, pos int")
+    shared = dealt(spread, "token", "node").repartition("token").sortWithinPartitions("token").mapInArrow(_runs(_shared), "token long, node long, n int, pos int")
     shared = shared.join(nodes.select("node", "fp", "bits"), "node").select("token", "node", "n", "pos", "fp", "bits")
     edges = shared.repartition("token").sortWithinPartitions("token").mapInArrow(_runs(_bundled), "a long, b long")
     bundles = materialise(components(edges), "bundles")

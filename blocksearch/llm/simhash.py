@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import configure, materialise
 from .components import components
-from .trie import BITS, self_join
+from .trie import BITS, dealt, self_join
 
 SEED = 42
 SHINGLE = 3
@@ -125,7 +125,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keyed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("which", "kept"))
     keyed = keyed.select(F.xxhash64("which", "kept").alias("key"), "fp")  # a clash of keys only makes a run longer
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_edges(radius), "a long, b long")
+    return dealt(keyed, "key", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(_edges(radius), "a long, b long")
 
 
 def _labels(rows: DataFrame, radius: int) -> DataFrame:

@@ -4,6 +4,10 @@ A sorted array stands for a trie: a node is a range of it, a level one bit. All
 pairs of nodes of a level move down at once; the differing bits add up along the
 way, and a pair that exceeds the budget is left, as is one whose members are in
 one class already.
+
+A task walks whole tries. ``dealt`` bounds them: the members of a key that has
+too many are put into blocks, and each pair of blocks is a trie of its own, so
+that every pair of members is still in one.
 """
 
 from __future__ import annotations
@@ -11,12 +15,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialise
 
 BITS = 64
 #: Node pairs held at once; pairs that are accepted together; members of a trie
 #: from which its classes are first looked for around single members.
 PAIRS, TOGETHER, CROWD = 1 << 20, 1 << 12, 32
 
+#: Members of a trie from which it is dealt in blocks, and such keys up to which
+#: their sizes are broadcast.
+LARGE, FEW = 100_000, 100_000
+
 Accept = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
@@ -111,3 +123,18 @@ def self_join(fps: np.ndarray, stops: np.ndarray, radius: int, accept: Accept |
                 v.append(w[use])
         stack.append((bit - 1, *(np.concatenate(v) for v in new)))
     return label
+
+
+def dealt(rows: DataFrame, key: str, member: str) -> DataFrame:
+    """``rows`` in which no ``key``, a long, has many more than ``LARGE`` members,
+    or twice as many where two blocks meet. Equal members are in one block. (A
+    clash of the new keys only makes a trie larger.)"""
+    blocks = F.ceil(F.col("n") / LARGE).cast("int")
+    sizes = materialise(rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > LARGE).select(key, blocks.alias("_blocks")), "large-tries")
+    large = sizes.count()
+    if not large:
+        return rows
+    met = rows.join(F.broadcast(sizes) if large <= FEW else sizes, key, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    met = met.withColumn("_own", F.pmod(F.xxhash64(member), F.col("_blocks")).cast("int")).withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    pair = F.xxhash64(key, F.least("_own", "_with"), F.greatest("_own", "_with"))
+    return met.withColumn(key, F.when(F.col("_blocks") > 1, pair).otherwise(F.col(key))).select(*rows.columns)

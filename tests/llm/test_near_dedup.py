@@ -84,9 +84,11 @@ def test_a_crowd_of_near_copies_and_a_frequent_passage(spark):
 
 @pytest.mark.parametrize("crowd", [2, 16])
 def test_large_bundles_in_blocks(spark, monkeypatch, crowd):
-    """The bundles of both tables above, cut into blocks of few nodes; also chains
-    in which few are linked to the hub, and bundles without any link."""
+    """The bundles of both tables above, and the tries, cut into blocks of few
+    nodes; also chains in which few are linked to the hub, and bundles without
+    any link."""
     monkeypatch.setattr(op, "CROWD", crowd)
+    monkeypatch.setattr(trie, "LARGE", crowd)
     monkeypatch.setattr(op, "differing", lambda a, b: 0)  # the bounds let much pass
     rng = random.Random(9)
     rows = copies(5)

@@ -73,6 +73,21 @@ def test_links_of_a_dense_ball(spark, radius):
     assert len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want))
 
 
+@pytest.mark.parametrize("large,few", [(3, 100), (10, 0)])
+def test_large_tries_in_blocks(spark, monkeypatch, large, few):
+    """Fingerprints that share most bits, so that tries are dealt in blocks."""
+    monkeypatch.setattr(trie, "LARGE", large)
+    monkeypatch.setattr(trie, "FEW", few)
+    rng = random.Random(8)
+    fps = sorted({0x1234_5678_0000_0000 | sum(1 << rng.randrange(20) for _ in range(rng.randrange(9))) for _ in range(160)})
+    df = spark.createDataFrame([(f,) for f in fps], "fp long").repartition(4)
+    dealt = trie.dealt(df.selectExpr("1L AS key", "fp"), "key", "fp").groupBy("key").count().collect()
+    assert len(dealt) > 10 and max(r["count"] for r in dealt) < 6 * large + 10
+    label = {r.node: r.label for r in components(op.links(df)).collect()}
+    got, want = [label.get(f, f) for f in fps], classes(fps)
+    assert len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want))
+
+
 def test_walk_in_small_chunks(monkeypatch):
     rng = np.random.default_rng(1)
     fps = np.unique(rng.integers(0, 1 << 12, 800).astype(np.uint64))
