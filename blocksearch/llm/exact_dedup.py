@@ -30,6 +30,9 @@ from .common import configure, discard, materialise
 WHITE = b" \t\n\x0b\x0c\r"
 #: Bytes that a map task's trie may hold before it spills subtrees.
 TRIE_BYTES = 64 << 20
+#: Entries of a (length, hash) that one task receives, and such groups up to which
+#: their sizes are broadcast.
+CROWD, FEW = 2000, 100_000
 #: Bytes of the content hash used to deal entries out.
 HASH_BYTES = 16
 
@@ -170,39 +173,60 @@ def _combine(trie_bytes: int, hash_bytes: int):
     return run
 
 
-def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries sorted by (length, hash) to the owner of each entry's text. The
-    trie holds all of them up to ``TRIE_BYTES``, and more only of one (length,
+_OWNED = pa.schema([("ref", pa.int64()), ("keep_ref", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
+_MET = pa.schema([*[(n, _ENTRY.field(n).type) for n in ("ref", "length", "hash", "body", "best_chars", "best_id")], ("n", pa.int64()), ("refs", pa.list_(pa.int64()))])
+
+
+def _owners(merge: bool):
+    """Entries sorted by (length, hash) to the owner of each entry's text or, to
+    ``merge`` them, to one entry for each text with the refs that it stands for.
+    The trie holds all texts up to ``TRIE_BYTES``, and more only of one (length,
     hash)."""
-    trie, current = RadixTrie(), None
-    schema = pa.schema([("ref", pa.int64()), ("keep_ref", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
-    out: list[tuple] = []
-
-    def leave():
-        for _, (_, best_id, keep_ref, size, refs) in trie.take(-1):
-            out.extend((r, keep_ref, best_id, size) for r in refs)
-        trie.__init__()
-
-    for batch in batches:
-        for ref, length, hashed, body, chars, best_id, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (length, hashed) != current:
-                if trie.bytes > TRIE_BYTES:
-                    leave()
-                current = (length, hashed)
-            node = trie.find_or_add(length.to_bytes(8, "big") + hashed + body)
-            if (v := node.value) is None:
-                node.value = [chars, best_id, ref, n, [ref]]
-            else:
-                if _better(chars, best_id, v[0], v[1]) or (chars, best_id) == (v[0], v[1]) and ref < v[2]:
-                    v[:3] = chars, best_id, ref
-                v[3] += n
-                v[4].append(ref)
-        if len(out) > 5000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+    schema = _MET if merge else _OWNED
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, current = RadixTrie(), None
+        out: list[tuple] = []
+        held = 0
+
+        def leave():
+            nonlocal held
+            for key, (length, cut, chars, best_id, keep_ref, size, refs) in trie.take(-1):
+                held += len(key) + 8 * len(refs)
+                if merge:
+                    out.append((keep_ref, length, key[8:cut], key[cut:], chars, best_id, size, refs))
+                else:
+                    out.extend((r, keep_ref, best_id, size) for r in refs)
+            trie.__init__()
+
+        def batch_of() -> pa.RecordBatch:
+            nonlocal held
+            done = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
             out.clear()
-    leave()
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+            held = 0
+            return done
+
+        for batch in batches:
+            for ref, length, hashed, body, chars, best_id, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (length, hashed) != current:
+                    if trie.bytes > TRIE_BYTES:
+                        leave()
+                    current = (length, hashed)
+                node = trie.find_or_add(length.to_bytes(8, "big") + hashed + body)
+                if (v := node.value) is None:
+                    node.value = [length, 8 + len(hashed), chars, best_id, ref, n, [ref]]
+                else:
+                    if _better(chars, best_id, v[2], v[3]) or (chars, best_id) == (v[2], v[3]) and ref < v[4]:
+                        v[2:5] = chars, best_id, ref
+                    v[5] += n
+                    v[6].append(ref)
+            if len(out) > 5000 or held > 64 << 20:
+                yield batch_of()
+        leave()
+        if out:
+            yield batch_of()
+
+    return run
 
 
 def entries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, raw: bool = False, trie_bytes: int = TRIE_BYTES, hash_bytes: int = HASH_BYTES) -> DataFrame:
@@ -217,9 +241,28 @@ def entries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
 
 
 def owners(entry: DataFrame) -> DataFrame:
-    """(ref, keep_ref, keep_id, group_size) of each entry."""
-    sent = entry.select("ref", "length", "hash", "body", "best_chars", "best_id", F.size("members").cast("long").alias("n"))
-    return sent.repartition("length", "hash").sortWithinPartitions("length", "hash").mapInArrow(_owners, "ref long, keep_ref long, keep_id long, group_size long")
+    """(ref, keep_ref, keep_id, group_size) of each entry.
+
+    A text of which very many tasks have an entry is first met in many tasks, by
+    the number of the task that made the entry, so that no task receives more
+    than some ``CROWD`` entries of it."""
+    names = ["ref", "length", "hash", "body", "best_chars", "best_id", "n"]
+    sent = entry.withColumn("n", F.size("members").cast("long")).select(*names)
+    kind, key = "ref long, keep_ref long, keep_id long, group_size long", ["length", "hash"]
+    sizes = entry.groupBy(*key).agg(F.count("*").alias("entries")).where(F.col("entries") > CROWD)
+    sizes = materialise(sizes.select(*key, F.ceil(F.col("entries") / CROWD).alias("parts")), "crowds")
+    many = sizes.count()
+    if not many:
+        return sent.repartition(*key).sortWithinPartitions(*key).mapInArrow(_owners(False), kind)
+    crowds = F.broadcast(sizes) if many <= FEW else sizes
+    hot = sent.join(crowds, key).withColumn("part", F.pmod(F.shiftright("ref", 33), F.col("parts"))).select(*names, "part")
+    met = hot.repartition(*key, "part").sortWithinPartitions(*key).select(*names).mapInArrow(_owners(True), "ref long, length long, hash binary, body binary, best_chars long, best_id long, n long, refs array<long>")
+    met = materialise(met, "met")
+    left = sent.join(crowds, key, "left_anti").select(*names).unionByName(met.select(*names))
+    owned = left.repartition(*key).sortWithinPartitions(*key).mapInArrow(_owners(False), kind)
+    stand = met.select("ref", F.explode("refs").alias("own"))
+    found = owned.join(stand, "ref", "left")
+    return found.select(F.coalesce("own", "ref").alias("ref"), "keep_ref", "keep_id", "group_size")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -41,6 +41,21 @@ def test_against_brute_force(spark, rows, how):
     assert len(kept) == len({r.text_sha256 for r in got}) and all(r.doc_id == r.keep_id for r in kept)
 
 
+@pytest.mark.parametrize("few", [100, 0])
+@pytest.mark.parametrize("how", [{}, {"hash_bytes": 0, "trie_bytes": 2000}])
+def test_a_text_of_many_tasks_is_met_in_many(spark, monkeypatch, how, few):
+    """Entries of hot texts, and of different ones with one hash, in two rounds."""
+    monkeypatch.setattr(op, "CROWD", 2)
+    monkeypatch.setattr(op, "FEW", few)
+    rows = [(i, [" hot text", "hot  text ", "cold text", f"own {i}", None][i % 5]) for i in range(240)] + [(None, "hottext"), (3, "hottext")]
+    df = spark.createDataFrame([(a, b, "x", 1) for a, b in rows], SCHEMA).repartition(9)
+    got = op.groups(df, **how).collect()
+    assert sorted([(r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got], key=str) == brute(rows)
+    kept = [r for r in got if r.kept]
+    assert len(kept) == len({r.text_sha256 for r in got}) and all(r.doc_id == r.keep_id for r in kept)
+    assert op.keep_one(df).count() == len(kept)
+
+
 def test_a_hot_group_is_combined_in_the_map_tasks(spark):
     df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, F.lit("hot text")).otherwise(F.concat(F.lit("cold "), F.col("id"))).alias("text")).repartition(6)
     entry = op.entries(df)
