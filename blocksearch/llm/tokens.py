@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 #: Stems, and marks and other words, that a worker keeps, of about 200 bytes
 #: each. Frequent ones are met early; those that come when it is full are looked
 #: up for their batch.
-KEPT, KEPT_OTHERS = 1_000_000, 200_000
+KEPT, KEPT_OTHERS = 500_000, 100_000
 MODEL = "word_bpe_49k.json"
 _STEM = "^[A-Za-zÀ-ÖØ-öø-ÿ]+"
 #: ASCII punctuation but the apostrophe, which can begin a word of its own.
