@@ -40,6 +40,8 @@ from .common import configure, materialise, scratch
 from .tokens import encoder, model_path
 
 BLOCK = 1 << 16
+#: Input splits to a task that writes shards, at most.
+SPLITS = 8
 #: Bytes of a shard's blocks after which the next begins, and the shards that a
 #: task's numbers have room for.
 SHARD, ROOM = 256 << 20, 1 << 20
@@ -286,7 +288,11 @@ def write(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", token
     folder = folder or scratch(docs.sparkSession, "sstable")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
-    dealt = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "h", "text")
+    # The session's number of partitions, or more where a task would have to write
+    # more than ``SPLITS`` input splits.
+    least = -(-rows.rdd.getNumPartitions() // SPLITS)
+    few = least <= int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = (rows.repartitionByRange("doc_id", "h") if few else rows.repartitionByRange(least, "doc_id", "h")).sortWithinPartitions("doc_id", "h", "text").select("doc_id", "h", "text")
     return materialise(dealt.mapInArrow(_shards(folder, tokenizer or model_path(), end_id, shard_bytes), _MANIFEST), "manifest")
 
 

@@ -91,7 +91,7 @@ def test_shards(spark, docs, enc):
 def test_small_shards_and_lookup(spark, docs, enc):
     """A new shard after every block, repeats that span shards, and lookups."""
     many = spark.createDataFrame([(6, f"text {i % 40} " * 30, 1, "x") for i in range(120)], docs.schema)
-    manifest = sstable.write(docs.union(many).repartition(6), shard_bytes=1)
+    manifest = sstable.write(docs.union(many).repartition(6 * sstable.SPLITS), shard_bytes=1)  # more splits than the session's partitions take
     whole = sstable.write(docs.union(many))
     rows = manifest.orderBy("shard").collect()
     assert len(rows) >= len(whole.collect()) and all(a.last_key < b.first_key for a, b in zip(rows, rows[1:], strict=False))
