@@ -72,15 +72,16 @@ def _secrets_sql() -> str:
     """Spans by what stands between the matches of each rule; as in the query,
     a match counts by the length of its group."""
     rules = " UNION ALL ".join(
-        f"SELECT {i} AS rank, '{r.kind}' AS kind, '{p}' AS pattern, {r.least} AS least, {str(i < len(secret_scan.BASE)).lower()} AS base, doc_id, text, regexp_extract_all(text, '{p}') AS hits, regexp_extract_all(text, '{p}', {r.group}) AS vals, string_split_regex(text, '{p}') AS gaps FROM t"
+        f"SELECT {i} AS rank, '{r.kind}' AS kind, '{p}' AS pattern, {r.least} AS least, {str(i < len(secret_scan.BASE)).lower()} AS base, {str(r.tail).lower()} AS tail, doc_id, text, regexp_extract_all(text, '{p}') AS hits, regexp_extract_all(text, '{p}', {r.group}) AS vals, string_split_regex(text, '{p}') AS gaps FROM t"
         for i, r in enumerate(secret_scan.RULES)
         for p in [r.pattern.replace("'", "''")]
     )
     return f"""
         WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), found AS ({rules}),
-             each AS (SELECT doc_id, rank, kind, least, base, unnest(hits) AS hit, unnest(vals) AS val, unnest(gaps[:len(hits)]) AS gap, generate_subscripts(hits, 1) AS i FROM found),
+             each AS (SELECT doc_id, rank, kind, least, base, tail, unnest(hits) AS hit, unnest(vals) AS val, unnest(gaps[:len(hits)]) AS gap, generate_subscripts(hits, 1) AS i FROM found),
              placed AS (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, rank ORDER BY i) AS stop FROM each),
-             spans AS (SELECT doc_id, rank, kind, base, (stop - length(hit))::BIGINT AS start, kind || ':' || (stop - length(hit))::BIGINT || ':' || stop::BIGINT AS span FROM placed WHERE length(val) >= least)
+             begun AS (SELECT *, (stop - length(CASE WHEN tail THEN val ELSE hit END))::BIGINT AS start FROM placed WHERE length(val) >= least),
+             spans AS (SELECT doc_id, rank, kind, base, start, kind || ':' || start || ':' || stop::BIGINT AS span FROM begun)
         SELECT t.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
                sha256(coalesce(string_agg(span, ',' ORDER BY start, rank) FILTER (base), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY start, rank), '') AS spans
         FROM t LEFT JOIN spans USING (doc_id) GROUP BY t.doc_id"""

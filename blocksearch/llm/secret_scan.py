@@ -27,7 +27,8 @@ class Rule:
     """A kind of secret. ``pattern`` is matched leftmost and without overlaps;
     a match counts if ``group`` of it has ``least`` characters. ``hints``: the
     lower-cased text has one of these, or (``probe``) matches this, if the
-    pattern can match at all."""
+    pattern can match at all. With ``tail`` the span is that of the group, which
+    ends the match; what the match has before it is a boundary."""
 
     kind: str
     version: int
@@ -36,6 +37,7 @@ class Rule:
     least: int
     hints: tuple[str, ...] = ()
     probe: str = ""
+    tail: bool = False
 
     @property
     def key(self) -> str:
@@ -48,15 +50,15 @@ BASE = (
     Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 20, ("akia",)),
     Rule("hex", 1, r"[0-9a-f]{24,}", 0, 24, probe="[0-9a-f]{24}"),
 )
-#: Further kinds, by the published shapes of such tokens. What may begin anywhere
-#: in a run is bounded, as a run would otherwise be gone through from each of its
-#: places: the scheme of a URL and the header of a token.
+#: Further kinds, by the published shapes of such tokens. A run of characters would
+#: be gone through from each of its places by what may begin anywhere in it, so
+#: that a web token begins with its run, and a URL with the first letter of its.
 EXTRA = (
     Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, ("-----begin ",)),
-    Rule("jwt", 2, r"eyJ[A-Za-z0-9_-]{8,1000}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1, ("eyj",)),
+    Rule("jwt", 3, r"(?:\A|[^A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", 1, 1, ("eyj",), tail=True),
     Rule("github", 1, r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1, ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     Rule("slack", 1, r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1, ("xox",)),
-    Rule("url", 2, r"[a-z][a-z0-9+.-]{0,31}://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/@]+@", 0, 1, ("://",)),
+    Rule("url", 3, r"(?:\A|[^a-z0-9+.-])[0-9+.-]*([a-z][a-z0-9+.-]*://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/@]+@)", 1, 1, ("://",), tail=True),
 )
 RULES = BASE + EXTRA
 
@@ -133,7 +135,7 @@ class BlobLedger:
         so_far = Window.partitionBy("blob", "rank").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
         stop = F.sum(F.col("gap") + F.col("hit")).over(so_far).cast("int")
         least = F.array(*[F.lit(r.least) for r in rules])
-        span = F.struct(*[F.array(*[F.lit(getattr(r, n)) for r in rules])[F.col("rank")].alias(n) for n in ("kind", "version")], (F.col("stop") - F.col("hit")).alias("start"), "stop")
+        span = F.struct(*[F.array(*[F.lit(getattr(r, n)) for r in rules])[F.col("rank")].alias(n) for n in ("kind", "version")], (F.col("stop") - F.when(F.array(*[F.lit(r.tail) for r in rules])[F.col("rank")], F.col("val")).otherwise(F.col("hit"))).alias("start"), "stop")
         kept = F.when(F.col("hit").isNotNull() & (F.col("val") >= least[F.col("rank")]), span)
         done_now = each.withColumn("stop", stop).groupBy("blob").agg(F.first("rules").alias("rules"), F.collect_list(kept).alias("spans"))
         done_now.select("blob", "rules", F.col("spans").cast(_SPANS).alias("spans")).write.mode("append").parquet(self.root)

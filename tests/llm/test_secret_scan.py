@@ -39,6 +39,17 @@ def test_base_against_python(spark):
     assert op.findings(df.limit(0)).count() == 0
 
 
+def test_a_web_token_begins_a_run_and_has_no_longest_header(spark):
+    body = "." + "b" * 9 + "." + "c" * 9
+    texts = ["eyJ" + "k" * 5000 + body, "see eyJaaaaaaaa" + body + ", é eyJaaaaaaab" + body + " end", "xeyJaaaaaaaa" + body, "eyJaaaaaaa" + body, "eyJaaaaaaaa.bbbbbbbbb.short", "😀eyJaaaaaaaa" + body + ".d"]
+    got = {r.doc_id: r.spans for r in op.findings(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: "jwt:0:5023", 1: "jwt:4:35,jwt:39:70", 2: "", 3: "", 4: "", 5: "jwt:1:32"}
+    urls = ["x" * 500 + "://u:p@h", "see 1.http://u:p@h ftp://a:b@c", "http://u@h://v:w@"]
+    assert [r.spans for r in op.findings(spark.createDataFrame(list(enumerate(urls)), "doc_id long, text string")).orderBy("doc_id").collect()] == ["url:0:507", "url:6:17,url:19:29", "url:9:17"]
+    masked = {r.doc_id: r.text for r in op.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert masked[1] == "see [SECRET], é [SECRET] end" and masked[2] == texts[2]
+
+
 def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "token=abcdef1")], "doc_id long, text string")
     assert "Python" not in (plan := op.findings(df)._jdf.queryExecution().toString()) and "Arrow" not in plan
