@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language, licenses, packing, pieces, quality, secret_scan, simhash, sstable, toxicity
+from . import exact_dedup, language, licenses, merkle, mixing, packing, pieces, prefix_trie, quality, secret_scan, simhash, sstable, toxicity
 from .common import crc_of_id, table
 
 
@@ -55,6 +55,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(mixing.mix(table(spark, sf_dir, "documents")))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), merkle.tampered_rows())
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_sstable": op2_sstable,
@@ -66,6 +78,9 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_mixing": op12_mixing,
+    "op13_manifest": op13_manifest,
 }
 
 def _secrets_sql() -> str:
@@ -118,6 +133,100 @@ def _quality_sql() -> str:
                NOT (n_words < {at.least_words} OR 100 * n_repeat_words > {at.repeated_percent} * n_words) AND lost <= {at.lost} * total AS kept FROM counted"""
 
 
+def _crc(column: str) -> str:
+    """SQL for the unsigned crc32 of a number as text, over ``bits`` of the table ``crc``."""
+    steps = f"list_transform(string_split({column}::VARCHAR, ''), lambda x: ascii(x)::BIGINT)"
+    return f"xor(list_reduce({steps}, lambda c, b: xor(c >> 8, bits[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+def _crc_table() -> str:
+    """The byte table of crc32, by its rule: eight steps of a bit."""
+    out = "SELECT i, i AS c FROM range(256) r(i)"
+    for _ in range(8):
+        out = f"SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END AS c FROM ({out})"
+    return f"crc AS MATERIALIZED (SELECT list(c::BIGINT ORDER BY i) AS bits FROM ({out}))"
+
+
+def _trie_sql() -> str:
+    """Nodes as lists of turns; a subtree is what begins with its top's list."""
+    return f"""
+        WITH {_crc_table()}, t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+             own AS (SELECT conv_id, list({{'r': role, 't': text}} ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS turns FROM t GROUP BY 1),
+             heads AS (SELECT conv_id, turns, conv_id - conv_id % 100 AS base, ({_crc("conv_id")} % 6)::BIGINT AS h FROM own, crc),
+             whole AS (SELECT c.conv_id, list_concat(coalesce(b.turns, [])[:c.h], c.turns[c.h + 1:]) AS p FROM heads c LEFT JOIN own b ON b.conv_id = c.base),
+             steps AS (SELECT conv_id, d, p[:d] AS n, len(p) = d AS ends FROM (SELECT conv_id, p, unnest(range(len(p) + 1)) AS d FROM whole)),
+             nodes AS (SELECT n, d, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM steps GROUP BY 1, 2),
+             kids AS (SELECT n[:d - 1] AS n, d - 1 AS d, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1, 2),
+             made AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children, CASE WHEN d > 0 THEN (n_convs - 1) * length(nodes.n[d].t) ELSE 0 END AS worth FROM nodes LEFT JOIN kids USING (n, d)),
+             ups AS (SELECT n[:k] AS n, k AS d, worth, n_children FROM (SELECT n, worth, n_children, unnest(range(d + 1)) AS k FROM made)),
+             sums AS (SELECT n, d, count(*) FILTER (n_children = 0) AS n_leaves, sum(worth)::BIGINT AS saved_tokens FROM ups GROUP BY 1, 2)
+        SELECT m.conv_id, m.d AS depth, u.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves, saved_tokens, m.ends_sha256
+        FROM made m JOIN sums USING (n, d) LEFT JOIN nodes u ON u.d = m.d - 1 AND u.n = m.n[:m.d - 1]"""
+
+
+def _mix_sql() -> str:
+    """Targets, slots and permuted blocks; which shard has a slot plays no part."""
+    m, prime = mixing, mixing.PRIME
+    line = lambda x, k: f"((({x}) % {prime}) * 48271 + (({x}) // {prime}) * 69621 + (({k}) % {prime}) * 16807 + 12345) % {prime}"
+    mixed = lambda x, k: f"((({line(x, k)}) * (({line(x, k)}) % 1000003 + 7)) % {prime})"
+    weight = "[" + ", ".join(map(str, m.WEIGHTS)) + f"][sid % {len(m.WEIGHTS)} + 1]"
+    return rf"""
+        WITH t AS (SELECT row_number() OVER () AS row, doc_id, source, coalesce(len(regexp_extract_all(text, '{m.WORD}')), 0)::BIGINT AS size FROM documents),
+             placed AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, size, row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS since FROM t),
+             each AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM t GROUP BY 1),
+             capped AS (SELECT *, {weight}::BIGINT AS weight, {m.MOST} * source_size AS cap FROM each),
+             stops AS (SELECT *, (SELECT sum(source_size) FROM each) - coalesce(sum(cap) OVER early, 0) AS spare, sum(weight) OVER late AS heft, cap / weight AS stop FROM capped
+                       WINDOW early AS (ORDER BY cap / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), late AS (ORDER BY cap / weight, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+             level AS (SELECT spare, heft FROM stops WHERE spare / heft <= stop ORDER BY stop, sid LIMIT 1),
+             aimed AS (SELECT *, least(cap::DOUBLE, (weight * (SELECT spare FROM level))::DOUBLE / (SELECT heft FROM level)) AS target, ceil(source_size / {m.BLOCK})::BIGINT AS blocks FROM capped),
+             quota AS (SELECT *, CASE WHEN source_size > 0 THEN least({m.MOST} * blocks, floor(target * blocks / source_size + 0.5))::BIGINT ELSE 0 END AS slots FROM aimed),
+             slots AS (SELECT sid, source, blocks, unnest(range(slots)) AS number FROM quota),
+             keys AS (SELECT *, sid * 7 + number // blocks + {m.SEED} AS key FROM slots),
+             blocks AS (SELECT source, list_reduce(range({m.ROUNDS}), lambda i, r: CASE WHEN ({mixed(f"greatest(i, (({mixed('key * 1009 + r', m.SEED)} * {prime} + {mixed('key * 1009 + r', m.SEED + 1)}) % blocks + blocks - i) % blocks)", "key * 1009 + r")} // 4096) % 2 = 1
+                          THEN (({mixed("key * 1009 + r", m.SEED)} * {prime} + {mixed("key * 1009 + r", m.SEED + 1)}) % blocks + blocks - i) % blocks ELSE i END, number % blocks) AS block FROM keys),
+             times AS (SELECT source, block, count(*) AS times FROM blocks GROUP BY 1, 2),
+             parts AS (SELECT row, source, since, size, unnest(range(since // {m.BLOCK}, (since + size - 1) // {m.BLOCK} + 1)) AS block FROM placed WHERE size > 0),
+             taken AS (SELECT row, sum((least(since + size, (p.block + 1) * {m.BLOCK}) - greatest(since, p.block * {m.BLOCK})) * times)::BIGINT AS taken
+                       FROM parts p JOIN times t ON p.block = t.block AND p.source IS NOT DISTINCT FROM t.source GROUP BY 1)
+        SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM placed p JOIN quota q ON p.source IS NOT DISTINCT FROM q.source LEFT JOIN taken USING (row)"""
+
+
+def _merkle_sql(levels: int = 6, upper: int = 3) -> str:
+    """Trees as tables of levels, and a proof as a join with each level's run."""
+    field = lambda x: f"coalesce(strlen({x}::VARCHAR) || ':' || {x}::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field(x) for x in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    up = "CASE WHEN any_value(n) = 1 THEN min(d) ELSE sha256(string_agg(d, '' ORDER BY pos)) END"
+    parts = []
+
+    def tree(name: str, key: str, count: int) -> None:
+        for k in range(count):
+            parts.append(f"{name}{k + 1} AS (SELECT {key}, pos // 16 AS pos, ceil(any_value(n) / 16)::BIGINT AS n, {up} AS d FROM {name}{k} GROUP BY {key}, pos // 16)")
+
+    def climb(walk: str, name: str, key: str, count: int, start: str) -> str:
+        last = start
+        for k in range(count):
+            parts.append(f"""{walk}{k} AS (SELECT w.row, any_value(w.source) AS source, any_value(w.k) AS k, any_value(w.pos) // 16 AS pos, any_value(w.proof) || coalesce(string_agg(l.d, '' ORDER BY l.pos) FILTER (l.pos <> w.pos), '') AS proof,
+                CASE WHEN any_value(l.n) = 1 THEN any_value(w.fold) ELSE sha256(string_agg(CASE WHEN l.pos = w.pos THEN w.fold ELSE l.d END, '' ORDER BY l.pos)) END AS fold
+                FROM {last} w JOIN {name}{k} l ON l.{key} = w.{key} AND l.pos // 16 = w.pos // 16 GROUP BY w.row)""")
+            last = f"{walk}{k}"
+        return last
+
+    tree("l", "k", levels)
+    parts.append(f"s0 AS (SELECT 0 AS source, k - 1 AS pos, count(*) OVER () AS n, d FROM l{levels})")
+    tree("s", "source", upper)
+    first = climb("w", "l", "k", levels, "docs")
+    parts.append(f"over AS (SELECT row, 0 AS source, k, k - 1 AS pos, proof, fold FROM {first})")
+    second = climb("v", "s", "source", upper, "over")
+    return f"""
+        WITH {_crc_table()}, t AS (SELECT row_number() OVER () AS row, dense_rank() OVER (ORDER BY source NULLS FIRST) AS k, doc_id, {leaf("text")} AS leaf, {leaf(low)} AS other, coalesce({_crc("doc_id")} % 5 = 0, false) AS tampered FROM documents, crc),
+             placed AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY k) AS n FROM t),
+             l0 AS (SELECT k, pos, n, leaf AS d FROM placed), docs AS (SELECT row, 0 AS source, k, pos, '' AS proof, CASE WHEN tampered THEN other ELSE leaf END AS fold FROM placed), {", ".join(parts)}
+        SELECT doc_id, leaf, l{levels}.d AS subroot, s{upper}.d AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = s{upper}.d AS verified
+        FROM placed JOIN {second} USING (row) JOIN l{levels} ON l{levels}.k = placed.k, s{upper}"""
+
+
+
 ORACLE_SQL = {
     "op3_quality": _quality_sql(),
     "op6_secret_scan": _secrets_sql(),
@@ -127,4 +236,7 @@ ORACLE_SQL = {
              g AS (SELECT *, first_value(doc_id) OVER (PARTITION BY norm ORDER BY chars DESC, doc_id) AS keep_id,
                           count(*) OVER (PARTITION BY norm) AS group_size FROM t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g""",
+    "op11_prefix_trie": _trie_sql(),
+    "op12_mixing": _mix_sql(),
+    "op13_manifest": _merkle_sql(),
 }
