@@ -27,9 +27,9 @@ BLOCK, SHARD, MOST = 128, 1024, 3
 WEIGHTS = (5, 2, 1)
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rounds of the permutation, its prime, and its key.
-ROUNDS, PRIME, SEED = 24, 2**31 - 1, 42
-#: Tickets of a cell by which a drawn ticket finds its source.
-CELL = 4096
+ROUNDS, PRIME, SEED = 16, 2**31 - 1, 42
+#: Tickets of a cell by which a drawn ticket finds its source; slots of a task.
+CELL, TASK = 4096, 100_000
 
 
 def _div(a: Column, b: Column | int) -> Column:
@@ -43,19 +43,30 @@ def _mix(x: Column, key: Column) -> Column:
     return (line * (line % 1000003 + 7)) % PRIME
 
 
-def permuted(number: Column, n: Column, key: Column) -> Column:
-    """``number`` under a permutation of 0 to n - 1 picked by ``key``: in each
-    round a number and its mirror image about a pivot change places or not."""
+def rounds(n: Column, key: Column) -> Column:
+    """The rounds of a permutation of 0 to n - 1 picked by ``key``: a pivot, and
+    a multiplier and a term by which numbers are told apart."""
+    each = F.sequence(F.lit(0).cast("long"), F.lit(ROUNDS - 1).cast("long"))
 
-    def swap(at: Column, r: Column) -> Column:
+    def one(r: Column) -> Column:
         own = key * 1009 + r
         pivot = (_mix(own, F.lit(SEED)) * PRIME + _mix(own, F.lit(SEED + 1))) % n
-        other = (pivot + n - at) % n
-        flip = _div(_mix(F.greatest(at, other), own), 4096) % 2
+        return F.struct(pivot.alias("pivot"), (_mix(own, F.lit(SEED + 2)) % (1 << 20) + 1).alias("times"), _mix(own, F.lit(SEED + 3)).alias("plus"))
+
+    return F.transform(each, one)
+
+
+def permuted(number: Column, n: Column, by: Column) -> Column:
+    """``number`` under the permutation of ``by``: in each round a number and its
+    mirror image about the pivot change places or not, as the greater one says.
+    ``n`` is under 2^42, so that no product is too large."""
+
+    def swap(at: Column, r: Column) -> Column:
+        other = (r["pivot"] + n - at) % n
+        flip = _div((F.greatest(at, other) * r["times"] + r["plus"]) % PRIME, 4096) % 2
         return F.when(flip == 1, other).otherwise(at)
 
-    rounds = F.sequence(F.lit(0).cast("long"), F.lit(ROUNDS - 1).cast("long"))
-    return F.aggregate(rounds, number.cast("long"), swap)
+    return F.aggregate(by, number.cast("long"), swap)
 
 
 @dataclass(frozen=True)
@@ -123,9 +134,12 @@ def _slots(sources: DataFrame, shard: int) -> DataFrame:
     # a source that is short of much is told in lots of a shard's size
     lots = short.select("all", "sid", F.explode(F.sequence(F.lit(0).cast("long"), _div(F.col("c") - 1, shard))).alias("lot"), "at", "c")
     lots = lots.select("all", "sid", "lot", (F.col("at") + F.col("lot") * shard).alias("at"), F.least(F.lit(shard), F.col("c") - F.col("lot") * shard).cast("long").alias("c"))
-    lots = running(lots, ["all"], ["lot", "sid"], ["c"]).select("sid", "at", "c_before", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)).alias("i"))
-    made = lots.select((_div(F.col("c_before") + F.col("i"), shard) + after).alias("shard"), "sid", (F.col("at") + F.col("i")).alias("number"))
-    return kept.select("shard", "sid", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("c") - 1)).alias("number")).unionByName(made)
+    lots = running(lots, ["all"], ["lot", "sid"], ["c"]).select(F.lit(None).cast("long").alias("shard"), "sid", "at", "c", "c_before")
+    # dealt before they are made, as few rows become many
+    tasks = max(sources.sparkSession.sparkContext.defaultParallelism, (sources.agg(F.sum("slots")).first()[0] or 0) // TASK)
+    every = kept.withColumn("c_before", F.lit(0).cast("long")).unionByName(lots).repartition(tasks)
+    every = every.select("shard", "sid", "at", "c_before", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)).alias("i"))
+    return every.select(F.coalesce("shard", _div(F.col("c_before") + F.col("i"), shard) + after).alias("shard"), "sid", (F.col("at") + F.col("i")).alias("number"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK, shard: int = SHARD, most: int = MOST) -> Mix:
@@ -141,14 +155,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK,
         F.col("doc_id"), F.col("source").isNull().alias("absent"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("name"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("h"),
     )
-    sizes = materialise(running(sizes, ["absent", "name"], ["doc_id", "size", "h"], ["size"]), "sizes")
+    sizes = materialise(running(materialise(sizes, "counted"), ["absent", "name"], ["doc_id", "size", "h"], ["size"]), "sizes")
     sources = materialise(_sources(sizes, weights, block, most), "targets")
     numbered = sizes.join(sources.select("sid", "absent", "name"), ["absent", "name"])
     numbered = materialise(numbered.select(F.monotonically_increasing_id().alias("row"), "doc_id", "sid", F.col("rank").alias("place"), "size", F.col("size_before").alias("begin")), "rows")
-    slots = _slots(sources, shard).join(sources.where("blocks > 0").select("sid", "blocks"), "sid")
-    times = _div(F.col("number"), F.col("blocks"))
-    key = F.col("sid") * 7 + times + SEED
-    slots = slots.select("shard", "sid", times.alias("pass"), permuted(F.col("number") % F.col("blocks"), F.col("blocks"), key).alias("block"))
+    passes = sources.where("blocks > 0").select("sid", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(most - 1).cast("long"))).alias("pass"))
+    passes = materialise(passes.withColumn("by", rounds(F.col("blocks"), F.col("sid") * most + F.col("pass"))), "permutations")
+    slots = _slots(sources, shard).join(sources.select("sid", "blocks"), "sid").withColumn("pass", _div(F.col("number"), F.col("blocks"))).join(passes.drop("blocks"), ["sid", "pass"])
+    slots = slots.select("shard", "sid", "pass", permuted(F.col("number") % F.col("blocks"), F.col("blocks"), F.col("by")).alias("block"))
     return Mix(numbered, sources, materialise(slots, "slots"), block)
 
 

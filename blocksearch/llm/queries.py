@@ -169,6 +169,7 @@ def _mix_sql() -> str:
     m, prime = mixing, mixing.PRIME
     line = lambda x, k: f"((({x}) % {prime}) * 48271 + (({x}) // {prime}) * 69621 + (({k}) % {prime}) * 16807 + 12345) % {prime}"
     mixed = lambda x, k: f"((({line(x, k)}) * (({line(x, k)}) % 1000003 + 7)) % {prime})"
+    own, other = f"((sid * {m.MOST} + pass) * 1009 + r)", "((by_round[r + 1].pivot + blocks - i) % blocks)"
     weight = "[" + ", ".join(map(str, m.WEIGHTS)) + f"][sid % {len(m.WEIGHTS)} + 1]"
     return rf"""
         WITH t AS (SELECT row_number() OVER () AS row, doc_id, source, coalesce(len(regexp_extract_all(text, '{m.WORD}')), 0)::BIGINT AS size FROM documents),
@@ -181,9 +182,10 @@ def _mix_sql() -> str:
              aimed AS (SELECT *, least(cap::DOUBLE, (weight * (SELECT spare FROM level))::DOUBLE / (SELECT heft FROM level)) AS target, ceil(source_size / {m.BLOCK})::BIGINT AS blocks FROM capped),
              quota AS (SELECT *, CASE WHEN source_size > 0 THEN least({m.MOST} * blocks, floor(target * blocks / source_size + 0.5))::BIGINT ELSE 0 END AS slots FROM aimed),
              slots AS (SELECT sid, source, blocks, unnest(range(slots)) AS number FROM quota),
-             keys AS (SELECT *, sid * 7 + number // blocks + {m.SEED} AS key FROM slots),
-             blocks AS (SELECT source, list_reduce(range({m.ROUNDS}), lambda i, r: CASE WHEN ({mixed(f"greatest(i, (({mixed('key * 1009 + r', m.SEED)} * {prime} + {mixed('key * 1009 + r', m.SEED + 1)}) % blocks + blocks - i) % blocks)", "key * 1009 + r")} // 4096) % 2 = 1
-                          THEN (({mixed("key * 1009 + r", m.SEED)} * {prime} + {mixed("key * 1009 + r", m.SEED + 1)}) % blocks + blocks - i) % blocks ELSE i END, number % blocks) AS block FROM keys),
+             keys AS (SELECT *, number // blocks AS pass FROM slots),
+             passes AS (SELECT sid, pass, list_transform(range({m.ROUNDS}), lambda r: {{'pivot': ({mixed(own, m.SEED)} * {prime} + {mixed(own, m.SEED + 1)}) % blocks, 'times': {mixed(own, m.SEED + 2)} % 1048576 + 1, 'plus': {mixed(own, m.SEED + 3)}}}) AS by_round
+                        FROM (SELECT DISTINCT sid, pass, blocks FROM keys)),
+             blocks AS (SELECT source, list_reduce(range({m.ROUNDS}), lambda i, r: CASE WHEN ((greatest(i, {other}) * by_round[r + 1].times + by_round[r + 1].plus) % {prime} // 4096) % 2 = 1 THEN {other} ELSE i END, number % blocks) AS block FROM keys JOIN passes USING (sid, pass)),
              times AS (SELECT source, block, count(*) AS times FROM blocks GROUP BY 1, 2),
              parts AS (SELECT row, source, since, size, unnest(range(since // {m.BLOCK}, (since + size - 1) // {m.BLOCK} + 1)) AS block FROM placed WHERE size > 0),
              taken AS (SELECT row, sum((least(since + size, (p.block + 1) * {m.BLOCK}) - greatest(since, p.block * {m.BLOCK})) * times)::BIGINT AS taken

@@ -85,7 +85,8 @@ def test_slots(spark):
 
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 100, 1001])
 def test_permutation(spark, n):
-    at = spark.range(n).select(*[op.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(k).cast("long")).alias(f"p{k}") for k in (1, 2)])
+    size = F.lit(n).cast("long")
+    at = spark.range(n).select(*[op.permuted(F.col("id"), size, op.rounds(size, F.lit(k).cast("long"))).alias(f"p{k}") for k in (1, 2)])
     found = at.collect()
     assert sorted(r.p1 for r in found) == list(range(n)) == sorted(r.p2 for r in found)
     if n > 100:
