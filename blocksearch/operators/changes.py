@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import last_wins
+from .checkpoint import fixed
+from .store import VectorStore, page_digests
 
 
 def analyze(current: DataFrame, stored: DataFrame) -> DataFrame:
@@ -20,6 +22,23 @@ def analyze(current: DataFrame, stored: DataFrame) -> DataFrame:
     return cur.join(old, "block_uuid", "full_outer").select("block_uuid", status.alias("status"), "content", "stored_content")
 
 
+def analyze_pages(current: DataFrame, store: VectorStore) -> DataFrame:
+    """The same against a store, by pages first: a row a page tells which pages
+    have the keys and texts that the store has of them. Their blocks are unchanged;
+    the blocks of all others meet the rows of the shards that hold these pages,
+    and no other shard is read. ``current`` has ``uuid, page_name, processed``."""
+    page = F.coalesce("page_name", F.lit("")).alias("page_name")  # null and empty names are one page here
+    now = page_digests(current.select("uuid", page, "processed"), "page_name", uuid="uuid", content="processed")
+    old = store.pages().groupBy(page).agg(F.sum("n").alias("_n"), F.bit_xor("a").alias("_a"), F.bit_xor("b").alias("_b"))
+    same = (F.col("n") == F.col("_n")) & (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b"))
+    pages = fixed(now.join(old, "page_name", "full_outer").select("page_name", F.coalesce(same, F.lit(False)).alias("_same")))
+    met = current.select("uuid", page, "processed").join(pages, "page_name")
+    untouched = met.where("_same").select(F.col("uuid").alias("block_uuid"), F.lit("unchanged").alias("status"), F.col("processed").alias("content"), F.col("processed").alias("stored_content"))
+    changed = pages.where("not _same").select("page_name")
+    stored = store.scan_pages(changed).withColumn("page_name", page).join(changed, "page_name", "left_semi")
+    return untouched.unionByName(analyze(met.where("not _same"), stored))
+
+
 def counts(changes: DataFrame) -> DataFrame:
     return changes.groupBy("status").agg(F.count("*").alias("n"))
 

@@ -13,6 +13,12 @@ A delete or update rewrites only the shards that hold its keys; an append adds a
 segment to the last shard and those after it. A shard that loses all its rows
 stays in the manifest, empty; none is renumbered.
 
+Beside a segment stand two tables that are made of its rows when it is written:
+``keys/g=<n>``, its keys and their shards in buckets by the key's hash, so that a
+few keys are found in as many buckets and no text or vector is read; and
+``pages/g=<n>``, for each shard and page the number of rows, a digest of their
+keys and texts that no order changes, and the last ``ord``.
+
 Scans read the folders of live segments, their shards as partition columns, and
 keep what the manifest names; the files of single shards are never asked for one
 by one. A shard that is gone is passed over with a warning; what would write its
@@ -24,10 +30,10 @@ from __future__ import annotations
 import time
 import uuid
 import warnings
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
@@ -36,12 +42,29 @@ from ..functions.vectors import round4
 from ..schema import VECTORS, Settings
 from .blocks import chunked, last_wins, numbered
 
+#: Keys of a bucket of the key table, about, and most buckets of a segment.
+BUCKET, BUCKETS = 50_000, 4096
+#: Shards up to which a scan names those that it reads.
+NAMED = 10_000
 _MANIFEST = "segment int, shard_id int, n long, timestamp_ms long, format int"
 _DATA = VECTORS.names
 _FILES = T.StructType([*VECTORS.fields, T.StructField("g", T.IntegerType()), T.StructField("_s", T.IntegerType())])
+_KEYS = "block_uuid string, shard_id int, g int, m int, b int"
+_PAGES = "shard_id int, page_name string, n long, a long, b long, last long, g int"
 Entry = tuple[int, int, int]
 
 
+def page_digests(rows: DataFrame, *keys: str, uuid: str = "block_uuid", content: str = "block_content", **more: Column) -> DataFrame:
+    """``keys, n, a, b``: how many rows, and two digests of their keys and texts
+    that don't depend on an order; ``more`` aggregates by name."""
+    mark = lambda salt: F.bit_xor(F.xxhash64(F.lit(salt), F.col(uuid), F.col(content)))
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), mark(1).alias("a"), mark(2).alias("b"), *[c.alias(name) for name, c in more.items()])
+
+
+def _bucket(m: int | Column) -> Column:
+    return F.pmod(F.xxhash64("block_uuid"), F.lit(m)).cast("int")
+
+
 class Conflict(RuntimeError):
     """Another writer has committed the version that this one would have."""
 
@@ -134,8 +157,53 @@ class VectorStore:
         rows.select(*_DATA, F.col("shard_id").alias("_s")).repartition("_s").write.mode("append").partitionBy("_s").parquet(place)
         if not any(n.startswith("_s=") for n in self._names(place)):  # no row, so no shard
             return []
-        counts = self.spark.read.schema(VECTORS).parquet(place).groupBy("shard_id").count().collect()
-        return [(segment, r["shard_id"], r["count"]) for r in counts]
+        return self._described(segment, self.spark.read.schema(VECTORS).parquet(place))
+
+    def _described(self, segment: int, rows: DataFrame) -> list[Entry]:
+        """Write what stands beside a segment; its (segment, shard, rows)."""
+        page_digests(rows, "shard_id", "page_name", last=F.max("ord")).write.mode("overwrite").parquet(f"{self.root}/pages/g={segment}")
+        counts = self.spark.read.schema(_PAGES).parquet(f"{self.root}/pages/g={segment}").groupBy("shard_id").agg(F.sum("n").alias("n")).collect()
+        m = max(1, min(BUCKETS, -(-sum(r["n"] for r in counts) // BUCKET)))
+        keys = rows.select("block_uuid", "shard_id", _bucket(m).alias("b")).repartition(m, "b").sortWithinPartitions("b", "block_uuid")
+        keys.write.mode("overwrite").partitionBy("b").parquet(f"{self.root}/keys/g={segment}/m={m}")
+        return [(segment, r["shard_id"], r["n"]) for r in counts]
+
+    def _beside(self, kind: str, rows: list[Row], schema: str) -> DataFrame:
+        """What stands beside the live segments, of live shards alone."""
+        live = [(r.segment, r.shard_id) for r in rows if r.n]
+        if not live:
+            return self.spark.createDataFrame([], schema)
+        places = [f"{self.root}/{kind}/g={s}" for s in sorted({s for s, _ in live})]
+        read = self.spark.read.schema(schema).option("basePath", f"{self.root}/{kind}").parquet(*places)
+        return read.join(self.spark.createDataFrame(live, "g int, shard_id int"), ["g", "shard_id"], "left_semi")
+
+    def pages(self) -> DataFrame:
+        """``page_name, n, a, b, last``: a row for each page of the store."""
+        each = self._beside("pages", self._rows(), _PAGES)
+        return each.groupBy("page_name").agg(F.sum("n").alias("n"), F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"), F.max("last").alias("last"))
+
+    def scan_pages(self, names: DataFrame) -> DataFrame:
+        """The rows of shards that hold any of the pages ``names(page_name)``, null
+        as well; no other shard is read. Which these are is as much as a manifest."""
+        rows = self._rows()
+        own = self._beside("pages", rows, _PAGES).withColumn("page_name", F.coalesce("page_name", F.lit("")))
+        found = own.join(names.select(F.coalesce("page_name", F.lit("")).alias("page_name")), "page_name", "left_semi").select("g", "shard_id").distinct().collect()
+        return self._read([r for r in rows if (r.segment, r.shard_id) in {(f["g"], f["shard_id"]) for f in found}])
+
+    def located(self, ids: DataFrame, rows: list[Row] | None = None) -> DataFrame:
+        """``block_uuid, shard_id`` of the stored ones of ``ids``. The key tables
+        are read in the buckets that ids fall into, unless they fall into all."""
+        rows = self._rows() if rows is None else rows
+        ids = ids.select("block_uuid")
+        keys = self._beside("keys", rows, _KEYS)
+        if not any(r.n for r in rows):
+            return keys.select("block_uuid", "shard_id")
+        kinds = sorted({int(n[2:]) for s in {r.segment for r in rows if r.n} for n in self._names(f"{self.root}/keys/g={s}") if n.startswith("m=")})
+        which = F.lit(False)
+        for m in kinds:
+            asked = [r["b"] for r in ids.select(_bucket(m).alias("b")).distinct().collect()] if m > 1 else [0]
+            which = which | (F.col("m") == m) & (F.lit(True) if len(asked) == m else F.col("b").isin(asked))
+        return keys.where(which).join(ids, "block_uuid", "left_semi").select("block_uuid", "shard_id")
 
     def _there(self, rows: list[Row]) -> dict[int, set[str]]:
         """The shard folders of the segments of these entries; a listing each."""
@@ -164,8 +232,12 @@ class VectorStore:
         read = self.spark.read.schema(_FILES).option("basePath", f"{self.root}/segments").option("ignoreCorruptFiles", skip).option("ignoreMissingFiles", skip).parquet(*places)
         if sum(map(len, there.values())) == len(live):  # nothing there is dead
             return read.select(*_DATA)
-        named = self.spark.createDataFrame(live, "g int, _s int")
-        return read.join(named, ["g", "_s"], "left_semi").select(*_DATA)
+        if len(live) > NAMED:
+            return read.join(self.spark.createDataFrame(live, "g int, _s int"), ["g", "_s"], "left_semi").select(*_DATA)
+        named = F.lit(False)  # over partition columns, so that no other shard's files are opened
+        for s in sorted({s for s, _ in live}):
+            named = named | (F.col("g") == s) & F.col("_s").isin([shard for g, shard in live if g == s])
+        return read.where(named).select(*_DATA)
 
     # -- scans ---------------------------------------------------------------
     def exists(self) -> bool:
@@ -199,21 +271,20 @@ class VectorStore:
         return each.select("shard_id", "uuids", "record_count")
 
     # -- mutations -----------------------------------------------------------
-    def _prepared(self, rows: DataFrame, first: int, fill: int, start: int) -> DataFrame:
+    def _prepared(self, rows: DataFrame, first: int, fill: int, start: int, order: Sequence[str] = ("ord",)) -> DataFrame:
         """Keys once (the last row counts), vectors rounded, rows numbered in
         their order and dealt to shards."""
         rows = rows.withColumn("vector", round4(F.col("vector")))
         if "last_updated_ms" not in rows.columns:
             rows = rows.withColumn("last_updated_ms", F.lit(self.clock()))
-        rows = last_wins(rows, "block_uuid", "ord").withColumnRenamed("ord", "_o")
-        placed = numbered(rows, "_o", "block_uuid", name="_k")
+        placed = numbered(last_wins(rows, "block_uuid", *order), *order, "block_uuid", name="_k")
         return chunked(placed, self.settings.shard_rows, "_k", "shard_id", first, fill).withColumn("ord", F.col("_k") + start)
 
-    def overwrite(self, rows: DataFrame) -> int:
-        """Replace all. Empty input changes nothing; the old version stays
-        readable until the new one is whole."""
+    def overwrite(self, rows: DataFrame, order: Sequence[str] = ("ord",)) -> int:
+        """Replace all, rows in ``order``. Empty input changes nothing; the old
+        version stays readable until the new one is whole."""
         base = self._version()
-        new = self._write(self._prepared(rows, 0, 0, 0))
+        new = self._write(self._prepared(rows, 0, 0, 0, order))
         if new:
             self._commit(new, base)
         return sum(n for *_, n in new)
@@ -222,16 +293,16 @@ class VectorStore:
         """Add rows after the last; keys that are stored already are replaced."""
         return self.replace(rows, rows.select("block_uuid"))
 
-    def replace(self, rows: DataFrame, gone: DataFrame) -> int:
+    def replace(self, rows: DataFrame, gone: DataFrame, order: Sequence[str] = ("ord",)) -> int:
         """Remove the keys ``gone`` and those of ``rows``, and add ``rows`` after
-        the last, in one commit. Returns the rows added."""
+        the last, in ``order``, in one commit. Returns the rows added."""
         base = self._version()
         old = [(r.segment, r.shard_id, r.n) for r in self._rows(base)]
         kept = self._without(base, gone.select("block_uuid").unionByName(rows.select("block_uuid")))[0] if old else []
         last = max([shard for _, shard, _ in kept], default=0)
         fill = sum(n for _, shard, n in kept if shard == last)
-        start = (self._read(self._rows(base)).agg(F.max("ord")).first()[0] if old else None) or 0
-        new = self._write(self._prepared(rows, last, fill, start + bool(old)))
+        start = (self._beside("pages", self._rows(base), _PAGES).agg(F.max("last")).first()[0] if old else None) or 0
+        new = self._write(self._prepared(rows, last, fill, start + bool(old), order))
         if new or kept != old:
             self._commit(kept + new, base)
         return sum(n for *_, n in new)
@@ -242,11 +313,11 @@ class VectorStore:
 
     def touched(self, ids: DataFrame) -> DataFrame:
         """The shards that hold any of ``ids(block_uuid)``."""
-        return self.scan().select("block_uuid", "shard_id").join(ids.select("block_uuid"), "block_uuid", "left_semi").select("shard_id").distinct()
+        return self.located(ids).select("shard_id").distinct()
 
     def _hit(self, rows: list[Row], ids: DataFrame) -> dict[int, int]:
         """How many rows of each shard have these keys."""
-        found = self._read(rows).select("block_uuid", "shard_id").join(ids.select("block_uuid"), "block_uuid", "left_semi").groupBy("shard_id").count().collect()
+        found = self.located(ids, rows).groupBy("shard_id").count().collect()
         return {r["shard_id"]: r["count"] for r in found}
 
     def _rewritten(self, old: list[Row], shards: set[int], change: Callable[[DataFrame], DataFrame]) -> list[Entry]:
@@ -301,6 +372,19 @@ class VectorStore:
             self._commit(self._rewritten(old, set(hit), change), base)
         return sum(hit.values())
 
+    # -- staging -------------------------------------------------------------
+    def staging(self, tag: str) -> str:
+        """The folder in which a build keeps what it has made so far."""
+        return f"{self.root}/staged/{tag}"
+
+    def finished(self, folder: str) -> list[str]:
+        """The tables in a folder that were written to their end."""
+        return [f"{folder}/{n}" for n in sorted(self._names(folder)) if "_SUCCESS" in self._names(f"{folder}/{n}")]
+
+    def unstage(self, tag: str) -> None:
+        fs, p = self._fs(self.staging(tag))
+        fs.delete(p, True)
+
     def clear(self) -> None:
         """Remove all files; clearing an empty store is no error."""
         self._forget()
@@ -315,7 +399,7 @@ class VectorStore:
         if not version:
             return
         live = {f"g={r.segment}" for r in self._rows(version)}
-        for folder, keep in (("versions", {str(version)}), ("manifests", {self._manifest(version).rpartition("/")[2]}), ("segments", live)):
+        for folder, keep in (("versions", {str(version)}), ("manifests", {self._manifest(version).rpartition("/")[2]}), ("segments", live), ("keys", live), ("pages", live), ("staged", set())):
             for name in set(self._names(f"{self.root}/{folder}")) - keep:
                 fs, p = self._fs(f"{self.root}/{folder}/{name}")
                 fs.delete(p, True)

@@ -52,8 +52,8 @@ class Engine:
     def status(self) -> dict[str, bool]:
         return {"ready": self.ready, "storage": self.store.exists(), "has_data": self.store.has_data(), "cached": self.store.cached() is not None}
 
-    def build_index(self, blocks: DataFrame, mode: str = "rebuild") -> index.IndexReport:
-        return index.build(self.store, blocks, self.embedder, mode)
+    def build_index(self, blocks: DataFrame, mode: str = "rebuild", told: index.Progress | None = None) -> index.IndexReport:
+        return index.build(self.store, blocks, self.embedder, mode, told)
 
     def refresh(self, blocks: DataFrame) -> index.IndexReport | None:
         return index.refresh(self.store, blocks, self.embedder)

@@ -26,8 +26,8 @@ VECTORS = T.StructType([
 class Settings:
     """Defaults of the engine. ``provider`` names the embedder; the dimension
     follows from it unless given. ``batch`` texts are embedded at once; ``batch``
-    and ``flush`` number the progress of a run; ``summary`` says whether a search
-    writes one."""
+    and ``flush`` number the progress of a run, which is written in portions of
+    ``stage_rows``; ``summary`` says whether a search writes one."""
 
     provider: str = "hashing"
     dimension: int | None = None
@@ -38,6 +38,7 @@ class Settings:
     shard_rows: int = 1000
     batch: int = 15
     flush: int = 500
+    stage_rows: int = 1_000_000
     attempts: int = 3
     timeout_s: float = 30.0
     temperature: float = 0.1

@@ -170,6 +170,100 @@ def test_index_runs(spark, store):
     assert store.scan().count() == 3  # an empty scan removes nothing
 
 
+def _files_read(df):
+    """The files that the scans of a plan opened, by their metric."""
+    df.collect()
+
+    def walk(node):
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return walk(node.plan())
+        found = node.metrics().get("numFiles")
+        children = node.children()
+        return (found.get().value() if found.isDefined() else 0) + sum(walk(children.apply(i)) for i in range(children.size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_few_keys_are_found_in_few_files(spark, store, monkeypatch):
+    from blocksearch.operators import store as op
+
+    monkeypatch.setattr(op, "BUCKET", 25)  # so that 1000 keys have 40 buckets
+    store.overwrite(_rows(spark, 0, 1000))
+    store.append(_rows(spark, 1000, 1010))
+    ids = _rows(spark, 500, 503).unionByName(_rows(spark, 1005, 1007)).unionByName(_rows(spark, 5000, 5001)).select("block_uuid")
+    found = store.located(ids)
+    assert {(r.block_uuid, r.shard_id) for r in found.collect()} == {("k00500", 50), ("k00501", 50), ("k00502", 50), ("k01005", 100), ("k01006", 100)}
+    assert _files_read(store.located(ids)) <= 7  # six buckets of forty and the one of the second segment
+    part = store._read([r for r in store._rows() if r.shard_id in (50, 100)])
+    assert _files_read(part) == 2 and part.count() == 20
+    assert store.delete(ids) == 5 and store.scan().count() == 1005
+    again = store.scan().select("block_uuid", "shard_id").collect()
+    assert sorted(map(tuple, store.located(_rows(spark, 0, 2000)).collect())) == sorted(map(tuple, again))
+    assert store.touched(ids).count() == 0
+
+
+def test_unchanged_pages_are_not_read(spark, store):
+    def stored(a, b):
+        return _rows(spark, a, b).withColumn("page_name", F.concat(F.lit("page "), F.floor(F.col("ord") / 20).cast("string")))
+
+    store.overwrite(stored(0, 400))  # forty shards, two for each of twenty pages
+    current = stored(0, 400).select(F.col("block_uuid").alias("uuid"), "page_name", F.col("block_content").alias("processed"), "ord")
+    current = current.where("ord <> 45").withColumn("processed", F.when(F.col("ord") == 105, F.lit("other")).otherwise(F.col("processed")))
+    current = current.withColumn("page_name", F.when(F.col("ord") == 399, F.lit(None)).when(F.col("ord") == 398, F.lit("new page")).otherwise(F.col("page_name")))
+    want = changes.analyze(current, store.scan())
+    got = changes.analyze_pages(current, store)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert {r.status: r.n for r in changes.counts(got).collect()} == {"unchanged": 398, "deleted": 1, "modified": 1}
+    pages = spark.createDataFrame([("page 2",), ("page 5",)], "page_name string")
+    assert _files_read(store.scan_pages(pages)) == 4  # of forty
+    store.delete(stored(0, 400).select("block_uuid"))
+    assert {r.status: r.n for r in changes.counts(changes.analyze_pages(current, store)).collect()} == {"new": 399}
+    assert changes.analyze_pages(current.limit(0), store).count() == 0
+
+
+def test_a_build_that_broke_off_goes_on(spark, tmp_path, monkeypatch):
+    import os
+
+    calls = str(tmp_path / "calls")
+    os.mkdir(calls)
+
+    class Here(embed.HashingEmbedder):
+        def __call__(self, text):
+            open(f"{calls}/{uuid.uuid4().hex}", "w").close()
+            return embed.HashingEmbedder(16)(text)
+
+        def __repr__(self):
+            return "here"
+
+    store = VectorStore(spark, f"file://{tmp_path}/staged", Settings(dimension=16, stage_rows=20), lambda: 7)
+    lines = spark.range(100).select(F.format_string("b%03d", "id").alias("uuid"), F.lit("p").alias("page_name"), F.format_string("the text of block %d", "id").alias("content"), F.lit(0).cast("long").alias("page_ord"), F.array("id").alias("path"))
+    seen = []
+
+    class Broken(Exception):
+        pass
+
+    def told(done, total, percent):
+        seen.append((done, total, percent))
+        if len(seen) == 3:
+            raise Broken
+
+    with pytest.raises(Broken):
+        index.build(store, lines, Here(16), told=told)
+    first = len(os.listdir(calls))
+    assert not store.has_data() and 0 < first < 100 and seen[-1] == (60, 100, 60)
+    changed = lines.withColumn("content", F.when(F.col("uuid") == "b007", F.lit("the text that changed")).otherwise(F.col("content")))
+    report = index.build(store, changed, Here(16), told=lambda *x: seen.append(x))
+    assert report.indexed == 100 and seen[-1] == (100, 100, 100)
+    assert 100 - first <= len(os.listdir(calls)) - first <= 101 - first  # only what wasn't staged, and the changed block
+    assert [r.block_uuid for r in store.scan().orderBy("ord").collect()] == [f"b{i:03d}" for i in range(100)]
+    assert store.scan().where("block_content = 'the text that changed'").count() == 1 and store.finished(store.staging(index._tag(Here(16)))) == []
+    assert index.refresh(store, changed.where("uuid <> 'b009'"), Here(16)).deleted == 1
+    assert store.has_data() and store.scan().count() == 99
+
+
 def test_refresh_of_an_empty_index_does_nothing(spark, store):
     assert index.refresh(store, _blocks(spark, [("a", "alpha text one")]), embed.HashingEmbedder(16)) is None
     assert not store.has_data()
