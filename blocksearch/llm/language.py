@@ -32,14 +32,20 @@ KEPT = 800_000
 #: that have it; and up to so many their sampling limits are broadcast.
 DENSE, FEW = 64, 10_000
 UNKNOWN = "und"
+#: Times that a word is in the sample, for it to be learned; one that is there
+#: once is as good as unseen, and is read by n-grams.
+LEAST = 2
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _LETTERS.findall(text.lower()) if text else []
+    """The runs of letters; what counts as part of a word besides letters, such as
+    superscripts and fractions, parts them."""
+    found = _LETTERS.findall(text.lower()) if text else []
+    return found if all(map(str.isalpha, found)) else [x for w in found for x in "".join(c if c.isalpha() else " " for c in w).split()]
 
 
-def _counted(df: pd.DataFrame) -> pd.DataFrame:
+def _counted(df: pd.DataFrame, most_words: int = WORDS, most_grams: int = GRAMS, least: int = LEAST) -> pd.DataFrame:
     """The counts of one language's sample: words (order 0) and n-grams."""
     lang, words = df["lang"].iloc[0], Counter()
     for text in df["text"]:
@@ -51,9 +57,9 @@ def _counted(df: pd.DataFrame) -> pd.DataFrame:
             for i in range(len(marked) - order + 1):
                 grams[order][marked[i : i + order]] += n
     rows = []
-    for order, (counter, most) in enumerate([(words, WORDS), *[(g, GRAMS // ORDER) for g in grams[1:]]]):
+    for order, (counter, most) in enumerate([(words, most_words), *[(g, most_grams // ORDER) for g in grams[1:]]]):
         total = sum(counter.values())
-        rows += [(lang, order, w, n / total) for w, n in sorted(counter.items(), key=lambda x: (-x[1], x[0]))[:most] if n > 1 or order]
+        rows += [(lang, order, w, n / total) for w, n in sorted(counter.items(), key=lambda x: (-x[1], x[0]))[:most] if order or n >= least]
     return pd.DataFrame(rows, columns=["lang", "level", "item", "share"])
 
 
@@ -117,7 +123,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = words_of(text)
-        if not self.langs or not any(w.isalpha() for w in words):
+        if not self.langs or not words:
             return UNKNOWN, 0.0
         counts = Counter(words)
         if self.dense:
@@ -133,12 +139,13 @@ class Model:
         return self.langs[best], float(p[best] / p.sum())
 
 
-def fit(docs: DataFrame, use: Column, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", size: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, use: Column, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", size: int = SAMPLE, words: int = WORDS, grams: int = GRAMS, least: int = LEAST) -> Model:
     """Learn from rows where ``use`` holds and language and text aren't null, one
     scan to count the languages and one to sample them.
 
     Of a language, the rows with the least hashes of identifier and text are
-    taken, ``size`` of them at most. Each language is counted in a task. Nothing
+    taken, ``size`` of them at most, and of these the ``words`` most frequent
+    words that they have ``least`` times, and as many as ``grams`` n-grams. Each language is counted in a task. Nothing
     to learn from gives a model that knows no language."""
     spark = docs.sparkSession
     configure(spark)
@@ -150,7 +157,7 @@ def fit(docs: DataFrame, use: Column, lang_col: str = "lang", id_col: str = "doc
     if limits.count() <= FEW:
         limits = F.broadcast(limits)
     chosen = known.join(limits, (F.col("lang") == F.col("name")) & (F.col("h").cast("double") <= F.col("most"))).select("lang", "text", "h")
-    got = chosen.groupBy("lang").applyInPandas(lambda df: _counted(df.sort_values(["h", "text"]).head(size)), "lang string, level int, item string, share double").toPandas()
+    got = chosen.groupBy("lang").applyInPandas(lambda df: _counted(df.sort_values(["h", "text"]).head(size), words, grams, least), "lang string, level int, item string, share double").toPandas()
     discard(counted)
     return _model(got)
 

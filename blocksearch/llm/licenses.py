@@ -49,6 +49,7 @@ TEMPLATES = (
     ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."),
     ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."),
     ("LGPL-2.1", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."),
+    ("LGPL-2.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
@@ -104,7 +105,7 @@ TITLES = (
     ("MIT", "MIT License"), ("MIT", "The MIT License"), ("MIT", "The MIT License (MIT)"), ("MIT", "License: MIT"), ("MIT", "MIT licensed"), ("ISC", "ISC License"), ("Zlib", "zlib License"),
     ("Apache-2.0", "Apache License Version 2.0, January 2004"), ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"), ("Apache-2.0", "Apache License 2.0"), ("Apache-2.0", "License: Apache-2.0"),
     ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"), ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"), ("GPL-3.0", "License: GPL-3.0"), ("GPL-2.0", "License: GPL-2.0"),
-    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"), ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"), ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"), ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"), ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"), ("LGPL-2.0", "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991"),
     ("MPL-2.0", "Mozilla Public License Version 2.0"), ("EPL-2.0", "Eclipse Public License - v 2.0"), ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
     ("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-3-Clause", "BSD 3-Clause License"), ("BSD-3-Clause", "License: BSD-3-Clause"), ("BSD-2-Clause", "License: BSD-2-Clause"),
 )
@@ -113,6 +114,10 @@ CUES = ("licen", "copyright", "spdx", "permission is hereby", "permission to use
 #: Names and clauses that make another license of a text whose template lacks them.
 OTHERS = frozenset("lesser affero mozilla mpl apache bsd isc gnu gpl lgpl agpl cc0 by-sa by-nc by-nd sharealike noncommercial noderivatives noderivs endorse advertising evil".split())
 
+#: Words that a license's name begins with; it ends at the next "license", if that
+#: is one of the ``NAME`` words after; none of it may lack or be added to.
+NAMED, NAME = frozenset("gnu mozilla eclipse boost creative".split()), 7
+
 #: The share of a template's words that may be missing, and of added words to
 #: template words.
 MISSING, ADDED = 0.1, 0.35
@@ -131,14 +136,16 @@ def words_of(text: str) -> list[str]:
 def _compiled():
     """Of each template and title: license, words, how often it has each, the
     words that must be there as they are (names and versions), a compressor with
-    it as dictionary, whether it must stand alone."""
+    it as dictionary, whether it must stand alone, and the places in its words
+    that are inside a license's name, which has to be there as it is."""
     out = []
     for name, text in TEMPLATES + TITLES:
         words = words_of(text)
         raw = " ".join(words).encode()
         exact = {w for w in words if any(c.isdigit() for c in w)} | {w for w in words_of(name.replace("-", " ")) if w in words} | (OTHERS & set(words))
         pack = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False)
-        out.append((name, words, Counter(words), exact, pack, (name, text) in TITLES))
+        inside = {i for a, w in enumerate(words) if w in NAMED and "license" in words[a : a + NAME] for i in range(a + 1, words.index("license", a) + 1)}
+        out.append((name, words, Counter(words), exact, pack, (name, text) in TITLES, inside))
     return out, {w for _, words, *_ in out for w in words}, zstandard.ZstdCompressor(level=3, write_content_size=False)
 
 
@@ -190,7 +197,7 @@ def blocks(text: str) -> list[tuple[int, int]]:
 def confirmed(words: list[str], template: tuple) -> tuple[list[str], list[str]] | None:
     """The template's words that ``words`` lack and those they have besides;
     None if that is too much, or another license."""
-    _, wanted, often, exact, _, alone = template
+    _, wanted, often, exact, _, alone, inside = template
     seen = set(words)
     if not exact <= seen or (OTHERS - set(wanted)) & seen or alone and words != wanted:
         return None
@@ -201,6 +208,8 @@ def confirmed(words: list[str], template: tuple) -> tuple[list[str], list[str]]
         steps.pop(0)
     while steps and steps[-1][0] == "insert":
         steps.pop()
+    if any(a in inside if tag == "insert" else tag != "equal" and inside & set(range(a, b)) for tag, a, b, *_ in steps):
+        return None
     gone = [w for tag, a, b, _, _ in steps if tag in ("delete", "replace") for w in wanted[a:b]]
     more = [w for tag, _, _, a, b in steps if tag in ("insert", "replace") for w in words[a:b]]
     if len(gone) > MISSING * len(wanted) or len(more) > ADDED * len(wanted) or exact & set(gone) or any(c.isdigit() for w in more for c in w):

@@ -40,10 +40,19 @@ def test_language_edges(spark):
     assert language.identify(df.limit(0), model).count() == 0
     nothing = language.fit(df.limit(0), F.lit(True))
     assert {r.lang_pred for r in language.identify(df, nothing).collect()} == {"und"}
+    signs = spark.createDataFrame([(1, "x²"), (2, "a½ the²"), (3, "² ½ 3 _"), (4, "the²cat")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred == "und" for r in language.identify(signs, model).collect()} == {1: False, 2: False, 3: True, 4: False}
+    assert language.words_of("a½ The²cat ²") == ["a", "the", "cat"]
+    few = language.fit(df, F.lit(True), words=1, grams=5, least=1)
+    assert len(few.places[0]) <= 2 and len(few.places[1]) <= 2
     unseen = spark.createDataFrame([(1, "thecat andthe")], "doc_id long, text string")  # by n-grams alone
     assert language.identify(unseen, model).first().lang_pred == "en"
 
 
+def runs_of_letters(text):
+    return "".join(c if c.isalpha() else " " for c in text).split()
+
+
 def plain_language(rows):
     """A scorer by loops: shares by language, words first, then the longest known
     n-grams from left to right."""
@@ -54,16 +63,16 @@ def plain_language(rows):
             counts = Counter()
             for own, text in rows:
                 if own == lang:
-                    for w in re.findall(r"[^\W\d_]+", text.lower()):
+                    for w in runs_of_letters(text.lower()):
                         m = f"^{w}$"
                         counts.update([w] if not order else [m[i : i + order] for i in range(len(m) - order + 1)])
             top = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: language.GRAMS // 5 if order else language.WORDS]
-            of[lang] = {w: n / sum(counts.values()) for w, n in top if n > 1 or order}
+            of[lang] = {w: n / sum(counts.values()) for w, n in top if order or n >= language.LEAST}
         shares.append(of)
         floors.append(0.1 * min((x for own in of.values() for x in own.values()), default=1e-8))
 
     def score(text):
-        words = re.findall(r"[^\W\d_]+", (text or "").lower())
+        words = runs_of_letters((text or "").lower())
         if not words or not langs:
             return "und", 0.0
         total = dict.fromkeys(langs, 0.0)
@@ -262,6 +271,7 @@ def test_a_wrapped_license_is_one_block():
 
 
 HEADER = "This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1}General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+OLD = "This {0} is free software; you can redistribute it and/or modify it under the terms of the GNU {1}General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
 BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
@@ -275,6 +285,7 @@ ADVERTS = "\n3. All advertising materials mentioning features or use of this sof
     [
         ((HEADER + REST).format("program", ""), ["GPL-3.0"]), ((HEADER + REST).format("program", "Lesser "), ["LGPL-3.0"]),
         ((HEADER + REST).format("library", "Lesser "), ["LGPL-3.0"]), ((HEADER + REST).format("program", "Affero "), ["AGPL-3.0"]),
+        (OLD.format("library", "Library "), ["LGPL-2.0"]), (OLD.format("program", ""), ["GPL-2.0"]), (OLD.format("program", "Special "), []), (textwrap.fill(OLD.format("library", "Library "), 60), ["LGPL-2.0"]),
         (BSD, ["BSD-2-Clause"]), (BSD + THIRD.format(3), ["BSD-3-Clause"]), (BSD + ADVERTS + THIRD.format(4), []),
         (MIT + "\nLicensed under the Apache License, Version 2.0.", ["MIT", "Apache-2.0"]),
     ],
