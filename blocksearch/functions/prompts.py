@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..schema import LOCAL_NAME
+
 # The keys of the styles.
 STYLES = (
     ("warm", "Warm", "Understanding and support", "Answer with kindness; let the reader feel heard."),
@@ -23,6 +25,13 @@ def styles(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(STYLES, "key string, name string, description string, prompt string")
 
 
+def provider_key(setting: Column) -> Column:
+    """``provider_of`` as a column."""
+    low = F.lower(setting)
+    named = F.when(setting.contains(LOCAL_NAME) | low.contains("local"), "local").when(low.contains("hash"), "hashing").otherwise("cloud")
+    return F.when(setting.isNull() | (setting == ""), "local").otherwise(named)
+
+
 def style_key(setting: Column) -> Column:
     """A settings string to a style: the first whose label it has in it, else the
     first whose key."""

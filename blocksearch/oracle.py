@@ -131,7 +131,7 @@ ORACLE_SQL = {
         substr(text, 1, 8) AS short FROM conversations""",
     "round4_special": f"""WITH {_VEC}, e AS (SELECT block_uuid, vec_id, generate_subscripts(v, 1) - 1 AS i, unnest(v) * 1e17::DOUBLE AS x FROM vec)
         SELECT block_uuid, i, vec_id % 4 = 0 AS is_nan, vec_id % 4 = 1 AS is_inf, vec_id % 4 = 2 AS is_minus_inf,
-            CASE WHEN vec_id % 4 < 3 THEN 0.0 WHEN abs(x * 10000) >= 4503599627370496 THEN x * 10000 / 10000 ELSE floor(x * 10000 + 0.5) / 10000 END AS x FROM e WHERE i < 8""",
+            CASE WHEN vec_id % 4 < 3 THEN 0.0 WHEN abs(x * 10000) >= 4503599627370496 THEN x * 10000 / 10000 ELSE floor(x * 10000 + 0.5) / 10000 END AS x FROM e""",
     "styled_response": f"""WITH {_PROMPTS}, p AS (SELECT conv_id, turn, 'Write 50 to 150 words of plain text in the language of the note.' || chr(10) || 'Manner: ' || prompt || chr(10) || 'Note:' || chr(10) || text AS prompt
             FROM conversations JOIN styles ON key = ['warm', 'sharp', 'thoughtProvoking', 'sparks', 'cosmic'][turn % 5 + 1])
         SELECT conv_id, turn, prompt, list_filter(list_transform(string_split(prompt, chr(10)), lambda x: trim(x)), lambda x: x <> '')[-1] AS answer FROM p""",
@@ -143,16 +143,17 @@ ORACLE_SQL = {
     "summary_texts": f"""WITH t AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '' WHEN 1 THEN ' ' || chr(10) || text || chr(9) ELSE text END AS text FROM conversations)
         SELECT conv_id, turn, CASE WHEN {_trim('text')} <> '' THEN '```markdown' || chr(10) || {_trim('text')} || chr(10) || '```' END AS fenced, CASE WHEN text = '' THEN '' ELSE chr(10) || text || chr(10) END AS padded FROM t""",
     "size_texts": """SELECT doc_id, printf('%.2fKB', floor(strlen(text) * 100 / 1024.0 + 0.5) / 100) AS kb, printf('%.2f', floor(strlen(text)::BIGINT * 10000 / 1048576.0 + 0.5) / 100) AS mb FROM documents""",
-    "retry_delays": "SELECT a AS attempts, i, least(2.0 ** (i - 1), 5.0)::DOUBLE AS seconds FROM range(1, 7) x(a), range(1, 6) y(i) WHERE i < a",
+    "retry_delays": "SELECT conv_id, turn, i, least(2.0 ** (i - 1), 5.0)::DOUBLE AS seconds FROM (SELECT conv_id, turn, unnest(range(1, turn % 6 + 1)) AS i FROM conversations)",
     "store_lifecycle": """WITH n AS (SELECT count(*) FILTER (vec_id % 2 = 0) AS even, count(*) FILTER (vec_id % 3 = 0) AS third, count(*) FILTER (vec_id % 2 = 0 OR vec_id % 3 = 0) AS stored,
             count(*) FILTER (vec_id % 9 = 0) AS ninth, count(*) FILTER (vec_id % 4 = 0 AND vec_id % 9 <> 0) AS fourth FROM embeddings)
         SELECT unnest(['empty', 'cached', 'rebuilt', 'saved on top', 'has data', 'preloaded', 'kept', 'scanned', 'deleted', 'deleted again', 'updated', 'left', 'valid', 'cleared', 'scanned after']) AS step,
             unnest([0, 0, even, third, 1, stored, stored, stored, ninth, 0, fourth, stored - ninth, 1, 0, 0]) AS n FROM n""",
     "json_rows": f"WITH {_VEC} SELECT block_uuid, page_name, block_content, round(sqrt(list_sum(list_transform({_ROUND4}, lambda x: x * x))), 6) AS norm, 1::BIGINT AS last_updated_ms FROM vec",
     "service_answers": "SELECT conv_id, turn, text AS local, text AS cloud, true AS wrong, conv_id / 2 + turn AS local_sum, conv_id / 2 + turn AS cloud_sum, true AS wrong_vector FROM conversations",
-    "settings_choice": f"""SELECT setting, CASE WHEN setting IN ('', '{LOCAL_SETTING}') THEN 'local' WHEN setting = 'hashing' THEN 'hashing' ELSE 'cloud' END AS provider,
-        CASE WHEN setting IN ('', '{LOCAL_SETTING}') THEN 768 WHEN setting = 'hashing' THEN 256 ELSE 1024 END::BIGINT AS dimension, style
-        FROM (VALUES ('', 'warm'), ('{LOCAL_SETTING}', 'warm'), ('another cloud service', 'warm'), ('hashing', 'warm'), {", ".join(f"('{label} / style', '{key}')" for label, key in LABELS)}) AS t(setting, style)""",
+    "settings_choice": f"""WITH names AS (SELECT ['', '{LOCAL_SETTING}', 'another cloud service', 'hashing', {", ".join(f"'{label} / style'" for label, _ in LABELS)}] AS n, ['warm', 'warm', 'warm', 'warm', {", ".join(f"'{key}'" for _, key in LABELS)}] AS s),
+            t AS (SELECT conv_id, turn, (conv_id + turn) % len(n) + 1 AS i, n, s FROM conversations, names)
+        SELECT conv_id, turn, n[i] AS setting, CASE WHEN i <= 2 THEN 'local' WHEN i = 4 THEN 'hashing' ELSE 'cloud' END AS provider, CASE WHEN i <= 2 THEN 768 WHEN i = 4 THEN 256 ELSE 1024 END::BIGINT AS dimension, s[i] AS style FROM t""",
+    "refresh_changes": f"WITH {_CHANGES} SELECT block_uuid, status, content, stored_content FROM seen",
     "store_clock": f"WITH {_VEC} SELECT block_uuid, 1::BIGINT AS last_updated_ms FROM vec",
     "selections": """SELECT 'selected' AS "case", (SELECT string_agg(text, chr(10) || chr(10) ORDER BY turn) FROM conversations WHERE conv_id = 1 AND trim(text) <> '') AS content
         UNION ALL VALUES ('blank', ' not cleaned '), ('nothing', NULL)""",

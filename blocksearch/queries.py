@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import answers
-from .functions.prompts import LABELS, keyword_prompt, relevance_prompt, response_prompt, style_key, styles, summary_prompt
+from .functions.prompts import LABELS, keyword_prompt, provider_key, relevance_prompt, response_prompt, style_key, styles, summary_prompt
 from .functions.rows import compact, decoded, encoded, kilobytes, megabytes, record_key, restore, short_key
 from .functions.text import fenced, padded, preprocess, utf16_length
 from .functions.vectors import norm, round4
@@ -25,7 +26,7 @@ from .operators.checkpoint import fixed, shared_dir
 from .operators.store import VectorStore
 from .plans import index
 from .plans.engine import Engine
-from .schema import LOCAL_SETTING, Settings, provider_of
+from .schema import LOCAL_SETTING, Settings
 from .sources import blocks as src
 from .streaming.refresh import refresh_stream
 
@@ -124,7 +125,7 @@ def round4_special(spark, sf_dir):
     """Rounding of what has no decimals: NaN, the infinities, huge numbers."""
     x = F.posexplode("vector").alias("i", "x")
     kinds = F.when(F.col("ord") % 4 == 0, F.lit(float("nan"))).when(F.col("ord") % 4 == 1, F.lit(float("inf"))).when(F.col("ord") % 4 == 2, F.lit(float("-inf"))).otherwise(F.col("x") * 1e17)
-    rows = vectors(spark, sf_dir).select("block_uuid", "ord", x).where("i < 8").select("block_uuid", F.col("i").cast("long").alias("i"), F.get(round4(F.array(kinds)), F.lit(0)).alias("y"))
+    rows = vectors(spark, sf_dir).select("block_uuid", "ord", x).select("block_uuid", F.col("i").cast("long").alias("i"), F.get(round4(F.array(kinds)), F.lit(0)).alias("y"))
     endless = F.abs("y") == float("inf")
     return rows.select("block_uuid", "i", F.isnan("y").alias("is_nan"), (endless & (F.col("y") > 0)).alias("is_inf"), (endless & (F.col("y") < 0)).alias("is_minus_inf"), F.when(F.isnan("y") | endless, 0.0).otherwise(F.col("y")).alias("x"))
 
@@ -377,19 +378,24 @@ def size_texts(spark, sf_dir):
 
 
 def retry_delays(spark, sf_dir):
-    """What a call that always fails waits for, by the attempts it has."""
+    """What a call that always fails waits for, by the attempts that each turn's
+    number gives it."""
 
     def failing(text):
         raise OSError(text)
 
-    rows = []
-    for attempts in range(1, 7):
-        waits: list[float] = []
-        try:
-            E.retried(failing, "", attempts, waits.append)
-        except OSError:
-            rows += [(attempts, i, wait) for i, wait in enumerate(waits, 1)]
-    return spark.createDataFrame(rows, "attempts long, i long, seconds double")
+    def run(batches):
+        for df in batches:
+            out = []
+            for conv, turn in zip(df["conv_id"], df["turn"], strict=True):
+                waits: list[float] = []
+                try:
+                    E.retried(failing, "", turn % 6 + 1, waits.append)
+                except OSError:
+                    out += [(conv, turn, i, wait) for i, wait in enumerate(waits, 1)]
+            yield pd.DataFrame(out, columns=["conv_id", "turn", "i", "seconds"])
+
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn").mapInPandas(run, "conv_id long, turn long, i long, seconds double")
 
 
 def store_lifecycle(spark, sf_dir):
@@ -439,10 +445,22 @@ def service_answers(spark, sf_dir):
 
 
 def settings_choice(spark, sf_dir):
-    """The provider and dimension, and the style, that settings strings name."""
+    """The provider and dimension, and the style, that settings strings name: one
+    for each turn, by its number."""
     names = ["", LOCAL_SETTING, "another cloud service", "hashing", *[f"{label} / style" for label, _ in LABELS]]
-    rows = [(x, provider_of(x), Settings(provider=provider_of(x)).dim) for x in names]
-    return spark.createDataFrame(rows, "setting string, provider string, dimension long").withColumn("style", style_key(F.col("setting")))
+    setting = F.get(F.array(*[F.lit(x) for x in names]), (F.col("conv_id") + F.col("turn")) % len(names)).alias("setting")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", setting).withColumn("provider", provider_key(F.col("setting")))
+    sizes = Settings().dimensions
+    dimension = F.coalesce(*[F.when(F.col("provider") == name, size) for name, size in sizes.items()]).cast("long")
+    return rows.withColumns({"dimension": dimension, "style": style_key(F.col("setting"))})
+
+
+def refresh_changes(spark, sf_dir):
+    """The changes of a store by its pages' digests."""
+    blocks = deduped(spark, sf_dir)
+    store = VectorStore(spark, _shared(spark), Settings(dimension=1), lambda: 1)
+    store.overwrite(_stored(blocks).withColumn("vector", F.array(F.lit(0.0))))
+    return C.analyze_pages(_current(blocks), store).select("block_uuid", "status", "content", "stored_content")
 
 
 def store_clock(spark, sf_dir):
@@ -506,5 +524,6 @@ QUERIES = {
         delete_touched_shards, update_by_key, store_stats, store_integrity, hash_embedding, semantic_search, embed_blocks, index_build, tree_flatten, tree_order, page_blocks, result_refs, result_nested, selection_concat,
         summary_context, style_lookup, progress_batches, compact_rows, record_keys, styled_response, engine_search, streaming_refresh, round4_special, search_prompts, summary_texts, size_texts,
         retry_delays, store_lifecycle, summary_sink, response_sink, json_rows, service_answers, settings_choice, store_clock, selections, engine_states,
+        refresh_changes,
     )
 } | {f"{s}_blocks": _of_status(s) for s in ("new", "modified", "deleted", "unchanged")}
