@@ -8,6 +8,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from blocksearch.operators import changes, checkpoint, embed
+from blocksearch.operators.blocks import indexable
 from blocksearch.operators.store import Conflict, Incomplete, VectorStore
 from blocksearch.plans import index
 from blocksearch.plans.engine import Engine
@@ -346,6 +347,25 @@ def test_a_stream_stores_a_text_once_however_it_is_cut(spark, tmp_path):
     assert sorted(r.block_content for r in again.scan().collect()) == ["only in the first", "the common line"]
 
 
+def test_a_stream_passes_a_text_on(spark, tmp_path):
+    """After every file the store is what one run over all blocks, as they are,
+    would make: a text whose first block changes, comes back, or is claimed by an
+    earlier block."""
+    schema = "uuid string, page_name string, content string, page_ord long, path array<long>"
+    files = [
+        [("b", "p", "the first text here", 2, [0]), ("c", "p", "the first text here", 3, [0])], [("b", "p", "another text now", 2, [0])], [("a", None, "the first text here", 1, [0]), ("d", "p", "another text now", 4, [0])],
+        [("a", None, "short", 1, [0]), ("b", "p", "the first text here", 2, [0])], [("b", "p", "x", 2, [0]), ("c", "q", "another text now", 3, [1])],
+    ]
+    store, now = VectorStore(spark, f"file://{tmp_path}/store", Settings(dimension=16), lambda: 7), {}
+    for i, rows in enumerate(files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*")
+        refresh_stream(stream, store, embed.HashingEmbedder(16), f"file://{tmp_path}/at").awaitTermination()
+        now |= {r[0]: r for r in rows}
+        whole = indexable(spark.createDataFrame(list(now.values()), schema)).select("uuid", "page_name", "processed")
+        assert sorted(map(str, store.scan().select(F.col("block_uuid").alias("uuid"), "page_name", F.col("block_content").alias("processed")).collect())) == sorted(map(str, whole.collect())), i
+
+
 def test_a_folder_that_all_share_is_asked_for(spark):
     class Cluster:
         class sparkContext:  # noqa: N801
