@@ -6,13 +6,15 @@ fixed expected size, so that a group is packed in one task's memory. A group
 starts from best fit, longest first; a local search then lets its underfull
 bins, emptiest first, move a document to a bin with room, exchange one for a
 shorter one, or two for one, each time raising the sum of squared fills, until
-bins are empty or nothing helps. What is left in the underfull bins of many groups is
-dealt to fewer groups and packed again.
+bins are empty or nothing helps. What is left in the underfull bins of all groups
+is dealt at random to groups of the same expected size and packed again.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +27,8 @@ from .tokens import encoder, model_path
 
 CAPACITY = 2048
 END_ID = 0
-#: Expected pieces of a group; groups whose leftovers meet; a bin under this
-#: fill is a leftover.
-GROUP, MEET, UNDERFULL = 16_384, 64, 0.98
+#: Expected pieces of a group, at either level; a bin under this fill is a leftover.
+GROUP, UNDERFULL = 16_384, 0.98
 
 
 def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
@@ -73,65 +74,152 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
+class _Held:
+    """Which sizes stand in bins of which gap: sorted distinct pairs, so that the
+    smallest size from some value on, in bins of a gap, is one binary search."""
+
+    def __init__(self, capacity: int) -> None:
+        self.width, self.count = capacity + 1, Counter()
+        self.pairs = np.zeros(0, np.int64)
+        self.bins: dict[int, set[int]] = {}
+        self.gaps: list[int] = []
+
+    def fill(self, bins: list[Counter], gaps: list[int]) -> None:
+        for b, (held, gap) in enumerate(zip(bins, gaps, strict=True)):
+            if held and gap:
+                self.count.update(gap * self.width + size for size in held)
+                self.bins.setdefault(gap, set()).add(b)
+        self.pairs, self.gaps = np.array(sorted(self.count), np.int64), sorted(self.bins)
+
+    def add(self, b: int, held: Counter, gap: int) -> None:
+        if not held or not gap:
+            return
+        if gap not in self.bins:
+            self.bins[gap] = set()
+            insort(self.gaps, gap)
+        self.bins[gap].add(b)
+        pairs = np.array(sorted(gap * self.width + size for size in held), np.int64)
+        fresh = np.array([p for p in pairs.tolist() if not self.count[p]], np.int64)
+        self.count.update(pairs.tolist())
+        self.pairs = np.insert(self.pairs, np.searchsorted(self.pairs, fresh), fresh)
+
+    def drop(self, b: int, held: Counter, gap: int) -> None:
+        if not held or not gap:
+            return
+        self.bins[gap].discard(b)
+        if not self.bins[gap]:
+            del self.bins[gap]
+            del self.gaps[bisect_left(self.gaps, gap)]
+        gone = []
+        for size in held:
+            pair = gap * self.width + size
+            self.count[pair] -= 1
+            if not self.count[pair]:
+                del self.count[pair]
+                gone.append(pair)
+        self.pairs = np.delete(self.pairs, np.searchsorted(self.pairs, np.array(gone, np.int64)))
+
+    def exchange(self, totals: np.ndarray, fill: int) -> tuple[int, int, int] | None:
+        """Place in ``totals``, gap and size of the first total for which a bin
+        takes it and gives a size, with the largest gain there is for it. A gain
+        raises the sum of squares if it brings the bin over ``fill``."""
+        gaps = np.array(self.gaps, np.int64)
+        if not len(gaps):
+            return None
+        ends = np.append(self.pairs, np.int64(1) << 62)
+        for at in range(0, len(totals), 256):
+            total = totals[at : at + 256, None]
+            found = ends[np.searchsorted(ends, gaps * self.width + np.maximum(total - gaps, 1))]
+            gain = np.where(found // self.width == gaps, total - found % self.width, 0)
+            gain[gain + (self.width - 1 - gaps) <= fill] = 0
+            if len(good := np.flatnonzero((gain > 0).any(axis=1))):
+                i = int(good[0])
+                g = int(np.argmax(gain[i]))
+                return at + i, int(gaps[g]), int(total[i, 0] - gain[i, g])
+        return None
+
+
 def local_search(sizes: list[int], bins: list[list[int]], capacity: int) -> list[list[int]]:
     """Empty bins by moves and exchanges that raise the sum of squared fills.
 
     A sweep lets every underfull bin, emptiest first, give as long as that
     helps; after a sweep that changes nothing the search ends, as it must, since
     every step raises the sum. It ends at once at the fewest bins that the total
-    allows."""
-    size = np.asarray(sizes, np.int64)
-    place = np.empty(len(size), np.int64)
-    for b, members in enumerate(bins):
-        place[members] = b
-    fill = np.bincount(place, size, len(bins)).astype(np.int64) if len(size) else np.zeros(0, np.int64)
-    fewest = -(-int(size.sum()) // capacity)
+    allows. Documents of one size are alike: a bin is looked at by its distinct
+    sizes, of which it has at most the root of twice the capacity, and the other
+    bins by distinct gaps and sizes; a bin like one that found nothing isn't
+    searched again until something has changed."""
+    members: list[dict[int, list[int]]] = [{} for _ in bins]
+    for b, placed in enumerate(bins):
+        for i in placed:
+            members[b].setdefault(sizes[i], []).append(i)
+    held = [Counter({size: len(same) for size, same in m.items()}) for m in members]
+    fill = [sum(size * n for size, n in h.items()) for h in held]
+    fewest, used = -(-sum(sizes) // capacity), sum(f > 0 for f in fill)
+    table = _Held(capacity)
+    table.fill(held, [capacity - f for f in fill])
+
+    def carry(size: int, a: int, b: int) -> None:
+        """A document of ``size`` from bin ``a``, which is not in the table, to ``b``."""
+        members[b].setdefault(size, []).append(members[a][size].pop())
+        held[a][size] -= 1
+        held[b][size] += 1
+        if not held[a][size]:
+            del held[a][size], members[a][size]
+        fill[a] -= size
+        fill[b] += size
 
     def step(giver: int) -> bool:
         """One move, exchange one for one or two for one; whether there was any.
-        A gain g for a bin of fill f raises the sum if f + g exceeds the giver's."""
-        mine = np.flatnonzero(place == giver)
-        mine = mine[np.argsort(-size[mine], kind="stable")]
-        gap = np.where(fill > 0, capacity - fill, -1)
-        gap[giver] = -1
-        for i in mine:
-            room = np.flatnonzero((gap >= size[i]) & (fill + size[i] > fill[giver]))
-            if len(room):
-                to = room[np.argmin(gap[room])]
-                place[i] = to
-                fill[to] += size[i]
-                fill[giver] -= size[i]
+        ``giver`` is not in the table."""
+        mine = sorted(held[giver], reverse=True)
+        for size in mine:
+            at = bisect_left(table.gaps, size)
+            if at < len(table.gaps) and capacity - table.gaps[at] + size > fill[giver]:
+                to = min(table.bins[table.gaps[at]])
+                table.drop(to, held[to], capacity - fill[to])
+                carry(size, giver, to)
+                table.add(to, held[to], capacity - fill[to])
                 return True
-        others = np.flatnonzero(gap[place] > 0)
-        room, full = gap[place[others]], fill[place[others]]
-        for give in [(int(i),) for i in mine] + [(int(i), int(j)) for k, i in enumerate(mine) for j in mine[k + 1 :]]:
-            total = int(size[list(give)].sum())
-            gain = total - size[others]
-            good = np.flatnonzero((gain > 0) & (gain <= room) & (full + gain > fill[giver]))
-            if len(good):
-                best = good[np.argmax(gain[good])]
-                take, to = others[best], place[others[best]]
-                place[list(give)] = to
-                place[take] = giver
-                fill[to] += gain[best]
-                fill[giver] -= gain[best]
+        gives = {size: (size,) for size in mine}
+        pairs: dict[int, tuple[int, ...]] = {}
+        for k, one in enumerate(mine):
+            for other in mine[k if held[giver][one] > 1 else k + 1 :]:
+                pairs.setdefault(one + other, (one, other))
+        for some in (gives, pairs):
+            totals = list(some)
+            if totals and (found := table.exchange(np.array(totals, np.int64), fill[giver])):
+                place, gap, take = found
+                to = min(b for b in table.bins[gap] if take in held[b])
+                table.drop(to, held[to], gap)
+                for size in some[totals[place]]:
+                    carry(size, giver, to)
+                carry(take, to, giver)
+                table.add(to, held[to], capacity - fill[to])
                 return True
         return False
 
-    changed = True
+    changed, vain = True, set()
     while changed:
         changed = False
-        open_ = np.flatnonzero((fill > 0) & (fill < capacity))
-        for giver in open_[np.argsort(fill[open_], kind="stable")].tolist():
-            if (fill > 0).sum() <= fewest:
+        for giver in sorted((b for b, f in enumerate(fill) if 0 < f < capacity), key=lambda b: (fill[b], b)):
+            if used <= fewest:
                 changed = False
                 break
-            while 0 < fill[giver] < capacity and step(giver):
+            while 0 < fill[giver] < capacity:
+                alike = (fill[giver], tuple(sorted((size, n > 1) for size, n in held[giver].items())))
+                if alike in vain:
+                    break
+                table.drop(giver, held[giver], capacity - fill[giver])
+                better = step(giver)
+                table.add(giver, held[giver], capacity - fill[giver])
+                if not better:
+                    vain.add(alike)
+                    break
                 changed = True
-    out: list[list[int]] = [[] for _ in bins]
-    for i, b in enumerate(place.tolist()):
-        out[b].append(i)
-    return [b for b in out if b]
+                vain.clear()
+                used -= not fill[giver]
+    return [sorted(i for same in m.values() for i in same) for m in members if m]
 
 
 def _pack_group(capacity: int, level: int):
@@ -179,8 +267,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     sequence_id, offset``.
 
     Null text counts as empty: such a document is its end id. Repeated rows are
-    packed as often as they come; null identifiers stay null; an empty table
-    gives no rows; other columns are not looked at."""
+    packed as often as they come; equal lengths are taken by identifier, then
+    piece; null identifiers stay null, and one that is no integer is an error
+    of the cast; an empty table gives no rows; other columns are not looked at."""
     cut = materialise(pieces(docs, id_col, text_col, tokenizer, capacity, end_id), "pieces")
     n = max(1, -(-cut.count() // group))
     salt = F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id())
@@ -189,7 +278,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     if n == 1:
         return first.select(*names)
-    limit = int(capacity * UNDERFULL)
-    fewer = -(-n // MEET)
-    again = _dealt(first.where(F.col("filled") < limit).select(*names[:5], "group"), F.col("group") % fewer, fewer, capacity, 1)
-    return first.where(F.col("filled") >= limit).select(*names).unionByName(again.select(*names))
+    left = first.where(F.col("filled") < int(capacity * UNDERFULL))
+    n = max(1, -(-left.count() // group))
+    salt = F.xxhash64("doc_id", "piece", "ids_crc32", "sequence_id", "offset")
+    again = _dealt(left.select(*names), F.pmod(salt, F.lit(n)), n, capacity, 1)
+    return first.where(F.col("filled") >= int(capacity * UNDERFULL)).select(*names).unionByName(again.select(*names))

@@ -1,7 +1,10 @@
 """Encoding, shards, packing."""
 
+import random
 import struct
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -164,3 +167,25 @@ def test_local_search_empties_bins():
     sizes = rng.integers(300, 1200, 2000).tolist()
     first = packing.best_fit(sizes, 2048)
     assert len(packing.local_search(sizes, first, 2048)) < len(first)
+
+
+def test_alike_documents_take_little_time():
+    """Many documents of one size, and many that no two of fit: some hundredths
+    of a second; a search of all pairs of members takes minutes."""
+    rng = random.Random(1)
+    for sizes in ([3] * 16_384, [17] * 16_384, [rng.randint(1030, 2007) for _ in range(16_384)]):
+        first = packing.best_fit(sizes, 2048)
+        began = time.process_time()
+        got = packing.local_search(sizes, first, 2048)
+        assert time.process_time() - began < 10
+        assert sorted(i for b in got for i in b) == list(range(len(sizes))) and len(got) == len(first)
+
+
+def test_second_level_is_dealt_by_pieces(spark):
+    """All bins are leftovers, as no two documents fit: the second level has as
+    many groups as the pieces need, however many bins a group leaves."""
+    docs = spark.createDataFrame([(i, "mill " * (1100 + i % 7)) for i in range(160)], "doc_id long, text string")
+    rows = packing.pack(docs, group=20).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(160)) and len({r.sequence_id for r in rows}) == 160
+    groups = Counter(r.sequence_id >> 24 for r in rows)
+    assert all(n >> 36 == 1 for n in groups) and max(groups.values()) <= 60
