@@ -7,7 +7,7 @@ starts from best fit, longest first; a local search then lets its underfull
 bins, emptiest first, move a document to a bin with room, exchange one for a
 shorter one, or two for one, each time raising the sum of squared fills, until
 bins are empty or nothing helps. What is left in the underfull bins of all groups
-is dealt at random to groups of the same expected size and packed again.
+is dealt at random to groups of a fixed expected size again, and packed anew.
 """
 
 from __future__ import annotations
@@ -262,10 +262,11 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     return rows.mapInArrow(_pieces(tokenizer or model_path(), capacity, end_id, with_ids), kind)
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, group: int = GROUP) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, group: int = GROUP, again: int = GROUP) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32,
     sequence_id, offset``.
 
+    group, again: expected pieces of a group, and of a group of leftovers.
     Null text counts as empty: such a document is its end id. Repeated rows are
     packed as often as they come; equal lengths are taken by identifier, then
     piece; null identifiers stay null, and one that is no integer is an error
@@ -279,7 +280,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     if n == 1:
         return first.select(*names)
     left = first.where(F.col("filled") < int(capacity * UNDERFULL))
-    n = max(1, -(-left.count() // group))
+    n = max(1, -(-left.count() // again))
     salt = F.xxhash64("doc_id", "piece", "ids_crc32", "sequence_id", "offset")
-    again = _dealt(left.select(*names), F.pmod(salt, F.lit(n)), n, capacity, 1)
-    return first.where(F.col("filled") >= int(capacity * UNDERFULL)).select(*names).unionByName(again.select(*names))
+    second = _dealt(left.select(*names), F.pmod(salt, F.lit(n)), n, capacity, 1)
+    return first.where(F.col("filled") >= int(capacity * UNDERFULL)).select(*names).unionByName(second.select(*names))

@@ -185,7 +185,7 @@ def test_second_level_is_dealt_by_pieces(spark):
     """All bins are leftovers, as no two documents fit: the second level has as
     many groups as the pieces need, however many bins a group leaves."""
     docs = spark.createDataFrame([(i, "mill " * (1100 + i % 7)) for i in range(160)], "doc_id long, text string")
-    rows = packing.pack(docs, group=20).collect()
+    rows = packing.pack(docs, group=20, again=20).collect()
     assert sorted(r.doc_id for r in rows) == list(range(160)) and len({r.sequence_id for r in rows}) == 160
     groups = Counter(r.sequence_id >> 24 for r in rows)
     assert all(n >> 36 == 1 for n in groups) and max(groups.values()) <= 60
