@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +26,11 @@ def fixed(df: DataFrame) -> DataFrame:
     otherwise later, and a lost executor costs a read of files."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same as a table of files. A checkpoint keeps the constraints of the plan
+    that made it, which double from round to round of a loop; files keep none."""
+    path = f"{shared_dir(df.sparkSession)}/rounds-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

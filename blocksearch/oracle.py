@@ -116,6 +116,8 @@ ORACLE_SQL = {
         QUALIFY row_number() OVER (PARTITION BY processed ORDER BY doc_id, line) = 1""",
     "tree_flatten": f"WITH RECURSIVE {_TREE} SELECT uuid, page_name, len(path) AS depth, array_to_string(path, '/') AS path FROM walk",
     "tree_order": f"WITH RECURSIVE {_TREE} SELECT uuid, row_number() OVER (ORDER BY page_ord, path) - 1 AS ord FROM walk",
+    "tree_preorder": f"""WITH RECURSIVE {_TREE}, sizes AS (SELECT a.uuid, count(*) AS size FROM walk a JOIN walk b ON b.page_ord = a.page_ord AND b.path[1:len(a.path)] = a.path GROUP BY 1)
+        SELECT uuid, page_ord, len(path) AS depth, size, row_number() OVER (PARTITION BY page_ord ORDER BY path) - 1 AS place FROM walk JOIN sizes USING (uuid)""",
     "page_blocks": f"WITH RECURSIVE {_TREE} SELECT uuid, parent_uuid, sibling_ord, content FROM tree WHERE page_name = 'conv/1'",
     "result_refs": f"""WITH {_top(0, 10, 0.25)} SELECT 'query' AS parent, 0::BIGINT AS ord, count(*) || ' related notes' AS content FROM top
         UNION ALL SELECT 'query', rank, '((' || block_uuid || '))' FROM top""",

@@ -28,6 +28,7 @@ from .plans import index
 from .plans.engine import Engine
 from .schema import LOCAL_SETTING, Settings
 from .sources import blocks as src
+from .sources.preorder import preorder
 from .streaming.refresh import refresh_stream
 
 THRESHOLD, DIGITS, DIM, SHARD = 0.25, 6, 256, 100
@@ -304,6 +305,11 @@ def tree_order(spark, sf_dir):
     return B.numbered(flat, "page_ord", "path", name="ord").select("uuid", "ord")
 
 
+def tree_preorder(spark, sf_dir):
+    """The same order by pointer doubling, with depths and sizes of subtrees."""
+    return preorder(src.conversation_tree(table(spark, sf_dir, "conversations"))).select("uuid", "page_ord", "depth", "size", "place")
+
+
 def page_blocks(spark, sf_dir):
     return src.page(src.conversation_tree(table(spark, sf_dir, "conversations")), "conv/1").select("uuid", "parent_uuid", "sibling_ord", "content")
 
@@ -524,6 +530,6 @@ QUERIES = {
         delete_touched_shards, update_by_key, store_stats, store_integrity, hash_embedding, semantic_search, embed_blocks, index_build, tree_flatten, tree_order, page_blocks, result_refs, result_nested, selection_concat,
         summary_context, style_lookup, progress_batches, compact_rows, record_keys, styled_response, engine_search, streaming_refresh, round4_special, search_prompts, summary_texts, size_texts,
         retry_delays, store_lifecycle, summary_sink, response_sink, json_rows, service_answers, settings_choice, store_clock, selections, engine_states,
-        refresh_changes,
+        refresh_changes, tree_preorder,
     )
 } | {f"{s}_blocks": _of_status(s) for s in ("new", "modified", "deleted", "unchanged")}

@@ -1,5 +1,6 @@
 """Store lifecycle, change detection, index runs."""
 
+import random
 import sys
 import uuid
 
@@ -15,6 +16,8 @@ from blocksearch.plans.engine import Engine
 from blocksearch.queries import QUERIES
 from blocksearch.schema import Settings
 from blocksearch.sources import blocks as src
+from blocksearch.sources import preorder as sources_preorder
+from blocksearch.sources.preorder import preorder, written
 from blocksearch.streaming.refresh import refresh_stream
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers can't import this file
@@ -391,6 +394,44 @@ def test_flatten_forms_agree(spark):
         assert [r.uuid for r in got.orderBy("page_ord", "path").collect()] == ["a", "b", "d", "c", "e"]
 
 
+def test_preorder_by_doubling(spark):
+    rng = random.Random(3)
+    rows = []
+    for page in range(4):
+        for i in range(60):
+            rows.append((page, f"p{page}", f"u{i}", f"u{rng.randrange(max(0, i - 8), i)}" if i and rng.random() < 0.9 else None, rng.randrange(100) if i % 9 else None, f"t{i}"))
+    want = {}
+    for page in range(4):
+        kids, n = {}, 0
+        for _, _, u, parent, o, _ in (r for r in rows if r[0] == page):
+            kids.setdefault(parent, []).append((o is not None, o or 0, u))
+
+        def walk(u, depth, page=page, kids=kids):
+            first = len([k for k in want if k[0] == page])
+            want[page, u] = None
+            for _, _, child in sorted(kids.get(u, [])):
+                walk(child, depth + 1)
+            want[page, u] = (depth, len([k for k in want if k[0] == page]) - first, first)
+
+        for _, _, root in sorted(kids[None]):
+            walk(root, 1)
+    rows += [(0, "p0", "lost", "nowhere", 0, "x"), (0, "p0", "below", "lost", 0, "x"), (1, "p1", "a", "b", 0, "x"), (1, "p1", "b", "a", 0, "x"), (1, "p1", "c", "a", 0, "x"), (2, "p2", None, "u0", 0, "x"), (None, "q", "z", None, 0, "x")]
+    rows += rows[:5]
+    tree = spark.createDataFrame(rows, "page_ord long, page_name string, uuid string, parent_uuid string, sibling_ord long, content string")
+    got = {(r.page_ord, r.uuid): (r.depth, r.size, r.place) for r in preorder(tree.withColumn("place", F.lit(7))).collect()}
+    assert got == want
+    assert preorder(tree.limit(0)).count() == 0
+
+
+def test_a_deep_chain_takes_few_rounds(spark, monkeypatch):
+    n, made = 1000, []
+    monkeypatch.setattr(sources_preorder, "written", lambda df: made.append(1) or written(df))
+    chain = spark.range(n).selectExpr("0L AS page_ord", "'p' AS page_name", "string(id) AS uuid", "string(nullif(id, 0) - 1) AS parent_uuid", "0L AS sibling_ord", "'x' AS content")
+    got = preorder(chain).collect()
+    assert len(got) == n and all((r.depth, r.size, r.place) == (int(r.uuid) + 1, n - int(r.uuid), int(r.uuid)) for r in got)
+    assert len(made) <= 2 * 11 + 2
+
+
 def test_trees_of_more_rows_than_a_recursive_query_takes(spark, tmp_path):
     n = 1_000_001
     spark.range(n).selectExpr("id AS conv_id", "0L AS turn", "'user' AS role", "'x' AS text").write.parquet(f"{tmp_path}/conversations.parquet")
