@@ -403,6 +403,10 @@ class VectorStore:
             for name in set(self._names(f"{self.root}/{folder}")) - keep:
                 fs, p = self._fs(f"{self.root}/{folder}/{name}")
                 fs.delete(p, True)
+        for run in self._names(f"{self.root}/spheres"):
+            if not live & set(self._names(f"{self.root}/spheres/{run}")):
+                fs, p = self._fs(f"{self.root}/spheres/{run}")
+                fs.delete(p, True)
 
     # -- reports -------------------------------------------------------------
     def bytes(self) -> int:

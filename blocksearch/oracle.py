@@ -75,6 +75,10 @@ ORACLE_SQL = {
     "search_threshold_default": f"WITH {_top(0, 50, 0.5)} SELECT block_uuid, score FROM top",
     "search_all_above": f"WITH {_scored(1)} SELECT block_uuid, score FROM scored WHERE score > 0.1",
     "search_rounded_index": f"WITH {_top(3, 20, 0.2, _ROUND4)} SELECT block_uuid, score, rank FROM top",
+    "search_near": f"WITH {_top(3, 20, 0.2, _ROUND4)} SELECT block_uuid, score, rank FROM top",
+    "search_each_near": f"""WITH {_VEC}, s AS (SELECT q.vec_id AS query_id, round(list_cosine_similarity({_ROUND4.replace("(v,", "(vec.v,")}, q.v), 6) AS score
+        FROM vec q, vec WHERE q.vec_id % 50 = 0), t AS (SELECT * FROM s WHERE score > 0.25 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC) <= 10)
+        SELECT query_id, count(*) AS n, sum(score::DECIMAL(10, 6))::DECIMAL(20, 6)::VARCHAR AS total, min(score) AS least FROM t GROUP BY 1""",
     "topk_per_query": f"""WITH {_VEC}, s AS (SELECT q.vec_id AS query_id, vec.vec_id, vec.block_uuid, round(list_cosine_similarity(vec.v, q.v), 6) AS score FROM vec, vec q)
         SELECT query_id, block_uuid, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id, block_uuid) AS rank FROM s WHERE score > 0.25 QUALIFY rank <= 3""",
     "vector_round4": f"WITH {_VEC} SELECT block_uuid, generate_subscripts(v, 1) - 1 AS i, unnest({_ROUND4}) AS x FROM vec",

@@ -15,6 +15,7 @@ from ..functions.text import fenced, is_blank, padded, reference
 from ..operators import search as ops
 from ..operators.blocks import joined_text
 from ..operators.embed import Embedder, HashingEmbedder, check, retried
+from ..operators.near import top_k_near
 from ..operators.store import VectorStore
 from ..schema import Settings
 from . import index
@@ -58,16 +59,20 @@ class Engine:
     def refresh(self, blocks: DataFrame) -> index.IndexReport | None:
         return index.refresh(self.store, blocks, self.embedder)
 
-    def search(self, text: str | None, blocks: DataFrame | None = None, k: int | None = None, threshold: float | None = None, digits: int | None = None) -> DataFrame:
+    def search(self, text: str | None, blocks: DataFrame | None = None, k: int | None = None, threshold: float | None = None, digits: int | None = None, whole: bool = True) -> DataFrame:
         """Flat results with ``score`` and ``rank``. A blank query gives none.
+        ``whole`` keeps the store in memory for later searches; without it only the
+        shards that can hold a result are read (``operators.near``).
         With ``blocks``, the index is brought up to date first. The query isn't
         cleaned and its vector isn't rounded; the query's own block may be found."""
         k, threshold = self.settings.limit if k is None else k, self.settings.threshold if threshold is None else threshold
         if blocks is not None:
             self.refresh(blocks)
-        stored = self.store.load()
+        stored = self.store.load() if whole else self.store.scan()
         if not text or not text.strip():
             return ops.top_k(stored.limit(0), [0.0] * self.settings.dim, k, threshold)
+        if not whole:
+            return top_k_near(self.store, retried(self.embedder, text, self.settings.attempts), k, threshold, digits=digits)
         return ops.top_k(stored, retried(self.embedder, text, self.settings.attempts), k, threshold, digits=digits)
 
     def ask(self, text: str, blocks: DataFrame | None = None) -> SearchResponse:

@@ -21,6 +21,7 @@ from .functions.vectors import norm, round4
 from .operators import blocks as B
 from .operators import changes as C
 from .operators import embed as E
+from .operators import near as N
 from .operators import search as S
 from .operators.checkpoint import fixed, shared_dir
 from .operators.store import VectorStore
@@ -118,6 +119,28 @@ def topk_per_query(spark, sf_dir):
     return out.select("query_id", "block_uuid", "score", F.col("rank").cast("long").alias("rank"))
 
 
+def _alike(spark, sf_dir):
+    """The vectors stored by label, with spheres around them."""
+    store = VectorStore(spark, _shared(spark), Settings(shard_rows=SHARD, dimension=64), lambda: 1)
+    store.overwrite(vectors(spark, sf_dir), ("page_name", "ord"))
+    N.enclose(store)
+    return store
+
+
+def search_near(spark, sf_dir):
+    """One query against the shards that can hold a result."""
+    query, order = _query_vector(spark, sf_dir, 3), [F.col("block_uuid").cast("long")]
+    found = N.top_k_near(_alike(spark, sf_dir), query, 20, 0.2, order, DIGITS)
+    return found.select("block_uuid", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def search_each_near(spark, sf_dir):
+    """Every vector whose number 50 divides, against all."""
+    queries = vectors(spark, sf_dir).where("ord % 50 = 0").select(F.col("ord").alias("query_id"), "vector")
+    found = N.top_k_each_near(_alike(spark, sf_dir), queries, 10, THRESHOLD, DIGITS)
+    return found.groupBy("query_id").agg(F.count("*").alias("n"), F.sum("score").cast("decimal(20,6)").cast("string").alias("total"), F.min("score").alias("least"))
+
+
 def vector_round4(spark, sf_dir):
     return vectors(spark, sf_dir).select("block_uuid", F.posexplode(round4(F.col("vector"))).alias("i", "x")).select("block_uuid", F.col("i").cast("long").alias("i"), "x")
 
@@ -530,6 +553,6 @@ QUERIES = {
         delete_touched_shards, update_by_key, store_stats, store_integrity, hash_embedding, semantic_search, embed_blocks, index_build, tree_flatten, tree_order, page_blocks, result_refs, result_nested, selection_concat,
         summary_context, style_lookup, progress_batches, compact_rows, record_keys, styled_response, engine_search, streaming_refresh, round4_special, search_prompts, summary_texts, size_texts,
         retry_delays, store_lifecycle, summary_sink, response_sink, json_rows, service_answers, settings_choice, store_clock, selections, engine_states,
-        refresh_changes, tree_preorder,
+        refresh_changes, tree_preorder, search_near, search_each_near,
     )
 } | {f"{s}_blocks": _of_status(s) for s in ("new", "modified", "deleted", "unchanged")}
