@@ -5,9 +5,10 @@ A manifest, one row for each (segment, shard) that is live with its number of
 rows, says what the store holds. A mutation, even one that removes rows and adds
 others, writes new segments, then a manifest in a folder of its own, and last the
 name of that folder under the next version's number. That last step is a rename
-that fails if the number is taken: a reader sees all of a mutation or nothing,
-and of two writers that began from one version the second gets ``Conflict`` and
-has changed nothing.
+that fails if the number is taken: a reader sees all of a mutation or nothing.
+Of two writers that began from one version the second, if it deletes, updates or
+compacts, goes on from the first one's version, as long as that left the second's
+shards as they were; else it gets ``Conflict`` and has changed nothing.
 
 A delete or update rewrites only the shards that hold its keys; an append adds a
 segment to the last shard and those after it. A shard that loses all its rows
@@ -108,8 +109,25 @@ class VectorStore:
         version = self._version() if version is None else version
         return self.spark.read.schema(_MANIFEST).parquet(self._manifest(version)).collect() if version else []
 
-    def _commit(self, rows: list[Entry], base: int) -> None:
-        """Make ``rows`` the version after ``base``."""
+    def _commit(self, rows: list[Entry], base: int, shards: set[int] | None = None) -> None:
+        """Make ``rows`` the version after ``base``. A mutation that changes nothing
+        but ``shards`` is put on the newest version if another writer was first and
+        these shards are as they were: it is as if this one had come before."""
+        while True:
+            try:
+                return self._publish(rows, base)
+            except Conflict:
+                if shards is None:
+                    raise
+                of = lambda entries: sorted((r.segment, r.shard_id, r.n) for r in entries if r.shard_id in shards)
+                was, base = of(self._rows(base)), self._version()
+                now = self._rows(base)
+                if of(now) != was:
+                    raise
+                rows = [(r.segment, r.shard_id, r.n) for r in now if r.shard_id not in shards] + [e for e in rows if e[1] in shards]
+
+    def _publish(self, rows: list[Entry], base: int) -> None:
+        """Write ``rows`` down under the number after ``base``."""
         now, name = self.clock(), uuid.uuid4().hex
         frame = self.spark.createDataFrame([(s, shard, n, now, 1) for s, shard, n in rows], _MANIFEST)
         frame.coalesce(1).write.parquet(f"{self.root}/manifests/{name}")
@@ -320,36 +338,60 @@ class VectorStore:
         found = self.located(ids, rows).groupBy("shard_id").count().collect()
         return {r["shard_id"]: r["count"] for r in found}
 
-    def _rewritten(self, old: list[Row], shards: set[int], change: Callable[[DataFrame], DataFrame]) -> list[Entry]:
-        """The manifest after ``change`` of these shards, not committed yet."""
-        part = [r for r in old if r.shard_id in shards]
+    def _whole(self, part: list[Row]) -> DataFrame:
+        """The rows of these entries, all of them or an error."""
+        shards = sorted({r.shard_id for r in part})
         try:
             whole = self._read(part, whole=True)
             have = whole.count()
         except PySparkException as e:
-            raise Incomplete(f"shards {sorted(shards)} of {self.root} can't be read") from e
+            raise Incomplete(f"shards {shards} of {self.root} can't be read") from e
         if have != sum(r.n for r in part):
-            raise Incomplete(f"shards {sorted(shards)} of {self.root} have {have} of {sum(r.n for r in part)} rows")
-        new = self._write(change(whole))
+            raise Incomplete(f"shards {shards} of {self.root} have {have} of {sum(r.n for r in part)} rows")
+        return whole
+
+    def _rewritten(self, old: list[Row], shards: set[int], change: Callable[[DataFrame], DataFrame]) -> list[Entry]:
+        """The manifest after ``change`` of these shards, not committed yet."""
+        part = [r for r in old if r.shard_id in shards]
+        new = self._write(change(self._whole(part)))
         full = {shard for _, shard, _ in new}
         empty = [(max(r.segment for r in part if r.shard_id == s), s, 0) for s in sorted(shards - full)]
         return [(r.segment, r.shard_id, r.n) for r in old if r.shard_id not in shards] + new + empty
 
-    def _without(self, base: int, ids: DataFrame) -> tuple[list[Entry], int]:
-        """The manifest without these keys, not committed yet, and the rows
-        that it lacks."""
+    def compact(self, least: int | None = None) -> int:
+        """Put the rows of all segments of fewer than ``least`` rows (sixteen shards,
+        unless given) into one new segment, in one commit; the shards stay as they
+        are. Appends and rewrites leave small segments, each of which a scan lists.
+        Returns how many segments were merged; a single small one is left alone."""
+        base = self._version()
+        old, least = self._rows(base), 16 * self.settings.shard_rows if least is None else least
+        sizes: dict[int, int] = {}
+        for r in old:
+            if r.n:
+                sizes[r.segment] = sizes.get(r.segment, 0) + r.n
+        small = {s for s, n in sizes.items() if n < least}
+        if len(small) < 2:
+            return 0
+        part = [r for r in old if r.n and r.segment in small]
+        new = self._write(self._whole(part))
+        self._commit([(r.segment, r.shard_id, r.n) for r in old if not (r.n and r.segment in small)] + new, base, {r.shard_id for r in part})
+        return len(small)
+
+    def _without(self, base: int, ids: DataFrame) -> tuple[list[Entry], int, set[int]]:
+        """The manifest without these keys, not committed yet, the rows that it
+        lacks, and their shards."""
         old, ids = self._rows(base), ids.distinct()
         hit = self._hit(old, ids)
         if not hit:
-            return [(r.segment, r.shard_id, r.n) for r in old], 0
-        return self._rewritten(old, set(hit), lambda rows: rows.join(ids, "block_uuid", "left_anti")), sum(hit.values())
+            return [(r.segment, r.shard_id, r.n) for r in old], 0, set()
+        return self._rewritten(old, set(hit), lambda rows: rows.join(ids, "block_uuid", "left_anti")), sum(hit.values()), set(hit)
 
     def delete(self, ids: DataFrame) -> int:
         """Remove keys; unknown ones are passed over. Returns the rows removed."""
         base = self._version()
-        kept, gone = self._without(base, ids.select("block_uuid"))
+        kept, gone, shards = self._without(base, ids.select("block_uuid"))
         if gone:
-            self._commit(kept, base)
+            self._commit(kept, base, shards)
         return gone
 
     def update(self, rows: DataFrame, order: str | None = None) -> int:
@@ -369,7 +411,7 @@ class VectorStore:
                 met = rows.join(new, "block_uuid", "left")
                 return met.select("block_uuid", *[F.when(F.col("_new").isNotNull(), F.col(f"_new.{n}")).otherwise(F.col(n)).alias(n) for n in names], "ord", "shard_id")
 
-            self._commit(self._rewritten(old, set(hit), change), base)
+            self._commit(self._rewritten(old, set(hit), change), base, set(hit))
         return sum(hit.values())
 
     # -- staging -------------------------------------------------------------

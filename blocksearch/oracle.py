@@ -79,6 +79,9 @@ ORACLE_SQL = {
     "search_each_near": f"""WITH {_VEC}, s AS (SELECT q.vec_id AS query_id, round(list_cosine_similarity({_ROUND4.replace("(v,", "(vec.v,")}, q.v), 6) AS score
         FROM vec q, vec WHERE q.vec_id % 50 = 0), t AS (SELECT * FROM s WHERE score > 0.25 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC) <= 10)
         SELECT query_id, count(*) AS n, sum(score::DECIMAL(10, 6))::DECIMAL(20, 6)::VARCHAR AS total, min(score) AS least FROM t GROUP BY 1""",
+    "notes_folder": """SELECT doc_id // 1000 AS page, NULL::VARCHAR AS parent, row_number() OVER (PARTITION BY doc_id // 1000 ORDER BY doc_id) - 1 AS sibling_ord, 'document ' || doc_id AS content FROM documents
+        UNION ALL SELECT doc_id // 1000, 'd' || doc_id, i - 1, l[i] FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))""",
+    "store_compaction": f"WITH {_VEC} SELECT block_uuid, len(v) AS dim, 1::BIGINT AS segments FROM vec WHERE vec_id % 9 <> 0",
     "topk_per_query": f"""WITH {_VEC}, s AS (SELECT q.vec_id AS query_id, vec.vec_id, vec.block_uuid, round(list_cosine_similarity(vec.v, q.v), 6) AS score FROM vec, vec q)
         SELECT query_id, block_uuid, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id, block_uuid) AS rank FROM s WHERE score > 0.25 QUALIFY rank <= 3""",
     "vector_round4": f"WITH {_VEC} SELECT block_uuid, generate_subscripts(v, 1) - 1 AS i, unnest({_ROUND4}) AS x FROM vec",

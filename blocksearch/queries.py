@@ -29,6 +29,7 @@ from .plans import index
 from .plans.engine import Engine
 from .schema import LOCAL_SETTING, Settings
 from .sources import blocks as src
+from .sources.notes import read_notes, write_notes
 from .sources.preorder import preorder
 from .streaming.refresh import refresh_stream
 
@@ -401,6 +402,31 @@ def summary_texts(spark, sf_dir):
     return rows.select("conv_id", "turn", fenced(F.col("text")).alias("fenced"), padded(F.col("text")).alias("padded"))
 
 
+def notes_folder(spark, sf_dir):
+    """The documents written as files of notes, a thousand numbers a page and a
+    block for each line, and read back."""
+    doc = F.col("doc_id").cast("string")
+    lines = F.transform(F.split("text", "\n", -1), lambda x: F.concat(F.lit("  - "), x))
+    head = F.array(F.concat(F.lit("- document "), doc), F.concat(F.lit("  id:: d"), doc))
+    text = F.array_join(F.concat(head, F.coalesce(lines, F.array().cast("array<string>"))), "\n")
+    folder = f"{_shared(spark)}/notes"
+    write_notes(table(spark, sf_dir, "documents").select(F.expr("doc_id div 1000").alias("page"), "doc_id", text.alias("text")), folder, "page", "text", "doc_id")
+    tree = read_notes(spark, folder, "*.txt")
+    return tree.select(F.regexp_extract("page_name", r"page=(\d+)/", 1).cast("long").alias("page"), F.col("parent_uuid").alias("parent"), "sibling_ord", "content")
+
+
+def store_compaction(spark, sf_dir):
+    """A store that was made of three appends, with rows deleted, after its
+    segments are merged."""
+    rows = vectors(spark, sf_dir)
+    store = VectorStore(spark, _shared(spark), Settings(shard_rows=SHARD, dimension=64), lambda: 1)
+    for part in range(3):
+        store.append(rows.where(F.col("ord") % 3 == part))
+    store.delete(rows.where("ord % 9 = 0").select("block_uuid"))
+    store.compact(rows.count())
+    return store.scan().select("block_uuid", F.size("vector").cast("long").alias("dim"), F.lit(len({r.segment for r in store._rows() if r.n})).cast("long").alias("segments"))
+
+
 def size_texts(spark, sf_dir):
     size = F.octet_length("text")
     return table(spark, sf_dir, "documents").select("doc_id", kilobytes(size).alias("kb"), megabytes(size * 100).alias("mb"))
@@ -553,6 +579,6 @@ QUERIES = {
         delete_touched_shards, update_by_key, store_stats, store_integrity, hash_embedding, semantic_search, embed_blocks, index_build, tree_flatten, tree_order, page_blocks, result_refs, result_nested, selection_concat,
         summary_context, style_lookup, progress_batches, compact_rows, record_keys, styled_response, engine_search, streaming_refresh, round4_special, search_prompts, summary_texts, size_texts,
         retry_delays, store_lifecycle, summary_sink, response_sink, json_rows, service_answers, settings_choice, store_clock, selections, engine_states,
-        refresh_changes, tree_preorder, search_near, search_each_near,
+        refresh_changes, tree_preorder, search_near, search_each_near, notes_folder, store_compaction,
     )
 } | {f"{s}_blocks": _of_status(s) for s in ("new", "modified", "deleted", "unchanged")}

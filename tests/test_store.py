@@ -87,19 +87,19 @@ def test_a_commit_is_all_or_nothing(spark, store, monkeypatch):
     """A writer that dies before its last step leaves the version before it."""
     store.overwrite(_rows(spark, 0, 25))
     before = {r.block_uuid: r.page_name for r in store.scan().collect()}
-    commit = store._commit
+    commit = store._publish
 
     def dies(rows, base):
         raise KeyboardInterrupt
 
     for work in (lambda: store.append(_rows(spark, 3, 30).withColumn("page_name", F.lit("new"))), lambda: store.replace(_rows(spark, 50, 52), _rows(spark, 0, 9)), lambda: store.delete(_rows(spark, 0, 9)), lambda: store.update(_rows(spark, 1, 2).withColumn("page_name", F.lit("new")))):
-        monkeypatch.setattr(store, "_commit", dies)
+        monkeypatch.setattr(store, "_publish", dies)
         with pytest.raises(KeyboardInterrupt):
             work()
-        monkeypatch.setattr(store, "_commit", commit)
+        monkeypatch.setattr(store, "_publish", commit)
         assert {r.block_uuid: r.page_name for r in store.scan().collect()} == before
     versions = []
-    monkeypatch.setattr(store, "_commit", lambda rows, base: (versions.append(base), commit(rows, base)))
+    monkeypatch.setattr(store, "_publish", lambda rows, base: (versions.append(base), commit(rows, base)))
     assert store.replace(_rows(spark, 50, 52), _rows(spark, 0, 9)) == 2 and len(versions) == 1  # one commit takes out and puts in
     assert store.scan().count() == 18
 
