@@ -2,6 +2,8 @@
 
 import math
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -81,3 +83,20 @@ def test_many_queries_give_what_single_ones_give(spark):
 def test_cosine_is_symmetric_and_bounded(spark, v, w):
     c = _cos(spark, v, w)
     assert c == _cos(spark, w, v) and abs(c) <= 1 + 1e-9
+
+
+def test_tiles_of_many_queries_give_the_exact_best(monkeypatch):
+    """Counts with ties, zeros and repeats, in tiles far smaller than the block:
+    what single precision leaves out isn't among the best."""
+    monkeypatch.setattr(search, "_TILE", (3, 5))
+    rng = np.random.default_rng(1)
+    vectors = rng.poisson(0.4, (60, 12)).astype(float)
+    vectors[7], vectors[20:30] = 0, vectors[3]
+    queries, keys, order = vectors[:11], pa.array([f"b{i:02}" for i in range(60)]), np.arange(60)[::-1] // 2
+    for threshold in (-1.0, 0.0, 0.5):
+        norms = np.linalg.norm(vectors, axis=1)
+        with np.errstate(invalid="ignore"):
+            scores = np.round(np.nan_to_num(queries @ vectors.T / np.outer(norms[:11], norms)), 6)
+        want = sorted((i, keys[j].as_py(), scores[i, j]) for i in range(11) for j in sorted(range(60), key=lambda j: (-scores[i, j], order[j], keys[j].as_py()))[:4] if scores[i, j] > threshold)
+        got = [x for b in search._best(np.arange(11), queries, keys, order, vectors, 4, threshold, 6) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)]
+        assert sorted(got) == want
