@@ -9,8 +9,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from blocksearch.functions.vectors import cosine, round4
+from blocksearch.functions.vectors import cosine, round4, rounded4
 from blocksearch.operators import search
+from blocksearch.operators.embed import HashingEmbedder, embed
 
 
 def _cos(spark, a, b):
@@ -100,3 +101,13 @@ def test_tiles_of_many_queries_give_the_exact_best(monkeypatch):
         want = sorted((i, keys[j].as_py(), scores[i, j]) for i in range(11) for j in sorted(range(60), key=lambda j: (-scores[i, j], order[j], keys[j].as_py()))[:4] if scores[i, j] > threshold)
         got = [x for b in search._best(np.arange(11), queries, keys, order, vectors, 4, threshold, 6) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)]
         assert sorted(got) == want
+
+
+def test_rounding_in_a_task_is_that_of_columns(spark):
+    values = [math.nan, math.inf, -math.inf, 1e17, -1e13, 0.00005, -0.00005, -0.00003, 1.23455, -2.5, 0.0, 2.0**52 / 10000]
+    want = spark.createDataFrame([(values,)], "v array<double>").select(round4(F.col("v")).alias("v")).first()["v"]
+    assert str(rounded4(np.array(values)).tolist()) == str(want)
+    rows = spark.createDataFrame([("a", 1, "x y x"), ("b", 2, ""), ("c", 3, None), ("d", 4, "Y")], "uuid string, n int, processed string")
+    made = embed(rows, HashingEmbedder(8))
+    assert "MapInArrow" in made._jdf.queryExecution().executedPlan().toString()
+    assert {r.uuid: r.vector for r in made.collect()} == {"a": HashingEmbedder(8)("x y x"), "d": HashingEmbedder(8)("Y")}
