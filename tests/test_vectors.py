@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from blocksearch.functions.vectors import cosine, round4, rounded4
 from blocksearch.operators import search
-from blocksearch.operators.embed import HashingEmbedder, embed
+from blocksearch.operators.embed import HashingEmbedder, embed, sparse
 
 
 def _cos(spark, a, b):
@@ -111,3 +111,11 @@ def test_rounding_in_a_task_is_that_of_columns(spark):
     made = embed(rows, HashingEmbedder(8))
     assert "MapInArrow" in made._jdf.queryExecution().executedPlan().toString()
     assert {r.uuid: r.vector for r in made.collect()} == {"a": HashingEmbedder(8)("x y x"), "d": HashingEmbedder(8)("Y")}
+
+
+def test_tokens_are_counted_within_a_row(spark):
+    rows = spark.createDataFrame([("a", "x y x"), ("a", "Y z"), ("b", " "), ("c", None)], "uuid string, processed string")
+    made = sparse(rows, 1000)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+    want = HashingEmbedder(1000)("x y x y z")
+    assert sorted(map(tuple, made.collect())) == [("a", i, n) for i, n in enumerate(want) if n]
