@@ -467,3 +467,8 @@ def test_a_store_of_rows_checkpoints_no_vectors(spark, store):
     assert store.overwrite(_rows(spark, 0, 35).unionByName(_rows(spark, 30, 35).withColumn("ord", F.col("ord") + 100))) == 35
     assert kept() <= before and _layout(store) == {0: 10, 1: 10, 2: 10, 3: 5}
     assert [r.ord for r in store.scan().orderBy("block_uuid").collect()] == list(range(35))
+
+
+def test_blocks_are_made_once(spark):
+    """What a refresh reports reads cleaned blocks, and doesn't clean them again."""
+    assert "regexp_replace" not in QUERIES["refresh_changes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
