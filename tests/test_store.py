@@ -472,3 +472,7 @@ def test_a_store_of_rows_checkpoints_no_vectors(spark, store):
 def test_blocks_are_made_once(spark):
     """What a refresh reports reads cleaned blocks, and doesn't clean them again."""
     assert "regexp_replace" not in QUERIES["refresh_changes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_single_search_keeps_no_cache(spark):
+    assert "InMemoryRelation" not in QUERIES["engine_search"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
