@@ -100,3 +100,14 @@ def test_an_append_meets_a_conflict(spark, store, monkeypatch):
     with pytest.raises(Conflict):
         store.append(_rows(spark, 30, 31))
     assert store.scan().count() == 7
+
+
+def test_files_are_parsed_one_at_a_time(spark, tmp_path, monkeypatch):
+    """A page of more blocks than leave a task at once, without pandas' copies."""
+    from blocksearch.sources import notes
+
+    (tmp_path / "a.md").write_text("\n".join(f"- block {i}" for i in range(notes.TOGETHER + 5)))
+    (tmp_path / "b.md").write_text("")
+    read = notes.read_notes(spark, f"file://{tmp_path}")
+    assert "MapInArrow" in read._jdf.queryExecution().executedPlan().toString()
+    assert [r.content for r in read.orderBy("sibling_ord").collect()] == [f"block {i}" for i in range(notes.TOGETHER + 5)]
