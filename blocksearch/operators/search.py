@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator, Sequence
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +18,9 @@ from ..functions.vectors import cosine
 QUERY_BLOCK = 4096
 #: Where there are more, the queries and the rows of the store that meet in one task.
 ASKED_BLOCK, STORE_BLOCK = 16_384, 32_768
-#: Queries and rows that are scored at once.
-_TILE = 1024, 4096
+#: Queries and rows that are sifted at once, and pairs of them, about, that are scored in full at once.
+_TILE = 512, 4096
+_PAIRS = 1 << 16
 _FOUND = "query_id long, block_uuid string, ord long, score double"
 
 
@@ -69,15 +72,35 @@ def _units(vectors: np.ndarray, norms: np.ndarray) -> np.ndarray | None:
     return (vectors / np.where(norms == 0, 1, norms)[:, None]).astype(np.float32)
 
 
+def _leading(vectors: np.ndarray, by_order: np.ndarray, k: int) -> np.ndarray:
+    """``by_order`` without rows that ``k`` equal ones come before: these score the
+    same and go first with every query."""
+    seen, keep = Counter(), []
+    for row in by_order.tolist():
+        key = blake2b(vectors[row], digest_size=16).digest()
+        seen[key] += 1
+        if seen[key] <= k:
+            keep.append(row)
+    return np.array(keep, np.int64)
+
+
+def _portions(counts: np.ndarray) -> Iterator[slice]:
+    """Runs of queries with about ``_PAIRS`` pairs each; ``counts`` are those of a query."""
+    run = (np.cumsum(counts) - counts) // _PAIRS
+    edges = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(counts)]
+    return (slice(a, b) for a, b in zip(edges, edges[1:], strict=False) if counts[a:b].any())
+
+
 def _best(ids: np.ndarray, queries: np.ndarray, keys: pa.Array, order: np.ndarray, vectors: np.ndarray, k: int, threshold: float, digits: int | None) -> Iterator[pa.RecordBatch]:
     """The best ``k`` of these rows for each query, a tile of queries and rows at
     a time. Single precision tells which pairs of a tile can be among the best so
-    far, by more than its error; these are scored in full."""
+    far, by more than its error; these are scored in full, a bounded number at a
+    time however alike the vectors are."""
     if vectors.shape[1] != queries.shape[1]:
         raise ValueError("vectors differ in dimension")
     if k <= 0:
         return
-    by_order = np.lexsort((np.array(keys.to_pylist(), object), order))
+    by_order = _leading(vectors, np.lexsort((np.array(keys.to_pylist(), object), order)), k)
     keys, order, vectors = keys.take(pa.array(by_order)), order[by_order], vectors[by_order]
     own, norms = np.linalg.norm(vectors, axis=1), np.linalg.norm(queries, axis=1)
     units, asked = _units(vectors, own), _units(queries, norms)
@@ -91,28 +114,28 @@ def _best(ids: np.ndarray, queries: np.ndarray, keys: pa.Array, order: np.ndarra
             rows = slice(row, row + high)
             if units is None or asked is None:
                 near = _scores(norms[some, None], own[None, rows], queries[some] @ vectors[rows].T, digits)
-                met = np.flatnonzero(near >= least[:, None])
+                met = near >= least[:, None]
             else:
                 near = asked[some] @ units[rows].T
                 cut = least - slack
                 if not row and near.shape[1] > k:  # k rows of these are as near as this
                     cut = np.maximum(cut, np.partition(near, -k, axis=1)[:, -k] - 2 * slack)
-                met = np.flatnonzero(near > cut.astype(np.float32)[:, None])
-            if not len(met):
-                continue
-            q, p = np.divmod(met, near.shape[1])
-            exact = np.empty(len(met))
-            for i in range(0, len(met), high):
-                part = slice(i, i + high)
-                one, two = q[part] + at, p[part] + row
-                exact[part] = _scores(norms[one], own[two], np.einsum("ij,ij->i", queries[one], vectors[two]), digits)
-            passed = exact > threshold  # NaN never does
-            query, place, value = np.append(query, q[passed]), np.append(place, p[passed] + row), np.append(value, exact[passed])
-            rank = np.lexsort((place, -value, query))
-            query, place, value = query[rank], place[rank], value[rank]
-            number = np.arange(len(query)) - np.searchsorted(query, query)
-            least[query[number == k - 1]] = value[number == k - 1]
-            query, place, value = query[number < k], place[number < k], value[number < k]
+                met = near > cut.astype(np.float32)[:, None]
+            del near
+            for part in _portions(np.count_nonzero(met, axis=1)):
+                q, p = np.divmod(np.flatnonzero(met[part]), met.shape[1])
+                q, p = q + part.start, p + row
+                exact = np.empty(len(q))
+                for i in range(0, len(q), high):
+                    one, two = q[i : i + high] + at, p[i : i + high]
+                    exact[i : i + high] = _scores(norms[one], own[two], np.einsum("ij,ij->i", queries[one], vectors[two]), digits)
+                passed = exact > threshold  # NaN never does
+                query, place, value = np.append(query, q[passed]), np.append(place, p[passed]), np.append(value, exact[passed])
+                rank = np.lexsort((place, -value, query))
+                query, place, value = query[rank], place[rank], value[rank]
+                number = np.arange(len(query)) - np.searchsorted(query, query)
+                least[query[number == k - 1]] = value[number == k - 1]
+                query, place, value = query[number < k], place[number < k], value[number < k]
         yield pa.RecordBatch.from_arrays([pa.array(ids[at + query]), keys.take(pa.array(place)), pa.array(order[place]), pa.array(value)], names=["query_id", "block_uuid", "ord", "score"])
 
 

@@ -1,6 +1,7 @@
 """Cosine, rounding, top-k."""
 
 import math
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -103,6 +104,24 @@ def test_tiles_of_many_queries_give_the_exact_best(monkeypatch):
         assert sorted(got) == want
 
 
+@pytest.mark.parametrize("noise", [0.0, 1e-7])
+def test_memory_does_not_grow_with_likeness(noise):
+    """Rows that are copies, or all but copies, are scored in the memory that
+    others take, and the first by order are found."""
+    rng = np.random.default_rng(2)
+    vectors = np.ones((1200, 8)) + noise * rng.normal(size=(1200, 8))
+    vectors[1100:] = rng.normal(size=(100, 8))
+    keys, order = pa.array([f"b{i:04}" for i in range(1200)]), np.arange(1200)[::-1].copy()
+    tracemalloc.start()
+    found = [x for b in search._best(np.arange(600), vectors[:600], keys, order, vectors, 4, 0.9, 4) for x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    alike = {i for i in range(1200) if np.round(vectors[i] @ vectors[0] / np.linalg.norm(vectors[i]) / np.linalg.norm(vectors[0]), 4) == 1}
+    first = sorted(1199 - i for i in alike)[:4]
+    assert sorted(found) == [(i, o, 1.0) for i in range(600) for o in first]
+    assert most < 25e6
+
+
 def test_rounding_in_a_task_is_that_of_columns(spark):
     values = [math.nan, math.inf, -math.inf, 1e17, -1e13, 0.00005, -0.00005, -0.00003, 1.23455, -2.5, 0.0, 2.0**52 / 10000]
     want = spark.createDataFrame([(values,)], "v array<double>").select(round4(F.col("v")).alias("v")).first()["v"]
