@@ -55,6 +55,25 @@ def test_nulls_and_blocks_of_many_queries(spark, monkeypatch):
         search.top_k_each(store, spark.createDataFrame([(1, [1.0])], "query_id long, vector array<double>")).collect()
 
 
+def test_blocks_of_queries_meet_the_store_without_copies(spark, monkeypatch):
+    """What is shuffled is about either side once, however many blocks meet, and
+    equal rows that lie in different blocks come in order."""
+    rng = np.random.default_rng(3)
+    half = rng.normal(size=(200, 64))
+    store = _store(spark, np.concatenate([half, half[::-1]]).tolist()).repartition(3).cache()
+    queries = store.select(F.col("ord").alias("query_id"), "vector")
+    get = lambda: sorted(tuple(r) for r in search.top_k_each(store, queries, 3, 0.1, 6).collect())
+    few = get()
+    assert [b for q, b, _, rank in few if q == 250 and rank < 3] == ["b149", "b250"]
+    monkeypatch.setattr(search, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(search, "ASKED_BLOCK", 50)
+    monkeypatch.setattr(search, "STORE_BLOCK", 10)
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = written()
+    assert get() == few
+    assert 400 * 64 * 8 < written() - before < 8 * 400 * 64 * 8
+
+
 def _store(spark, vectors):
     return spark.createDataFrame([(f"b{i}", i, v) for i, v in enumerate(vectors)], "block_uuid string, ord long, vector array<double>")
 
